@@ -1,8 +1,9 @@
 """The corpus operators' queries and the SQL that some of them can be compared with."""
 
-from coterie.llm import chat, exact_dedup, line_dedup, mixing
+from coterie.llm import chat, exact_dedup, line_dedup, mixing, near_dedup
 
 QUERIES = {
+    "op1_near_dedup": near_dedup.query,
     "op2_exact_dedup": exact_dedup.query,
     "op3_line_dedup": line_dedup.query,
     "op6_mixing": mixing.query,
