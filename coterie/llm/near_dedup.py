@@ -11,11 +11,11 @@ beyond the document's latest component, so most shingles draw one or two.
 
 Documents of one multiset are one class from the start. Their representatives
 meet where a band of the signature agrees. In each bucket every member is first
-held against the bucket's smallest; what similarity links is contracted to its
-component, and only members of different components of one bucket are paired
-after that. Buckets too large for that are split by further bands of the same
-members, level by level, so that chance meetings thin out while true pairs
-(0.8 or more) keep meeting. Every link is verified on the full multisets.
+held against the bucket's lead; what similarity links is contracted to its
+component, and only members of different components of one bucket are compared
+after that, in blocks, by their signatures. Buckets too large for one block are
+split by further bands, so that chance meetings thin out while true pairs (0.8
+or more) keep meeting. Every link is verified on the full multisets.
 
 Null, empty and blank texts have no words and are classes of their own. Texts of
 fewer than five words are one shingle. Words are maximal runs of non-blank
@@ -35,9 +35,9 @@ from coterie.llm.common import bytes_of, fold, hash_words, mix, read, stored, te
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5  # a pair of similarity 0.8 misses all bands once in 20 000, one of 0.85 once in two million
-PAIR_BUCKET = 32  # buckets up to this size pair their components at once; larger ones are split by further bands
-SPLIT_BANDS, SPLIT_ROWS, SPLIT_LEVELS = 12, 4, 3
-SURELY_LESS = 0.5  # pairs that agree in fewer components are not 0.8 similar (seven standard deviations)
+BLOCK = 64  # buckets up to this size are compared in one block; larger ones are split by further bands first
+SPLIT_BANDS, SPLIT_ROWS = 12, 4
+SURELY_LESS = 0.62  # pairs that agree in fewer components are not 0.8 similar (five standard deviations)
 
 
 def shingles(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -161,19 +161,40 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text_key().alias("text_key"), "text").mapInArrow(_sketch, SKETCH)
 
 
+def _alike(x: np.ndarray, y: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Whether sizes and signatures allow a similarity of SIMILARITY; x, y: a row of component bytes each, p, q: sizes."""
+    return ((x == y).mean(axis=-1) >= SURELY_LESS) & (np.minimum(p, q) >= SIMILARITY * np.maximum(p, q) - 1e-9)
+
+
 def _agree(pairs: DataFrame) -> DataFrame:
-    """Keeps (a, b) whose sizes and signatures allow a similarity of SIMILARITY; needs a_small, b_small, a_size, b_size."""
+    """Keeps the (a, b, rank) that _alike lets pass; needs a_small, b_small, a_size, b_size."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(bytes_of(batch.column(c))[0], np.uint8).reshape(batch.num_rows, -1) for c in ("a_small", "b_small"))
-            p, q = (batch.column(c).to_numpy() for c in ("a_size", "b_size"))
-            fine = ((x == y).mean(axis=1) >= SURELY_LESS) & (np.minimum(p, q) >= SIMILARITY * np.maximum(p, q) - 1e-9)
-            yield batch.select(["a", "b"]).filter(pa.array(fine))
+            if batch.num_rows:
+                x, y = (np.frombuffer(bytes_of(batch.column(c))[0], np.uint8).reshape(batch.num_rows, -1) for c in ("a_small", "b_small"))
+                p, q = (batch.column(c).to_numpy() for c in ("a_size", "b_size"))
+                yield batch.select(["a", "b", "rank"]).filter(pa.array(_alike(x, y, p, q)))
+
+    return pairs.mapInArrow(keep, "a bigint, b bigint, rank bigint")
+
 
-    return pairs.mapInArrow(keep, "a bigint, b bigint")
+def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of different labels that may be similar, from rows with two blocks of a bucket's members."""
+
+    def block(members: list[dict]) -> tuple[np.ndarray, ...]:
+        small = np.frombuffer(b"".join(m["small"] for m in members), np.uint8).reshape(len(members), -1)
+        return (*(np.array([m[k] for m in members], np.int64) for k in ("node", "label", "size")), small)
+
+    for batch in batches:
+        left, right = [], []
+        for one, two in zip(batch.column("one"), batch.column("two"), strict=True):
+            (n, l, p, x), (m, k, q, y) = block(one.as_py()), block(two.as_py())
+            i, j = np.nonzero((l[:, None] != k[None, :]) & (np.minimum(p[:, None], q) >= SIMILARITY * np.maximum(p[:, None], q) - 1e-9))
+            fine = _alike(x[i], y[j], p[i], q[j])
+            left.append(np.minimum(n[i], m[j])[fine])
+            right.append(np.maximum(n[i], m[j])[fine])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (left, right)], names=["a", "b"])
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +240,6 @@ class NearLinks:
         """docs: all rows; nodes: one row per distinct multiset (node, doc_id, text_key, size, bands, small)."""
         self.docs, self.nodes = docs, nodes
         self.links: DataFrame | None = None
-        self.tried: DataFrame | None = None
         self.labels: DataFrame | None = None  # (node, label) of the nodes that have links
 
     def label(self, rows: DataFrame, column: str, name: str) -> DataFrame:
@@ -230,28 +250,28 @@ class NearLinks:
         out = rows.join(known.hint("shuffle_hash"), F.col(column) == F.col("_node"), "left")
         return out.withColumn(name, F.coalesce("_label", column)).drop("_node", "_label")
 
-    def hold(self, pairs: DataFrame) -> int:
-        """Verifies candidate pairs (a < b) not tried before; returns how many links they add."""
-        pairs = pairs.distinct()
-        if self.tried is not None:
-            pairs = pairs.join(self.tried.hint("merge"), ["a", "b"], "left_anti")
-        side = lambda p: self.nodes.select(F.col("node").alias(p), F.col("size").alias(f"{p}_size"), F.col("small").alias(f"{p}_small"))
-        asked = stored(pairs)
-        self.tried = asked if self.tried is None else stored(self.tried.unionByName(asked))
-        likely = stored(_agree(asked.join(side("a").hint("shuffle_hash"), "a").join(side("b").hint("shuffle_hash"), "b")))
-        needed = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        where = stored(self.nodes.join(needed.hint("shuffle_hash"), "node").select("node", F.col("doc_id").alias("_doc"), F.col("text_key").alias("_text")))
+    def apart(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose ends are not yet of one component."""
+        return self.label(self.label(pairs, "a", "_la"), "b", "_lb").filter("_la != _lb").drop("_la", "_lb")
+
+    def likely(self, pairs: DataFrame) -> DataFrame:
+        """The (a, b, rank) whose sizes and signatures allow a link."""
+        side = lambda p: self.nodes.select(F.col("node").alias(p), F.col("size").alias(f"{p}_size"), F.col("small").alias(f"{p}_small")).hint("shuffle_hash")
+        return stored(_agree(pairs.join(side("a"), "a").join(side("b"), "b")))
+
+    def hold(self, pairs: DataFrame) -> None:
+        """Verifies the pairs (a, b) on their full multisets and adds the links found."""
+        needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        where = stored(self.nodes.select("node", F.col("doc_id").alias("_doc"), F.col("text_key").alias("_text")).join(needed.hint("shuffle_hash"), "node"))
         here = self.docs.select("doc_id", text_key().alias("text_key"), "text")
         texts = here.join(where.hint("shuffle_hash"), here["doc_id"].eqNullSafe(where["_doc"]) & (here["text_key"] == where["_text"]))
-        bags = stored(texts.select("node", "text").mapInArrow(_bags, "node bigint, shingles binary").dropDuplicates(["node"]))
+        bags = stored(texts.select("node", "text").mapInArrow(_bags, "node bigint, shingles binary")).dropDuplicates(["node"])
         bag = lambda p, c: bags.select(F.col("node").alias(p), F.col("shingles").alias(c)).hint("shuffle_hash")
-        held = likely.join(bag("a", "x"), "a").join(bag("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_verify, "a bigint, b bigint, similarity double")
+        held = pairs.select("a", "b").join(bag("a", "x"), "a").join(bag("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_verify, "a bigint, b bigint, similarity double")
         found = stored(held.filter(F.col("similarity") >= SIMILARITY))
-        new = found.count()
-        if new:
-            self.links = found if self.links is None else stored(self.links.unionByName(found))
+        if not found.isEmpty():
+            self.links = found if self.links is None else self.links.unionByName(found)
             self.labels = components(self.links.select("a", "b"))
-        return new
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -273,47 +293,63 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _buckets(members: DataFrame) -> DataFrame:
-    """(bucket, node) of the buckets that hold two nodes or more, with their size and smallest node."""
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead")).filter("n > 1")
-    return members.join(sizes.hint("merge"), "bucket")
+def _multi(members: DataFrame) -> DataFrame:
+    """(bucket, node, n) of the buckets that hold two nodes or more."""
+    sizes = stored(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    return stored(members.join(sizes.hint("shuffle_hash"), "bucket"))
+
+
+def _stars(multi: DataFrame) -> DataFrame:
+    """(a, b, rank): every member with its bucket's lead.
+
+    The lead is the member whose buckets hold most nodes, which is where an
+    original stands among its edited copies: it is nearer to each of them than
+    they are to one another.
+    """
+    rank = multi.groupBy("node").agg(F.sum("n").alias("rank"))
+    ranked = stored(multi.join(rank.hint("merge"), "node"))
+    lead = stored(ranked.groupBy("bucket").agg(F.max(F.struct("rank", "node")).alias("lead")))
+    pairs = ranked.join(lead.hint("merge"), "bucket").filter("lead.node != node")
+    return pairs.groupBy(F.col("lead.node").alias("a"), F.col("node").alias("b")).agg(F.max("lead.rank").alias("rank"))
 
 
-def _unresolved(state: NearLinks, buckets: DataFrame) -> DataFrame:
-    """The members of buckets that still hold several components."""
-    labelled = stored(state.label(buckets.select("bucket", "node", "n"), "node", "label"))
-    open_ = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("bucket")
-    return stored(labelled.join(open_.hint("merge"), "bucket"))
+def _open(state: NearLinks, multi: DataFrame) -> DataFrame:
+    """The (bucket, node, n, label) of buckets that still hold several components."""
+    labelled = stored(state.label(multi, "node", "label"))
+    several = stored(labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("bucket"))
+    return labelled.join(several.hint("shuffle_hash"), "bucket")
 
 
-def _cross_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of different components inside buckets of PAIR_BUCKET nodes at most, so linear in the members."""
-    x = members.select("bucket", F.col("node").alias("a"), F.col("label").alias("la"))
-    y = members.select("bucket", F.col("node").alias("b"), F.col("label").alias("lb"))
-    return x.join(y.hint("merge"), "bucket").filter("a < b and la != lb").select("a", "b")
+def _cross_pairs(state: NearLinks, multi: DataFrame) -> DataFrame:
+    """Likely pairs between different components inside the buckets that hold several, in blocks of BLOCK members."""
+    rest = _open(state, multi).join(state.nodes.select("node", "size", "small").hint("shuffle_hash"), "node")
+    rest = rest.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    block = F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int")
+    blocks = stored(rest.groupBy("bucket", "blocks", block.alias("block")).agg(F.collect_list(F.struct("node", "label", "size", "small")).alias("members")))
+    one = blocks.select("bucket", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.col("members").alias("one"))
+    two = blocks.select("bucket", F.col("block").alias("j"), F.col("members").alias("two"))
+    return one.join(two.hint("shuffle_hash"), ["bucket", "j"]).select("one", "two").mapInArrow(_cross, "a bigint, b bigint").distinct()
 
 
 def near_links(docs: DataFrame, nodes: DataFrame) -> NearLinks:
-    """Links between distinct multisets, by banding, stars, contraction and splitting."""
+    """Links between distinct multisets: stars first, then what stars left apart, bucket by bucket."""
     state = NearLinks(docs, nodes)
     members = nodes.select("node", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "node")
-    for level in range(SPLIT_LEVELS + 1):
-        buckets = stored(_buckets(members))
-        if buckets.isEmpty():
-            break
-        state.hold(buckets.filter("lead != node").select(F.col("lead").alias("a"), F.col("node").alias("b")))
-        rest = _unresolved(state, buckets)
-        last = level == SPLIT_LEVELS
-        state.hold(_cross_pairs(rest if last else rest.filter(F.col("n") <= PAIR_BUCKET)))
-        large = rest.filter(F.col("n") > PAIR_BUCKET)
-        if last or large.isEmpty():
-            break
-        # Members of a large bucket meet again only where four further components agree in one of twelve groups.
-        small = nodes.select("node", "small")
-        rng = np.random.default_rng(level + 1)
-        groups = [sorted(int(i) for i in rng.choice(BANDS * ROWS, SPLIT_ROWS, replace=False)) for _ in range(SPLIT_BANDS)]
-        keys = F.array(*[F.xxhash64(F.lit(k), *[F.substring("small", i + 1, 1) for i in g]) for k, g in enumerate(groups)])
-        members = large.select("bucket", "node").join(small.hint("shuffle_hash"), "node").select("bucket", "node", F.explode(keys).alias("key")).select(F.xxhash64("bucket", "key").alias("bucket"), "node").distinct()
+    multi = _multi(members)
+    if multi.isEmpty():
+        return state
+    likely = state.likely(_stars(multi))
+    state.hold(likely.groupBy("b").agg(F.max_by("a", F.struct("rank", "a")).alias("a")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    state.hold(stored(state.apart(likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())))
+    # Buckets too large for one block meet again only where four further components agree in one of twelve groups:
+    # a pair of similarity 0.8 misses all twelve once in 500 times in one bucket, and has several buckets.
+    rng = np.random.default_rng(1)
+    groups = [sorted(int(i) for i in rng.choice(BANDS * ROWS, SPLIT_ROWS, replace=False)) for _ in range(SPLIT_BANDS)]
+    keys = F.array(*[F.xxhash64(F.lit(k), *[F.substring("small", i + 1, 1) for i in g]) for k, g in enumerate(groups)])
+    large = _open(state, multi.filter(F.col("n") > BLOCK)).join(nodes.select("node", "small").hint("shuffle_hash"), "node")
+    split = large.select("bucket", "node", F.explode(keys).alias("key")).select(F.xxhash64("bucket", "key").alias("bucket"), "node")
+    small = multi.filter(F.col("n") <= BLOCK)
+    state.hold(stored(_cross_pairs(state, small.unionByName(_multi(split)))))
     return state
 
 

@@ -1,11 +1,12 @@
 """The corpus operators' queries and the SQL that some of them can be compared with."""
 
-from coterie.llm import chat, decontaminate, exact_dedup, language_id, line_dedup, lm_score, mixing, near_dedup
+from coterie.llm import chat, decontaminate, exact_dedup, language_id, line_dedup, lm_score, mixing, near_dedup, surrogates
 
 QUERIES = {
     "op1_near_dedup": near_dedup.query,
     "op2_exact_dedup": exact_dedup.query,
     "op3_line_dedup": line_dedup.query,
+    "op4_surrogates": surrogates.query,
     "op5_language_id": language_id.query,
     "op6_mixing": mixing.query,
     "op7_decontaminate": decontaminate.query,
