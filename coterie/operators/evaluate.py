@@ -149,7 +149,7 @@ def effect_decomposition(variants: DataFrame) -> DataFrame:
 def calibration_buckets(rows: DataFrame, n: int = 10, least: int = 5) -> DataFrame:
     """rows(confidence, correct): accuracy per bucket, all listed; insufficient below ``least`` negatives overall."""
     bucket = F.least(F.floor(F.col("confidence") * n), F.lit(n - 1)).cast("int")
-    per = rows.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("total"), F.count_if("correct").alias("correct"))
+    per = rows.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.expr("correct")).alias("correct"))
     listed = rows.sparkSession.range(n).select(F.col("id").cast("int").alias("bucket"))
     out = listed.join(per, "bucket", "left").fillna(0, ["total", "correct"])
     bad = rows.agg(F.count_if(~F.col("correct")).alias("negatives"))

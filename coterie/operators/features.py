@@ -72,8 +72,8 @@ def cod_features(membership: DataFrame, accounts: DataFrame, orders: DataFrame)
     """accounts(user_id, address); orders(user_id, order_value, is_cod, is_refused)."""
     address = shared_value(membership, accounts.select(F.col("user_id").alias("member"), F.col("address").alias("value")), "address")
     rows = membership.join(orders.withColumnRenamed("user_id", "member"), "member", "left")
-    n, cod = F.count("order_value"), F.count_if("is_cod")
-    money = rows.groupBy("cluster_key").agg(F.countDistinct("member").alias("size"), n.alias("n_orders"), cod.alias("n_cod"), F.round(cod / F.nullif(n, F.lit(0)), 3).alias("cod_fraction"), F.round(F.count_if(F.col("is_cod") & F.col("is_refused")) / F.nullif(cod, F.lit(0)), 3).alias("refusal_rate"), F.round(F.avg("order_value"), 2).alias("avg_order_value"), F.when((n >= 2) & (F.avg("order_value") > 0), F.round(F.stddev_samp("order_value") / F.avg("order_value"), 4)).alias("order_value_cv"))
+    n, cod = F.count("order_value"), F.count_if(F.expr("is_cod"))
+    money = rows.groupBy("cluster_key").agg(F.countDistinct("member").alias("size"), n.alias("n_orders"), cod.alias("n_cod"), F.round(cod / F.nullif(n, F.lit(0)), 3).alias("cod_fraction"), F.round(F.count_if(F.col("is_cod") & F.col("is_refused")) / F.nullif(cod, F.lit(0)), 3).alias("refusal_rate"), F.round(F.round(F.avg("order_value"), 6), 2).alias("avg_order_value"), F.when((n >= 2) & (F.avg("order_value") > 0), F.round(F.stddev_samp("order_value") / F.avg("order_value"), 4)).alias("order_value_cv"))
     return money.join(address, "cluster_key")
 
 
@@ -128,4 +128,4 @@ def mean_member_score(membership: DataFrame, scores: DataFrame, split: str) -> D
 def uid_homogeneity(df: DataFrame, keys: list[str], label: str) -> DataFrame:
     """Groups of two rows or more by key: all 1, all 0, mixed, and the share of all-1 among those with any 1."""
     g = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(label).alias("p")).filter("n >= 2")
-    return g.agg(F.count_if("p = n").alias("all_one"), F.count_if("p = 0").alias("all_zero"), F.count_if("p > 0 and p < n").alias("mixed"), (F.count_if("p = n") / F.nullif(F.count_if("p > 0"), F.lit(0))).alias("pure_share"))
+    return g.agg(F.count_if(F.expr("p = n")).alias("all_one"), F.count_if(F.expr("p = 0")).alias("all_zero"), F.count_if(F.expr("p > 0 and p < n")).alias("mixed"), (F.count_if(F.expr("p = n")) / F.nullif(F.count_if(F.expr("p > 0")), F.lit(0))).alias("pure_share"))

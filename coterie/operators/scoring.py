@@ -101,7 +101,7 @@ def z_score_sum(df: DataFrame, selection: DataFrame) -> DataFrame:
 
 def pr_points(scores: DataFrame) -> DataFrame:
     """(score, tp, fp, precision, recall) at each distinct score as threshold."""
-    per = stored(scores.groupBy("score").agg(F.count_if("label = 1").alias("p"), F.count_if("label != 1").alias("n")))
+    per = stored(scores.groupBy("score").agg(F.count_if(F.expr("label = 1")).alias("p"), F.count_if(F.expr("label != 1")).alias("n")))
     total = per.agg(F.sum("p")).first()[0] or 0
     cum = running_sums(per, [F.desc("score")], {"tp": "p", "fp": "n"})
     return cum.select("score", "tp", "fp", "p", "n", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), (F.col("tp") / F.lit(float(total) or None)).alias("recall"))
@@ -114,7 +114,7 @@ def best_f1_threshold(scores: DataFrame) -> DataFrame:
 
 def metrics_at_threshold(scores: DataFrame, t: Column | float) -> DataFrame:
     hit = F.col("score") >= (t if isinstance(t, Column) else F.lit(t))
-    c = scores.agg(F.count(F.lit(1)).alias("rows"), F.count_if("label = 1").alias("positives"), F.count_if(hit).alias("alerts"), F.count_if(hit & (F.col("label") == 1)).alias("tp"), F.count_if(hit & (F.col("label") != 1)).alias("fp"))
+    c = scores.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.expr("label = 1")).alias("positives"), F.count_if(hit).alias("alerts"), F.count_if(hit & (F.col("label") == 1)).alias("tp"), F.count_if(hit & (F.col("label") != 1)).alias("fp"))
     div = lambda a, b: F.col(a) / F.nullif(F.col(b), F.lit(0))
     return c.select("*", div("positives", "rows").alias("rate"), div("tp", "alerts").alias("precision"), div("tp", "positives").alias("recall"), (2 * F.col("tp") / F.nullif(F.col("alerts") + F.col("positives"), F.lit(0))).alias("f1"), ((F.col("rows") - F.col("positives") - F.col("fp") + F.col("tp")) / F.col("rows")).alias("accuracy"))
 
@@ -128,16 +128,16 @@ def ranking_quality(scores: DataFrame) -> DataFrame:
 
 def top_k_metrics(scores: DataFrame, ks: list[int]) -> DataFrame:
     """Precision, recall and lowest score of the best k rows (ties by id)."""
-    total = scores.agg(F.count_if("label = 1")).first()[0]
+    total = scores.agg(F.count_if(F.expr("label = 1"))).first()[0]
     best = scores.orderBy(F.desc("score"), "id").limit(max(ks))
     ranked = best.withColumn("n", F.row_number().over(Window.orderBy(F.desc("score"), "id")))  # at most max(ks) rows
     each = ranked.withColumn("k", F.explode(F.array(*map(F.lit, ks)))).filter("n <= k")
-    return each.groupBy("k").agg((F.count_if("label = 1") / F.count(F.lit(1))).alias("precision"), (F.count_if("label = 1") / F.lit(float(total) or None)).alias("recall"), F.min("score").alias("lowest"))
+    return each.groupBy("k").agg((F.count_if(F.expr("label = 1")) / F.count(F.lit(1))).alias("precision"), (F.count_if(F.expr("label = 1")) / F.lit(float(total) or None)).alias("recall"), F.min("score").alias("lowest"))
 
 
 def segmented_threshold(scores: DataFrame, segment: str) -> DataFrame:
     """Each segment's own best-F1 threshold, and pooled alerts, tp, positives under them."""
-    per = scores.groupBy(segment, "score").agg(F.count_if("label = 1").alias("p"), F.count(F.lit(1)).alias("a"))
+    per = scores.groupBy(segment, "score").agg(F.count_if(F.expr("label = 1")).alias("p"), F.count(F.lit(1)).alias("a"))
     w = Window.partitionBy(segment).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
     total = Window.partitionBy(segment)
     f1 = F.round(2 * F.sum("p").over(w) / (F.sum("a").over(w) + F.sum("p").over(total)), 9)
@@ -153,17 +153,17 @@ def threshold_for_recall(sweep: DataFrame, target: float) -> DataFrame:
 def dev_then_test(rows: DataFrame, thresholds: list[float], target: float) -> DataFrame:
     """rows(split, score, label): the threshold chosen on dev, its metrics on test."""
     dev = rows.filter("split = 'dev'").withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
-    sweep = dev.groupBy("threshold").agg((F.count_if("label = 1 and score >= threshold") / F.nullif(F.count_if("label = 1"), F.lit(0))).alias("recall"))
+    sweep = dev.groupBy("threshold").agg((F.count_if(F.expr("label = 1 and score >= threshold")) / F.nullif(F.count_if(F.expr("label = 1")), F.lit(0))).alias("recall"))
     chosen = threshold_for_recall(sweep, target).select("threshold")
     test = rows.filter("split = 'test'").crossJoin(F.broadcast(chosen))
-    return test.groupBy("threshold").agg(F.count_if("score >= threshold").alias("alerts"), F.count_if("score >= threshold and label = 1").alias("tp"), F.count_if("label = 1").alias("positives"))
+    return test.groupBy("threshold").agg(F.count_if(F.expr("score >= threshold")).alias("alerts"), F.count_if(F.expr("score >= threshold and label = 1")).alias("tp"), F.count_if(F.expr("label = 1")).alias("positives"))
 
 
 def ensemble_or(a: DataFrame, b: DataFrame, truth: DataFrame) -> DataFrame:
     """a(id), b(id), truth(id, label): caught, recall and precision of each and of both."""
     j = truth.join(a.select("id").distinct().withColumn("a", F.lit(True)), "id", "left").join(b.select("id").distinct().withColumn("b", F.lit(True)), "id", "left").fillna(False, ["a", "b"])
     long = j.select("label", F.explode(F.array(F.struct(F.lit("a").alias("who"), F.col("a").alias("hit")), F.struct(F.lit("b").alias("who"), F.col("b").alias("hit")), F.struct(F.lit("either").alias("who"), (F.col("a") | F.col("b")).alias("hit")))).alias("x")).select("label", "x.*")
-    return long.groupBy("who").agg(F.count_if("hit").alias("alerts"), F.count_if("hit and label = 1").alias("tp"), (F.count_if("hit and label = 1") / F.nullif(F.count_if("label = 1"), F.lit(0))).alias("recall"))
+    return long.groupBy("who").agg(F.count_if(F.expr("hit")).alias("alerts"), F.count_if(F.expr("hit and label = 1")).alias("tp"), (F.count_if(F.expr("hit and label = 1")) / F.nullif(F.count_if(F.expr("label = 1")), F.lit(0))).alias("recall"))
 
 
 def isolated_positives(edges: DataFrame, labels: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ def sweep_finding(sweep: DataFrame, columns: list[str]) -> DataFrame:
 def impact(features: DataFrame, name: str, value: float) -> DataFrame:
     """Clusters flagged with the production value and with another, and the change."""
     both = replay(features, name, [PARAMETERS[name][0], value]).withColumn("run", F.when(F.col("value") == PARAMETERS[name][0], "before").otherwise("after"))
-    p = both.groupBy().pivot("run", ["before", "after"]).agg(F.count_if("flagged"))
+    p = both.groupBy().pivot("run", ["before", "after"]).agg(F.count_if(F.expr("flagged")))
     return p.select("before", "after", (F.col("after") - F.col("before")).alias("delta"))
 
 
@@ -53,7 +53,7 @@ def parameter_gap(features: DataFrame) -> DataFrame:
     """For clusters one organic point short of clearing: the check with the smallest margin to its threshold."""
     p = parameters()
     rows = features.select("cluster_key", F.explode(F.array(*[F.struct(F.lit(n).alias("parameter"), (p[n] - F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias("gap")) for n, c in CHECKS])).alias("g")).select("cluster_key", "g.*")
-    n = rows.groupBy("cluster_key").agg(F.count_if("gap <= 0").alias("passing"), F.min_by("parameter", F.when(F.col("gap") > 0, F.struct("gap", "parameter"))).alias("parameter"), F.min(F.when(F.col("gap") > 0, F.col("gap"))).alias("gap"))
+    n = rows.groupBy("cluster_key").agg(F.count_if(F.expr("gap <= 0")).alias("passing"), F.min_by("parameter", F.when(F.col("gap") > 0, F.struct("gap", "parameter"))).alias("parameter"), F.min(F.when(F.col("gap") > 0, F.col("gap"))).alias("gap"))
     return n.select("cluster_key", "passing", "parameter", F.round("gap", 4).alias("gap"))
 
 
