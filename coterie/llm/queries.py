@@ -1,6 +1,6 @@
 """The corpus operators' queries and the SQL that some of them can be compared with."""
 
-from coterie.llm import chat, decontaminate, exact_dedup, language_id, line_dedup, lm_score, mixing, near_dedup, surrogates
+from coterie.llm import chat, decontaminate, exact_dedup, language_id, line_dedup, lm_score, mixing, near_dedup, repeats, surrogates
 
 QUERIES = {
     "op1_near_dedup": near_dedup.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_decontaminate": decontaminate.query,
     "op8_chat": chat.query,
     "op9_lm_score": lm_score.query,
+    "op10_repeats": repeats.query,
 }
 
 ORACLE_SQL = {

@@ -77,7 +77,7 @@ def test_classes_equal_brute_force(spark, fixture_docs):
 
 
 def test_large_buckets_are_split_and_resolved(spark, fixture_docs, monkeypatch):
-    monkeypatch.setattr(nd, "PAIR_BUCKET", 2)
+    monkeypatch.setattr(nd, "BLOCK", 2)
     df = spark.createDataFrame(fixture_docs, "doc_id bigint, text string")
     got = {r.doc_id: r.class_id for r in nd.near_groups(df).collect()}
     assert got == classes(fixture_docs)
