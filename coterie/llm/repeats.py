@@ -5,8 +5,9 @@ document of smaller doc_id. Every window of that length is represented by its
 smallest hashed ``GRAM``-byte gram, so equal windows meet in one part, whichever
 documents they come from. A part holds the segments (runs of windows with one
 gram) of all scan blocks; each block's segments are a shard. Segments whose gram
-occurs in one document only leave at once, equal segments are held once with the
-smallest doc_id, and each shard's transform is built from its own suffixes.
+occurs in one document only leave at once, and so do windows whose hash does;
+equal runs of the rest are held once with the smallest doc_id, and each shard's
+transform is built from its own suffixes.
 
 The shards' transforms are then merged by iterative interleave refinement: the
 interleave sorted by h symbols follows from the one sorted by h - 1 by a stable
@@ -102,24 +103,35 @@ def packed_segments(docs: DataFrame, parts: int) -> DataFrame:
     return docs.select("doc_id", text_key().alias("text_key"), F.col("text")).mapInArrow(scan, PACKED)
 
 
+def window_hashes(raw: np.ndarray) -> np.ndarray:
+    """A hash of the LENGTH bytes from each place: joined gram hashes, the last two overlapping."""
+    h = gram_hashes(raw)
+    h = mix(h[:-GRAM] * (_ODD + np.uint64(2 * GRAM)) + h[GRAM:])
+    rest = LENGTH - 2 * GRAM
+    return mix(h[:-rest] * (_ODD + np.uint64(4 * GRAM)) + h[rest:])
+
+
 def transform(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array and Burrows-Wheeler transform of a shard: symbols 1 to 256, each string closed by 0."""
-    n = len(text)
-    # Terminators differ and are ordered by place, which prefix doubling keeps by their first ranks.
-    ends = text == 0
-    rank = np.where(ends, np.cumsum(ends) - 1, text + int(ends.sum()))
-    order, h = np.argsort(rank, kind="stable"), 1
+    """Suffix order and Burrows-Wheeler transform of a shard: symbols 1 to 256, each string closed by 0.
+
+    The order holds for LENGTH symbols or more, which is as deep as the merge looks; it counts the suffixes with a
+    prefix, so that ties beyond are free. Prefix doubling starts from seven symbols of nine bits in one number.
+    """
+    n, h = len(text), 7
+    key = np.zeros(n, np.int64)
+    for k in range(h):
+        key = key << 9
+        key[: n - k] |= text[k:]
     while True:
-        nxt = np.full(n, -1, np.int64)
-        nxt[: n - h] = rank[h:]
-        order = np.lexsort((nxt, rank))
-        r, s = rank[order], nxt[order]
-        fresh = np.cumsum(np.r_[False, (r[1:] != r[:-1]) | (s[1:] != s[:-1])])
+        order = np.argsort(key)
+        sorted_key = key[order]
         rank = np.empty(n, np.int64)
-        rank[order] = fresh
-        h *= 2
-        if fresh[-1] == n - 1 or h > 4 * LENGTH:
+        rank[order] = np.cumsum(np.r_[False, sorted_key[1:] != sorted_key[:-1]])
+        if h >= LENGTH:
             return order, text[order - 1]
+        key = rank * (n + 1)
+        key[: max(0, n - h)] += rank[h:] + 1
+        h *= 2
 
 
 def merge(shards: list[np.ndarray], depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,16 +142,15 @@ def merge(shards: list[np.ndarray], depth: int = LENGTH) -> tuple[np.ndarray, np
     sizes = np.array([len(b) for b in shards])
     symbols = np.concatenate(shards).astype(np.int16)
     first = np.r_[0, np.cumsum(sizes)[:-1]]
-    place = np.arange(len(symbols))  # of each merged suffix in the concatenated transforms: its shard's next rank
-    shard = np.repeat(np.arange(len(shards)), sizes)
-    z, block = shard.copy(), np.zeros(len(symbols), np.int64)
+    place = np.arange(len(symbols), dtype=np.int32)  # of each merged suffix in the concatenated transforms: its shard's next rank
+    z, block = np.repeat(np.arange(len(shards), dtype=np.int8), sizes), np.zeros(len(symbols), np.int32)  # SHARDS fit in a byte
     for _ in range(depth):
         by_shard = np.argsort(z, kind="stable")
-        place[by_shard] = np.arange(len(z))  # the k-th suffix of a shard in the interleave is its k-th symbol
+        place[by_shard] = np.arange(len(z), dtype=np.int32)  # the k-th suffix of a shard in the interleave is its k-th symbol
         sym = symbols[place]
         order = np.argsort(sym, kind="stable")
         c, b = sym[order], block[order]
-        block = np.cumsum(np.r_[False, (c[1:] != c[:-1]) | (b[1:] != b[:-1]) | (c[1:] == 0)])
+        block = np.cumsum(np.r_[False, (c[1:] != c[:-1]) | (b[1:] != b[:-1]) | (c[1:] == 0)], dtype=np.int32)
         z = z[order]
     by_shard = np.argsort(z, kind="stable")
     rank = np.empty(len(z), np.int64)
@@ -150,6 +161,33 @@ def merge(shards: list[np.ndarray], depth: int = LENGTH) -> tuple[np.ndarray, np
 SHARDS = 8
 
 
+def _repeated_runs(live: np.ndarray, doc: np.ndarray, windows: np.ndarray, content: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(segment, first window, windows) of the runs of windows whose hash occurs in several documents.
+
+    Equal windows have equal hashes, so no repeated window is lost; which of the rest are equal the merge decides.
+    """
+    hashes, length = [], windows[live] + LENGTH - 1
+    part = np.cumsum(length) >> 21
+    cuts = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(live)]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        h = window_hashes(content[_ranges(begin[live[a:b]], length[a:b])])
+        hashes.append(h[_ranges(np.cumsum(length[a:b]) - length[a:b], windows[live[a:b]])])
+    h = np.concatenate(hashes)
+    n = windows[live]
+    segment = np.repeat(np.arange(len(live)), n)
+    order = np.argsort(h)
+    edges = np.flatnonzero(np.r_[True, h[order[1:]] != h[order[:-1]]])
+    d = doc[live][segment[order]]
+    several = np.minimum.reduceat(d, edges) != np.maximum.reduceat(d, edges)
+    repeated = np.empty(len(h), bool)
+    repeated[order] = np.repeat(several, np.diff(np.r_[edges, len(h)]))
+    first = np.r_[True, segment[1:] != segment[:-1]]
+    opens = np.flatnonzero(repeated & (first | np.r_[True, ~repeated[:-1]]))
+    closes = np.flatnonzero(repeated & np.r_[first[1:] | ~repeated[1:], True])
+    s = segment[opens]
+    return live[s], opens - (np.cumsum(n) - n)[s], closes - opens + 1
+
+
 def covered_windows(doc: np.ndarray, gram: np.ndarray, windows: np.ndarray, content: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For every segment and window, flat, the smallest document of an equal window; and where each segment's begin."""
     at = np.r_[0, np.cumsum(windows)]
@@ -163,8 +201,12 @@ def covered_windows(doc: np.ndarray, gram: np.ndarray, windows: np.ndarray, cont
     live = np.flatnonzero((low != high)[g])
     if not len(live):
         return answer, at
-    # Equal segments once, with their smallest document, in the shard where they were first seen.
-    names = [content[begin[i] : begin[i] + length[i]].tobytes() for i in live]
+    live, start, count = _repeated_runs(live, doc, windows, content, begin)
+    if not len(live):
+        return answer, at
+    # Equal runs once, with their smallest document, in the shard where they were first seen.
+    source = begin[live] + start
+    names = [content[a : a + c + LENGTH - 1].tobytes() for a, c in zip(source, count, strict=True)]
     number: dict[bytes, int] = {}
     of = np.array([number.setdefault(s, len(number)) for s in names])
     owner, home = np.full(len(number), LAST), np.full(len(number), LAST)
@@ -193,7 +235,7 @@ def covered_windows(doc: np.ndarray, gram: np.ndarray, windows: np.ndarray, cont
     whole = offset + LENGTH <= size[segment]
     result = np.empty(first[-1], np.int64)
     result[first[segment[whole]] + offset[whole]] = least[block[whole]]
-    answer[_ranges(at[live], windows[live])] = result[_ranges(first[of], windows[live])]
+    answer[_ranges(at[live] + start, count)] = result[_ranges(first[of], count)]
     return answer, at
 
 
