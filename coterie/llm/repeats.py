@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,9 +79,10 @@ def _ranges(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 
 def packed_segments(docs: DataFrame, parts: int) -> DataFrame:
-    """One row per scan block and part, with the block's segments of that part as flat arrays."""
+    """One row per scan block and part, with the block's segments of that part as flat arrays, compressed for the shuffle."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for piece in _pieces(batch):
                 raw, starts = bytes_of(piece.column("text"))
@@ -97,7 +99,7 @@ def packed_segments(docs: DataFrame, parts: int) -> DataFrame:
                     flat = [doc[r], key[r], at[i] - starts[r], windows[i], gram[i], raw[_ranges(at[i], windows[i] + LENGTH - 1)]]
                     out[0].append(int(p))
                     for c, x in zip(out[1:], flat, strict=True):
-                        c.append(x.tobytes())
+                        c.append(packer.compress(x.tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *[pa.array(c, pa.binary()) for c in out[1:]]], names=["part", "doc", "key", "at", "windows", "gram", "content"])
 
     return docs.select("doc_id", text_key().alias("text_key"), F.col("text")).mapInArrow(scan, PACKED)
@@ -245,7 +247,8 @@ def repeated_spans(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     parts = max(1, -(-total * 4 // part_bytes))
 
     def one(table: pa.Table) -> pa.Table:
-        columns = {c: [x.as_py() for x in table.column(c)] for c in ("doc", "key", "at", "windows", "gram", "content")}
+        unpack = zstandard.ZstdDecompressor().decompress
+        columns = {c: [unpack(x.as_py()) for x in table.column(c)] for c in ("doc", "key", "at", "windows", "gram", "content")}
         join = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in columns[c]])
         doc, windows = join("doc", np.int64), join("windows", np.int64)
         shard = np.repeat(np.arange(table.num_rows), [len(x) // 8 for x in columns["doc"]])
