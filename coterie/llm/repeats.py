@@ -10,10 +10,10 @@ equal runs of the rest are held once with the smallest doc_id, and each shard's
 transform is built from its own suffixes.
 
 The shards' transforms are then merged by iterative interleave refinement: the
-interleave sorted by h symbols follows from the one sorted by h - 1 by a stable
-pass over the transforms' symbols, and the blocks of suffixes with a common
-prefix of h split where symbols or the blocks before them differ. No suffix is
-sorted again. After LENGTH passes each block is a repeated interval, whose
+interleave sorted by h symbols (pairs of bytes) follows from the one sorted by
+h - 1 by a stable pass over the transforms' symbols, and the blocks of suffixes
+with a common prefix of h split where symbols or the blocks before them differ. No suffix is
+sorted again. After DEPTH passes each block is a repeated interval, whose
 smallest document decides for every window in it.
 
 Null and empty texts have no bytes. A row without doc_id comes after all others
@@ -34,6 +34,7 @@ from coterie.llm.common import bytes_of, mix, read, stored, text_key
 from coterie.llm.near_dedup import _pieces
 
 LENGTH, GRAM = 50, 16
+DEPTH = LENGTH // 2  # of pairs of bytes, the symbols of the transforms
 PART_BYTES = 24 << 20
 LAST = np.iinfo(np.int64).max
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -113,51 +114,85 @@ def window_hashes(raw: np.ndarray) -> np.ndarray:
     return mix(h[:-rest] * (_ODD + np.uint64(4 * GRAM)) + h[rest:])
 
 
+def paired(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of two bytes (1 to 65536), string and offset of each: every string once from its first byte and once
+    from its second, each time closed by 0. The suffix at any offset thus is a suffix of pairs."""
+    size = np.array([len(s) for s in strings])
+    raw = np.frombuffer(b"".join([*strings, b"\0\0"]), np.uint8).astype(np.int64)
+    pairs = np.stack([size // 2, (size - 1) // 2], axis=1).ravel()
+    begin = np.cumsum(size) - size
+    place = np.arange(len(pairs)) // 2
+    last = np.cumsum(pairs + 1)
+    j = np.arange(int(last[-1])) - np.repeat(last - pairs - 1, pairs + 1)
+    string = np.repeat(place, pairs + 1)
+    offset = 2 * j + np.repeat(np.arange(len(pairs)) % 2, pairs + 1)
+    at = begin[string] + offset
+    symbols = raw[at] * 256 + raw[at + 1] + 1
+    symbols[last - 1] = 0
+    return symbols, string, offset
+
+
 def transform(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix order and Burrows-Wheeler transform of a shard: symbols 1 to 256, each string closed by 0.
+    """Suffix order and Burrows-Wheeler transform of a shard of closed strings of pairs.
 
-    The order holds for LENGTH symbols or more, which is as deep as the merge looks; it counts the suffixes with a
-    prefix, so that ties beyond are free. Prefix doubling starts from seven symbols of nine bits in one number.
+    The order holds for DEPTH pairs or more, which is as deep as the merge looks; it counts the suffixes with a
+    prefix, so that ties beyond are free. Prefix doubling starts from four pairs in one number.
     """
-    n, h = len(text), 7
-    key = np.zeros(n, np.int64)
+    n, h = len(text), 4
+    text = text.astype(np.uint64)
+    key = np.zeros(n, np.uint64)
     for k in range(h):
-        key = key << 9
-        key[: n - k] |= text[k:]
+        key = key << np.uint64(16)
+        key[: max(0, n - k)] |= text[k:]
     while True:
         order = np.argsort(key)
         sorted_key = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.r_[False, sorted_key[1:] != sorted_key[:-1]])
-        if h >= LENGTH:
-            return order, text[order - 1]
+        if h >= DEPTH:
+            return order, text[order - 1].astype(np.uint16)
         key = rank * (n + 1)
         key[: max(0, n - h)] += rank[h:] + 1
         h *= 2
 
 
-def merge(shards: list[np.ndarray], depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def merge(shards: list[np.ndarray], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(shard, rank in shard, block) of all suffixes, in the merged order of their first ``depth`` symbols.
 
-    Suffixes of one block have those symbols in common; a terminator equals no other.
+    Suffixes of one block have those symbols in common; a terminator equals no other. A block is named by its first
+    place. A suffix alone in its block keeps its place from then on, so later passes leave it out (Egidi and
+    Manzini, 2017), and with it the suffix that led to it.
     """
     sizes = np.array([len(b) for b in shards])
-    symbols = np.concatenate(shards).astype(np.int16)
-    first = np.r_[0, np.cumsum(sizes)[:-1]]
-    place = np.arange(len(symbols), dtype=np.int32)  # of each merged suffix in the concatenated transforms: its shard's next rank
-    z, block = np.repeat(np.arange(len(shards), dtype=np.int8), sizes), np.zeros(len(symbols), np.int32)  # SHARDS fit in a byte
+    symbols, first = np.concatenate(shards), np.r_[0, np.cumsum(sizes)[:-1]]
+    n = len(symbols)
+    z, block = np.repeat(np.arange(len(shards), dtype=np.int8), sizes), np.zeros(n, np.int32)  # SHARDS fit in a byte
+    place = np.arange(n, dtype=np.int32)  # of each merged suffix in the concatenated transforms: its shard's next rank
+    near, goal, slots = place.copy(), place.copy(), place.copy()  # places that may be read, places written, ranks not yet final
+    moving, wanted = np.ones(n, bool), np.ones(n, bool)  # places not final; suffixes, by rank, that lead to such a place
     for _ in range(depth):
-        by_shard = np.argsort(z, kind="stable")
-        place[by_shard] = np.arange(len(z), dtype=np.int32)  # the k-th suffix of a shard in the interleave is its k-th symbol
-        sym = symbols[place]
-        order = np.argsort(sym, kind="stable")
-        c, b = sym[order], block[order]
-        block = np.cumsum(np.r_[False, (c[1:] != c[:-1]) | (b[1:] != b[:-1]) | (c[1:] == 0)], dtype=np.int32)
-        z = z[order]
-    by_shard = np.argsort(z, kind="stable")
-    rank = np.empty(len(z), np.int64)
-    rank[by_shard] = np.arange(len(z)) - first[z[by_shard]]
-    return z, rank, block
+        if not len(goal):
+            break
+        at = place[near]
+        read_here = wanted[at]
+        lead, at, near = near[read_here], at[read_here], near[read_here | moving[near]]
+        c = symbols[at]
+        order = np.argsort(c, kind="stable")
+        c, source = c[order], lead[order]
+        b, shard = block[source], z[source]
+        new = np.r_[True, (c[1:] != c[:-1]) | (b[1:] != b[:-1]) | (c[1:] == 0) | (goal[1:] != goal[:-1] + 1)]
+        head = np.flatnonzero(new)
+        block[goal] = np.repeat(goal[head], np.diff(np.r_[head, len(goal)]))
+        z[goal] = shard
+        by_shard = np.argsort(shard, kind="stable")
+        ranks = np.empty(len(goal), np.int32)
+        ranks[by_shard] = slots  # the k-th suffix of a shard in the interleave is its k-th symbol
+        place[goal] = ranks
+        more = ~(new & np.r_[new[1:], True])
+        wanted[at[order[~more]]] = False
+        moving[goal[~more]] = False
+        slots, goal = slots[more[by_shard]], goal[more]
+    return z, place - first[z], block
 
 
 SHARDS = 8
@@ -218,19 +253,17 @@ def covered_windows(doc: np.ndarray, gram: np.ndarray, windows: np.ndarray, cont
     suffixes, transforms, places = [], [], []
     for s in np.unique(home):
         mine = np.flatnonzero(home == s)
-        text = np.concatenate([np.r_[np.frombuffer(unique[i], np.uint8).astype(np.int64) + 1, 0] for i in mine])
+        text, string, inside = paired([unique[i] for i in mine])
         order, bwt = transform(text)
-        sizes = np.array([len(unique[i]) + 1 for i in mine])
-        inside = np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         suffixes.append(order)
         transforms.append(bwt)
-        places.append((np.repeat(mine, sizes), inside))
+        places.append((mine[string], inside))
     z, rank, block = merge(transforms)
     segment, offset = np.empty(len(z), np.int64), np.empty(len(z), np.int64)
     for k, (order, (seg, inside)) in enumerate(zip(suffixes, places, strict=True)):
         here = np.flatnonzero(z == k)
         segment[here], offset[here] = seg[order[rank[here]]], inside[order[rank[here]]]
-    least = np.full(block[-1] + 1, LAST)
+    least = np.full(len(block), LAST)
     np.minimum.at(least, block, owner[segment])
     size = np.array([len(u) for u in unique])
     first = np.r_[0, np.cumsum(size - LENGTH + 1)]
