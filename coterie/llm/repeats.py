@@ -36,6 +36,7 @@ from coterie.llm.near_dedup import _pieces
 LENGTH, GRAM = 50, 16
 DEPTH = LENGTH // 2  # of pairs of bytes, the symbols of the transforms
 PART_BYTES = 24 << 20
+CHUNK = 1 << 15  # windows hashed at a time, to stay in the processor's cache
 LAST = np.iinfo(np.int64).max
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _TABLE = np.random.default_rng(50).integers(0, 2**63, 256, dtype=np.uint64)
@@ -52,23 +53,29 @@ def gram_hashes(raw: np.ndarray) -> np.ndarray:
 
 def segments(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(gram hash, row, first window, windows) of each run of windows that one gram represents."""
-    none = np.zeros(0, np.int64)
     if len(raw) < LENGTH:
+        none = np.zeros(0, np.int64)
         return none.view(np.uint64), none, none, none
+    n = len(raw) - LENGTH + 1
+    low = np.concatenate([_lowest(raw[a : a + CHUNK + LENGTH - 1]) for a in range(0, n, CHUNK)])
+    fine = np.ones(len(raw), bool)  # windows that end in the row they start in; between two rows there always is another
+    tail = np.minimum(np.diff(starts), LENGTH - 1)
+    fine[_ranges(starts[1:] - tail, tail)] = False
+    fine = fine[:n]
+    turn = low[1:] != low[:-1]
+    first = np.flatnonzero(fine & np.r_[True, turn | ~fine[:-1]])
+    last = np.flatnonzero(fine & np.r_[turn | ~fine[1:], True])
+    return low[first], np.searchsorted(starts, first, side="right") - 1, first, last - first + 1
+
+
+def _lowest(raw: np.ndarray) -> np.ndarray:
+    """The smallest gram hash of each window."""
     low, size, wide = gram_hashes(raw), 1, LENGTH - GRAM + 1
     n = len(raw) - LENGTH + 1
     while size * 2 <= wide:
         low = np.minimum(low[:-size], low[size:])
         size *= 2
-    low = np.minimum(low[:n], low[wide - size : wide - size + n])
-    row = np.searchsorted(starts, np.arange(n), side="right") - 1
-    fine = np.arange(n) + LENGTH <= starts[row + 1]
-    at = np.flatnonzero(fine)
-    if not len(at):
-        return none.view(np.uint64), none, none, none
-    new = np.r_[True, (low[at[1:]] != low[at[:-1]]) | (row[at[1:]] != row[at[:-1]]) | (at[1:] != at[:-1] + 1)]
-    first = np.flatnonzero(new)
-    return low[at[first]], row[at[first]], at[first], np.diff(np.r_[first, len(at)])
+    return np.minimum(low[:n], low[wide - size : wide - size + n])
 
 
 PACKED = "part int, doc binary, key binary, at binary, windows binary, gram binary, content binary"
@@ -204,7 +211,7 @@ def _repeated_runs(live: np.ndarray, doc: np.ndarray, windows: np.ndarray, conte
     Equal windows have equal hashes, so no repeated window is lost; which of the rest are equal the merge decides.
     """
     hashes, length = [], windows[live] + LENGTH - 1
-    part = np.cumsum(length) >> 21
+    part = np.cumsum(length) // CHUNK
     cuts = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(live)]
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         h = window_hashes(content[_ranges(begin[live[a:b]], length[a:b])])
