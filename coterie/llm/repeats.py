@@ -35,7 +35,7 @@ from coterie.llm.near_dedup import _pieces
 
 LENGTH, GRAM = 50, 16
 DEPTH = LENGTH // 2  # of pairs of bytes, the symbols of the transforms
-PART_BYTES = 24 << 20
+PART_BYTES = 12 << 20
 CHUNK = 1 << 15  # windows hashed at a time, to stay in the processor's cache
 LAST = np.iinfo(np.int64).max
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -78,7 +78,24 @@ def _lowest(raw: np.ndarray) -> np.ndarray:
     return np.minimum(low[:n], low[wide - size : wide - size + n])
 
 
-PACKED = "part int, doc binary, key binary, at binary, windows binary, gram binary, content binary"
+PACKED = "part int, segments int, facts binary, content binary"
+FACTS = {"doc": np.int64, "key": np.int64, "at": np.int32, "windows": np.int32, "gram": np.uint32}
+PIECE = 4 << 20  # bytes of text packed at a time
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """First bytes of all values, then second bytes and so on, which compresses small numbers well."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+
+
+def _facts(packed: bytes, n: int) -> list[np.ndarray]:
+    """The arrays of FACTS, of n values each, from their planes."""
+    flat, out, begin = np.frombuffer(packed, np.uint8), [], 0
+    for kind in FACTS.values():
+        wide = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(flat[begin : begin + n * wide].reshape(wide, n).T).view(kind).ravel())
+        begin += n * wide
+    return out
 
 
 def _ranges(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -92,23 +109,23 @@ def packed_segments(docs: DataFrame, parts: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            for piece in _pieces(batch):
+            for piece in _pieces(batch, PIECE):
                 raw, starts = bytes_of(piece.column("text"))
                 gram, row, at, windows = segments(raw, starts)
-                doc = piece.column("doc_id").fill_null(LAST).to_numpy()
-                key = piece.column("text_key").to_numpy()
                 part = (mix(gram) % np.uint64(parts)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
                 cuts = np.searchsorted(part[order], np.arange(parts + 1))
-                out: list[list] = [[] for _ in range(7)]
+                row, at, windows = row[order], at[order], windows[order]
+                of_row = piece.column("doc_id").fill_null(LAST).to_numpy()[row], piece.column("text_key").to_numpy()[row]
+                # The high half of a gram's hash suffices to tell that it occurs in one document only.
+                facts = [*of_row, (at - starts[row]).astype(np.int32), windows.astype(np.int32), (gram[order] >> np.uint64(32)).astype(np.uint32)]
+                out: list[list] = [[] for _ in range(4)]
                 for p in np.flatnonzero(np.diff(cuts)):
-                    i = order[cuts[p] : cuts[p + 1]]
-                    r = row[i]
-                    flat = [doc[r], key[r], at[i] - starts[r], windows[i], gram[i], raw[_ranges(at[i], windows[i] + LENGTH - 1)]]
-                    out[0].append(int(p))
-                    for c, x in zip(out[1:], flat, strict=True):
-                        c.append(packer.compress(x.tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *[pa.array(c, pa.binary()) for c in out[1:]]], names=["part", "doc", "key", "at", "windows", "gram", "content"])
+                    a, b = cuts[p], cuts[p + 1]
+                    content = raw[_ranges(at[a:b], windows[a:b] + LENGTH - 1)]
+                    for c, x in zip(out, (int(p), int(b - a), packer.compress(b"".join(_planes(f[a:b]) for f in facts)), packer.compress(content.tobytes())), strict=True):
+                        c.append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())], names=["part", "segments", "facts", "content"])
 
     return docs.select("doc_id", text_key().alias("text_key"), F.col("text")).mapInArrow(scan, PACKED)
 
@@ -288,20 +305,22 @@ def repeated_spans(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
 
     def one(table: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor().decompress
-        columns = {c: [unpack(x.as_py()) for x in table.column(c)] for c in ("doc", "key", "at", "windows", "gram", "content")}
-        join = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in columns[c]])
-        doc, windows = join("doc", np.int64), join("windows", np.int64)
-        shard = np.repeat(np.arange(table.num_rows), [len(x) // 8 for x in columns["doc"]])
-        answer, at = covered_windows(doc, join("gram", np.uint64), windows, join("content", np.uint8), shard)
+        sizes = table.column("segments").to_pylist()
+        facts = [_facts(unpack(x.as_py()), n) for x, n in zip(table.column("facts"), sizes, strict=True)]
+        doc, key, at_byte, windows, gram = (np.concatenate(x) for x in zip(*facts, strict=True))
+        windows = windows.astype(np.int64)
+        content = np.frombuffer(b"".join(unpack(x.as_py()) for x in table.column("content")), np.uint8)
+        shard = np.repeat(np.arange(len(sizes)), sizes)
+        answer, at = covered_windows(doc, gram, windows, content, shard)
         segment = np.repeat(np.arange(len(doc)), windows)
         gone = answer < doc[segment]
         place = np.arange(len(answer)) - at[segment]
         edge = np.flatnonzero(gone & np.r_[True, ~gone[:-1] | (segment[1:] != segment[:-1])])
         stop = np.flatnonzero(gone & np.r_[~gone[1:] | (segment[1:] != segment[:-1]), True]) if len(gone) else edge
         s = segment[edge]
-        begin = join("at", np.int64)[s]
+        begin = at_byte[s].astype(np.int64)
         ids = pa.array(doc[s], pa.int64(), mask=doc[s] == LAST)
-        return pa.table({"doc_id": ids, "text_key": pa.array(join("key", np.int64)[s]), "begin": pa.array(begin + place[edge]), "end": pa.array(begin + place[stop] + LENGTH)})
+        return pa.table({"doc_id": ids, "text_key": pa.array(key[s]), "begin": pa.array(begin + place[edge]), "end": pa.array(begin + place[stop] + LENGTH)})
 
     found = packed_segments(docs, parts).groupBy("part").applyInArrow(one, "doc_id bigint, text_key bigint, begin bigint, end bigint")
     return found.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("spans"))
