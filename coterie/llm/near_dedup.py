@@ -37,6 +37,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5  # a pair of similarity 0.8 misses all bands once in 20 000, one of 0.85 once in two million
 BLOCK = 64  # buckets up to this size are compared in one block; larger ones are split by further bands first
 SPLIT_BANDS, SPLIT_ROWS = 12, 4
+LINKS_PER_TASK, FEW_LINKS = 500_000, 4_000_000
 SURELY_LESS = 0.62  # pairs that agree in fewer components are not 0.8 similar (five standard deviations)
 
 
@@ -278,15 +279,21 @@ def components(links: DataFrame) -> DataFrame:
     """(node, label): the smallest node of each node's component.
 
     Alternates neighbourhood minima with pointer jumping; every round is a
-    written table and the driver sees only counts.
+    written table and the driver sees only counts. Few links are spread over as
+    few tasks as they need, however many partitions the session has; many take
+    the session's, with partial minima and splitting of skewed joins.
     """
     edges = stored(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = stored(edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumnRenamed("a", "node"))
+    count = edges.count()
+    by = lambda df, key: df.repartition(1 + count // LINKS_PER_TASK, key) if count < FEW_LINKS else df
+    edges = stored(by(edges, "b"))
+    labels = stored(by(edges, "a").groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumnRenamed("a", "node"))
     while True:
-        beside = edges.join(labels.select(F.col("node").alias("b"), "label").hint("merge"), "b").groupBy("a").agg(F.min("label").alias("near")).withColumnRenamed("a", "node")
-        lower = labels.join(beside.hint("merge"), "node").select("node", F.least("label", "near").alias("to"), "label")
-        jump = labels.select(F.col("node").alias("to"), F.col("label").alias("far"))
-        moved = stored(lower.join(jump.hint("merge"), "to").select("node", F.least("to", "far").alias("label"), (F.least("to", "far") != F.col("label")).alias("moved")))
+        beside = by(edges, "b").join(by(labels.select(F.col("node").alias("b"), "label"), "b").hint("merge"), "b").select("a", "label")
+        nearest = by(beside.withColumnRenamed("a", "node"), "node").groupBy("node").agg(F.min("label").alias("near"))
+        lower = by(labels, "node").join(nearest.hint("merge"), "node").select("node", F.least("label", "near").alias("to"), "label")
+        jump = by(labels.select(F.col("node").alias("to"), F.col("label").alias("far")), "to")
+        moved = stored(by(lower, "to").join(jump.hint("merge"), "to").select("node", F.least("to", "far").alias("label"), (F.least("to", "far") != F.col("label")).alias("moved")))
         changed = moved.filter("moved").limit(1).count()
         labels = moved.select("node", "label")
         if not changed:
