@@ -1,44 +1,53 @@
-"""Language-model scoring with a weighted backoff automaton.
-
-All training documents are counted. Unigram counts of every token go to a table.
-Tokens with a share of ``HEAD`` of all tokens, which bounds them at 1 / HEAD,
-and the pairs and triples of words with a share of ``ARC`` (each part of such an
-n-gram has that share too, so counting it needs only the parts kept before) make
-the automaton: every kept context is a state, every kept n-gram an arc with its
-absolutely discounted, interpolated log-probability and the next state, and each
-state has a failure arc to its shorter context, weighted with the mass that
-discounting freed. The root holds add-one unigrams, so the model sums to one.
-
-A text is traversed once from left to right: from the current state a token takes
-its arc or follows failure arcs until it finds one. The texts of a batch advance
-together, a token a step. Tokens outside the head are always read at the root;
-their counts are joined from the table and added afterwards.
+"""Language-model scoring with a weighted backoff model that grows with the input.
+
+All training documents are counted. Every pair and triple of words that occurs
+``LEAST`` times or more is an arc of its context with its absolutely discounted,
+interpolated log-probability; a context passes the mass that discounting freed
+to its shorter context. The root holds add-one unigrams of all tokens, so the
+model sums to one. Nothing is kept by its share of the corpus.
+
+Texts are read in pieces. A piece sends its distinct n-grams to parts, dealt by
+context, whose number grows with the input. A part adds up the pieces' counts
+and answers each piece with its n-grams' counts and its contexts' sums, and the
+piece scores its tokens with them. Order 2 after a hot word is dealt by n-gram;
+the sums of those words, whose number is at most half the parts, are broadcast.
+Words with a share of ``HEAD`` of all tokens have short numbers in what is sent;
+other words are sent with their hashes, so this bound changes no score.
 
 A null text is empty and has the end token alone. A row without doc_id is scored
 but not learned from. Without training documents every token has probability
 one. Rows that repeat a doc_id are scored each. Extra columns are ignored.
 """
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coterie.llm.common import bytes_of, fold, hash_words, read, stored, word_bounds
+from coterie.llm.common import bytes_of, fold, hash_words, mix, read, stored, word_bounds
 from coterie.llm.language_id import held_out
 from coterie.llm.near_dedup import _pieces
 
-HEAD, ARC, DISCOUNT = 1e-6, 1e-5, 0.75
+HEAD, LEAST, DISCOUNT = 1e-6, 2, 0.75
+PIECE, PART = 1 << 22, 3 << 22  # bytes of text
+BITS = 21  # of a word's number in a piece, so that three fit in one key
 FOLDS, FOLD = 7, 2
 END = np.uint64(0x0E0D)  # stands for the end of a text; no word's hash, but for one chance in 2 ** 64
-SHIFT = np.int64(1 << 20)  # word numbers are below it, as there are at most 1 / HEAD
+TOP = np.uint64(1 << 63)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes of all rows, each row closed by END, and where each row starts."""
-    raw, starts = bytes_of(column)
+    return tokens_of(*bytes_of(column))
+
+
+def tokens_of(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     raw = fold(raw)
     begin, end, row = word_bounds(raw, starts)
     n = np.bincount(row, minlength=len(starts) - 1) + 1
@@ -79,163 +88,239 @@ def _numbers(h: np.ndarray, head: np.ndarray) -> np.ndarray:
     return np.where(head[at] == h, at, -1)
 
 
-class Automaton:
-    """States 0 (root), words, pairs; arcs sorted by state * SHIFT + word."""
-
-    def __init__(self, head: np.ndarray, counts: np.ndarray, total: int, distinct: int, pairs: dict, triples: dict):
-        self.head, self.counts = head, counts
-        self.scale = float(total + distinct + 1)
-        root = (counts + 1) / self.scale
-        self.root = np.log10(root)
-        pair_keys, pair_n = pairs["key"], pairs["n"]
-        first, second = pair_keys // SHIFT, pair_keys % SHIFT
-        contexts = np.unique(first)
-        self.word_state = np.zeros(len(head) + 1, np.int64)  # the last entry is for tokens outside the head
-        self.word_state[contexts] = 1 + np.arange(len(contexts))
-        tri_keys, tri_n = triples["key"], triples["n"]
-        of, third = tri_keys // SHIFT, tri_keys % SHIFT
-        pair_contexts = np.unique(of)
-        pair_state = np.zeros(len(pair_keys), np.int64)
-        pair_state[pair_contexts] = 1 + len(contexts) + np.arange(len(pair_contexts))
-        states = 1 + len(contexts) + len(pair_contexts)
-        self.fail, freed = np.zeros(states, np.int64), np.ones(states)
-        self.fail[pair_state[pair_contexts]] = self.word_state[second[pair_contexts]]
-        # Pairs: discounted, interpolated with the root.
-        kept = (pair_n - DISCOUNT) / counts[first]
-        freed[1 : 1 + len(contexts)] = 1 - np.bincount(self.word_state[first], weights=kept, minlength=states)[1 : 1 + len(contexts)]
-        p2 = kept + freed[self.word_state[first]] * root[second]
-        after2 = np.where(pair_state > 0, pair_state, self.word_state[second])
-        # Triples: discounted, interpolated with the pairs, all of which are kept.
-        kept3 = (tri_n - DISCOUNT) / pair_n[of]
-        freed[1 + len(contexts) :] = 1 - np.bincount(pair_state[of], weights=kept3, minlength=states)[1 + len(contexts) :]
-        lower = np.searchsorted(pair_keys, second[of] * SHIFT + third)
-        p3 = kept3 + freed[pair_state[of]] * p2[np.minimum(lower, len(p2) - 1)] if len(of) else kept3
-        after3 = after2[np.minimum(lower, len(p2) - 1)] if len(of) else of
-        keys = np.concatenate([self.word_state[first] * SHIFT + second, pair_state[of] * SHIFT + third])
-        order = np.argsort(keys)
-        self.keys = keys[order]
-        self.weight = np.log10(np.concatenate([p2, p3]))[order]
-        self.next = np.concatenate([after2, after3])[order]
-        self.freed = np.log10(np.maximum(freed, 1e-300))
-
-    def scores(self, words: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Log-probability of each row, but for the root's weight of tokens outside the head."""
-        n = np.diff(first)
-        order = np.argsort(-n, kind="stable")
-        at, left = first[:-1][order], n[order]
-        live = len(order) - np.searchsorted(left[::-1], np.arange(1, int(left[0]) + 1), side="left") if len(order) else []
-        end = _numbers(np.array([END], np.uint64), self.head)[0]
-        state = np.full(len(order), self.word_state[end], np.int64)
-        total = np.zeros(len(order))
-        for step, m in enumerate(live):
-            w = words[at[:m] + step]
-            s, gain, to = state[:m].copy(), np.zeros(m), self.word_state[w]
-            open_ = np.flatnonzero((w >= 0) & (s > 0)) if len(self.keys) else np.zeros(0, np.int64)
-            gone = np.flatnonzero((w < 0) & (s > 0))
-            while len(gone):  # outside the head: down all failure arcs
-                gain[gone] += self.freed[s[gone]]
-                s[gone] = self.fail[s[gone]]
-                gone = gone[s[gone] > 0]
-            atroot = w >= 0
-            while len(open_):
-                key = s[open_] * SHIFT + w[open_]
-                k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                found = self.keys[k] == key
-                done = open_[found]
-                gain[done] += self.weight[k[found]]
-                to[done] = self.next[k[found]]
-                atroot[done] = False
-                open_ = open_[~found]
-                gain[open_] += self.freed[s[open_]]
-                s[open_] = self.fail[s[open_]]
-                open_ = open_[s[open_] > 0]
-            gain[atroot] += self.root[w[atroot]]
-            total[:m] += gain
-            state[:m] = to
-        out = np.empty(len(order))
-        out[order] = total
-        return out
-
-
-def _arrays(df: DataFrame) -> dict:
-    """A bounded (key, n) table as arrays sorted by key."""
-    t = df.select("key", "n").toPandas().sort_values("key")
-    return {"key": t["key"].to_numpy(np.int64), "n": t["n"].to_numpy(np.int64)}
-
-
-def score_texts(docs: DataFrame, training: Column) -> DataFrame:
+def _planed(x: np.ndarray) -> bytes:
+    """Non-negative numbers as their count, width and byte planes, which compresses small ones well."""
+    width = (int(x.max()).bit_length() + 7) // 8 if len(x) else 0
+    rows = np.ascontiguousarray(x.astype("<u8", copy=False)).view(np.uint8).reshape(-1, 8)[:, :width]
+    return len(x).to_bytes(8, "little") + bytes([width]) + rows.T.tobytes()
+
+
+def _blob(*arrays: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(map(_planed, arrays)))
+
+
+def _unblob(data: bytes) -> list[np.ndarray]:
+    raw, at, out = zstandard.ZstdDecompressor().decompress(data), 0, []
+    while at < len(raw):
+        n, width = int.from_bytes(raw[at : at + 8], "little"), raw[at + 8]
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, :width] = np.frombuffer(raw, np.uint8, n * width, at + 9).reshape(width, n).T
+        out.append(wide.view("<u8").ravel())
+        at += 9 + n * width
+    return out
+
+
+class Grams:
+    """The distinct n-grams of a piece of texts, sorted by part, middle word, first word and last word.
+
+    Words have numbers from 1, frequent ones first, if they are in the head, else their hash with the
+    top bit set; 0 stands for no word. Order 3 has both context words, order 2
+    the middle one, order 1 (only of words outside the head) none. All n-grams
+    of a context are in one part, but for order 2 after a hot word."""
+
+    def __init__(self, h: np.ndarray, first: np.ndarray, head: np.ndarray, rank: np.ndarray, hot: np.ndarray, parts: int):
+        distinct, local = np.unique(np.r_[END, h], return_inverse=True)
+        number = _numbers(distinct, head)
+        words = np.r_[np.uint64(0), np.where(number >= 0, rank[np.maximum(number, 0)].astype(np.uint64) if len(rank) else TOP, distinct | TOP)]
+        order = np.argsort(words)  # words[0] is 0, no word, and stays first
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.number = number[local[1:]]
+        words, local = words[order], place[local + 1]
+        end, w = local[0], local[1:]
+        rare = np.flatnonzero(self.number < 0)
+        v = np.r_[0, w[:-1]]
+        v[first[:-1]] = end
+        u = np.r_[0, v[:-1]]
+        u[first[:-1]] = 0
+        three = np.flatnonzero(u)
+        none = np.zeros(len(rare), np.int64)
+        before, middle, last = np.concatenate([u[three], np.zeros(len(w), np.int64), none]), np.concatenate([v[three], v, none]), np.concatenate([w[three], w, w[rare]])
+        bits = len(words).bit_length()
+        if bits <= BITS:
+            keys, inverse = np.unique(middle << 2 * bits | before << bits | last, return_inverse=True)
+            mask = (1 << bits) - 1
+            middle, before, last = keys >> 2 * bits, keys >> bits & mask, keys & mask
+        else:  # three numbers do not fit in 63 bits
+            contexts, of = np.unique(middle << 32 | before, return_inverse=True)
+            keys, inverse = np.unique(of << 32 | last, return_inverse=True)
+            context = contexts[keys >> 32]
+            middle, before, last = context >> 32, context & 0xFFFFFFFF, keys & 0xFFFFFFFF
+        self.V, self.U, self.W = words[middle], words[before], words[last]
+        self.split = (self.U == 0) & ((self.V == 0) | hot[np.where(self.V < TOP, self.V, 0).astype(np.int64)])
+        route = mix(mix(self.V) + self.U * _STEP)
+        route = np.where(self.split, mix(route + self.W * _STEP), route)
+        part = (route % np.uint64(parts)).astype(np.uint16 if parts < 1 << 16 else np.uint32)
+        order = np.argsort(part, kind="stable")
+        self.cuts = np.searchsorted(part[order], np.arange(parts + 1))
+        self.V, self.U, self.W, self.split = self.V[order], self.U[order], self.W[order], self.split[order]
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        place = back[inverse]
+        del keys, inverse, middle, before, last
+        self.three, self.rare = three, rare
+        self.at3, self.at2, self.at1 = np.split(place, [len(three), len(three) + len(w)])
+
+    def opens(self, a: int, b: int) -> np.ndarray:
+        """Where a new context begins among n-grams a to b of a part."""
+        v, u = self.V[a:b], self.U[a:b]
+        return np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) | (u[1:] != u[:-1])])
+
+
+def _sent(grams: Grams, learn: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(part, data) of a piece: its contexts, how many n-grams each has, their last words and counts in training texts."""
+    n = np.zeros(len(grams.V), np.int64)
+    for at, rows in ((grams.at3, learn[grams.three]), (grams.at2, learn), (grams.at1, learn[grams.rare])):
+        n += np.bincount(at[rows], minlength=len(n))
+    for part, (a, b) in enumerate(zip(grams.cuts[:-1], grams.cuts[1:], strict=True)):
+        if b > a:
+            at = grams.opens(a, b)
+            v = grams.V[a:b][at]
+            yield part, _blob(np.r_[v[:1], np.diff(v)], grams.U[a:b][at], np.diff(np.r_[at, b - a]), grams.W[a:b], n[a:b])
+
+
+def _alike(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct key, and each key's number among the distinct ones."""
+    order = np.argsort(key)
+    new = np.r_[True, key[order[1:]] != key[order[:-1]]]
+    number = np.empty(len(key), np.uint32)
+    number[order] = np.cumsum(new, dtype=np.uint32) - np.uint32(1)
+    return order[new], number
+
+
+def _part_counts(hot: np.ndarray):
+    """Adds up all pieces' n-grams of a part and answers each piece in the order in which it sent them."""
+
+    def one(table: pa.Table) -> pa.Table:
+        sent = [_unblob(x) for x in table.column("data").to_pylist()]
+        sizes = [(len(x[3]), len(x[0])) for x in sent]
+        v = np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in sent])
+        u, w = (np.concatenate([x[k] for x in sent]) for k in (1, 3))
+        each, n = (np.concatenate([x[k].astype(np.uint32) for x in sent]) for k in (2, 4))
+        del sent
+        key = mix(mix(v) + u * _STEP)
+        of = np.repeat(np.arange(len(v), dtype=np.uint32), each)
+        first_context, context = _alike(key)
+        key = key[of] * _STEP
+        key += w
+        del w, each
+        first, gram = _alike(mix(key))
+        del key
+        total = np.bincount(gram, weights=n).astype(np.int64)
+        owner = context[of[first]]
+        del n, of, first
+        kept = np.where(total >= LEAST, total, 0)
+        sums = [np.bincount(owner, weights=x, minlength=len(first_context)).astype(np.int64) for x in (total, kept, kept > 0)]
+        data, a, c = [], 0, 0
+        for grams, contexts in sizes:
+            b, d = a + grams, c + contexts
+            data.append(_blob(total[gram[a:b]], *(s[context[c:d]] for s in sums)))
+            a, c = b, d
+        v, u = v[first_context], u[first_context]
+        wide = np.flatnonzero((u == 0) & (v > 0) & hot[np.where(v < TOP, v, 0).astype(np.int64)])
+        more = len(wide)
+        pieces = table.column("piece").combine_chunks().cast(pa.int64()).to_pylist()
+        columns = [pieces + [None] * more, table.column("part").to_pylist() + [None] * more, data + [None] * more]
+        stats = [[None] * len(data) + x[wide].astype(np.int64).tolist() for x in (v, *sums)]
+        kinds = [pa.int64(), pa.int32(), pa.binary(), *[pa.int64()] * 4]
+        return pa.table([pa.array(x, k) for x, k in zip(columns + stats, kinds, strict=True)], names=["piece", "part", "data", "v", "c", "k", "t"])
+
+    return one
+
+
+def _log_probabilities(grams: Grams, answers: dict[int, bytes], hot_sums: dict, counts: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each token: count, log-probability by the root alone, and by the model."""
+    size = len(grams.V)
+    n, total, kept, kinds = (np.zeros(size, np.int64) for _ in range(4))
+    for part, (a, b) in enumerate(zip(grams.cuts[:-1], grams.cuts[1:], strict=True)):
+        if b > a:
+            got = _unblob(answers[part])
+            each = np.diff(np.r_[grams.opens(a, b), b - a])
+            n[a:b] = got[0]
+            for out, x in zip((total, kept, kinds), got[1:], strict=True):
+                out[a:b] = np.repeat(x, each)
+    ids, *sums = hot_sums
+    if len(ids):
+        at = np.minimum(np.searchsorted(ids, grams.V), len(ids) - 1)
+        wide = np.flatnonzero(grams.split & (ids[at] == grams.V))
+        for out, x in zip((total, kept, kinds), sums, strict=True):
+            out[wide] = x[at[wide]]
+    below = np.maximum(total, 1)
+    arc = np.where(n >= LEAST, n - DISCOUNT, 0) / below
+    freed = 1 - (kept - DISCOUNT * kinds) / below
+    known = counts[np.maximum(grams.number, 0)] if len(counts) else np.zeros(len(grams.number), np.int64)
+    known[grams.rare] = n[grams.at1]
+    root = (known + 1) / scale
+    p = arc[grams.at2] + freed[grams.at2] * root
+    p[grams.three] = arc[grams.at3] + freed[grams.at3] * p[grams.three]
+    return known, np.log10(root), np.log10(p)
+
+
+def _numbered_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Pieces of a task, each with a number from its place and content: a task that reads other rows gives other numbers."""
+    task, k = TaskContext.get().partitionId(), 0
+    for piece in (p for b in batches for p in _pieces(b, PIECE)):
+        raw, starts = bytes_of(piece.column("text"))
+        content = hashlib.blake2b(f"{task} {k}".encode(), digest_size=8)
+        content.update(raw.tobytes())
+        content.update(starts.tobytes())
+        yield int.from_bytes(content.digest(), "little", signed=True), piece
+        k += 1
+
+
+def score_texts(docs: DataFrame, training: Column, part_bytes: int = PART) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, n_known, train_tokens, base_score, score. training: which rows are learned from."""
     spark = docs.sparkSession
-    texts = docs.filter(training).select("text")
-
-    def count(of) -> DataFrame:
-        return texts.mapInArrow(lambda batches: _counted(of(*tokens(p.column("text"))) for b in batches for p in _pieces(b)), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-
-    counts = stored(count(lambda h, first: h.view(np.int64)))
+    rows = docs.select("doc_id", F.coalesce(training, F.lit(False)).alias("learn"), "text")
+    texts = rows.filter("learn").select("text")
+    count = texts.mapInArrow(lambda batches: _counted(tokens(p.column("text"))[0].view(np.int64) for b in batches for p in _pieces(b)), "key bigint, n bigint")
+    counts = stored(count.groupBy("key").agg(F.sum("n").alias("n")))
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    least = max(2, total * HEAD)
-    frequent = counts.filter(F.col("n") >= least).toPandas()
+    frequent = counts.filter(F.col("n") >= max(2, total * HEAD)).toPandas()
     h, n = frequent["key"].to_numpy(np.int64).view(np.uint64), frequent["n"].to_numpy(np.int64)
     head, n = h[np.argsort(h)], n[np.argsort(h)]
-    common = n >= total * ARC
-    known = spark.sparkContext.broadcast((head, common))
-
-    def numbered(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Word numbers with the text's end put before it too, as its first context; -1 where no arc can be."""
-        words, often = known.value
-        w = _numbers(h, words)
-        w[(w >= 0) & ~often[w]] = -1
-        before = np.r_[-1, w[:-1]]
-        before[first[:-1]] = _numbers(np.array([END], np.uint64), words)[0]
-        return before, w
-
-    def pairs_of(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-        before, w = numbered(h, first)
-        both = (before >= 0) & (w >= 0)
-        return before[both] * SHIFT + w[both]
-
-    pairs = _arrays(count(pairs_of).filter(F.col("n") >= max(2, total * ARC)))
-    kept = spark.sparkContext.broadcast(pairs["key"])
-
-    def triples_of(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-        before, w = numbered(h, first)
-        keys = kept.value
-        if not len(keys):
-            return np.zeros(0, np.int64)
-        pair = before * SHIFT + w
-        at = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
-        own = np.where((before >= 0) & (w >= 0) & (keys[at] == pair), at, -1)
-        last = np.r_[-1, own[:-1]]
-        last[first[:-1]] = -1
-        both = (last >= 0) & (own >= 0)
-        return last[both] * SHIFT + w[both]
-
-    triples = _arrays(count(triples_of).filter(F.col("n") >= max(2, total * ARC)))
-    model = spark.sparkContext.broadcast(Automaton(head, n, total, distinct, pairs, triples))
-
-    def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        for batch in (p for b in batches for p in _pieces(b, 1 << 23)):
-            h, first = tokens(batch.column("text"))
-            w = _numbers(h, m.head)
-            row = np.repeat(np.arange(batch.num_rows), np.diff(first))
-            out = w < 0
-            base = np.bincount(row[~out], weights=m.root[w[~out]], minlength=batch.num_rows)
-            tail = np.bincount(row[out], minlength=batch.num_rows)
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(tail)], pa.int32()), pa.array(h[out].view(np.int64)))
-            columns = [batch.column("doc_id"), batch.column("row"), pa.array(np.diff(first)), pa.array(tail), pa.array(base), pa.array(m.scores(w, first)), lists]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "n_tokens", "n_tail", "base", "model", "tail"])
-
-    numbered_rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
-    scored = stored(numbered_rows.mapInArrow(traverse, "doc_id bigint, row bigint, n_tokens bigint, n_tail bigint, base double, model double, tail array<bigint>"))
-    rare = counts.filter(F.col("n") < least)
-    found = scored.select("row", F.explode("tail").alias("key")).join(rare.hint("shuffle_hash"), "key")
-    tails = stored(found.groupBy("row").agg(F.sum(F.log10(F.col("n") + 1)).alias("log"), F.count(F.lit(1)).alias("n")))
-    scale = float(np.log10(total + distinct + 1))
-    both = scored.drop("tail").join(tails.hint("shuffle_hash"), "row", "left")
-    rest = F.coalesce("log", F.lit(0.0)) - F.col("n_tail") * F.lit(scale)
-    known_tokens = F.col("n_tokens") - F.col("n_tail") + F.coalesce("n", F.lit(0))
-    return both.select("doc_id", "n_tokens", known_tokens.alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + rest).alias("base_score"), (F.col("model") + rest).alias("score"))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(1, -(-size // part_bytes))
+    rank = np.empty(len(n), np.int64)
+    rank[np.argsort(-n, kind="stable")] = 1 + np.arange(len(n))
+    hot = np.r_[False, np.sort(n)[::-1] * parts > 2 * total]
+    scale = float(total + distinct + 1)
+    shared = spark.sparkContext.broadcast((head, rank, n, hot))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, ranks, _, often = shared.value
+        for number, piece in _numbered_pieces(batches):
+            h, first = tokens(piece.column("text"))
+            learn = np.repeat(piece.column("learn").to_numpy(zero_copy_only=False).astype(bool), np.diff(first))
+            out = list(_sent(Grams(h, first, words, ranks, often, parts), learn))
+            yield pa.RecordBatch.from_arrays([pa.array([number] * len(out), pa.int64()), pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["piece", "part", "data"])
+
+    answered = stored(rows.mapInArrow(send, "piece bigint, part int, data binary").groupBy("part").applyInArrow(_part_counts(hot), "piece bigint, part int, data binary, v bigint, c bigint, k bigint, t bigint"))
+    wide = answered.filter("v is not null").groupBy("v").agg(*[F.sum(x).alias(x) for x in "ckt"]).toPandas().sort_values("v")
+    sums = spark.sparkContext.broadcast([wide["v"].to_numpy(np.uint64), *(wide[x].to_numpy(np.int64) for x in "ckt")])
+
+    def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, piece in _numbered_pieces(batches):
+            raw, starts = bytes_of(piece.column("text"))
+            ids = pa.ListArray.from_arrays(pa.array([0, piece.num_rows], pa.int32()), piece.column("doc_id"))
+            sizes = pa.ListArray.from_arrays(pa.array([0, piece.num_rows], pa.int32()), pa.array(np.diff(starts)))
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), ids, sizes, pa.array([zstandard.ZstdCompressor(level=3).compress(raw.tobytes())], pa.binary())], names=["piece", "doc_ids", "sizes", "texts"])
+
+    def score(carried: pa.Table, answers: pa.Table) -> pa.Table:
+        if carried.num_rows != 1 or not answers.num_rows:
+            raise RuntimeError("the input gave other rows when it was read again")
+        words, ranks, often_n, often = shared.value
+        ids, sizes = carried.column("doc_ids").combine_chunks().flatten(), carried.column("sizes").combine_chunks().flatten().to_numpy()
+        raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(carried.column("texts")[0].as_py()), np.uint8)
+        h, first = tokens_of(raw, np.r_[0, np.cumsum(sizes)].astype(np.int64))
+        data = dict(zip(answers.column("part").to_pylist(), answers.column("data").to_pylist(), strict=True))
+        known, base, model = _log_probabilities(Grams(h, first, words, ranks, often, parts), data, sums.value, often_n, scale)
+        each = [np.diff(first), np.add.reduceat((known > 0).astype(np.int64), first[:-1]), np.full(len(ids), total), np.add.reduceat(base, first[:-1]), np.add.reduceat(model, first[:-1])]
+        return pa.table([ids, *map(pa.array, each)], names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    carried = rows.mapInArrow(carry, "piece bigint, doc_ids array<bigint>, sizes array<bigint>, texts binary")
+    answers = answered.filter("piece is not null").select("piece", "part", "data")
+    return carried.groupBy("piece").cogroup(answers.groupBy("piece")).applyInArrow(score, "doc_id bigint, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
