@@ -1,7 +1,10 @@
 """Personal data replaced by keyed, type-consistent surrogates.
 
 Found are e-mail addresses, phone numbers, IPv4 addresses, payment card numbers,
-secrets (``password=`` and the like, access keys) and given names of a lexicon.
+secrets (``password=`` and the like, access keys) and given names of a lexicon,
+in any case. A run of numbers is read by the grammar of each type in that order:
+addresses, cards, phones; what is left of it is a phone or card by its digits.
+Other given names than the lexicon's, and surnames, are not found.
 Every distinct entity (type and canonical form: digits of a phone or card, lower
 case of an address or name) gets one surrogate from a keyed hash, so all its
 mentions, however written, are replaced alike. A surrogate keeps the form: kinds
@@ -45,7 +48,17 @@ GROUP = {n.lower(): (g, n) for g, names in NAMES.items() for n in names}
 _LOCAL, _DOMAIN = re.compile(r"[\w.+%-]+\Z"), re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+")
 _DIGITS = re.compile(r"(?<![\w.])\+?\(?\d[\d().\- ]{5,24}\d(?!\w)")
 _SECRET = re.compile(r"(?<!\w)(?:AKIA[0-9A-Z]{16}(?!\w)|(?:password|passwd|secret|token|api_key)[=:]\s?(?P<v>[^\s,;]{6,}))")
-_NAME = re.compile(r"(?<!\w)(?:" + "|".join(sorted((n for x in NAMES.values() for n in x), key=len, reverse=True)) + r")(?!\w)")
+_NAME = re.compile(r"(?<!\w)(?:" + "|".join(sorted((n for x in NAMES.values() for n in x), key=len, reverse=True)) + r")(?!\w)", re.IGNORECASE)
+_FOLDED = {n.casefold(): n.lower() for x in NAMES.values() for n in x}
+# What every writing of a name has in lower case: all but a last sigma, whose form depends on what follows.
+_PLAIN = [n.rstrip("ς") for n in _FOLDED.values()]
+# A run of numbers of any length, and what has a grammar of its own inside it.
+_RUN = re.compile(r"(?<![\w.])\+?\(?\d[\d().\- ]{5,}\d(?!\w)")
+_ADDRESS = re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)")
+_CARD = re.compile(r"(?<![\w.+])(?=(\d{13,19}(?!\w|\.\d)|\d{4}([ -])\d{4}\2\d{4}\2\d{4}(?!\w)|\d{4}([ -])\d{6}\3\d{4,5}(?!\w)))")
+_LONG = re.compile(r"(?<![\w.+])\d{4}([ -])\d{4}\1\d{4}\1\d{4}\1\d{1,3}(?!\w)")
+_PHONE = re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?|\d{1,3}[.-]|1 )?(?:\(\d{3}\)[ .-]?|\d{3}[ .-]?)\d{3}[ .-]?\d{4}(?!\w)")
+_GROUP = re.compile(r"[+(]{0,2}\d+")
 _IP = re.compile(r"\d{1,3}(?:\.\d{1,3}){3}\Z")
 
 
@@ -65,6 +78,43 @@ def _numeric(mention: str) -> tuple[str, str] | None:
     return None
 
 
+def _numbers(text: str, start: int, end: int) -> list[tuple[int, int, str, str]]:
+    """Addresses, cards and phones of a run of numbers: what has a grammar of its own first, then what is left."""
+    out: list[tuple[int, int, str, str]] = []
+
+    def take(a: int, b: int, kind: str, canonical: str) -> None:
+        if all(b <= x[0] or a >= x[1] for x in out):
+            out.append((a, b, kind, canonical))
+
+    for m in _ADDRESS.finditer(text, start, end):
+        if kind := _numeric(m[0]):
+            take(m.start(), m.end(), *kind)
+    cards = [(*m.span(1), re.sub(r"\D", "", m[1])) for m in _CARD.finditer(text, start, end)]
+    longer = [(*m.span(), re.sub(r"\D", "", m[0])) for m in _LONG.finditer(text, start, end)]
+    # Groups of four can be read from several places: first those with a right check digit, others after the phones.
+    for a, b, digits in sorted(x for x in [*cards, *longer] if _luhn(x[2])):
+        take(a, b, "card", digits)
+    for m in _PHONE.finditer(text, start, end):
+        if re.search(r"[+() .-]", m[0]):
+            take(m.start(), m.end(), "phone", re.sub(r"\D", "", m[0]))
+    groups = list(_GROUP.finditer(text, start, end))
+    for i, g in enumerate(groups):  # after a country code: the longest number that is a phone
+        if g[0].startswith("+"):
+            for h in reversed(groups[i:]):
+                if (kind := _numeric(text[g.start() : h.end()])) and "+" not in text[g.start() + 1 : h.end()]:
+                    take(g.start(), h.end(), *kind)
+                    break
+    for a, b, digits in cards:
+        take(a, b, "card", digits)
+    at = start
+    for a, b in [*sorted(x[:2] for x in out), (end, end)]:
+        for m in _DIGITS.finditer(text, at, a):
+            if kind := _numeric(m[0]):
+                take(m.start(), m.end(), *kind)
+        at = b
+    return out
+
+
 def entities(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, type, canonical) of each entity, in order, none overlapping."""
     found = []
@@ -77,10 +127,11 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
     for m in _SECRET.finditer(text):
         s, e = m.span("v") if m["v"] else m.span()
         found.append((s, e, "secret", text[s:e]))
-    for m in _DIGITS.finditer(text):
-        if kind := _numeric(m[0]):
-            found.append((m.start(), m.end(), *kind))
-    found += [(m.start(), m.end(), "name", m[0].lower()) for m in _NAME.finditer(text)]
+    for m in _RUN.finditer(text):
+        found += _numbers(text, *m.span())
+    low = text.lower()
+    if len(low) > len(text) or any(n in low for n in _PLAIN):  # few texts have a name, and looking for one is faster than the expression
+        found += [(m.start(), m.end(), "name", _FOLDED[m[0].casefold()]) for m in _NAME.finditer(text) if m[0].casefold() in _FOLDED]
     out: list = []
     for x in sorted(found, key=lambda x: (x[0], -x[1])):
         if not out or x[0] >= out[-1][1]:
@@ -140,7 +191,8 @@ def rendered(kind: str, mention: str, value: str) -> str:
         digits = iter(value)
         return "".join(next(digits) if c.isdigit() else c for c in mention)
     if kind == "name":
-        return GROUP[value][1]
+        name = GROUP[value][1]
+        return name.upper() if mention.isupper() else name.lower() if mention.islower() else name
     if kind == "email" and len(value) == len(mention):
         return "".join(v.upper() if c.isupper() else v for c, v in zip(mention, value, strict=True))
     return value
