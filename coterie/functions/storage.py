@@ -1,15 +1,25 @@
 """Cutting lineage with tables in the cluster's shared folder."""
 
+import re
+import tempfile
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
-FALLBACK = "/tmp/checkpoints"  # only where the session names no shared folder, as in local tests
-
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new path below the folder that ``spark.checkpoint.dir`` names."""
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or FALLBACK).rstrip('/')}/{uuid4().hex}"
+    """A new path below the folder that ``spark.checkpoint.dir`` names.
+
+    A session in one process, as in tests, may leave it unset and then gets a folder of its own. On a cluster an
+    unset folder is an error: executors would write to their own disks, and readers would miss what others wrote.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-tables-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return f"{folder.rstrip('/')}/{uuid4().hex}"
 
 
 def stored(df: DataFrame, *partition_by: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from coterie.functions.components import components
 from coterie.functions.storage import stored
 
 ROUNDS = 100
@@ -17,23 +18,13 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, min_size: int = 2) -> DataFrame:
     """(cluster_key, member) of components with min_size nodes or more, keyed by their smallest node.
 
-    Takes neighbourhood minima and jumps along labels in turn; each round is a
-    written table. Star edges value -> member give the same components as cliques.
+    Star edges value -> member give the same components as cliques.
     """
-    beside = stored(_both_ways(edges).select("src", "dst").distinct())
-    labels = stored(beside.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("label")).withColumnRenamed("src", "member"))
-    for _ in range(ROUNDS):
-        near = beside.join(labels.select(F.col("member").alias("dst"), "label"), "dst").groupBy("src").agg(F.min("label").alias("near"))
-        lower = labels.join(near, F.col("member") == F.col("src")).select("member", "label", F.least("label", "near").alias("to"))
-        jump = labels.select(F.col("member").alias("to"), F.col("label").alias("far"))
-        moved = stored(lower.join(jump, "to").select("member", F.least("to", "far").alias("label"), (F.least("to", "far") < F.col("label")).alias("moved")))
-        labels = moved.select("member", "label")
-        if moved.filter("moved").isEmpty():
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    big = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_size)
-    return labels.join(big, "label").select(F.col("label").alias("cluster_key"), "member")
+    labels = components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))).select(F.col("label").alias("cluster_key"), F.col("node").alias("member"))
+    if min_size <= 2:  # a node with a link is never alone
+        return labels
+    big = labels.groupBy("cluster_key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_size).select("cluster_key")
+    return labels.join(big, "cluster_key", "left_semi")
 
 
 def modularity(edges: DataFrame, membership: DataFrame, gamma: float = 1.3) -> DataFrame:
