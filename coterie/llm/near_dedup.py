@@ -9,13 +9,20 @@ in a component with the probability of their weighted Jaccard similarity.
 Points are drawn in ascending order and a shingle stops once its next point lies
 beyond the document's latest component, so most shingles draw one or two.
 
-Documents of one multiset are one class from the start. Their representatives
-meet where a band of the signature agrees. In each bucket every member is first
-held against the bucket's lead; what similarity links is contracted to its
-component, and only members of different components of one bucket are compared
-after that, in blocks, by their signatures. Buckets too large for one block are
-split by further bands, so that chance meetings thin out while true pairs (0.8
-or more) keep meeting. Every link is verified on the full multisets.
+Documents of one multiset are one node from the start. Nodes are candidates for
+each other where a band of their signatures agrees; buckets of one band key that
+share nodes form a group. Every candidate pair of a group is verified on the
+full multisets (64-bit hashes of the shingles) unless links found before already
+join its ends, so the classes are exactly the components of all candidate pairs
+of similarity 0.8 or more, and only links leave a task: less than one a node.
+
+A group of up to ``BLOCK`` nodes is searched in one task. A larger one is dealt
+into blocks, each searched together with the group's leads (the nodes whose
+buckets hold most, where an original stands among its edited copies); of what
+that leaves in different classes, only nodes that still share a bucket with
+another class meet again, block against block, and blocks of one class never.
+What no step reaches is a pair that disagrees in all bands: one of similarity
+0.8 in 20 000, one of 0.85 in two million.
 
 Null, empty and blank texts have no words and are classes of their own. Texts of
 fewer than five words are one shingle. Words are maximal runs of non-blank
@@ -28,17 +35,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from coterie.functions.components import components, roots
 from coterie.llm.common import bytes_of, fold, hash_words, mix, read, stored, text_key, word_bounds
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 25, 5  # a pair of similarity 0.8 misses all bands once in 20 000, one of 0.85 once in two million
-BLOCK = 64  # buckets up to this size are compared in one block; larger ones are split by further bands first
-SPLIT_BANDS, SPLIT_ROWS = 12, 4
-LINKS_PER_TASK, FEW_LINKS = 500_000, 4_000_000
-SURELY_LESS = 0.62  # pairs that agree in fewer components are not 0.8 similar (five standard deviations)
+BANDS, ROWS = 25, 5
+BLOCK, BLOCK_BYTES = 256, 4 << 20  # nodes of a block, and bytes of their shingles' hashes
+LEADS = 8
 
 
 def shingles(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,7 +112,7 @@ def signatures(row: np.ndarray, h: np.ndarray, weight: np.ndarray, rows: int, si
     return name.reshape(rows, size)
 
 
-SKETCH = "doc_id bigint, text_key bigint, size bigint, bag binary, bands array<bigint>, small binary"
+SKETCH = "doc_id bigint, text_key bigint, size bigint, bag binary, bands array<bigint>"
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,10 +134,9 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for k in range(ROWS):
                     key = mix(key + sig[:, k::ROWS][:, :BANDS])
                 key = mix(key + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
-                small = (mix(sig) >> np.uint64(56)).astype(np.uint8)
             else:
                 used = np.zeros(0, np.int64)
-                total, bags, key, small = used, np.zeros((0, 2), np.uint64), np.zeros((0, BANDS), np.int64), np.zeros((0, size), np.uint8)
+                total, bags, key = used, np.zeros((0, 2), np.uint64), np.zeros((0, BANDS), np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     piece.column("doc_id").take(pa.array(used)),
@@ -139,9 +144,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(total, pa.int64()),
                     pa.array([b.tobytes() for b in bags], pa.binary()),
                     pa.ListArray.from_arrays(np.arange(0, len(used) * BANDS + 1, BANDS, dtype=np.int32), pa.array(key.ravel(), pa.int64())),
-                    pa.array([s.tobytes() for s in small], pa.binary()),
                 ],
-                names=["doc_id", "text_key", "size", "bag", "bands", "small"],
+                names=["doc_id", "text_key", "size", "bag", "bands"],
             )
 
 
@@ -156,229 +160,175 @@ def _pieces(batch: pa.RecordBatch, most: int = 1 << 21) -> Iterator[pa.RecordBat
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, size, bag, bands, small) of every row that has words.
-
-    bag names the multiset; bands are the band keys; small has a byte of each component."""
+    """(doc_id, text_key, size, bag, bands) of every row that has words; bag names the multiset, bands are the band keys."""
     return docs.select("doc_id", text_key().alias("text_key"), "text").mapInArrow(_sketch, SKETCH)
 
 
-def _alike(x: np.ndarray, y: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Whether sizes and signatures allow a similarity of SIMILARITY; x, y: a row of component bytes each, p, q: sizes."""
-    return ((x == y).mean(axis=-1) >= SURELY_LESS) & (np.minimum(p, q) >= SIMILARITY * np.maximum(p, q) - 1e-9)
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, tokens): a 64-bit hash for each occurrence of each shingle, so that overlaps of multisets are those of sets."""
+    for batch in batches:
+        for piece in _pieces(batch):
+            row, h, count = shingles(*bytes_of(piece.column("text")))
+            again = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+            h, row = np.repeat(h, count), np.repeat(row, count)
+            h = np.where(again > 0, mix(h + again.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), h)
+            cuts = np.searchsorted(row, np.arange(piece.num_rows + 1))
+            tokens = [h[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([piece.column("node"), pa.array(tokens, pa.binary())], names=["node", "tokens"])
 
 
-def _agree(pairs: DataFrame) -> DataFrame:
-    """Keeps the (a, b, rank) that _alike lets pass; needs a_small, b_small, a_size, b_size."""
+LINKS = "a bigint, b bigint"
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(bytes_of(batch.column(c))[0], np.uint8).reshape(batch.num_rows, -1) for c in ("a_small", "b_small"))
-                p, q = (batch.column(c).to_numpy() for c in ("a_size", "b_size"))
-                yield batch.select(["a", "b", "rank"]).filter(pa.array(_alike(x, y, p, q)))
 
-    return pairs.mapInArrow(keep, "a bigint, b bigint, rank bigint")
+def _linked(table: pa.Table) -> pa.Table:
+    """Links that join all classes of a unit which candidate pairs of SIMILARITY or more connect.
 
+    Columns: node, label (its class so far), rank, side, bands, tokens. Pairs of one side are only compared on side 0.
+    Nodes are taken in the order of their rank, each against all that follow, share a band with it and are of other
+    classes at that time.
+    """
+    node, rank = table.column("node").to_numpy(), table.column("rank").to_numpy()
+    order = np.lexsort((node, -rank))
+    order = order[np.sort(np.unique(node[order], return_index=True)[1])]
+    node, side = node[order], table.column("side").to_numpy()[order]
+    lab = np.unique(table.column("label").to_numpy()[order], return_inverse=True)[1]
+    bands = np.asarray(table.column("bands").combine_chunks().flatten()).reshape(-1, BANDS)[order]
+    raw, starts = bytes_of(table.column("tokens"))
+    size, begin = np.diff(starts)[order] // 8, starts[:-1][order] // 8
+    tokens = np.unique(np.frombuffer(raw.tobytes(), np.uint64), return_inverse=True)[1]
+    seen = np.zeros(len(raw) // 8 + 1, bool)
+    left, right = [], []
+    for v in range(len(node) - 1):
+        after = slice(v + 1, None)
+        small, large = np.minimum(size[after], size[v]), np.maximum(size[after], size[v])
+        near = v + 1 + np.flatnonzero((lab[after] != lab[v]) & (small >= SIMILARITY * large - 1e-9) & ((side[after] != side[v]) | (side[v] == 0)))
+        near = near[(bands[near] == bands[v]).any(axis=1)] if len(near) else near
+        if not len(near):
+            continue
+        seen[tokens[begin[v] : begin[v] + size[v]]] = True
+        n = size[near]
+        at = np.repeat(begin[near] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        both = np.add.reduceat(seen[tokens[at]].astype(np.int64), np.cumsum(n) - n)
+        seen[tokens[begin[v] : begin[v] + size[v]]] = False
+        like = near[both >= SIMILARITY * (size[v] + n - both) - 1e-9]
+        if len(like):
+            met, one = np.unique(lab[like], return_index=True)
+            left.append(np.full(len(met), node[v]))
+            right.append(node[like[one]])
+            lab[np.isin(lab, met)] = lab[v]
+    return pa.table([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (left, right)], names=["a", "b"])
+
+
+def _unit_links(units: DataFrame) -> DataFrame:
+    """The links of each unit of (unit, node, label, rank, side, bands, tokens)."""
+    columns = ["node", "label", "rank", "side", "bands", "tokens"]
+    return units.select("unit", *columns).groupBy("unit").applyInArrow(lambda t: _linked(t), LINKS)
+
+
+def candidate_groups(nodes: DataFrame) -> DataFrame:
+    """(node, group, rank) of the nodes that share a bucket with another; rank: the sizes of a node's buckets, summed."""
+    members = nodes.select("node", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "node")
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead")).filter("n > 1")
+    multi = stored(members.join(sizes.hint("shuffle_hash"), "bucket").select("node", "lead", "n"))
+    group = roots(multi.filter("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))).withColumnRenamed("root", "group")
+    return group.join(multi.groupBy("node").agg(F.sum("n").alias("rank")), "node")
 
-def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of different labels that may be similar, from rows with two blocks of a bucket's members."""
 
-    def block(members: list[dict]) -> tuple[np.ndarray, ...]:
-        small = np.frombuffer(b"".join(m["small"] for m in members), np.uint8).reshape(len(members), -1)
-        return (*(np.array([m[k] for m in members], np.int64) for k in ("node", "label", "size")), small)
+def with_tokens(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Adds tokens to nodes with (node, doc_id, text_key): the hashes of the text's shingles."""
+    where = found.select("node", F.col("doc_id").alias("_doc"), F.col("text_key").alias("_text"))
+    here = docs.select("doc_id", text_key().alias("text_key"), "text")
+    texts = here.join(where.hint("shuffle_hash"), here["doc_id"].eqNullSafe(where["_doc"]) & (here["text_key"] == where["_text"]))
+    bags = texts.select("node", "text").mapInArrow(_bags, "node bigint, tokens binary").dropDuplicates(["node"])
+    return found.drop("doc_id", "text_key").join(bags.hint("shuffle_hash"), "node")
 
-    for batch in batches:
-        left, right = [], []
-        for one, two in zip(batch.column("one"), batch.column("two"), strict=True):
-            (n, l, p, x), (m, k, q, y) = block(one.as_py()), block(two.as_py())
-            i, j = np.nonzero((l[:, None] != k[None, :]) & (np.minimum(p[:, None], q) >= SIMILARITY * np.maximum(p[:, None], q) - 1e-9))
-            fine = _alike(x[i], y[j], p[i], q[j])
-            left.append(np.minimum(n[i], m[j])[fine])
-            right.append(np.maximum(n[i], m[j])[fine])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (left, right)], names=["a", "b"])
 
+def _dealt(nodes: DataFrame, blocks: Column) -> Column:
+    return F.pmod(F.xxhash64("node", F.lit("block")), blocks).cast("int")
 
-def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, shingles): the sorted distinct shingles as 48 bits each, then (place, count) of those that occur more than once."""
-    for batch in batches:
-        for piece in _pieces(batch):
-            raw, starts = bytes_of(piece.column("text"))
-            row, h, count = shingles(raw, starts)
-            cuts = np.searchsorted(row, np.arange(piece.num_rows + 1))
-            packed = []
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                many = np.flatnonzero(count[a:b] > 1)
-                parts = [np.array([b - a], np.uint32), (h[a:b] >> np.uint64(32)).astype(np.uint32), (h[a:b] >> np.uint64(16)).astype(np.uint16), many.astype(np.uint32), count[a:b][many].astype(np.uint32)]
-                packed.append(b"".join(x.tobytes() for x in parts))
-            yield pa.RecordBatch.from_arrays([piece.column("node"), pa.array(packed, pa.binary())], names=["node", "shingles"])
 
+def _blocks(rows: str = "rows", size: str = "bytes") -> Column:
+    return F.greatest(F.lit(1), F.ceil(F.col(rows) / BLOCK), F.ceil(F.col(size) / BLOCK_BYTES)).cast("int")
 
-def _unpacked(b: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = int(np.frombuffer(b, np.uint32, 1)[0])
-    h = np.frombuffer(b, np.uint32, n, 4).astype(np.uint64) << np.uint64(16) | np.frombuffer(b, np.uint16, n, 4 + 4 * n).astype(np.uint64)
-    many = np.frombuffer(b, np.uint32, -1, 4 + 6 * n).astype(np.int64)
-    count = np.ones(n, np.int64)
-    count[many[: len(many) // 2]] = many[len(many) // 2 :]
-    return h, count
 
+def _count() -> list[Column]:
+    return [F.count(F.lit(1)).alias("rows"), F.sum(F.col("size") * 8).alias("bytes")]
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        like = []
-        for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-            (h, p), (g, q) = _unpacked(x.as_py()), _unpacked(y.as_py())
-            at = np.searchsorted(g, h)
-            same = np.flatnonzero(g[np.minimum(at, len(g) - 1)] == h)
-            both = int(np.minimum(p[same], q[at[same]]).sum())
-            like.append(both / max(1, int(p.sum() + q.sum()) - both))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(like, pa.float64())], names=["a", "b", "similarity"])
-
-
-class NearLinks:
-    """The verified links between nodes, and the components they make so far."""
-
-    def __init__(self, docs: DataFrame, nodes: DataFrame):
-        """docs: all rows; nodes: one row per distinct multiset (node, doc_id, text_key, size, bands, small)."""
-        self.docs, self.nodes = docs, nodes
-        self.links: DataFrame | None = None
-        self.labels: DataFrame | None = None  # (node, label) of the nodes that have links
-
-    def label(self, rows: DataFrame, column: str, name: str) -> DataFrame:
-        """Adds the component of a node column; a node without links is its own."""
-        if self.labels is None:
-            return rows.withColumn(name, F.col(column))
-        known = self.labels.select(F.col("node").alias("_node"), F.col("label").alias("_label"))
-        out = rows.join(known.hint("shuffle_hash"), F.col(column) == F.col("_node"), "left")
-        return out.withColumn(name, F.coalesce("_label", column)).drop("_node", "_label")
-
-    def apart(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose ends are not yet of one component."""
-        return self.label(self.label(pairs, "a", "_la"), "b", "_lb").filter("_la != _lb").drop("_la", "_lb")
-
-    def likely(self, pairs: DataFrame) -> DataFrame:
-        """The (a, b, rank) whose sizes and signatures allow a link."""
-        side = lambda p: self.nodes.select(F.col("node").alias(p), F.col("size").alias(f"{p}_size"), F.col("small").alias(f"{p}_small")).hint("shuffle_hash")
-        return stored(_agree(pairs.join(side("a"), "a").join(side("b"), "b")))
-
-    def hold(self, pairs: DataFrame) -> None:
-        """Verifies the pairs (a, b) on their full multisets and adds the links found."""
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        where = stored(self.nodes.select("node", F.col("doc_id").alias("_doc"), F.col("text_key").alias("_text")).join(needed.hint("shuffle_hash"), "node"))
-        here = self.docs.select("doc_id", text_key().alias("text_key"), "text")
-        texts = here.join(where.hint("shuffle_hash"), here["doc_id"].eqNullSafe(where["_doc"]) & (here["text_key"] == where["_text"]))
-        bags = stored(texts.select("node", "text").mapInArrow(_bags, "node bigint, shingles binary")).dropDuplicates(["node"])
-        bag = lambda p, c: bags.select(F.col("node").alias(p), F.col("shingles").alias(c)).hint("shuffle_hash")
-        held = pairs.select("a", "b").join(bag("a", "x"), "a").join(bag("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_verify, "a bigint, b bigint, similarity double")
-        found = stored(held.filter(F.col("similarity") >= SIMILARITY))
-        if not found.isEmpty():
-            self.links = found if self.links is None else self.links.unionByName(found)
-            self.labels = components(self.links.select("a", "b"))
-
-
-def components(links: DataFrame) -> DataFrame:
-    """(node, label): the smallest node of each node's component.
-
-    Alternates neighbourhood minima with pointer jumping; every round is a
-    written table and the driver sees only counts. Few links are spread over as
-    few tasks as they need, however many partitions the session has; many take
-    the session's, with partial minima and splitting of skewed joins.
-    """
-    edges = stored(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    count = edges.count()
-    by = lambda df, key: df.repartition(1 + count // LINKS_PER_TASK, key) if count < FEW_LINKS else df
-    edges = stored(by(edges, "b"))
-    labels = stored(by(edges, "a").groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumnRenamed("a", "node"))
-    while True:
-        beside = by(edges, "b").join(by(labels.select(F.col("node").alias("b"), "label"), "b").hint("merge"), "b").select("a", "label")
-        nearest = by(beside.withColumnRenamed("a", "node"), "node").groupBy("node").agg(F.min("label").alias("near"))
-        lower = by(labels, "node").join(nearest.hint("merge"), "node").select("node", F.least("label", "near").alias("to"), "label")
-        jump = by(labels.select(F.col("node").alias("to"), F.col("label").alias("far")), "to")
-        moved = stored(by(lower, "to").join(jump.hint("merge"), "to").select("node", F.least("to", "far").alias("label"), (F.least("to", "far") != F.col("label")).alias("moved")))
-        changed = moved.filter("moved").limit(1).count()
-        labels = moved.select("node", "label")
-        if not changed:
-            return labels
-
-
-def _multi(members: DataFrame) -> DataFrame:
-    """(bucket, node, n) of the buckets that hold two nodes or more."""
-    sizes = stored(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    return stored(members.join(sizes.hint("shuffle_hash"), "bucket"))
-
-
-def _stars(multi: DataFrame) -> DataFrame:
-    """(a, b, rank): every member with its bucket's lead.
-
-    The lead is the member whose buckets hold most nodes, which is where an
-    original stands among its edited copies: it is nearer to each of them than
-    they are to one another.
+
+def first_links(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links inside the blocks of each group, each block with its group's leads; and (group, blocks) of groups of several."""
+    groups = stored(found.groupBy("group").agg(*_count()).select("group", _blocks().alias("blocks")))
+    several = groups.filter("blocks > 1")
+    placed = found.join(groups, "group").withColumn("unit", F.xxhash64("group", _dealt(found, F.col("blocks"))))
+    best = Window.partitionBy("group").orderBy(F.desc("rank"), "node")
+    leads = found.join(several, "group").withColumn("place", F.row_number().over(best)).filter(F.col("place") <= LEADS)
+    leads = leads.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter(F.col("block") != _dealt(found, F.col("blocks")))
+    units = placed.drop("blocks").unionByName(leads.withColumn("unit", F.xxhash64("group", "block")).drop("blocks", "place", "block"))
+    return stored(_unit_links(units.withColumn("label", F.col("node")).withColumn("side", F.lit(0)))), several
+
+
+def more_links(found: DataFrame, several: DataFrame, links: DataFrame) -> DataFrame:
+    """Links between different classes of the groups of several blocks: the rest of their candidate pairs, block against block.
+
+    Only nodes in buckets that hold several classes take part. A class that fills a block has blocks of its own, which
+    do not meet each other; the other classes of a group share pooled blocks, which also meet themselves.
     """
-    rank = multi.groupBy("node").agg(F.sum("n").alias("rank"))
-    ranked = stored(multi.join(rank.hint("merge"), "node"))
-    lead = stored(ranked.groupBy("bucket").agg(F.max(F.struct("rank", "node")).alias("lead")))
-    pairs = ranked.join(lead.hint("merge"), "bucket").filter("lead.node != node")
-    return pairs.groupBy(F.col("lead.node").alias("a"), F.col("node").alias("b")).agg(F.max("lead.rank").alias("rank"))
-
-
-def _open(state: NearLinks, multi: DataFrame) -> DataFrame:
-    """The (bucket, node, n, label) of buckets that still hold several components."""
-    labelled = stored(state.label(multi, "node", "label"))
-    several = stored(labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("bucket"))
-    return labelled.join(several.hint("shuffle_hash"), "bucket")
-
-
-def _cross_pairs(state: NearLinks, multi: DataFrame) -> DataFrame:
-    """Likely pairs between different components inside the buckets that hold several, in blocks of BLOCK members."""
-    rest = _open(state, multi).join(state.nodes.select("node", "size", "small").hint("shuffle_hash"), "node")
-    rest = rest.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    block = F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int")
-    blocks = stored(rest.groupBy("bucket", "blocks", block.alias("block")).agg(F.collect_list(F.struct("node", "label", "size", "small")).alias("members")))
-    one = blocks.select("bucket", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.col("members").alias("one"))
-    two = blocks.select("bucket", F.col("block").alias("j"), F.col("members").alias("two"))
-    return one.join(two.hint("shuffle_hash"), ["bucket", "j"]).select("one", "two").mapInArrow(_cross, "a bigint, b bigint").distinct()
-
-
-def near_links(docs: DataFrame, nodes: DataFrame) -> NearLinks:
-    """Links between distinct multisets: stars first, then what stars left apart, bucket by bucket."""
-    state = NearLinks(docs, nodes)
-    members = nodes.select("node", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "node")
-    multi = _multi(members)
-    if multi.isEmpty():
-        return state
-    likely = state.likely(_stars(multi))
-    state.hold(likely.groupBy("b").agg(F.max_by("a", F.struct("rank", "a")).alias("a")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    state.hold(stored(state.apart(likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())))
-    # Buckets too large for one block meet again only where four further components agree in one of twelve groups:
-    # a pair of similarity 0.8 misses all twelve once in 500 times in one bucket, and has several buckets.
-    rng = np.random.default_rng(1)
-    groups = [sorted(int(i) for i in rng.choice(BANDS * ROWS, SPLIT_ROWS, replace=False)) for _ in range(SPLIT_BANDS)]
-    keys = F.array(*[F.xxhash64(F.lit(k), *[F.substring("small", i + 1, 1) for i in g]) for k, g in enumerate(groups)])
-    large = _open(state, multi.filter(F.col("n") > BLOCK)).join(nodes.select("node", "small").hint("shuffle_hash"), "node")
-    split = large.select("bucket", "node", F.explode(keys).alias("key")).select(F.xxhash64("bucket", "key").alias("bucket"), "node")
-    small = multi.filter(F.col("n") <= BLOCK)
-    state.hold(stored(_cross_pairs(state, small.unionByName(_multi(split)))))
-    return state
+    class_of = roots(links).select("node", F.col("root").alias("label"))
+    large = stored(found.join(several.select("group"), "group", "left_semi").join(class_of, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    buckets = large.select("node", "label", F.posexplode("bands").alias("band", "key")).select("node", "label", F.xxhash64("band", "key").alias("bucket"))
+    mixed = buckets.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("bucket")
+    open_ = stored(buckets.join(mixed.hint("merge"), "bucket", "left_semi").select("node").distinct())
+    rest = stored(large.join(open_.hint("shuffle_hash"), "node", "left_semi"))
+    own = rest.groupBy("group", "label").agg(*_count()).withColumn("own", (F.col("rows") >= BLOCK) | (F.col("bytes") >= BLOCK_BYTES))
+    pool = stored(own.withColumn("pool", F.when(F.col("own"), F.col("label"))))
+    sets = stored(pool.groupBy("group", "pool").agg(F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes")).select("group", "pool", _blocks().alias("n")))
+    named = rest.join(pool.select("group", "label", "pool"), ["group", "label"]).join(sets.withColumnRenamed("pool", "_pool").withColumnRenamed("group", "_group"), (F.col("group") == F.col("_group")) & F.col("pool").eqNullSafe(F.col("_pool"))).drop("_group", "_pool")
+    block = F.when(F.col("pool").isNull(), F.pmod(F.xxhash64("label", "node", F.lit("pool")), F.col("n"))).otherwise(_dealt(rest, F.col("n"))).cast("int")
+    named = stored(named.withColumn("block", F.xxhash64("group", "pool", block)).drop("n", "pool"))
+    # Sets of a group that meet: two different ones, or the pool with itself; then their blocks.
+    one, two = sets.select("group", F.col("pool").alias("p"), F.col("n").alias("np")), sets.select("group", F.col("pool").alias("q"), F.col("n").alias("nq"))
+    meet = one.join(two.hint("merge"), "group").filter("p is null or (q is not null and p < q)")
+    pairs = meet.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("np") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nq") - 1))).filter("q is not null or i <= j")
+    pairs = stored(pairs.select(F.xxhash64("group", "p", "i", "q", "j").alias("unit"), F.xxhash64("group", "p", "i").alias("x"), F.xxhash64("group", "q", "j").alias("y")))
+    first = pairs.select("unit", F.col("x").alias("block"), F.when(F.col("x") == F.col("y"), 0).otherwise(1).alias("side"))
+    second = pairs.filter("x != y").select("unit", F.col("y").alias("block"), F.lit(2).alias("side"))
+    return stored(_unit_links(named.join(first.unionByName(second).hint("shuffle_hash"), "block")))
+
+
+def near_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (a, b) of similarity SIMILARITY or more whose components are the classes of nodes (node, doc_id, text_key, size, bands)."""
+    found = stored(with_tokens(docs, stored(nodes.join(stored(candidate_groups(nodes)).hint("shuffle_hash"), "node"))))
+    links, several = first_links(found)
+    return links if several.isEmpty() else links.unionByName(more_links(found, several, links))
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs``: doc_id, text_key, class_id, size, kept."""
+    sketched = stored(sketches(docs))
+    # One node for each distinct multiset: its smallest row, numbered by a hash of the bag.
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), "text_key", "doc_id", "size", "bands"))
+    nodes = stored(sketched.groupBy("bag").agg(first.alias("f")).select(F.xxhash64("bag").alias("node"), "f.doc_id", "f.text_key", "f.size", "f.bands"))
+    label_of = stored(roots(near_links(docs, nodes))).withColumnRenamed("root", "label")
+    named = nodes.join(label_of.hint("shuffle_hash"), "node", "left").select("node", "doc_id", "text_key", F.coalesce("label", "node").alias("label"))
+    # The document that stays: the smallest doc_id, of rows that repeat it the smallest text.
+    stays = named.groupBy("label").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), "text_key", "doc_id")).alias("f"))
+    node_class = stored(named.select("node", "label").join(stays.hint("merge"), "label").select("node", F.col("f.doc_id").alias("class_id"), F.col("f.text_key").alias("class_text")))
+    rows = sketched.select("doc_id", "text_key", F.xxhash64("bag").alias("node"), "size").join(node_class.hint("merge"), "node")
+    kept = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_key") == F.col("class_text"))
+    rows = rows.select("doc_id", "text_key", "class_id", "size", kept.alias("kept"))
+    wordless = docs.filter(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    return rows.unionByName(wordless.select("doc_id", text_key().alias("text_key"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("size"), F.lit(True).alias("kept")))
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id (its class's smallest doc_id), size (its shingles), kept."""
-    sketched = stored(sketches(docs))
-    # One node for each distinct multiset: its smallest row, numbered by a hash of the bag.
-    first = F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), "doc_id", "text_key", "size", "bands", "small"))
-    nodes = stored(sketched.groupBy("bag").agg(first.alias("f")).select(F.xxhash64("bag").alias("node"), "f.doc_id", "f.text_key", "f.size", "f.bands", "f.small"))
-    state = near_links(docs, nodes)
-    named = state.label(nodes.select("node", "doc_id"), "node", "label")
-    class_of = named.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    node_class = stored(named.select("node", "label").join(class_of.hint("merge"), "label").select("node", "class_id"))
-    rows = sketched.select("doc_id", F.xxhash64("bag").alias("node"), "size").join(node_class.hint("merge"), "node").select("doc_id", "class_id", "size")
-    wordless = docs.filter(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("size"))
-    return rows.unionByName(wordless).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    return classes(docs).drop("text_key")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that are the smallest doc_id of their class."""
-    gone = stored(near_groups(docs).filter("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone["_gone"], "left_anti")
+    """The rows of ``docs``, all columns, that stand for their class; rows of one doc_id and text stay or go together, rows without doc_id stay."""
+    gone = stored(classes(docs).filter("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_gone_text")).distinct())
+    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(gone["_gone"]) & (F.xxhash64(F.lit("text"), docs["text"]) == gone["_gone_text"]), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
