@@ -1,13 +1,17 @@
 """What the corpus operators share: reading, keys and text as flat byte arrays."""
 
+import hashlib
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coterie.functions.storage import stored
 
-__all__ = ["BLANKS", "SPACES", "WORD", "bytes_of", "fold", "hash_words", "mix", "read", "stored", "text_key", "word_bounds"]
+__all__ = ["BLANKS", "SPACES", "WORD", "bytes_of", "fold", "hash_words", "mix", "numbered_pieces", "pieces", "read", "stored", "text_key", "word_bounds"]
 
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -93,3 +97,25 @@ def hash_words(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarra
         summed[:n] = summed[:n] * _ODD + _RANDOM[raw[at[:n] + j]]
     total[order] = summed
     return mix(total + length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def pieces(batch: pa.RecordBatch, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``most`` bytes of text, one row at least, so that arrays stay small."""
+    if not batch.num_rows:
+        return
+    part = np.cumsum(np.diff(bytes_of(batch.column("text"))[1])) // most
+    cuts = np.r_[0, np.flatnonzero(np.diff(part)) + 1, batch.num_rows]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        yield batch.slice(a, b - a)
+
+
+def numbered_pieces(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Pieces of a task, each with a number from its place and content: a task that reads other rows gives other numbers."""
+    task, k = TaskContext.get().partitionId(), 0
+    for piece in (p for b in batches for p in pieces(b, most)):
+        raw, starts = bytes_of(piece.column("text"))
+        content = hashlib.blake2b(f"{task} {k}".encode(), digest_size=8)
+        content.update(raw.tobytes())
+        content.update(starts.tobytes())
+        yield int.from_bytes(content.digest(), "little", signed=True), piece
+        k += 1

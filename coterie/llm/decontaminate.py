@@ -25,8 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coterie.llm.common import bytes_of, fold, hash_words, mix, read, stored, text_key, word_bounds
-from coterie.llm.near_dedup import _pieces
+from coterie.llm.common import bytes_of, fold, hash_words, mix, pieces, read, stored, text_key, word_bounds
 
 WINDOW, LITERALS, COVER = 8, 4, 0.5
 BITMAP = 1 << 25  # bits, four megabytes
@@ -136,7 +135,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, sizes = shared.value
         for batch in batches:
-            for piece in _pieces(batch):
+            for piece in pieces(batch):
                 raw, starts = bytes_of(piece.column("text"))
                 h, slot, begin, end, row = template(raw, starts)
                 rows, hashes, slots = [], [], []

@@ -23,8 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from coterie.llm.common import bytes_of, fold, hash_words, mix, read, stored, word_bounds
-from coterie.llm.near_dedup import _pieces
+from coterie.llm.common import bytes_of, fold, hash_words, mix, pieces, read, stored, word_bounds
 
 PER_LANGUAGE, WINDOWS, CHAIN = 300, 2, 64
 FEATURES, STEPS, PENALTY, RATE = 1 << 15, 50, 1e-3, 0.5
@@ -162,7 +161,7 @@ def predict(docs: DataFrame, model: dict | None) -> DataFrame:
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for piece in _pieces(batch):
+            for piece in pieces(batch):
                 raw, starts = bytes_of(piece.column("text"))
                 raw = fold(raw)
                 begin, end, row = word_bounds(raw, starts)

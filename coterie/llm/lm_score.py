@@ -19,19 +19,16 @@ but not learned from. Without training documents every token has probability
 one. Rows that repeat a doc_id are scored each. Extra columns are ignored.
 """
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coterie.llm.common import bytes_of, fold, hash_words, mix, read, stored, word_bounds
+from coterie.llm.common import bytes_of, fold, hash_words, mix, numbered_pieces, pieces, read, stored, word_bounds
 from coterie.llm.language_id import held_out
-from coterie.llm.near_dedup import _pieces
 
 HEAD, LEAST, DISCOUNT = 1e-6, 2, 0.75
 PIECE, PART = 1 << 22, 3 << 22  # bytes of text
@@ -256,24 +253,12 @@ def _log_probabilities(grams: Grams, answers: dict[int, bytes], hot_sums: dict,
     return known, np.log10(root), np.log10(p)
 
 
-def _numbered_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """Pieces of a task, each with a number from its place and content: a task that reads other rows gives other numbers."""
-    task, k = TaskContext.get().partitionId(), 0
-    for piece in (p for b in batches for p in _pieces(b, PIECE)):
-        raw, starts = bytes_of(piece.column("text"))
-        content = hashlib.blake2b(f"{task} {k}".encode(), digest_size=8)
-        content.update(raw.tobytes())
-        content.update(starts.tobytes())
-        yield int.from_bytes(content.digest(), "little", signed=True), piece
-        k += 1
-
-
 def score_texts(docs: DataFrame, training: Column, part_bytes: int = PART) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, n_known, train_tokens, base_score, score. training: which rows are learned from."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce(training, F.lit(False)).alias("learn"), "text")
     texts = rows.filter("learn").select("text")
-    count = texts.mapInArrow(lambda batches: _counted(tokens(p.column("text"))[0].view(np.int64) for b in batches for p in _pieces(b)), "key bigint, n bigint")
+    count = texts.mapInArrow(lambda batches: _counted(tokens(p.column("text"))[0].view(np.int64) for b in batches for p in pieces(b)), "key bigint, n bigint")
     counts = stored(count.groupBy("key").agg(F.sum("n").alias("n")))
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     frequent = counts.filter(F.col("n") >= max(2, total * HEAD)).toPandas()
@@ -289,7 +274,7 @@ def score_texts(docs: DataFrame, training: Column, part_bytes: int = PART) -> Da
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, ranks, _, often = shared.value
-        for number, piece in _numbered_pieces(batches):
+        for number, piece in numbered_pieces(batches, PIECE):
             h, first = tokens(piece.column("text"))
             learn = np.repeat(piece.column("learn").to_numpy(zero_copy_only=False).astype(bool), np.diff(first))
             out = list(_sent(Grams(h, first, words, ranks, often, parts), learn))
@@ -300,7 +285,7 @@ def score_texts(docs: DataFrame, training: Column, part_bytes: int = PART) -> Da
     sums = spark.sparkContext.broadcast([wide["v"].to_numpy(np.uint64), *(wide[x].to_numpy(np.int64) for x in "ckt")])
 
     def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, piece in _numbered_pieces(batches):
+        for number, piece in numbered_pieces(batches, PIECE):
             raw, starts = bytes_of(piece.column("text"))
             ids = pa.ListArray.from_arrays(pa.array([0, piece.num_rows], pa.int32()), piece.column("doc_id"))
             sizes = pa.ListArray.from_arrays(pa.array([0, piece.num_rows], pa.int32()), pa.array(np.diff(starts)))

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from coterie.functions.components import components, roots
-from coterie.llm.common import bytes_of, fold, hash_words, mix, read, stored, text_key, word_bounds
+from coterie.llm.common import bytes_of, fold, hash_words, mix, pieces, read, stored, text_key, word_bounds
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5
@@ -118,7 +118,7 @@ SKETCH = "doc_id bigint, text_key bigint, size bigint, bag binary, bands array<b
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = BANDS * ROWS
     for batch in batches:
-        for piece in _pieces(batch):
+        for piece in pieces(batch):
             raw, starts = bytes_of(piece.column("text"))
             row, h, count = shingles(raw, starts)
             if len(row):
@@ -149,16 +149,6 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _pieces(batch: pa.RecordBatch, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of about ``most`` bytes of text, one row at least, so that arrays stay small."""
-    if not batch.num_rows:
-        return
-    part = np.cumsum(np.diff(bytes_of(batch.column("text"))[1])) // most
-    cuts = np.r_[0, np.flatnonzero(np.diff(part)) + 1, batch.num_rows]
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        yield batch.slice(a, b - a)
-
-
 def sketches(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, size, bag, bands) of every row that has words; bag names the multiset, bands are the band keys."""
     return docs.select("doc_id", text_key().alias("text_key"), "text").mapInArrow(_sketch, SKETCH)
@@ -167,7 +157,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, tokens): a 64-bit hash for each occurrence of each shingle, so that overlaps of multisets are those of sets."""
     for batch in batches:
-        for piece in _pieces(batch):
+        for piece in pieces(batch):
             row, h, count = shingles(*bytes_of(piece.column("text")))
             again = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
             h, row = np.repeat(h, count), np.repeat(row, count)

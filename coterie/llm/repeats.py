@@ -2,13 +2,18 @@
 
 A byte goes if it lies in a string of ``LENGTH`` bytes that also starts in a
 document of smaller doc_id. Every window of that length is represented by its
-smallest hashed ``GRAM``-byte gram, so equal windows meet in one part, whichever
-documents they come from. A part holds the segments (runs of windows with one
-gram) of all scan blocks; each block's segments are a shard. Segments whose gram
-occurs in one document only leave at once, and so do windows whose hash does;
-equal runs of the rest are held once with the smallest doc_id, and each shard's
-transform is built from its own suffixes.
-
+smallest hashed ``GRAM``-byte gram, so equal windows have equal grams, whichever
+documents they come from; a segment is a run of windows with one gram.
+
+Texts are read in pieces of about ``PIECE`` bytes, in two turns. First each
+piece sends the hashes of its grams to parts, dealt by gram, and learns which
+occur elsewhere too. Then it sends the segments of those grams, equal ones once
+with their smallest doc_id, and learns which of their windows start in a smaller
+document. Short forms of hashes only let through segments that need not be.
+
+A part holds the segments of all pieces; those of some pieces are a shard, whose
+transform is built from its own suffixes. Windows whose hash occurs in one
+document only are left out, and equal runs of the rest are held once.
 The shards' transforms are then merged by iterative interleave refinement: the
 interleave sorted by h symbols (pairs of bytes) follows from the one sorted by
 h - 1 by a stable pass over the transforms' symbols, and the blocks of suffixes
@@ -16,7 +21,9 @@ with a common prefix of h split where symbols or the blocks before them differ.
 sorted again. After DEPTH passes each block is a repeated interval, whose
 smallest document decides for every window in it.
 
-Null and empty texts have no bytes. A row without doc_id comes after all others
+The input is read once a turn; rows that come back in other pieces than before
+stop the job with an error, so store a shuffled input first. Null and empty
+texts have no bytes. A row without doc_id comes after all others
 and gives none of them a reason to lose bytes. Rows that repeat a doc_id are one
 document for this purpose and lose nothing to each other. Extra columns are
 ignored.
@@ -26,16 +33,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  as pa.compute
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coterie.llm.common import bytes_of, mix, read, stored, text_key
-from coterie.llm.near_dedup import _pieces
+from coterie.llm.common import bytes_of, mix, numbered_pieces, read, stored
 
 LENGTH, GRAM = 50, 16
 DEPTH = LENGTH // 2  # of pairs of bytes, the symbols of the transforms
-PART_BYTES = 12 << 20
+PIECE = 4 << 20
+PART_BYTES = 4 << 20  # of text for each part
 CHUNK = 1 << 15  # windows hashed at a time, to stay in the processor's cache
 LAST = np.iinfo(np.int64).max
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -78,56 +86,117 @@ def _lowest(raw: np.ndarray) -> np.ndarray:
     return np.minimum(low[:n], low[wide - size : wide - size + n])
 
 
-PACKED = "part int, segments int, facts binary, content binary"
-FACTS = {"doc": np.int64, "key": np.int64, "at": np.int32, "windows": np.int32, "gram": np.uint32}
-PIECE = 4 << 20  # bytes of text packed at a time
-
+def _ranges(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... for each range, flat."""
+    return np.repeat(begin - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
 
-def _planes(values: np.ndarray) -> bytes:
-    """First bytes of all values, then second bytes and so on, which compresses small numbers well."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
 
+def _planed(x: np.ndarray) -> bytes:
+    """Non-negative numbers as their count, width and byte planes, which compresses small ones well."""
+    width = (int(x.max()).bit_length() + 7) // 8 if len(x) else 0
+    rows = np.ascontiguousarray(x.astype("<u8", copy=False)).view(np.uint8).reshape(-1, 8)[:, :width]
+    return len(x).to_bytes(8, "little") + bytes([width]) + rows.T.tobytes()
 
-def _facts(packed: bytes, n: int) -> list[np.ndarray]:
-    """The arrays of FACTS, of n values each, from their planes."""
-    flat, out, begin = np.frombuffer(packed, np.uint8), [], 0
-    for kind in FACTS.values():
-        wide = np.dtype(kind).itemsize
-        out.append(np.ascontiguousarray(flat[begin : begin + n * wide].reshape(wide, n).T).view(kind).ravel())
-        begin += n * wide
-    return out
 
+def _blob(*arrays: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(map(_planed, arrays)))
 
-def _ranges(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """begin[0], begin[0] + 1, ... for each range, flat."""
-    return np.repeat(begin - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
 
+def _unblob(data: bytes) -> list[np.ndarray]:
+    raw, at, out = zstandard.ZstdDecompressor().decompress(data), 0, []
+    while at < len(raw):
+        n, width = int.from_bytes(raw[at : at + 8], "little"), raw[at + 8]
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, :width] = np.frombuffer(raw, np.uint8, n * width, at + 9).reshape(width, n).T
+        out.append(wide.view("<u8").ravel())
+        at += 9 + n * width
+    return out
 
-def packed_segments(docs: DataFrame, parts: int) -> DataFrame:
-    """One row per scan block and part, with the block's segments of that part as flat arrays, compressed for the shuffle."""
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class Segments:
+    """The segments of a piece of texts by part, and the piece's distinct grams, sorted by part and short hash."""
+
+    def __init__(self, raw: np.ndarray, starts: np.ndarray, doc: np.ndarray, parts: int):
+        gram, row, at, windows = segments(raw, starts)
+        spread = mix(gram)
+        part = ((spread >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+        key = part.astype(np.uint64) << np.uint64(32) | (spread & np.uint64(0xFFFFFFFF))
+        keys, self.gram = np.unique(key, return_inverse=True)
+        self.part, self.short = (keys >> np.uint64(32)).astype(np.int64), keys & np.uint64(0xFFFFFFFF)
+        self.cuts = np.searchsorted(self.part, self.part[np.r_[True, self.part[1:] != self.part[:-1]]]) if len(keys) else np.zeros(0, np.int64)
+        self.raw, self.starts, self.row, self.at, self.windows = raw, starts, row, at, windows
+        self.doc = doc[row]
+        low, high = np.full(len(keys), LAST), np.full(len(keys), np.iinfo(np.int64).min)
+        np.minimum.at(low, self.gram, self.doc)
+        np.maximum.at(high, self.gram, self.doc)
+        self.several = low != high
+
+    def grams(self) -> Iterator[tuple[int, bytes]]:
+        """(part, data): the short hashes of the piece's grams and whether several of its documents have them."""
+        for a, b in zip(self.cuts, np.r_[self.cuts[1:], len(self.part)], strict=True):
+            yield int(self.part[a]), _blob(np.diff(self.short[a:b], prepend=np.uint64(0)), np.packbits(self.several[a:b]))
+
+    def keep(self, answers: dict[int, bytes]) -> None:
+        """Leaves the segments whose gram the parts have seen elsewhere, equal ones as one, in the order of their parts."""
+        again = np.zeros(len(self.part), bool)
+        for a, b in zip(self.cuts, np.r_[self.cuts[1:], len(self.part)], strict=True):
+            again[a:b] = np.unpackbits(_unblob(answers[int(self.part[a])])[0].astype(np.uint8), count=b - a)
+        live = np.flatnonzero(again[self.gram])
+        live = live[np.argsort(self.part[self.gram[live]], kind="stable")]
+        self.row, self.at, self.windows, self.doc, of_part = self.row[live], self.at[live], self.windows[live], self.doc[live], self.part[self.gram[live]]
+        number: dict[bytes, int] = {}
+        whole = self.raw.tobytes()
+        self.of = np.array([number.setdefault(whole[a : a + n], len(number)) for a, n in zip(self.at.tolist(), (self.windows + LENGTH - 1).tolist(), strict=True)], np.int64)
+        self.text = list(number)  # equal segments have one gram, so a part's are together
+        self.owner = np.full(len(number), LAST)
+        np.minimum.at(self.owner, self.of, self.doc)
+        self.text_part = np.zeros(len(number), np.int64)
+        self.text_part[self.of] = of_part
+
+    def texts(self) -> Iterator[tuple[int, bytes, bytes]]:
+        """(part, facts, content) of the segments left."""
         packer = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            for piece in _pieces(batch, PIECE):
-                raw, starts = bytes_of(piece.column("text"))
-                gram, row, at, windows = segments(raw, starts)
-                part = (mix(gram) % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                cuts = np.searchsorted(part[order], np.arange(parts + 1))
-                row, at, windows = row[order], at[order], windows[order]
-                of_row = piece.column("doc_id").fill_null(LAST).to_numpy()[row], piece.column("text_key").to_numpy()[row]
-                # The high half of a gram's hash suffices to tell that it occurs in one document only.
-                facts = [*of_row, (at - starts[row]).astype(np.int32), windows.astype(np.int32), (gram[order] >> np.uint64(32)).astype(np.uint32)]
-                out: list[list] = [[] for _ in range(4)]
-                for p in np.flatnonzero(np.diff(cuts)):
-                    a, b = cuts[p], cuts[p + 1]
-                    content = raw[_ranges(at[a:b], windows[a:b] + LENGTH - 1)]
-                    for c, x in zip(out, (int(p), int(b - a), packer.compress(b"".join(_planes(f[a:b]) for f in facts)), packer.compress(content.tobytes())), strict=True):
-                        c.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())], names=["part", "segments", "facts", "content"])
-
-    return docs.select("doc_id", text_key().alias("text_key"), F.col("text")).mapInArrow(scan, PACKED)
+        edges = np.flatnonzero(np.r_[True, self.text_part[1:] != self.text_part[:-1]]) if len(self.text) else np.zeros(0, np.int64)
+        for a, b in zip(edges, np.r_[edges[1:], len(self.text)], strict=True):
+            size = np.array([len(t) for t in self.text[a:b]])
+            yield int(self.text_part[a]), _blob(self.owner[a:b].view(np.uint64), size), packer.compress(b"".join(self.text[a:b]))
+
+    def removed(self, answers: dict[int, bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each row of the piece the begins and ends of the byte ranges to remove, merged, in order."""
+        offset = {int(p): int(a) for p, a in zip(*np.unique(self.text_part, return_index=True), strict=True)}
+        found = [(x[0].astype(np.int64) + offset[part], *(y.astype(np.int64) for y in x[1:])) for part, x in ((p, _unblob(d)) for p, d in answers.items())]
+        text, first, n = (np.concatenate(x) if found else np.zeros(0, np.int64) for x in (zip(*found, strict=True) if found else ((), (), ())))
+        order = np.argsort(text, kind="stable")
+        text, first, n = text[order], first[order], n[order]
+        # A place in the segment's smallest document loses what the parts say; in another, all of it.
+        later = np.flatnonzero(self.doc > self.owner[self.of])
+        same = np.flatnonzero(self.doc == self.owner[self.of])
+        a, b = np.searchsorted(text, self.of[same], "left"), np.searchsorted(text, self.of[same], "right")
+        run = _ranges(a, b - a)
+        place = np.repeat(same, b - a)
+        begin = np.r_[self.at[later], self.at[place] + first[run]]
+        end = np.r_[self.at[later] + self.windows[later], self.at[place] + first[run] + n[run]] + LENGTH - 1
+        row = np.r_[self.row[later], self.row[place]]
+        order = np.argsort(begin, kind="stable")
+        begin, end, row = begin[order], np.maximum.accumulate(end[order]) if len(order) else end, row[order]
+        new = np.flatnonzero(np.r_[True, (begin[1:] > end[:-1]) | (row[1:] != row[:-1])]) if len(begin) else np.zeros(0, np.int64)
+        last = np.r_[new[1:], len(begin)] - 1 if len(new) else new
+        begin, end, row = begin[new], end[last], row[new]
+        cuts = np.searchsorted(row, np.arange(len(self.starts)))
+        return [(begin[x:y] - s, end[x:y] - s) for x, y, s in zip(cuts[:-1], cuts[1:], self.starts[:-1], strict=True)]
+
+
+def _seen_elsewhere(table: pa.Table) -> pa.Table:
+    """Answers each piece which of its grams of a part several documents have."""
+    sent = [_unblob(x) for x in table.column("data").to_pylist()]
+    short = [np.cumsum(x[0], dtype=np.uint64).astype(np.uint32) for x in sent]
+    several = np.concatenate([np.unpackbits(x[1].astype(np.uint8), count=len(s)) for x, s in zip(sent, short, strict=True)]).astype(bool)
+    _, of, n = np.unique(np.concatenate(short), return_inverse=True, return_counts=True)
+    again = n > 1
+    again[of[several]] = True
+    cuts = np.cumsum([len(s) for s in short])[:-1]
+    out = [_blob(np.packbits(x)) for x in np.split(again[of], cuts)]
+    return pa.table({"piece": table.column("piece"), "part": table.column("part"), "data": pa.array(out, pa.binary())})
 
 
 def window_hashes(raw: np.ndarray) -> np.ndarray:
@@ -249,20 +318,13 @@ def _repeated_runs(live: np.ndarray, doc: np.ndarray, windows: np.ndarray, conte
     return live[s], opens - (np.cumsum(n) - n)[s], closes - opens + 1
 
 
-def covered_windows(doc: np.ndarray, gram: np.ndarray, windows: np.ndarray, content: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def covered_windows(doc: np.ndarray, windows: np.ndarray, content: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For every segment and window, flat, the smallest document of an equal window; and where each segment's begin."""
     at = np.r_[0, np.cumsum(windows)]
     answer = np.repeat(doc, windows)
     length = windows + LENGTH - 1
     begin = np.cumsum(length) - length
-    _, g = np.unique(gram, return_inverse=True)
-    low, high = np.full(g.max() + 1, LAST), np.full(g.max() + 1, np.iinfo(np.int64).min)
-    np.minimum.at(low, g, doc)
-    np.maximum.at(high, g, doc)
-    live = np.flatnonzero((low != high)[g])
-    if not len(live):
-        return answer, at
-    live, start, count = _repeated_runs(live, doc, windows, content, begin)
+    live, start, count = _repeated_runs(np.arange(len(doc)), doc, windows, content, begin)
     if not len(live):
         return answer, at
     # Equal runs once, with their smallest document, in the shard where they were first seen.
@@ -298,60 +360,92 @@ def covered_windows(doc: np.ndarray, gram: np.ndarray, windows: np.ndarray, cont
     return answer, at
 
 
-def repeated_spans(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
-    """(doc_id, text_key, spans): the byte ranges to remove, as pairs begin, end; for documents that have any."""
-    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    parts = max(1, -(-total * 4 // part_bytes))
-
-    def one(table: pa.Table) -> pa.Table:
-        unpack = zstandard.ZstdDecompressor().decompress
-        sizes = table.column("segments").to_pylist()
-        facts = [_facts(unpack(x.as_py()), n) for x, n in zip(table.column("facts"), sizes, strict=True)]
-        doc, key, at_byte, windows, gram = (np.concatenate(x) for x in zip(*facts, strict=True))
-        windows = windows.astype(np.int64)
-        content = np.frombuffer(b"".join(unpack(x.as_py()) for x in table.column("content")), np.uint8)
-        shard = np.repeat(np.arange(len(sizes)), sizes)
-        answer, at = covered_windows(doc, gram, windows, content, shard)
-        segment = np.repeat(np.arange(len(doc)), windows)
-        gone = answer < doc[segment]
-        place = np.arange(len(answer)) - at[segment]
-        edge = np.flatnonzero(gone & np.r_[True, ~gone[:-1] | (segment[1:] != segment[:-1])])
-        stop = np.flatnonzero(gone & np.r_[~gone[1:] | (segment[1:] != segment[:-1]), True]) if len(gone) else edge
-        s = segment[edge]
-        begin = at_byte[s].astype(np.int64)
-        ids = pa.array(doc[s], pa.int64(), mask=doc[s] == LAST)
-        return pa.table({"doc_id": ids, "text_key": pa.array(key[s]), "begin": pa.array(begin + place[edge]), "end": pa.array(begin + place[stop] + LENGTH)})
-
-    found = packed_segments(docs, parts).groupBy("part").applyInArrow(one, "doc_id bigint, text_key bigint, begin bigint, end bigint")
-    return found.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("spans"))
-
-
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def _answered(table: pa.Table) -> pa.Table:
+    """Answers each piece which windows of its segments of a part start in a smaller document: (segment, first window, windows)."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    facts = [_unblob(x) for x in table.column("facts").to_pylist()]
+    sizes = np.array([len(f[0]) for f in facts])
+    doc = np.concatenate([f[0] for f in facts]).view(np.int64)
+    windows = np.concatenate([f[1] for f in facts]).astype(np.int64) - LENGTH + 1
+    content = np.frombuffer(b"".join(unpack(x) for x in table.column("content").to_pylist()), np.uint8)
+    shard = np.repeat(np.arange(len(sizes)), sizes)
+    answer, at = covered_windows(doc, windows, content, shard)
+    segment = np.repeat(np.arange(len(doc)), windows)
+    gone = answer < doc[segment]
+    other = np.r_[True, segment[1:] != segment[:-1]]
+    opens = np.flatnonzero(gone & (other | np.r_[True, ~gone[:-1]]))
+    closes = np.flatnonzero(gone & np.r_[other[1:] | ~gone[1:], True])
+    s = segment[opens]
+    first = np.cumsum(sizes) - sizes
+    cuts = np.searchsorted(shard[s], np.arange(len(sizes) + 1))
+    out = [_blob(s[a:b] - f, opens[a:b] - at[s[a:b]], closes[a:b] - opens[a:b] + 1) for a, b, f in zip(cuts[:-1], cuts[1:], first, strict=True)]
+    return pa.table({"piece": table.column("piece"), "part": table.column("part"), "data": pa.array(out, pa.binary())})
+
+
+CARRIED = "piece bigint, doc_ids array<bigint>, sizes array<bigint>, texts binary"
+DATA = "piece bigint, part int, data binary"
+
+
+def _documents(piece: pa.RecordBatch) -> np.ndarray:
+    return piece.column("doc_id").fill_null(LAST).to_numpy()
+
+
+def _carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pieces themselves, compressed, one row each."""
+    for number, piece in numbered_pieces(batches, PIECE):
+        raw, starts = bytes_of(piece.column("text"))
+        lists = [pa.ListArray.from_arrays(pa.array([0, piece.num_rows], pa.int32()), x) for x in (piece.column("doc_id"), pa.array(np.diff(starts)))]
+        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *lists, pa.array([zstandard.ZstdCompressor(level=3).compress(raw.tobytes())], pa.binary())], names=["piece", "doc_ids", "sizes", "texts"])
+
+
+def _read_back(carried: pa.Table, answers: pa.Table, parts: int) -> tuple[pa.Array, Segments]:
+    if carried.num_rows != 1:
+        raise RuntimeError("the input gave other rows when it was read again")
+    ids, sizes = carried.column("doc_ids").combine_chunks().flatten(), carried.column("sizes").combine_chunks().flatten().to_numpy()
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(carried.column("texts")[0].as_py()), np.uint8)
+    found = Segments(raw, np.r_[0, np.cumsum(sizes)].astype(np.int64), ids.fill_null(LAST).to_numpy(), parts)
+    found.keep(_by_part(answers))
+    return ids, found
+
+
+def _by_part(answers: pa.Table) -> dict[int, bytes]:
+    return dict(zip(answers.column("part").to_pylist(), answers.column("data").to_pylist(), strict=True))
+
+
+def remove_repeats(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept (bytes that remain)."""
-    spans = stored(repeated_spans(docs).select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_text"), "spans"))
-    here = docs.select("doc_id", text_key().alias("text_key"), "text")
-    joined = here.join(spans.hint("shuffle_hash"), here["doc_id"].eqNullSafe(spans["_doc"]) & (here["text_key"] == spans["_text"]), "left").select("doc_id", "text", "spans")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            size, removed, runs, kept = [], [], [], []
-            for t, ranges in zip(batch.column("text"), batch.column("spans"), strict=True):
-                raw = (t.as_py() or "").encode()
-                merged: list[list[int]] = []
-                for r in ranges.as_py() or []:
-                    if merged and r["begin"] <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], r["end"])
-                    else:
-                        merged.append([r["begin"], r["end"]])
-                edges = [0, *[x for m in merged for x in m], len(raw)]
-                size.append(len(raw))
-                removed.append(sum(b - a for a, b in merged))
-                runs.append(len(merged))
-                kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
-            longs = [pa.array(x, pa.int64()) for x in (size, removed, runs)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *longs, pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
-
-    return joined.mapInArrow(cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(1, -(-total // part_bytes))
+    rows = docs.select("doc_id", "text")
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, piece in numbered_pieces(batches, PIECE):
+            out = list(Segments(*bytes_of(piece.column("text")), _documents(piece), parts).grams())
+            yield pa.RecordBatch.from_arrays([pa.array([number] * len(out), pa.int64()), pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["piece", "part", "data"])
+
+    def texts(carried: pa.Table, answers: pa.Table) -> pa.Table:
+        _, found = _read_back(carried, answers, parts)
+        out = list(found.texts())
+        number = carried.column("piece")[0].as_py()
+        return pa.table([pa.array([number] * len(out), pa.int64()), pa.array([x[0] for x in out], pa.int32()), *(pa.array([x[k] for x in out], pa.binary()) for k in (1, 2))], names=["piece", "part", "facts", "content"])
+
+    def cut(carried: pa.Table, answers: pa.Table) -> pa.Table:
+        windows = pa.compute.equal(answers.column("turn"), 2)
+        ids, found = _read_back(carried, answers.filter(pa.compute.invert(windows)), parts)
+        spans = found.removed(_by_part(answers.filter(windows)))
+        kept = []
+        for a, b, (begin, end) in zip(found.starts[:-1], found.starts[1:], spans, strict=True):
+            text, edges = found.raw[a:b].tobytes(), [0, *np.stack([begin, end], axis=1).ravel().tolist(), b - a]
+            kept.append(b"".join(text[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)))
+        longs = [np.diff(found.starts), np.array([int((e - b).sum()) for b, e in spans], np.int64), np.array([len(b) for b, _ in spans], np.int64)]
+        return pa.table([ids, *(pa.array(x, pa.int64()) for x in longs), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+
+    elsewhere = stored(rows.mapInArrow(send, DATA).groupBy("part").applyInArrow(lambda t: _seen_elsewhere(t), DATA))
+    carried = rows.mapInArrow(_carry, CARRIED)
+    sent = carried.groupBy("piece").cogroup(elsewhere.groupBy("piece")).applyInArrow(texts, "piece bigint, part int, facts binary, content binary")
+    windows = stored(sent.groupBy("part").applyInArrow(lambda t: _answered(t), DATA))
+    answers = elsewhere.withColumn("turn", F.lit(1)).unionByName(windows.withColumn("turn", F.lit(2)))
+    return carried.groupBy("piece").cogroup(answers.groupBy("piece")).applyInArrow(cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
