@@ -11,6 +11,7 @@ context, whose number grows with the input. A part adds up the pieces' counts
 and answers each piece with its n-grams' counts and its contexts' sums, and the
 piece scores its tokens with them. Order 2 after a hot word is dealt by n-gram;
 the sums of those words, whose number is at most half the parts, are broadcast.
+How often a context occurs follows from the counts of its own words.
 Words with a share of ``HEAD`` of all tokens have short numbers in what is sent;
 other words are sent with their hashes, so this bound changes no score.
 
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 from coterie.llm.common import bytes_of, fold, hash_words, mix, numbered_pieces, pieces, read, stored, word_bounds
 from coterie.llm.language_id import held_out
 
-HEAD, LEAST, DISCOUNT = 1e-6, 2, 0.75
-PIECE, PART = 1 << 22, 3 << 22  # bytes of text
+HEAD, LEAST, DISCOUNT = 2.5e-7, 2, 0.75  # at most four million words have a share of HEAD, 24 bytes each in what is broadcast
+PIECE, PART = 1 << 22, 1 << 23  # bytes of text
 BITS = 21  # of a word's number in a piece, so that three fit in one key
 FOLDS, FOLD = 7, 2
 END = np.uint64(0x0E0D)  # stands for the end of a text; no word's hash, but for one chance in 2 ** 64
@@ -93,7 +94,7 @@ def _planed(x: np.ndarray) -> bytes:
 
 
 def _blob(*arrays: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(map(_planed, arrays)))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(map(_planed, arrays)))
 
 
 def _unblob(data: bytes) -> list[np.ndarray]:
@@ -207,7 +208,7 @@ def _part_counts(hot: np.ndarray):
         owner = context[of[first]]
         del n, of, first
         kept = np.where(total >= LEAST, total, 0)
-        sums = [np.bincount(owner, weights=x, minlength=len(first_context)).astype(np.int64) for x in (total, kept, kept > 0)]
+        sums = [np.bincount(owner, weights=x, minlength=len(first_context)).astype(np.int64) for x in (kept, kept > 0)]
         data, a, c = [], 0, 0
         for grams, contexts in sizes:
             b, d = a + grams, c + contexts
@@ -219,37 +220,44 @@ def _part_counts(hot: np.ndarray):
         pieces = table.column("piece").combine_chunks().cast(pa.int64()).to_pylist()
         columns = [pieces + [None] * more, table.column("part").to_pylist() + [None] * more, data + [None] * more]
         stats = [[None] * len(data) + x[wide].astype(np.int64).tolist() for x in (v, *sums)]
-        kinds = [pa.int64(), pa.int32(), pa.binary(), *[pa.int64()] * 4]
-        return pa.table([pa.array(x, k) for x, k in zip(columns + stats, kinds, strict=True)], names=["piece", "part", "data", "v", "c", "k", "t"])
+        kinds = [pa.int64(), pa.int32(), pa.binary(), *[pa.int64()] * 3]
+        return pa.table([pa.array(x, k) for x, k in zip(columns + stats, kinds, strict=True)], names=["piece", "part", "data", "v", "k", "t"])
 
     return one
 
 
-def _log_probabilities(grams: Grams, answers: dict[int, bytes], hot_sums: dict, counts: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each token: count, log-probability by the root alone, and by the model."""
+def _log_probabilities(grams: Grams, first: np.ndarray, answers: dict[int, bytes], hot_sums: list, counts: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each token: count, log-probability by the root alone, and by the model.
+
+    Every word in training texts has one token after it, so a context occurs as often as its last word or pair is counted.
+    """
     size = len(grams.V)
-    n, total, kept, kinds = (np.zeros(size, np.int64) for _ in range(4))
+    n, kept, kinds = (np.zeros(size, np.int64) for _ in range(3))
     for part, (a, b) in enumerate(zip(grams.cuts[:-1], grams.cuts[1:], strict=True)):
         if b > a:
             got = _unblob(answers[part])
             each = np.diff(np.r_[grams.opens(a, b), b - a])
             n[a:b] = got[0]
-            for out, x in zip((total, kept, kinds), got[1:], strict=True):
+            for out, x in zip((kept, kinds), got[1:], strict=True):
                 out[a:b] = np.repeat(x, each)
     ids, *sums = hot_sums
     if len(ids):
         at = np.minimum(np.searchsorted(ids, grams.V), len(ids) - 1)
         wide = np.flatnonzero(grams.split & (ids[at] == grams.V))
-        for out, x in zip((total, kept, kinds), sums, strict=True):
+        for out, x in zip((kept, kinds), sums, strict=True):
             out[wide] = x[at[wide]]
-    below = np.maximum(total, 1)
-    arc = np.where(n >= LEAST, n - DISCOUNT, 0) / below
-    freed = 1 - (kept - DISCOUNT * kinds) / below
     known = counts[np.maximum(grams.number, 0)] if len(counts) else np.zeros(len(grams.number), np.int64)
     known[grams.rare] = n[grams.at1]
     root = (known + 1) / scale
-    p = arc[grams.at2] + freed[grams.at2] * root
-    p[grams.three] = arc[grams.at3] + freed[grams.at3] * p[grams.three]
+    before = np.r_[0, known[:-1]]
+    before[first[:-1]] = known[first[1:] - 1]  # a text starts after an end
+
+    def step(at: np.ndarray, context: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        below = np.maximum(context, 1)
+        return (np.where(n[at] >= LEAST, n[at] - DISCOUNT, 0) + (below - kept[at] + DISCOUNT * kinds[at]) * lower) / below
+
+    p = step(grams.at2, before, root)
+    p[grams.three] = step(grams.at3, n[grams.at2[grams.three - 1]], p[grams.three])
     return known, np.log10(root), np.log10(p)
 
 
@@ -280,9 +288,9 @@ def score_texts(docs: DataFrame, training: Column, part_bytes: int = PART) -> Da
             out = list(_sent(Grams(h, first, words, ranks, often, parts), learn))
             yield pa.RecordBatch.from_arrays([pa.array([number] * len(out), pa.int64()), pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["piece", "part", "data"])
 
-    answered = stored(rows.mapInArrow(send, "piece bigint, part int, data binary").groupBy("part").applyInArrow(_part_counts(hot), "piece bigint, part int, data binary, v bigint, c bigint, k bigint, t bigint"))
-    wide = answered.filter("v is not null").groupBy("v").agg(*[F.sum(x).alias(x) for x in "ckt"]).toPandas().sort_values("v")
-    sums = spark.sparkContext.broadcast([wide["v"].to_numpy(np.uint64), *(wide[x].to_numpy(np.int64) for x in "ckt")])
+    answered = stored(rows.mapInArrow(send, "piece bigint, part int, data binary").groupBy("part").applyInArrow(_part_counts(hot), "piece bigint, part int, data binary, v bigint, k bigint, t bigint"))
+    wide = answered.filter("v is not null").groupBy("v").agg(*[F.sum(x).alias(x) for x in "kt"]).toPandas().sort_values("v")
+    sums = spark.sparkContext.broadcast([wide["v"].to_numpy(np.uint64), *(wide[x].to_numpy(np.int64) for x in "kt")])
 
     def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, piece in numbered_pieces(batches, PIECE):
@@ -299,7 +307,7 @@ def score_texts(docs: DataFrame, training: Column, part_bytes: int = PART) -> Da
         raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(carried.column("texts")[0].as_py()), np.uint8)
         h, first = tokens_of(raw, np.r_[0, np.cumsum(sizes)].astype(np.int64))
         data = dict(zip(answers.column("part").to_pylist(), answers.column("data").to_pylist(), strict=True))
-        known, base, model = _log_probabilities(Grams(h, first, words, ranks, often, parts), data, sums.value, often_n, scale)
+        known, base, model = _log_probabilities(Grams(h, first, words, ranks, often, parts), first, data, sums.value, often_n, scale)
         each = [np.diff(first), np.add.reduceat((known > 0).astype(np.int64), first[:-1]), np.full(len(ids), total), np.add.reduceat(base, first[:-1]), np.add.reduceat(model, first[:-1])]
         return pa.table([ids, *map(pa.array, each)], names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
