@@ -84,7 +84,7 @@ def test_base_score_equals_brute_force(spark):
 def test_surrogates_keep_form_distinctness_and_coreference(spark):
     t = "Mail joe.01@mail8.example.com or JOE.01@mail8.example.com, call +1 (917) 555-2670 or 1-917-555-2670, card 4111 1111 1111 1111, at 12.71.76.174, Maria."
     rows = [(1, t, "", "", ""), (2, "nothing here 12 apples", "", "", ""), (3, None, "", "", ""), (4, "joe.02@mail8.example.com", "", "", "")]
-    got = {r.doc_id: r for r in surrogates.surrogate_texts(docs(spark, rows)).collect()}
+    got = {r.doc_id: r for r in surrogates.surrogate_texts(docs(spark, rows), b"k").collect()}
     new = got[1].text
     assert got[1].n_entities == 7 and got[2].text == rows[1][1] and got[3].text is None
     assert not any(x in new for x in ("joe.01", "JOE.01", "555-2670", "4111 1111", "12.71.76.174", "Maria"))

@@ -18,6 +18,9 @@ from coterie.llm import surrogates
         ("+44 20 7946 0958 2021 1234", [("phone", "442079460958")]),
         ("415-555-1234 4111 1111 1111 1111 10.1.2.3", [("phone", "4155551234"), ("card", "4111111111111111"), ("ip", "10.1.2.3")]),
         ("MARIA and maria, ΓΙΏΡΓΟΣ", [("name", "maria"), ("name", "maria"), ("name", "γιώργος")]),
+        ("at 2024-01-15 10:20:33 or 15.01.2024, ISBN 978-0-306-40615-7", []),
+        ("2024-01-15 415-555-1234", [("phone", "4155551234")]),
+        ("x" * 70 + "@mail.example.com", [("email", "x" * 70 + "@mail.example.com")]),
         ("12 apples, 3.1415926 and 300.300.300.300", []),
     ],
 )
@@ -27,3 +30,18 @@ def test_each_entity_is_found_beside_others(text, wanted):
 
 def test_names_keep_their_case():
     assert surrogates.rendered("name", "MARIA", "anna") == "ANNA" and surrogates.rendered("name", "maria", "anna") == "anna" and surrogates.rendered("name", "Maria", "anna") == "Anna"
+
+
+def test_short_formats_are_widened_until_no_surrogate_is_an_entity(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(i, f"{a}@{b}.com") for i, (a, b) in enumerate((a, b) for a in letters for b in letters)]
+    got = surrogates.surrogate_texts(spark.createDataFrame(rows, "doc_id bigint, text string"), b"k").collect()
+    texts = {r.text for r in got}
+    assert len(got) == len(texts) == 676 and not texts & {t for _, t in rows}
+
+
+def test_a_key_is_needed_and_decides(spark):
+    df = spark.createDataFrame([(1, "joe.01@mail8.example.com")], "doc_id bigint, text string")
+    with pytest.raises(ValueError):
+        surrogates.surrogate_texts(df, b"")
+    assert len({surrogates.surrogate_texts(df, k).first().text for k in (b"k", b"l")}) == 2
