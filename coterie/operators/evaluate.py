@@ -33,9 +33,9 @@ def largest_overlap(blocks: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def landed_in(members: DataFrame, candidates: DataFrame, flagged: DataFrame, share: float = 0.5) -> DataFrame:
-    """For each new group the candidate that holds max(2, n * share) of it, and its status. flagged(cluster_key, flagged)."""
+    """For each new group the candidate that holds max(2, floor(n * share)) of it, and its status. flagged(cluster_key, flagged)."""
     n = members.groupBy("set_id").agg(F.count(F.lit(1)).alias("n"))
-    held = overlap_pairs(members, candidates).join(n, F.col("a_id") == F.col("set_id")).filter(F.col("overlap") >= F.greatest(F.lit(2), F.col("n") * share))
+    held = overlap_pairs(members, candidates).join(n, F.col("a_id") == F.col("set_id")).filter(F.col("overlap") >= F.greatest(F.lit(2), F.floor(F.col("n") * share)))
     best = _first(held, "a_id", [F.desc("overlap"), F.asc("b_id")]).select(F.col("a_id").alias("set_id"), F.col("b_id").alias("cluster_key"))
     out = n.join(best, "set_id", "left").join(flagged, "cluster_key", "left")
     status = F.when(F.col("cluster_key").isNull(), "not_clustered").when(F.coalesce("flagged", F.lit(False)), "flagged").otherwise("clustered_not_flagged")
@@ -133,9 +133,10 @@ def new_false_positives(now: DataFrame, control: DataFrame, key: str) -> DataFra
 
 
 def period_trend(metrics: DataFrame) -> DataFrame:
-    """metrics(series, period, recall): decaying, flat or inconclusive."""
-    t = metrics.groupBy("series").agg(F.min_by("recall", "period").alias("first"), F.max_by("recall", "period").alias("last"), F.count(F.lit(1)).alias("periods"), F.count_if(F.col("recall").isNull()).alias("unknown"))
-    trend = F.when((F.col("periods") < 2) | (F.col("unknown") > 0), "inconclusive").when(F.col("last") < F.col("first"), "decaying").otherwise("flat")
+    """metrics(series, period, recall): decaying if the last period is below the first, flat if all agree, else inconclusive."""
+    t = metrics.groupBy("series").agg(F.min_by("recall", "period").alias("first"), F.max_by("recall", "period").alias("last"), F.min("recall").alias("least"), F.max("recall").alias("most"), F.count_if(F.col("recall").isNull()).alias("unknown"))
+    same = (F.col("most") - F.col("first") < 1e-9) & (F.col("first") - F.col("least") < 1e-9)
+    trend = F.when(F.col("unknown") > 0, "inconclusive").when(F.col("last") < F.col("first") - 1e-9, "decaying").when(same, "flat").otherwise("inconclusive")
     return t.select("series", "first", "last", trend.alias("trend"))
 
 

@@ -68,13 +68,13 @@ def cluster_features(edges: DataFrame, membership: DataFrame, device: DataFrame,
     return reduce(lambda a, b: a.join(b, "cluster_key", "left"), parts)
 
 
-def cod_features(membership: DataFrame, accounts: DataFrame, orders: DataFrame) -> DataFrame:
-    """accounts(user_id, address); orders(user_id, order_value, is_cod, is_refused)."""
+def cod_features(edges: DataFrame, membership: DataFrame, accounts: DataFrame, orders: DataFrame) -> DataFrame:
+    """edges(src, dst, signals); accounts(user_id, address); orders(user_id, order_value, is_cod, is_refused)."""
     address = shared_value(membership, accounts.select(F.col("user_id").alias("member"), F.col("address").alias("value")), "address")
     rows = membership.join(orders.withColumnRenamed("user_id", "member"), "member", "left")
     n, cod = F.count("order_value"), F.count_if(F.expr("is_cod"))
-    money = rows.groupBy("cluster_key").agg(F.countDistinct("member").alias("size"), n.alias("n_orders"), cod.alias("n_cod"), F.round(cod / F.nullif(n, F.lit(0)), 3).alias("cod_fraction"), F.round(F.count_if(F.col("is_cod") & F.col("is_refused")) / F.nullif(cod, F.lit(0)), 3).alias("refusal_rate"), F.round(F.round(F.avg("order_value"), 6), 2).alias("avg_order_value"), F.when((n >= 2) & (F.avg("order_value") > 0), F.round(F.stddev_samp("order_value") / F.avg("order_value"), 4)).alias("order_value_cv"))
-    return money.join(address, "cluster_key")
+    money = rows.groupBy("cluster_key").agg(n.alias("n_orders"), cod.alias("n_cod_orders"), F.coalesce(F.round(cod / F.nullif(n, F.lit(0)), 3), F.lit(0.0)).alias("cod_fraction"), F.round(F.count_if(F.col("is_cod") & F.col("is_refused")) / F.nullif(cod, F.lit(0)), 3).alias("refusal_rate"), F.round(F.round(F.avg("order_value"), 6), 2).alias("avg_order_value"), F.when((n >= 2) & (F.avg("order_value") > 0), F.round(F.stddev_samp("order_value") / F.avg("order_value"), 4)).alias("order_value_cv"))
+    return density(edges, membership).join(signals_present(edges, membership), "cluster_key", "left").join(money, "cluster_key").join(address, "cluster_key")
 
 
 def validity(edges: DataFrame, membership: DataFrame) -> DataFrame:
@@ -86,7 +86,13 @@ def validity(edges: DataFrame, membership: DataFrame) -> DataFrame:
     per = named.groupBy("cluster_key", F.coalesce("piece", "node").alias("piece")).agg(F.count(F.lit(1)).alias("n")).groupBy("cluster_key").agg(F.count(F.lit(1)).alias("pieces"), F.max("n").alias("largest"), F.sum("n").alias("size"))
     count = inside.groupBy("cluster_key").agg(F.count(F.lit(1)).alias("internal_edges"))
     out = per.join(count, "cluster_key", "left").withColumn("internal_edges", F.coalesce("internal_edges", F.lit(0)))
-    return out.select("cluster_key", "internal_edges", "pieces", (F.col("pieces") == 1).alias("single_block"), F.round(2 * F.col("internal_edges") / F.col("size"), 4).alias("avg_degree"), F.round(F.col("largest") / F.col("size"), 4).alias("largest_share"))
+    return out.select("cluster_key", "internal_edges", "pieces", (F.col("pieces") == 1).alias("single_block"), F.round(2 * F.col("internal_edges") / F.col("size"), 2).alias("avg_degree"), F.round(F.col("largest") / F.col("size"), 3).alias("largest_share"))
+
+
+def validity_summary(checked: DataFrame) -> DataFrame:
+    """One row over validity's: groups, those of one block, fragmented ones, and the share of the former."""
+    solid = F.count_if("single_block")
+    return checked.agg(F.count(F.lit(1)).alias("groups"), solid.alias("single_blocks"), F.count_if(~F.col("single_block")).alias("fragmented"), F.round(solid / F.nullif(F.count(F.lit(1)), F.lit(0)), 4).alias("single_block_share"))
 
 
 def bounded_diameter(edges: DataFrame, membership: DataFrame, most: int = 50) -> DataFrame:

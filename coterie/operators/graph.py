@@ -8,9 +8,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CAP = 100
+from coterie.functions.storage import stored
+
+# Names of signals by priority, those of the hard graph, and the weights of each.
 PRIORITY = ["shared_instrument", "shared_device", "ip_subnet_overlap", "referral_link", "shared_address", "phone_prefix"]
 HARD = ["shared_instrument", "shared_device", "shared_address"]
+WEIGHTS = {"shared_instrument": 4.0, "shared_device": 3.0, "ip_subnet_overlap": 2.0, "shared_address": 4.0, "phone_prefix": 2.0}
 
 
 def valid_value(c: Column) -> Column:
@@ -23,14 +26,24 @@ def _groups(incidence: DataFrame, cap: int | None, keys: list[str]) -> DataFrame
     return sizes.filter(F.col("n") <= cap) if cap else sizes
 
 
-def shared_attribute_edges(incidence: DataFrame, signal: str, weight: float, cap: int | None = CAP) -> DataFrame:
-    """An edge for every pair that shares a value; groups above the cap make none. Repeated rows add their weight again."""
+def shared_attribute_edges(incidence: DataFrame, signal: str, weight: float, cap: int | None = None) -> DataFrame:
+    """An edge for every pair that shares a value; groups above a cap make none, if one is given. Repeated rows add their weight again.
+
+    A group of n makes n (n - 1) / 2 edges; where only reachability counts, star_edges links groups of any size with n - 1.
+    """
     valid = incidence.select("id", "value").filter(valid_value(F.col("value")))
-    small = valid.join(_groups(valid, cap, ["value"]).select("value"), "value", "left_semi")
+    small = stored(valid.join(_groups(valid, cap, ["value"]).select("value"), "value", "left_semi"))
     pairs = small.alias("a").join(small.alias("b"), (F.col("a.value") == F.col("b.value")) & (F.col("a.id") < F.col("b.id")))
     return pairs.groupBy(F.col("a.id").alias("src"), F.col("b.id").alias("dst")).agg((F.count(F.lit(1)) * F.lit(float(weight))).alias("weight")).withColumn("signals", F.array(F.lit(signal)))
 
 
+def star_edges(incidence: DataFrame) -> DataFrame:
+    """(src, dst) from the smallest holder of each value to its other holders: the components of all pairs, in linear size."""
+    valid = incidence.select("id", "value").filter(valid_value(F.col("value")))
+    lead = valid.groupBy("value").agg(F.min("id").alias("src"), F.max("id").alias("last")).filter("src != last")
+    return valid.join(lead.select("value", "src"), "value").filter("src != id").select("src", F.col("id").alias("dst")).distinct()
+
+
 def referral_edges(referrals: DataFrame, signup: DataFrame, claim: DataFrame) -> DataFrame:
     """Both ends known; 2.0 within 6 hours from signup to claim, 1.3 within 48, else or unknown 0.8."""
     known = signup.select(F.col("user_id").alias("referrer_user_id"))
@@ -46,8 +59,9 @@ def merge_edges(*edges: DataFrame) -> DataFrame:
     return rows.groupBy("src", "dst").agg(F.sum("weight").alias("weight"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("signals")))).alias("signals"))
 
 
-def build_entity_graph(device: DataFrame, instrument: DataFrame, subnet: DataFrame, referral: DataFrame, cap: int | None = CAP) -> DataFrame:
-    return merge_edges(shared_attribute_edges(device, "shared_device", 4.0, cap), shared_attribute_edges(instrument, "shared_instrument", 4.0, cap), shared_attribute_edges(subnet, "ip_subnet_overlap", 2.0, cap), referral)
+def build_entity_graph(device: DataFrame, instrument: DataFrame, subnet: DataFrame, referral: DataFrame, cap: int | None = None) -> DataFrame:
+    parts = (("shared_device", device), ("shared_instrument", instrument), ("ip_subnet_overlap", subnet))
+    return merge_edges(*[shared_attribute_edges(incidence, signal, WEIGHTS[signal], cap) for signal, incidence in parts], referral)
 
 
 def hard_subgraph(edges: DataFrame, hard: list[str] = HARD) -> DataFrame:
@@ -55,15 +69,15 @@ def hard_subgraph(edges: DataFrame, hard: list[str] = HARD) -> DataFrame:
     return edges.filter(F.arrays_overlap("signals", wanted)).withColumn("signals", F.array_intersect("signals", wanted))
 
 
-def prefix_edges(accounts: DataFrame, n: int = 9, cap: int | None = CAP) -> DataFrame:
-    return shared_attribute_edges(accounts.filter(F.length("phone") >= n).select("id", F.substring("phone", 1, n).alias("value")), "phone_prefix", 1.5, cap)
+def prefix_edges(accounts: DataFrame, n: int = 9, cap: int | None = None) -> DataFrame:
+    return shared_attribute_edges(accounts.filter(F.length("phone") >= n).select("id", F.substring("phone", 1, n).alias("value")), "phone_prefix", WEIGHTS["phone_prefix"], cap)
 
 
-def address_edges(accounts: DataFrame, cap: int | None = CAP) -> DataFrame:
-    return shared_attribute_edges(accounts.select("id", F.col("address").alias("value")), "shared_address", 4.0, cap)
+def address_edges(accounts: DataFrame, cap: int | None = None) -> DataFrame:
+    return shared_attribute_edges(accounts.select("id", F.col("address").alias("value")), "shared_address", WEIGHTS["shared_address"], cap)
 
 
-def co_destination_edges(flows: DataFrame, cap: int = CAP) -> DataFrame:
+def co_destination_edges(flows: DataFrame, cap: int | None = None) -> DataFrame:
     """Per capture: sources that share dst:port; weight is the number of shared destinations."""
     once = flows.select("capture", "src", F.concat_ws(":", "dst", "port").alias("value")).distinct()
     small = once.join(_groups(once, cap, ["capture", "value"]).select("capture", "value"), ["capture", "value"], "left_semi")

@@ -83,20 +83,22 @@ def score(model, df: DataFrame) -> DataFrame:
     return model(df).withColumn("score", F.get(vector_to_array("probability"), 1)).drop("vector", "scaled", "weight", "rawPrediction", "probability", "prediction")
 
 
-def effect_sizes(df: DataFrame, k: int = 10) -> DataFrame:
-    """Cohen's d of each feature (features array, label), the k largest by absolute value."""
-    long = df.select("label", F.posexplode("features").alias("idx", "x"))
-    m = long.groupBy("idx").agg(*[f(F.when(F.col("label") == c, F.col("x").cast("double"))).alias(f"{n}{c}") for c in (0, 1) for n, f in (("mean", F.avg), ("std", F.stddev_pop))])
+def effect_sizes(train: DataFrame, k: int = 10) -> DataFrame:
+    """Cohen's d of each feature (features array, label), the k largest by absolute value, with sign, mean and std over all rows."""
+    long = train.select("label", F.posexplode("features").alias("idx", "x")).withColumn("x", F.col("x").cast("double"))
+    by_class = [f(F.when(F.col("label") == c, F.col("x"))).alias(f"{n}{c}") for c in (0, 1) for n, f in (("mean", F.avg), ("std", F.stddev_pop))]
+    m = long.groupBy("idx").agg(*by_class, F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
     pooled = F.sqrt((F.col("std0") * F.col("std0") + F.col("std1") * F.col("std1")) / 2)
-    d = m.withColumn("d", F.when(pooled > 0, (F.col("mean1") - F.col("mean0")) / pooled).otherwise(0.0))
+    d = m.withColumn("d", F.when(pooled > 1e-9, (F.col("mean1") - F.col("mean0")) / pooled).otherwise(0.0))
+    d = d.withColumn("sign", F.when(F.col("d") < 0, -1.0).otherwise(1.0)).withColumn("std", F.when(F.col("std") < 1e-9, 1.0).otherwise(F.col("std")))
     return d.orderBy(F.desc(F.abs("d")), "idx").limit(k)
 
 
 def z_score_sum(df: DataFrame, selection: DataFrame) -> DataFrame:
-    """(id, z): mean signed z of the selected features (idx, d, mean0, std0)."""
+    """(id, z): mean signed z of the features in selection (idx, sign, mean, std), at most some tens of rows."""
     long = df.select("id", F.posexplode("features").alias("idx", "x"))
-    j = long.join(F.broadcast(selection.filter("std0 > 0").select("idx", "d", "mean0", "std0")), "idx")
-    return j.groupBy("id").agg(F.avg(F.signum("d") * (F.col("x") - F.col("mean0")) / F.col("std0")).alias("z"))
+    j = long.join(F.broadcast(selection.select("idx", "sign", "mean", "std")), "idx")
+    return j.groupBy("id").agg(F.avg(F.col("sign") * (F.col("x") - F.col("mean")) / F.col("std")).alias("z"))
 
 
 def pr_points(scores: DataFrame) -> DataFrame:
@@ -135,13 +137,24 @@ def top_k_metrics(scores: DataFrame, ks: list[int]) -> DataFrame:
     return each.groupBy("k").agg((F.count_if(F.expr("label = 1")) / F.count(F.lit(1))).alias("precision"), (F.count_if(F.expr("label = 1")) / F.lit(float(total) or None)).alias("recall"), F.min("score").alias("lowest"))
 
 
-def segmented_threshold(scores: DataFrame, segment: str) -> DataFrame:
-    """Each segment's own best-F1 threshold, and pooled alerts, tp, positives under them."""
-    per = scores.groupBy(segment, "score").agg(F.count_if(F.expr("label = 1")).alias("p"), F.count(F.lit(1)).alias("a"))
-    w = Window.partitionBy(segment).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    total = Window.partitionBy(segment)
-    f1 = F.round(2 * F.sum("p").over(w) / (F.sum("a").over(w) + F.sum("p").over(total)), 9)
-    return per.withColumn("f1", f1).groupBy(segment).agg(F.max_by("score", F.struct("f1", -F.col("score"))).alias("threshold"), F.max("f1").alias("f1"))
+def segmented_threshold(validation: DataFrame, holdout: DataFrame, segment: str) -> DataFrame:
+    """Each segment's best-F1 threshold on validation and its alerts, tp and positives on holdout; a row without segment pools them.
+
+    Running counts are global ones less those of the segments before, so a segment of any size is spread over tasks.
+    """
+    per = stored(validation.groupBy(segment, "score").agg(F.count_if(F.expr("label = 1")).alias("p"), F.count(F.lit(1)).alias("a")))
+    run = stored(running_sums(per, [F.col(segment), F.desc("score")], {"cp": "p", "ca": "a"}))
+    base = run.groupBy(F.col(segment).alias("_segment")).agg(F.min(F.col("cp") - F.col("p")).alias("bp"), F.min(F.col("ca") - F.col("a")).alias("ba"), F.sum("p").alias("total"))
+    f1 = F.round(2 * (F.col("cp") - F.col("bp")) / (F.col("ca") - F.col("ba") + F.col("total")), 9)
+    best = run.join(base.hint("merge"), F.col(segment).eqNullSafe(F.col("_segment"))).withColumn("f1", f1).groupBy("_segment").agg(F.max_by("score", F.struct("f1", -F.col("score"))).alias("threshold"), F.max("f1").alias("f1"))
+    hit = F.col("score") >= F.col("threshold")
+    held = holdout.join(best.hint("merge"), F.col(segment).eqNullSafe(F.col("_segment")), "left")
+    rows = held.groupBy(segment).agg(F.first("threshold").alias("threshold"), F.first("f1").alias("f1"), F.count_if(hit).alias("alerts"), F.count_if(hit & (F.col("label") == 1)).alias("tp"), F.count_if(F.col("label") == 1).alias("positives"))
+    rows = stored(rows)
+    pooled = rows.agg(*[F.sum(c).alias(c) for c in ("alerts", "tp", "positives")])
+    f1 = F.round(2 * F.col("tp") / F.nullif(F.col("alerts") + F.col("positives"), F.lit(0)), 9)
+    none = F.lit(None).cast(rows.schema[segment].dataType).alias(segment)
+    return rows.unionByName(pooled.select(none, F.lit(None).cast("double").alias("threshold"), f1.alias("f1"), "alerts", "tp", "positives"))
 
 
 def threshold_for_recall(sweep: DataFrame, target: float) -> DataFrame:

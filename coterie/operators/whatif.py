@@ -1,10 +1,9 @@
 """What-if replay and cost (I)."""
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from coterie.functions.storage import stored
 from coterie.operators.rules import PARAMETERS, parameters, verdict
 
 
@@ -15,10 +14,16 @@ def replay(features: DataFrame, name: str, values: list[float]) -> DataFrame:
 
 
 def missed_cost(truth: DataFrame, referrals: DataFrame) -> DataFrame:
-    """(set_id, cost): paid bonuses that touch a set, each once; truth(set_id, member), referrals(referral_id, referrer, referred, bonus, status)."""
+    """(set_id, cost, mean_cost): paid bonuses that touch a set, each once, 0 without any; and their mean over all sets.
+
+    truth(set_id, member), referrals(referral_id, referrer, referred, bonus, status).
+    """
     paid = referrals.filter("status = 'paid'")
     ends = paid.select("referral_id", "bonus", F.explode(F.array("referrer", "referred")).alias("member"))
-    return truth.join(ends, "member").dropDuplicates(["set_id", "referral_id"]).groupBy("set_id").agg(F.round(F.sum("bonus"), 2).alias("cost"))
+    cost = truth.join(ends.hint("merge"), "member").dropDuplicates(["set_id", "referral_id"]).groupBy("set_id").agg(F.sum("bonus").alias("cost"))
+    every = stored(truth.select("set_id").distinct().join(cost, "set_id", "left").select("set_id", F.coalesce("cost", F.lit(0.0)).alias("cost")))
+    mean = every.agg(F.round(F.avg("cost"), 4).alias("mean_cost"))
+    return every.crossJoin(F.broadcast(mean)).select("set_id", F.round("cost", 2).alias("cost"), "mean_cost")
 
 
 def fp_cost_scenarios(orders: DataFrame, review: float = 150.0) -> DataFrame:
@@ -49,21 +54,24 @@ def impact(features: DataFrame, name: str, value: float) -> DataFrame:
 CHECKS = [("spread_out_days", "signup_span_days"), ("diverse_order_cv", "order_value_cv"), ("engaged_sessions", "post_signup_engagement")]
 
 
-def parameter_gap(features: DataFrame) -> DataFrame:
-    """For clusters one organic point short of clearing: the check with the smallest margin to its threshold."""
+def parameter_gap(judged: DataFrame) -> DataFrame:
+    """For each cluster that was not flagged: its passing organic checks and, where losing one of them would end
+    its clearance, the one with the smallest margin over its threshold."""
     p = parameters()
-    rows = features.select("cluster_key", F.explode(F.array(*[F.struct(F.lit(n).alias("parameter"), (p[n] - F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias("gap")) for n, c in CHECKS])).alias("g")).select("cluster_key", "g.*")
-    n = rows.groupBy("cluster_key").agg(F.count_if(F.expr("gap <= 0")).alias("passing"), F.min_by("parameter", F.when(F.col("gap") > 0, F.struct("gap", "parameter"))).alias("parameter"), F.min(F.when(F.col("gap") > 0, F.col("gap"))).alias("gap"))
-    return n.select("cluster_key", "passing", "parameter", F.round("gap", 4).alias("gap"))
+    clear = judged.filter("not flagged")
+    checks = F.array(*[F.struct((F.col(c).cast("double") - p[n]).alias("margin"), F.lit(k).alias("place"), F.lit(n).alias("parameter"), F.col(c).cast("double").alias("value")) for k, (n, c) in enumerate(CHECKS)])
+    passing = F.filter(checks, lambda x: x["margin"] >= 0)
+    least = F.when(F.col("organic_score") - 1 < p["soft_clear_organic_threshold"], F.array_min("checks"))
+    out = clear.select("cluster_key", "organic_score", passing.alias("checks"))
+    return out.select("cluster_key", F.size("checks").alias("passing"), least["parameter"].alias("parameter"), least["value"].alias("value"), F.round(least["margin"], 4).alias("margin"))
 
 
 def propose_value(gaps: DataFrame) -> DataFrame:
-    """One step past the gap, on the parameter's grid and inside its range; null where that changes nothing."""
-    spark = gaps.sparkSession
-    table = reduce(DataFrame.unionByName, [spark.range(1).select(F.lit(k).alias("parameter"), *[F.lit(x).alias(c) for x, c in zip(v, ("now", "least", "most", "step"), strict=True)]) for k, v in PARAMETERS.items()])
-    j = gaps.filter("parameter is not null").join(F.broadcast(table), "parameter")
-    wanted = F.greatest("least", F.least("most", F.round(F.floor((F.col("now") - F.col("gap")) / F.col("step")) * F.col("step"), 4)))
-    return j.select("cluster_key", "parameter", F.when(F.abs(wanted - F.col("now")) > 1e-9, wanted).alias("proposed"))
+    """The threshold raised one step past the cluster's value, on the parameter's grid and inside its range; null where that changes nothing."""
+    of = lambda k: F.create_map(*[F.lit(x) for n, v in PARAMETERS.items() for x in (n, v[k])])[F.col("parameter")]
+    j = gaps.filter("parameter is not null").select("cluster_key", "parameter", "value", *[of(k).alias(c) for k, c in enumerate(("now", "least", "most", "step"))])
+    wanted = F.greatest("least", F.least("most", F.round(F.rint((F.col("value") + F.col("step")) / F.col("step")) * F.col("step"), 6)))
+    return j.select("cluster_key", "parameter", F.when(F.abs(wanted - F.col("now")) > 1e-6, wanted).alias("proposed"))
 
 
 def side_by_side(baseline: DataFrame, proposed: DataFrame, key: str, measures: list[str]) -> DataFrame:

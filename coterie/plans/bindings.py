@@ -1,5 +1,7 @@
 """The test tables seen as the entity tables of the operators, in Spark and in SQL."""
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,13 @@ LABEL = "case when event_type = 'error' and value > p90 then 'From-Botnet' when
 
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir
+        self.spark, self.dir, self.kept = spark, sf_dir, {}
+
+    def once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """What a query mentions several times, written once."""
+        if name not in self.kept:
+            self.kept[name] = stored(build())
+        return self.kept[name]
 
     def t(self, name: str) -> DataFrame:
         """A table; its times without zone are read in the session's zone, as the operators compare instants."""
@@ -53,22 +61,22 @@ class Tables:
         return j.select(F.col("o_custkey").alias("id"), F.concat_ws("|", F.col(key).cast("string"), F.date_format("l_shipdate", "yyyy-MM-dd")).alias("value")).distinct()
 
     def strong(self) -> DataFrame:
-        return graph.shared_attribute_edges(self.incidence("l_partkey"), "shared_device", 4.0)
+        return self.once("strong", lambda: graph.shared_attribute_edges(self.incidence("l_partkey"), "shared_device", graph.WEIGHTS["shared_device"]))
 
     def weak(self) -> DataFrame:
-        return graph.shared_attribute_edges(self.incidence("l_suppkey"), "ip_subnet_overlap", 2.0)
+        return graph.shared_attribute_edges(self.incidence("l_suppkey"), "ip_subnet_overlap", graph.WEIGHTS["ip_subnet_overlap"])
 
     def edges(self) -> DataFrame:
-        return graph.merge_edges(self.strong(), self.weak())
+        return self.once("edges", lambda: graph.merge_edges(self.strong(), self.weak()))
 
     def membership(self) -> DataFrame:
-        return cluster.connected_components(self.strong())
+        return self.once("membership", lambda: cluster.connected_components(graph.star_edges(self.incidence("l_partkey"))))
 
     def sets(self, df: DataFrame) -> DataFrame:
         return df.select(F.col("cluster_key").alias("set_id"), "member")
 
     def truth(self) -> DataFrame:
-        return self.sets(cluster.connected_components(graph.shared_attribute_edges(self.incidence("l_partkey", 0.09), "shared_device", 4.0)))
+        return self.once("truth", lambda: self.sets(cluster.connected_components(graph.star_edges(self.incidence("l_partkey", 0.09)))))
 
     def orders(self) -> DataFrame:
         return self.t("orders").select(F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("order_id"), F.col("o_totalprice").alias("order_value"), F.col("o_orderdate").alias("order_date"))
@@ -97,15 +105,18 @@ class Tables:
         return self.t("customer").filter("c_mktsegment != 'FURNITURE'").select(F.col("c_custkey").alias("id"), (F.col("c_mktsegment") == "MACHINERY").cast("int").alias("label"))
 
     def features(self) -> DataFrame:
-        m = stored(self.membership())
-        return stored(features.cluster_features(stored(self.edges()), m, self.member(self.device()), self.member(self.instrument()), self.signup(), self.claim(), self.sessions(), self.orders()))
+        m = self.membership()
+        return self.once("features", lambda: features.cluster_features(self.edges(), m, self.member(self.device()), self.member(self.instrument()), self.signup(), self.claim(), self.sessions(), self.orders()))
 
     def judged(self) -> DataFrame:
         return rules.verdict(self.features())
 
     def flagged_sets(self) -> DataFrame:
-        """Components of even keys stand for flagged clusters in evaluation queries."""
-        return self.sets(self.membership()).filter("set_id % 2 = 0")
+        """The clusters flagged by their density of positive labels, with their members; the rules flag none of these tables' clusters."""
+        return self.sets(self.membership().join(self.flags().filter("flagged"), "cluster_key", "left_semi"))
+
+    def flags(self) -> DataFrame:
+        return self.once("flags", lambda: self.density_rows().select("cluster_key", F.coalesce(F.col("density") > 0.3, F.lit(False)).alias("flagged")))
 
     def density_rows(self) -> DataFrame:
         return features.label_density(self.membership(), self.node_labels())
@@ -120,8 +131,8 @@ ins AS (SELECT user_id AS id, arg_min(k, event_id) AS value FROM ev WHERE event_
 si AS (SELECT DISTINCT o_custkey AS id, l_partkey || '|' || strftime(l_shipdate, '%Y-%m-%d') AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 ti AS (SELECT DISTINCT o_custkey AS id, l_partkey || '|' || strftime(l_shipdate, '%Y-%m-%d') AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_discount < 0.09),
 wi AS (SELECT DISTINCT o_custkey AS id, l_suppkey || '|' || strftime(l_shipdate, '%Y-%m-%d') AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-strong AS (SELECT a.id AS src, b.id AS dst, count(*) * 4.0 AS weight, 'shared_device' AS signal FROM si a JOIN si b ON a.value = b.value AND a.id < b.id WHERE a.value IN (SELECT value FROM si GROUP BY 1 HAVING count(*) <= 100) GROUP BY 1, 2),
-weak AS (SELECT a.id AS src, b.id AS dst, count(*) * 2.0 AS weight, 'ip_subnet_overlap' AS signal FROM wi a JOIN wi b ON a.value = b.value AND a.id < b.id WHERE a.value IN (SELECT value FROM wi GROUP BY 1 HAVING count(*) <= 100) GROUP BY 1, 2),
+strong AS (SELECT a.id AS src, b.id AS dst, count(*) * 3.0 AS weight, 'shared_device' AS signal FROM si a JOIN si b ON a.value = b.value AND a.id < b.id GROUP BY 1, 2),
+weak AS (SELECT a.id AS src, b.id AS dst, count(*) * 2.0 AS weight, 'ip_subnet_overlap' AS signal FROM wi a JOIN wi b ON a.value = b.value AND a.id < b.id GROUP BY 1, 2),
 tstrong AS (SELECT DISTINCT a.id AS src, b.id AS dst FROM ti a JOIN ti b ON a.value = b.value AND a.id < b.id),
 edges AS (SELECT src, dst, sum(weight) AS weight, array_to_string(list_sort(list_distinct(list(signal))), ',') AS signals FROM (SELECT * FROM strong UNION ALL SELECT * FROM weak) GROUP BY 1, 2),
 adj AS (SELECT src, dst FROM strong UNION ALL SELECT dst, src FROM strong),
@@ -130,13 +141,13 @@ comp AS (SELECT min(m) AS cluster_key, n AS member FROM reach GROUP BY n),
 tadj AS (SELECT src, dst FROM tstrong UNION ALL SELECT dst, src FROM tstrong),
 treach AS (SELECT DISTINCT src AS n, src AS m FROM tadj UNION SELECT treach.n, tadj.dst FROM treach JOIN tadj ON treach.m = tadj.src),
 truth AS (SELECT min(m) AS set_id, n AS member FROM treach GROUP BY n),
-fl AS (SELECT cluster_key AS set_id, member FROM comp WHERE cluster_key % 2 = 0),
+nl AS (SELECT c_custkey AS id, CAST(c_mktsegment = 'MACHINERY' AS INT) AS label FROM customer WHERE c_mktsegment <> 'FURNITURE'),
+ld AS (SELECT cluster_key, count(label) AS labeled, coalesce(sum(label), 0) AS positives, avg(label) AS density FROM comp LEFT JOIN nl ON member = id GROUP BY 1),
+fl AS (SELECT cluster_key AS set_id, member FROM comp WHERE cluster_key IN (SELECT cluster_key FROM ld WHERE density > 0.3)),
 ov AS (SELECT t.set_id AS a_id, f.set_id AS b_id, count(*) AS overlap, count(*) / any_value(tn.n) AS recall, count(*) / any_value(fn.n) AS "precision" FROM truth t JOIN fl f USING (member)
     JOIN (SELECT set_id, count(*) AS n FROM truth GROUP BY 1) tn ON tn.set_id = t.set_id JOIN (SELECT set_id, count(*) AS n FROM fl GROUP BY 1) fn ON fn.set_id = f.set_id GROUP BY 1, 2),
 best AS (SELECT s.set_id, b.b_id AS cluster_key FROM (SELECT DISTINCT set_id FROM truth) s LEFT JOIN
     (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY least(recall, "precision") DESC, b_id) AS p FROM ov WHERE recall >= 0.5 AND "precision" >= 0.5) b ON s.set_id = b.a_id AND b.p = 1),
-nl AS (SELECT c_custkey AS id, CAST(c_mktsegment = 'MACHINERY' AS INT) AS label FROM customer WHERE c_mktsegment <> 'FURNITURE'),
-ld AS (SELECT cluster_key, count(label) AS labeled, coalesce(sum(label), 0) AS positives, avg(label) AS density FROM comp LEFT JOIN nl ON member = id GROUP BY 1),
 ind AS (SELECT a.cluster_key, e.* FROM edges e JOIN comp a ON e.src = a.member JOIN comp b ON e.dst = b.member WHERE a.cluster_key = b.cluster_key),
 sz AS (SELECT cluster_key, count(*) AS size FROM comp GROUP BY 1),
 f01 AS (SELECT s.cluster_key, size, coalesce(n, 0) AS n_edges, CASE WHEN size > 1 THEN round(coalesce(n, 0) / (size * (size - 1) / 2), 4) ELSE 0 END AS edge_density FROM sz s LEFT JOIN (SELECT cluster_key, count(*) AS n FROM ind GROUP BY 1) USING (cluster_key)),
@@ -161,10 +172,10 @@ flows AS (SELECT CAST(user_id AS VARCHAR) AS src, k AS dst, event_type AS port,
     case when event_type = 'error' and value > (SELECT quantile_cont(value, 0.9) FROM events) then 'From-Botnet' when event_type = 'view' then 'From-Normal' else 'Background' end AS label FROM ev),
 hosts AS (SELECT capture || ':' || src AS host, * FROM flows),
 cod AS (SELECT o_custkey AS user_id, o_totalprice, o_orderpriority IN ('1-URGENT', '2-HIGH') AS is_cod, o_orderstatus = 'F' AS is_refused FROM orders),
-f10 AS (SELECT c.cluster_key, count(DISTINCT member) AS size, count(o_totalprice) AS n_orders, count(*) FILTER (WHERE is_cod) AS n_cod, round(count(*) FILTER (WHERE is_cod) / nullif(count(o_totalprice), 0), 3) AS cod_fraction,
+f10 AS (SELECT * FROM f01 LEFT JOIN f02 USING (cluster_key) JOIN (SELECT c.cluster_key, count(o_totalprice) AS n_orders, count(*) FILTER (WHERE is_cod) AS n_cod_orders, coalesce(round(count(*) FILTER (WHERE is_cod) / nullif(count(o_totalprice), 0), 3), 0) AS cod_fraction,
     round(count(*) FILTER (WHERE is_cod AND is_refused) / nullif(count(*) FILTER (WHERE is_cod), 0), 3) AS refusal_rate, round(round(avg(o_totalprice), 6), 2) AS avg_order_value,
     CASE WHEN count(o_totalprice) >= 2 AND avg(o_totalprice) > 0 THEN round(stddev_samp(o_totalprice) / avg(o_totalprice), 4) END AS order_value_cv, any_value(shared_device) AS shared_address, any_value(shared_device_frac) AS shared_address_frac
-    FROM comp c LEFT JOIN cod ON member = user_id JOIN f03d USING (cluster_key) GROUP BY 1),
+    FROM comp c LEFT JOIN cod ON member = user_id JOIN f03d USING (cluster_key) GROUP BY 1) USING (cluster_key)),
 sc AS (SELECT l.doc_id AS id, (n_chars % 1000) / 1000.0 AS score, toxic AS label, n_chars % 3 AS segment FROM labels l JOIN documents d USING (doc_id)),
 pr AS (SELECT score, p, n, sum(p) OVER w AS tp, sum(n) OVER w AS fp, sum(p) OVER () AS pos, sum(n) OVER () AS neg FROM (SELECT score, count(*) FILTER (WHERE label = 1) AS p, count(*) FILTER (WHERE label <> 1) AS n FROM sc GROUP BY 1) WINDOW w AS (ORDER BY score DESC)),
 aud AS (SELECT event_id AS audit_id, user_id AS cluster_key, event_type AS event FROM events)

@@ -141,16 +141,16 @@ add("d03_referral_edges", lambda b: text(referral(b), "signals"), f", {REFERRED}
 add("d04_merge_edges", lambda b: text(b.edges(), "signals"), "SELECT * FROM edges")
 
 
-def _pairs(name: str, inc: str, weight: float, cap: int = 100) -> str:
-    return f"{name} AS (SELECT a.id AS src, b.id AS dst, count(*) * {weight} AS weight FROM {inc} a JOIN {inc} b ON a.value = b.value AND a.id < b.id WHERE a.value IN (SELECT value FROM {inc} GROUP BY 1 HAVING count(*) <= {cap}) GROUP BY 1, 2)"
+def _pairs(name: str, inc: str, weight: float) -> str:
+    return f"{name} AS (SELECT a.id AS src, b.id AS dst, count(*) * {weight} AS weight FROM {inc} a JOIN {inc} b ON a.value = b.value AND a.id < b.id GROUP BY 1, 2)"
 
 
 add("d05_build_entity_graph", lambda b: text(graph.build_entity_graph(b.device(), b.instrument(), b.incidence("l_suppkey"), referral(b)), "signals"),
-    f""", {_pairs('pd', 'dev', 4.0)}, {_pairs('pi', 'ins', 4.0)}, {REFERRED} SELECT src, dst, sum(weight) AS weight, array_to_string(list_sort(list_distinct(list(s))), ',') AS signals FROM (SELECT *, 'shared_device' AS s FROM pd UNION ALL SELECT *, 'shared_instrument' FROM pi
+    f""", {_pairs('pd', 'dev', 3.0)}, {_pairs('pi', 'ins', 4.0)}, {REFERRED} SELECT src, dst, sum(weight) AS weight, array_to_string(list_sort(list_distinct(list(s))), ',') AS signals FROM (SELECT *, 'shared_device' AS s FROM pd UNION ALL SELECT *, 'shared_instrument' FROM pi
     UNION ALL SELECT src, dst, weight, signal FROM weak UNION ALL SELECT *, 'referral_link' FROM refs) GROUP BY 1, 2""")
 add("d06_hard_subgraph", lambda b: text(graph.hard_subgraph(b.edges()), "signals"), "SELECT src, dst, weight, 'shared_device' AS signals FROM edges WHERE signals LIKE '%shared_device%'")
 add("d07_prefix_edges", lambda b: text(graph.prefix_edges(b.t("customer").select(F.col("c_custkey").alias("id"), F.lpad(F.floor(F.col("c_acctbal") * 100).cast("long").cast("string"), 10, "5").alias("phone"))), "signals"),
-    f", ph AS (SELECT c_custkey AS id, substr(lpad(CAST(CAST(floor(c_acctbal * 100) AS BIGINT) AS VARCHAR), 10, '5'), 1, 9) AS value FROM customer), {_pairs('pp', 'ph', 1.5)} SELECT *, 'phone_prefix' AS signals FROM pp")
+    f", ph AS (SELECT c_custkey AS id, substr(lpad(CAST(CAST(floor(c_acctbal * 100) AS BIGINT) AS VARCHAR), 10, '5'), 1, 9) AS value FROM customer), {_pairs('pp', 'ph', 2.0)} SELECT *, 'phone_prefix' AS signals FROM pp")
 add("d08_address_edges", lambda b: text(graph.address_edges(b.device().withColumnRenamed("value", "address")), "signals"), f", {_pairs('pd', 'dev', 4.0)} SELECT *, 'shared_address' AS signals FROM pd")
 add("d09_co_destination_edges", lambda b: text(graph.co_destination_edges(b.flows(), 20), "destinations"),
     ", o AS (SELECT DISTINCT capture, src, dst || ':' || port AS value FROM flows), ok AS (SELECT capture, value FROM o GROUP BY 1, 2 HAVING count(*) BETWEEN 2 AND 20) SELECT a.capture, a.src, b.src AS dst, count(*) AS weight, string_agg(a.value, ',' ORDER BY a.value) AS destinations FROM o a JOIN o b ON a.capture = b.capture AND a.value = b.value AND a.src < b.src JOIN ok ON ok.capture = a.capture AND ok.value = a.value GROUP BY 1, 2, 3")
@@ -189,9 +189,13 @@ add("f06_dormant", lambda b: features.claims(b.membership(), b.signup(), b.claim
 add("f07_order_values", lambda b: features.order_values(b.membership(), b.orders()), "SELECT * FROM f07")
 add("f08_engagement", lambda b: features.engagement(b.membership(), b.signup(), b.sessions()), "SELECT * FROM f08")
 add("f09_cluster_features", lambda b: text(b.features(), "signals_present"), "SELECT * FROM f09")
-cod = lambda b: features.cod_features(b.membership(), b.device().select(F.col("id").alias("user_id"), F.col("value").alias("address")), b.cod_orders())
-add("f10_cod_features", cod, "SELECT * FROM f10")
-add("f11_validity", lambda b: features.validity(b.strong(), b.membership()), "SELECT cluster_key, n AS internal_edges, 1 AS pieces, true AS single_block, round(2 * n / size, 4) AS avg_degree, 1.0 AS largest_share FROM sz JOIN (SELECT a.cluster_key, count(*) AS n FROM strong e JOIN comp a ON e.src = a.member GROUP BY 1) USING (cluster_key)")
+cod = lambda b: features.cod_features(b.edges(), b.membership(), b.device().select(F.col("id").alias("user_id"), F.col("value").alias("address")), b.cod_orders())
+add("f10_cod_features", lambda b: text(cod(b), "signals_present"), "SELECT * FROM f10")
+# Components taken a hundred keys together, so that most groups are fragmented and some are one block.
+merged = lambda b: b.membership().select(F.floor(F.col("cluster_key") / 100).cast("long").alias("cluster_key"), "member")
+VAL = "mg AS (SELECT cluster_key // 100 AS cluster_key, cluster_key AS piece, count(*) AS n FROM comp GROUP BY 1, 2), me AS (SELECT c.cluster_key // 100 AS cluster_key, count(*) AS e FROM strong JOIN comp c ON src = c.member GROUP BY 1), val AS (SELECT cluster_key, any_value(e) AS internal_edges, count(*) AS pieces, count(*) = 1 AS single_block, round(2 * any_value(e) / sum(n), 2) AS avg_degree, round(max(n) / sum(n), 3) AS largest_share FROM mg JOIN me USING (cluster_key) GROUP BY 1)"
+add("f11_validity", lambda b: features.validity(b.strong(), merged(b)), f", {VAL} SELECT * FROM val")
+add("f11_validity_summary", lambda b: features.validity_summary(features.validity(b.strong(), merged(b))), f", {VAL} SELECT count(*) AS groups, count(*) FILTER (WHERE single_block) AS single_blocks, count(*) FILTER (WHERE NOT single_block) AS fragmented, round(count(*) FILTER (WHERE single_block) / count(*), 4) AS single_block_share FROM val")
 add("f12_bounded_diameter", lambda b: features.bounded_diameter(b.strong(), b.membership()),
     ", bfs AS (SELECT DISTINCT src AS s, src AS t, 0 AS d FROM adj UNION SELECT bfs.s, adj.dst, bfs.d + 1 FROM bfs JOIN adj ON bfs.t = adj.src WHERE bfs.d < 11), sp AS (SELECT s, t, min(d) AS d FROM bfs GROUP BY 1, 2) SELECT cluster_key, max(d) AS diameter FROM sp JOIN comp ON s = member GROUP BY 1")
 add("f13_timing_tightness", lambda b: features.timing_tightness(b.membership(), b.orders().select(F.col("user_id").alias("member"), F.year("order_date").alias("step"))), "SELECT cluster_key, count(*) AS n_steps, round(max(n) / sum(n), 4) AS modal_share, count(*) = 1 AS one_step FROM (SELECT cluster_key, year(o_orderdate) AS y, count(*) AS n FROM comp JOIN orders ON member = o_custkey GROUP BY 1, 2) GROUP BY 1")
@@ -225,8 +229,8 @@ add("g08_evidence_text", lambda b: rules.evidence_text(b.judged()).select("clust
 add("h01_overlap_pairs", lambda b: evaluate.overlap_pairs(b.truth(), b.flagged_sets()), "SELECT * FROM ov")
 add("h02_best_match", lambda b: evaluate.best_match(b.truth(), b.flagged_sets()), "SELECT * FROM best")
 add("h03_largest_overlap", lambda b: evaluate.largest_overlap(b.truth(), b.flagged_sets()), 'SELECT a_id AS set_id, b_id AS match_id, overlap, recall, "precision" FROM (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY overlap DESC, b_id) AS p FROM ov) WHERE p = 1')
-add("h04_landed_in", lambda b: evaluate.landed_in(b.truth(), b.sets(b.membership()), b.membership().select("cluster_key", (F.col("cluster_key") % 2 == 0).alias("flagged")).distinct()),
-    "SELECT n.set_id, b.cluster_key, CASE WHEN b.cluster_key IS NULL THEN 'not_clustered' WHEN b.cluster_key % 2 = 0 THEN 'flagged' ELSE 'clustered_not_flagged' END AS status FROM (SELECT set_id, count(*) AS n FROM truth GROUP BY 1) n LEFT JOIN (SELECT set_id, cluster_key, row_number() OVER (PARTITION BY set_id ORDER BY c DESC, cluster_key) AS p FROM (SELECT t.set_id, cluster_key, count(*) AS c FROM truth t JOIN comp USING (member) GROUP BY 1, 2) JOIN (SELECT set_id, count(*) AS n FROM truth GROUP BY 1) USING (set_id) WHERE c >= greatest(2, n * 0.5)) b ON b.set_id = n.set_id AND b.p = 1")
+add("h04_landed_in", lambda b: evaluate.landed_in(b.truth(), b.sets(b.membership()), b.flags()),
+    "SELECT n.set_id, b.cluster_key, CASE WHEN b.cluster_key IS NULL THEN 'not_clustered' WHEN b.cluster_key IN (SELECT cluster_key FROM ld WHERE density > 0.3) THEN 'flagged' ELSE 'clustered_not_flagged' END AS status FROM (SELECT set_id, count(*) AS n FROM truth GROUP BY 1) n LEFT JOIN (SELECT set_id, cluster_key, row_number() OVER (PARTITION BY set_id ORDER BY c DESC, cluster_key) AS p FROM (SELECT t.set_id, cluster_key, count(*) AS c FROM truth t JOIN comp USING (member) GROUP BY 1, 2) JOIN (SELECT set_id, count(*) AS n FROM truth GROUP BY 1) USING (set_id) WHERE c >= greatest(2, n // 2)) b ON b.set_id = n.set_id AND b.p = 1")
 SPLIT = "sp AS (SELECT id, CASE WHEN row_number() OVER (ORDER BY md5(id || '|7'), id) <= floor(count(*) OVER () * 0.3) THEN 'holdout' ELSE 'dev' END AS split FROM (SELECT DISTINCT set_id AS id FROM truth))"
 ids = lambda b: stored(b.truth().select(F.col("set_id").alias("id")).distinct())
 add("h05_holdout_split", lambda b: evaluate.holdout_split(ids(b)), f", {SPLIT} SELECT * FROM sp")
@@ -245,17 +249,17 @@ add("h14_structural_coverage", lambda b: evaluate.structural_coverage(b.strong()
 add("h15_member_recall", lambda b: evaluate.member_recall(b.truth(), b.flagged_sets()), "SELECT t.set_id, count(f.member) / count(*) AS member_recall, count(DISTINCT f.set_id) AS pieces FROM truth t LEFT JOIN fl f USING (member) GROUP BY 1")
 add("h16_two_way_agreement", lambda b: evaluate.two_way_agreement(b.truth(), b.flagged_sets(), b.truth()), """, hv AS (SELECT * FROM ov WHERE recall >= 0.5 AND "precision" >= 0.5) SELECT 'blocks_in_flagged' AS measure, count(DISTINCT a_id) AS n FROM hv UNION ALL SELECT 'flagged_in_blocks', count(DISTINCT b_id) FROM hv UNION ALL SELECT 'truth_in_blocks', count(DISTINCT set_id) FROM truth""")
 add("h17_new_false_positives", lambda b: evaluate.new_false_positives(b.flagged_sets(), b.truth(), "member"), "SELECT DISTINCT member FROM fl WHERE member NOT IN (SELECT member FROM truth)")
-add("h18_period_trend", lambda b: evaluate.period_trend(b.t("orders").groupBy(F.col("o_orderpriority").alias("series"), F.year("o_orderdate").alias("period")).agg(F.avg((F.col("o_orderstatus") == "F").cast("int")).alias("recall"))), """, m AS (SELECT o_orderpriority AS series, year(o_orderdate) AS period, avg(CAST(o_orderstatus = 'F' AS INT)) AS recall FROM orders GROUP BY 1, 2), t AS (SELECT series, arg_min(recall, period) AS "first", arg_max(recall, period) AS "last", count(*) AS c FROM m GROUP BY 1) SELECT series, "first", "last", CASE WHEN c < 2 THEN 'inconclusive' WHEN "last" < "first" THEN 'decaying' ELSE 'flat' END AS trend FROM t""")
+add("h18_period_trend", lambda b: evaluate.period_trend(b.t("orders").groupBy(F.col("o_orderpriority").alias("series"), F.year("o_orderdate").alias("period")).agg(F.avg((F.col("o_orderstatus") == "F").cast("int")).alias("recall"))), """, m AS (SELECT o_orderpriority AS series, year(o_orderdate) AS period, avg(CAST(o_orderstatus = 'F' AS INT)) AS recall FROM orders GROUP BY 1, 2), t AS (SELECT series, arg_min(recall, period) AS "first", arg_max(recall, period) AS "last", min(recall) AS least, max(recall) AS most FROM m GROUP BY 1) SELECT series, "first", "last", CASE WHEN "last" < "first" - 1e-9 THEN 'decaying' WHEN most - "first" < 1e-9 AND "first" - least < 1e-9 THEN 'flat' ELSE 'inconclusive' END AS trend FROM t""")
 add("h19_effect_decomposition", lambda b: evaluate.effect_decomposition(b.t("lineitem").groupBy(F.when(F.col("l_returnflag") == "N", "B").when(F.col("l_returnflag") == "R", "C").otherwise("A").alias("variant")).agg(F.round(F.avg("l_quantity"), 6).alias("value"))).select(F.round("first_effect", 6).alias("first_effect"), F.round("second_effect", 6).alias("second_effect"), "dominant"), ", v AS (SELECT l_returnflag AS r, round(avg(l_quantity), 6) AS v FROM lineitem GROUP BY 1), e AS (SELECT round((SELECT v FROM v WHERE r = 'N') - (SELECT v FROM v WHERE r = 'A'), 6) AS first_effect, round((SELECT v FROM v WHERE r = 'R') - (SELECT v FROM v WHERE r = 'N'), 6) AS second_effect) SELECT *, CASE WHEN abs(first_effect) > abs(second_effect) THEN 'first' WHEN abs(first_effect) < abs(second_effect) THEN 'second' ELSE 'equal' END AS dominant FROM e")
 add("h20_calibration_buckets", lambda b: evaluate.calibration_buckets(b.scores().select(F.col("score").alias("confidence"), (F.col("label") == 1).alias("correct"))), "SELECT CAST(r.b AS INT) AS bucket, count(score) AS total, count(*) FILTER (WHERE label = 1) AS correct, count(*) FILTER (WHERE label = 1) / nullif(count(score), 0) AS accuracy, CASE WHEN (SELECT count(*) FROM sc WHERE label <> 1) < 5 THEN 'insufficient' ELSE 'ok' END AS status FROM (SELECT unnest(range(10)) AS b) r LEFT JOIN sc ON least(floor(score * 10), 9) = r.b GROUP BY 1")
 blank = lambda b: b.t("customer").filter("c_custkey % 5 = 0").select(F.col("c_custkey").alias("id"))
-add("h21_spurious_edge_check", lambda b: evaluate.spurious_edge_check(graph.shared_attribute_edges(b.incidence("l_partkey").withColumn("value", F.when(F.col("id") % 5 == 0, " ").otherwise(F.col("value"))), "shared_device", 4.0), blank(b)), "SELECT CAST(count(*) AS BIGINT) AS spurious_edges FROM strong WHERE false")
+add("h21_spurious_edge_check", lambda b: evaluate.spurious_edge_check(graph.shared_attribute_edges(b.incidence("l_partkey").withColumn("value", F.when(F.col("id") % 5 == 0, " ").otherwise(F.col("value"))), "shared_device", graph.WEIGHTS["shared_device"]), blank(b)), "SELECT CAST(count(*) AS BIGINT) AS spurious_edges FROM strong WHERE false")
 
 # I: what-if.
 add("i01_replay", lambda b: whatif.replay(b.features(), "burst_days", [2, 7, 14]).groupBy("value").agg(F.count_if(F.expr("flagged")).alias("flagged"), F.sum("suspicion_score").alias("suspicion")),
     ", g AS (SELECT CAST(v AS DOUBLE) AS value, f.*, CAST(signup_span_days <= v AS INT) + coalesce(CAST(order_value_cv < 0.15 AS INT), 0) + coalesce(CAST(claim_then_dormant_frac >= 0.4 AS INT), 0) + coalesce(CAST(bonus_claim_velocity_hours <= 12 AS INT), 0) AS s FROM g0 f, (SELECT unnest([2, 7, 14]) AS v)) SELECT value, count(*) FILTER (WHERE shared_instrument OR (shared_device AND organic_score < 3) OR (NOT shared_device AND organic_score < 2 AND s >= 3)) AS flagged, CAST(sum(s) AS BIGINT) AS suspicion FROM g GROUP BY 1")
 paid = lambda b: b.t("orders").select(F.col("o_orderkey").alias("referral_id"), F.col("o_totalprice").alias("bonus"), F.floor(F.col("o_custkey") / 2).cast("long").alias("referrer"), F.col("o_custkey").alias("referred"), F.when(F.col("o_orderstatus") == "F", "paid").otherwise("pending").alias("status"))
-add("i02_missed_cost", lambda b: whatif.missed_cost(b.truth(), paid(b)), "SELECT set_id, round(sum(o_totalprice), 2) AS cost FROM (SELECT DISTINCT set_id, o_orderkey, o_totalprice FROM truth JOIN orders ON member = o_custkey OR member = o_custkey // 2 WHERE o_orderstatus = 'F') GROUP BY 1")
+add("i02_missed_cost", lambda b: whatif.missed_cost(b.truth(), paid(b)), ", mc AS (SELECT set_id, sum(o_totalprice) AS cost FROM (SELECT DISTINCT set_id, o_orderkey, o_totalprice FROM truth JOIN orders ON member = o_custkey OR member = o_custkey // 2 WHERE o_orderstatus = 'F') GROUP BY 1), ms AS (SELECT set_id, coalesce(any_value(cost), 0) AS cost FROM truth LEFT JOIN mc USING (set_id) GROUP BY 1) SELECT set_id, round(cost, 2) AS cost, (SELECT round(avg(cost), 4) FROM ms) AS mean_cost FROM ms")
 SCEN = "fpc AS (SELECT s AS scenario, round(150 + p * k * (SELECT avg(o_totalprice) FROM orders), 4) AS fp_cost FROM (VALUES ('none', 0.0, 0), ('some', 0.05, 5), ('many', 0.15, 10)) t(s, p, k))"
 add("i03_fp_cost_scenarios", lambda b: whatif.fp_cost_scenarios(b.orders()), f", {SCEN} SELECT * FROM fpc")
 sweep = lambda b: b.t("orders").groupBy((F.col("o_orderkey") % 4).cast("double").alias("value")).agg(F.count_if(F.expr("o_orderstatus = 'F'")).alias("missed"), F.count_if(F.expr("o_orderstatus = 'P'")).alias("false_positives"))
@@ -263,10 +267,11 @@ SW = "swp AS (SELECT CAST(o_orderkey % 4 AS DOUBLE) AS value, count(*) FILTER (W
 add("i04_cost_table", lambda b: whatif.cost_table(sweep(b), whatif.fp_cost_scenarios(b.orders()), 1000.0), f", {SCEN}, {SW}, c AS (SELECT scenario, value, round(missed * 1000.0 + false_positives * fp_cost, 2) AS cost FROM swp, fpc) SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY cost, value) = 1 AS cheapest FROM c")
 add("i05_sweep_finding", lambda b: whatif.sweep_finding(sweep(b), ["missed", "false_positives"]), f", {SW} SELECT min(missed) = max(missed) AS missed_flat, min(false_positives) = max(false_positives) AS false_positives_flat FROM swp")
 add("i06_impact", lambda b: whatif.impact(b.features(), "device_clear_organic_threshold", 1.0), "SELECT b AS before, a AS after, a - b AS delta FROM (SELECT count(*) FILTER (WHERE shared_instrument OR (shared_device AND organic_score < 3) OR (NOT shared_device AND organic_score < 2 AND suspicion_score >= 3)) AS b, count(*) FILTER (WHERE shared_instrument OR (shared_device AND organic_score < 1) OR (NOT shared_device AND organic_score < 2 AND suspicion_score >= 3)) AS a FROM g0)")
-GAP = "gp AS (SELECT cluster_key, 'spread_out_days' AS parameter, 21.0 - signup_span_days AS gap FROM f09 UNION ALL SELECT cluster_key, 'diverse_order_cv', 0.28 - coalesce(order_value_cv, 0) FROM f09 UNION ALL SELECT cluster_key, 'engaged_sessions', 1.5 - post_signup_engagement FROM f09), gg AS (SELECT cluster_key, count(*) FILTER (WHERE gap <= 0) AS passing, arg_min(parameter, (gap, parameter)) FILTER (WHERE gap > 0) AS parameter, round(min(gap) FILTER (WHERE gap > 0), 4) AS gap FROM gp GROUP BY 1)"
-add("i07_parameter_gap", lambda b: whatif.parameter_gap(b.features()), f", {GAP} SELECT * FROM gg")
-PARAMS = "pt(parameter, now, least, most, step) AS (VALUES " + ", ".join(f"('{k}', {v[0]}, {v[1]}, {v[2]}, {v[3]})" for k, v in rules.PARAMETERS.items()) + ")"
-add("i08_propose_value", lambda b: whatif.propose_value(whatif.parameter_gap(b.features())), f", {GAP}, {PARAMS}, w AS (SELECT cluster_key, parameter, now, greatest(CAST(least AS DOUBLE), least(CAST(most AS DOUBLE), round(floor((CAST(now AS DOUBLE) - gap) / CAST(step AS DOUBLE)) * CAST(step AS DOUBLE), 4))) AS v FROM gg JOIN pt USING (parameter)) SELECT cluster_key, parameter, CASE WHEN abs(v - now) > 1e-9 THEN v END AS proposed FROM w")
+_check = lambda k, n, c, at: f"SELECT cluster_key, {k} AS k, '{n}' AS parameter, CAST({c} AS DOUBLE) AS value, CAST({c} AS DOUBLE) - CAST({at} AS DOUBLE) AS margin FROM judged WHERE NOT flagged"
+GAP = f"gp AS (SELECT * FROM ({_check(0, 'spread_out_days', 'signup_span_days', 21)} UNION ALL {_check(1, 'diverse_order_cv', 'order_value_cv', 0.28)} UNION ALL {_check(2, 'engaged_sessions', 'post_signup_engagement', 1.5)}) WHERE margin >= 0), gb AS (SELECT cluster_key, count(*) AS passing, arg_min(parameter, (margin, k)) AS parameter, arg_min(value, (margin, k)) AS value, min(margin) AS margin FROM gp GROUP BY 1), gg AS (SELECT cluster_key, coalesce(passing, 0) AS passing, CASE WHEN organic_score < 3 THEN parameter END AS parameter, CASE WHEN organic_score < 3 THEN value END AS value, CASE WHEN organic_score < 3 THEN round(margin, 4) END AS margin FROM judged LEFT JOIN gb USING (cluster_key) WHERE NOT flagged)"
+add("i07_parameter_gap", lambda b: whatif.parameter_gap(b.judged()), f", {GAP} SELECT * FROM gg")
+PARAMS = "pt(parameter, now, least, most, step) AS (VALUES " + ", ".join(f"('{k}', {', '.join(f'CAST({x} AS DOUBLE)' for x in v)})" for k, v in rules.PARAMETERS.items()) + ")"
+add("i08_propose_value", lambda b: whatif.propose_value(whatif.parameter_gap(b.judged())), f", {GAP}, {PARAMS}, w AS (SELECT cluster_key, parameter, now, greatest(least, least(most, round(round_even((value + step) / step, 0) * step, 6))) AS v FROM gg JOIN pt USING (parameter)) SELECT cluster_key, parameter, CASE WHEN abs(v - now) > 1e-6 THEN v END AS proposed FROM w")
 by_seg = lambda b, c: b.t("customer").filter(c).groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
 add("i09_side_by_side", lambda b: whatif.side_by_side(by_seg(b, "c_custkey % 2 = 0"), by_seg(b, "c_custkey % 2 = 1"), "c_mktsegment", ["n"]), "SELECT c_mktsegment, count(*) FILTER (WHERE c_custkey % 2 = 1) - count(*) FILTER (WHERE c_custkey % 2 = 0) AS n_delta FROM customer GROUP BY 1")
 
@@ -286,15 +291,18 @@ def _trained(b: Tables, fit) -> DataFrame:
 add("j05_fit_logistic", lambda b: _trained(b, scoring.fit_logistic))
 add("j06_fit_boosted_trees", lambda b: _trained(b, scoring.fit_boosted_trees))
 add("j07_score", lambda b: scoring.ranking_quality(_trained(b, scoring.fit_logistic)))
-EFF = "lng AS (SELECT vec_id AS id, CAST(label = 0 AS INT) AS label, unnest(embedding) AS x, CAST(unnest(range(len(embedding))) AS INT) AS idx FROM embeddings), st AS (SELECT idx, avg(CAST(x AS DOUBLE)) FILTER (WHERE label = 0) AS mean0, stddev_pop(CAST(x AS DOUBLE)) FILTER (WHERE label = 0) AS std0, avg(CAST(x AS DOUBLE)) FILTER (WHERE label = 1) AS mean1, stddev_pop(CAST(x AS DOUBLE)) FILTER (WHERE label = 1) AS std1 FROM lng GROUP BY 1), eff AS (SELECT *, (mean1 - mean0) / sqrt((std0 * std0 + std1 * std1) / 2) AS d FROM st ORDER BY abs(d) DESC, idx LIMIT 10)"
-add("j08_effect_sizes", lambda b: scoring.effect_sizes(b.vectors()), f", {EFF} SELECT * FROM eff")
-add("j09_z_score_sum", lambda b: scoring.z_score_sum(b.vectors(), stored(scoring.effect_sizes(b.vectors()))), f", {EFF} SELECT id, avg(sign(d) * (CAST(x AS DOUBLE) - mean0) / std0) AS z FROM lng JOIN eff USING (idx) GROUP BY 1")
+EFF = "vs AS (SELECT vec_id AS id, CAST(label = 0 AS INT) AS label, embedding, row_number() OVER (PARTITION BY label = 0 ORDER BY md5(vec_id || '|7'), vec_id) AS r, count(*) OVER (PARTITION BY label = 0) AS n FROM embeddings), lng AS (SELECT id, label, r <= floor(n * 0.6) AS train, CAST(unnest(embedding) AS DOUBLE) AS x, CAST(unnest(range(len(embedding))) AS INT) AS idx FROM vs), st AS (SELECT idx, avg(x) FILTER (WHERE label = 0) AS mean0, stddev_pop(x) FILTER (WHERE label = 0) AS std0, avg(x) FILTER (WHERE label = 1) AS mean1, stddev_pop(x) FILTER (WHERE label = 1) AS std1, avg(x) AS mean, stddev_pop(x) AS std0_ FROM lng WHERE train GROUP BY 1), eff AS (SELECT idx, mean0, std0, mean1, std1, mean, CASE WHEN std0_ < 1e-9 THEN 1 ELSE std0_ END AS std, d, CASE WHEN d < 0 THEN -1.0 ELSE 1.0 END AS sign FROM (SELECT *, CASE WHEN sqrt((std0 * std0 + std1 * std1) / 2) > 1e-9 THEN (mean1 - mean0) / sqrt((std0 * std0 + std1 * std1) / 2) ELSE 0 END AS d FROM st) ORDER BY abs(d) DESC, idx LIMIT 10)"
+chosen = lambda b: scoring.effect_sizes(scoring.stratified_split3(b.vectors(), "id", "label").filter("split = 'train'"))
+add("j08_effect_sizes", chosen, f", {EFF} SELECT * FROM eff")
+add("j09_z_score_sum", lambda b: scoring.z_score_sum(b.vectors(), stored(chosen(b))), f", {EFF} SELECT id, avg(sign * (x - mean) / std) AS z FROM lng JOIN eff USING (idx) GROUP BY 1")
 add("j10_pr_points", lambda b: scoring.pr_points(b.scores()).select("score", "tp", "fp", "precision", "recall"), 'SELECT score, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, tp / (tp + fp) AS "precision", tp / pos AS recall FROM pr')
 add("j11_best_f1_threshold", lambda b: scoring.best_f1_threshold(b.scores()), "SELECT arg_max(score, (f, -score)) AS threshold, max(f) AS f1 FROM (SELECT score, round(CASE WHEN tp > 0 THEN 2 * (tp / (tp + fp)) * (tp / pos) / (tp / (tp + fp) + tp / pos) ELSE 0 END, 9) AS f FROM pr)")
 add("j12_metrics_at_threshold", lambda b: scoring.metrics_at_threshold(b.scores(), 0.4), 'SELECT count(*) AS rows, count(*) FILTER (WHERE label = 1) AS positives, count(*) FILTER (WHERE score >= 0.4) AS alerts, count(*) FILTER (WHERE score >= 0.4 AND label = 1) AS tp, count(*) FILTER (WHERE score >= 0.4 AND label <> 1) AS fp, positives / rows AS rate, tp / nullif(alerts, 0) AS "precision", tp / nullif(positives, 0) AS recall, 2 * tp / nullif(alerts + positives, 0) AS f1, (rows - positives - fp + tp) / rows AS accuracy FROM sc')
 add("j13_ranking_quality", lambda b: scoring.ranking_quality(b.scores()), "SELECT sum(tp / (tp + fp) * p) / any_value(pos) AS average_precision, sum(n * (tp - p) + n * p / 2) / (any_value(pos) * any_value(neg)) AS roc_auc FROM pr")
 add("j14_top_k_metrics", lambda b: scoring.top_k_metrics(b.scores(), [10, 50, 100]), 'SELECT k, count(*) FILTER (WHERE label = 1) / count(*) AS "precision", count(*) FILTER (WHERE label = 1) / (SELECT count(*) FROM sc WHERE label = 1) AS recall, min(score) AS lowest FROM (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS r FROM sc), (SELECT CAST(unnest([10, 50, 100]) AS INT) AS k) WHERE r <= k GROUP BY k')
-add("j15_segmented_threshold", lambda b: scoring.segmented_threshold(b.scores(), "segment"), "SELECT segment, arg_max(score, (f, -score)) AS threshold, max(f) AS f1 FROM (SELECT segment, score, round(2 * sum(p) OVER w / (sum(a) OVER w + sum(p) OVER (PARTITION BY segment)), 9) AS f FROM (SELECT segment, score, count(*) FILTER (WHERE label = 1) AS p, count(*) AS a FROM sc GROUP BY 1, 2) WINDOW w AS (PARTITION BY segment ORDER BY score DESC)) GROUP BY 1")
+SEG = "r3 AS (SELECT *, CASE WHEN r <= floor(n * 0.6) THEN 'train' WHEN r <= floor(n * 0.75) THEN 'dev' ELSE 'test' END AS split FROM (SELECT *, row_number() OVER (ORDER BY md5(id || '|7'), id) AS r, count(*) OVER () AS n FROM sc)), th AS (SELECT segment, arg_max(score, (f, -score)) AS threshold, max(f) AS f1 FROM (SELECT segment, score, round(2 * sum(p) OVER w / (sum(a) OVER w + sum(p) OVER (PARTITION BY segment)), 9) AS f FROM (SELECT segment, score, count(*) FILTER (WHERE label = 1) AS p, count(*) AS a FROM r3 WHERE split = 'dev' GROUP BY 1, 2) WINDOW w AS (PARTITION BY segment ORDER BY score DESC)) GROUP BY 1), ap AS (SELECT segment, any_value(threshold) AS threshold, any_value(f1) AS f1, count(*) FILTER (WHERE score >= threshold) AS alerts, count(*) FILTER (WHERE score >= threshold AND label = 1) AS tp, count(*) FILTER (WHERE label = 1) AS positives FROM r3 LEFT JOIN th USING (segment) WHERE split = 'test' GROUP BY 1)"
+split = lambda b, s: scoring.random_split3(b.scores(), "id").filter(F.col("split") == s).drop("split")
+add("j15_segmented_threshold", lambda b: scoring.segmented_threshold(split(b, "dev"), split(b, "test"), "segment"), f", {SEG} SELECT * FROM ap UNION ALL SELECT NULL, NULL, round(2 * sum(tp) / nullif(sum(alerts) + sum(positives), 0), 9), CAST(sum(alerts) AS BIGINT), CAST(sum(tp) AS BIGINT), CAST(sum(positives) AS BIGINT) FROM ap")
 add("j16_threshold_for_recall", lambda b: scoring.threshold_for_recall(evaluate.threshold_sweep(b.density_rows(), [0.1, 0.3, 0.5, 0.7]), 0.5), f", {SWEEP} SELECT arg_min(threshold, (CAST(r < 0.5 AS INT), round(abs(r - 0.5), 9), threshold)) AS threshold, arg_min(r, (CAST(r < 0.5 AS INT), round(abs(r - 0.5), 9), threshold)) AS recall FROM (SELECT threshold, captured / nullif(ap, 0) AS r FROM sw)")
 add("j17_dev_then_test", lambda b: scoring.dev_then_test(b.scores().withColumn("split", F.when(F.col("id") % 2 == 0, "dev").otherwise("test")), [0.1, 0.3, 0.5, 0.7, 0.9], 0.5), ", dv AS (SELECT t, count(*) FILTER (WHERE label = 1 AND score >= t) / nullif(count(*) FILTER (WHERE label = 1), 0) AS r FROM sc, (SELECT CAST(unnest([0.1, 0.3, 0.5, 0.7, 0.9]) AS DOUBLE) AS t) WHERE id % 2 = 0 GROUP BY t), ch AS (SELECT arg_min(t, (CAST(r < 0.5 AS INT), round(abs(r - 0.5), 9), t)) AS threshold FROM dv) SELECT threshold, count(*) FILTER (WHERE score >= threshold) AS alerts, count(*) FILTER (WHERE score >= threshold AND label = 1) AS tp, count(*) FILTER (WHERE label = 1) AS positives FROM sc, ch WHERE id % 2 = 1 GROUP BY 1")
 add("j18_ensemble_or", lambda b: scoring.ensemble_or(b.scores().filter("score > 0.8").select("id"), b.scores().filter("segment = 1").select("id"), b.scores()), ", e AS (SELECT 'a' AS who, label, score > 0.8 AS h FROM sc UNION ALL SELECT 'b', label, segment = 1 FROM sc UNION ALL SELECT 'either', label, score > 0.8 OR segment = 1 FROM sc) SELECT who, count(*) FILTER (WHERE h) AS alerts, count(*) FILTER (WHERE h AND label = 1) AS tp, count(*) FILTER (WHERE h AND label = 1) / nullif(count(*) FILTER (WHERE label = 1), 0) AS recall FROM e GROUP BY 1")

@@ -8,10 +8,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from coterie.functions.storage import stored
 from coterie.operators.cluster import connected_components
-from coterie.operators.graph import CAP, shared_attribute_edges
+from coterie.operators.graph import star_edges
 
 
-def affected_components(new: DataFrame, known: DataFrame, cap: int | None = CAP) -> DataFrame:
+def affected_components(new: DataFrame, known: DataFrame) -> DataFrame:
     """(cluster_key, member) of the components that new incidences (id, value) touch: only known rows reached from them are re-clustered."""
     seeds = stored(new.select("id", "value").distinct())
     reach = stored(seeds.select("id").distinct())
@@ -22,7 +22,7 @@ def affected_components(new: DataFrame, known: DataFrame, cap: int | None = CAP)
             break
         reach = wider
     rows = stored(known.unionByName(seeds).join(reach, "id", "left_semi").distinct())
-    return connected_components(shared_attribute_edges(rows, "shared", 4.0, cap))
+    return connected_components(star_edges(rows))
 
 
 def score_arrivals(spark: SparkSession, folder: str, schema: str, known: DataFrame, report: Callable[[DataFrame, int], None], checkpoint: str, delay: str = "1 day") -> StreamingQuery:
