@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from coterie.llm.common import SPACES, read, stored
 
 BITS_PER_ROW = 12
-FILTER_ROWS_TO_BROADCAST = 1_000_000  # 16 bytes each; a larger filter is joined by a shuffle of the hashes
+FILTER_ROWS_TO_BROADCAST = 4_000_000  # 16 bytes each, some 20 million documents; a larger filter is joined by a shuffle
 
 
 def normalised(text: Column) -> Column:
@@ -50,28 +50,41 @@ def repeated_bits(digests: DataFrame, words: int) -> DataFrame:
     return folded.filter("twice != 0")
 
 
-def exact_groups(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
+def _asked(rows: DataFrame, filtered: DataFrame, words: int) -> DataFrame:
+    """Adds maybe to rows with sha: whether the filter says that the hash may occur twice."""
+    how = "broadcast" if filtered.count() <= FILTER_ROWS_TO_BROADCAST else "merge"
+    asked = rows.select("*", *_places(words)).join(filtered.hint(how), "word", "left")
+    return asked.withColumn("maybe", F.coalesce(F.col("mask").bitwiseAND(F.col("twice")) == F.col("mask"), F.lit(False))).drop("word", "mask", "twice")
+
+
+def _groups(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """exact_groups, and the filter with its number of words."""
     digests = stored(docs.select("doc_id", F.unhex(F.sha2(normalised(F.col("text")).cast("binary"), 256)).alias("sha")))
     words = max(1, digests.count() * BITS_PER_ROW // 64)
     filtered = stored(repeated_bits(digests, words))
-    how = "broadcast" if filtered.count() <= FILTER_ROWS_TO_BROADCAST else "merge"
-    asked = digests.select("doc_id", "sha", *_places(words)).join(filtered.hint(how), "word", "left")
-    maybe = F.coalesce(F.col("mask").bitwiseAND(F.col("twice")) == F.col("mask"), F.lit(False))
-    groups = asked.filter(maybe).groupBy("sha").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    asked = _asked(digests, filtered, words)
+    # Written first, so that a hash that a third of the rows share is one long run of the left side, which Spark splits.
+    groups = stored(asked.filter("maybe").groupBy("sha").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
     columns = ["doc_id", "keep_id", "group_size", "sha"]
-    together = asked.filter(maybe).join(groups.hint("merge"), "sha").select(columns)
-    alone = asked.filter(~maybe).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "sha")
+    together = asked.filter("maybe").join(groups.hint("merge"), "sha").select(columns)
+    alone = asked.filter("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "sha")
     out = together.unionByName(alone)
-    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")), filtered, words
+
+
+def exact_groups(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
+    return _groups(docs)[0]
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, whose doc_id stays. Of rows that repeat a doc_id with the same text, all stay."""
-    gone = exact_groups(docs).filter("not kept and doc_id is not null").select("doc_id", F.unhex("text_sha256").alias("_gone_sha"))
-    gone = stored(gone.distinct())
-    same = docs["doc_id"].eqNullSafe(gone["doc_id"]) & (F.unhex(F.sha2(normalised(docs["text"]).cast("binary"), 256)) == gone["_gone_sha"])
-    return docs.join(gone.hint("shuffle_hash"), same, "left_anti")
+    groups, filtered, words = _groups(docs)
+    gone = stored(groups.filter("not kept and doc_id is not null").select(F.col("doc_id").alias("gone"), F.unhex("text_sha256").alias("gone_sha")).distinct())
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.unhex(F.sha2(normalised(F.col("text")).cast("binary"), 256)).alias("sha"))
+    asked = _asked(rows, filtered, words)
+    some = asked.filter("maybe").join(gone.hint("shuffle_hash"), (F.col("row.doc_id") == F.col("gone")) & (F.col("sha") == F.col("gone_sha")), "left_anti")
+    return some.select("row.*").unionByName(asked.filter("not maybe").select("row.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
