@@ -64,7 +64,7 @@ def copies(docs: DataFrame, max_repeat: int = MAX_REPEAT, seed: int = SEED) -> D
     shorter = by_size.withColumn("shorter", F.coalesce(F.sum("n").over(earlier("source_key", "size")), F.lit(0))).drop("n")
     rate = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") * UNIT + 0.5)).otherwise(F.lit(0))
     offset = F.floor(F.conv(F.substring(F.md5(F.concat("source_key", F.lit(f":{seed}"))), 1, 6), 16, 10).cast("long") * UNIT / 2**24)
-    shorter = shorter.join(totals.hint("broadcast"), "source_key").withColumn("rate", rate.cast("long")).withColumn("offset", offset.cast("long"))
+    shorter = shorter.join(stored(totals).hint("shuffle_hash"), "source_key").withColumn("rate", rate.cast("long")).withColumn("offset", offset.cast("long"))
     before = by_bucket.withColumn("lower", F.coalesce(F.sum("n").over(earlier("source_key", "size", "bucket")), F.lit(0))).drop("n")
     before = stored(before.join(shorter.hint("merge"), ["source_key", "size"]))
     inside = F.row_number().over(Window.partitionBy("source_key", "size", "bucket").orderBy("doc_id"))
@@ -74,13 +74,19 @@ def copies(docs: DataFrame, max_repeat: int = MAX_REPEAT, seed: int = SEED) -> D
 
 
 def mix(docs: DataFrame, max_repeat: int = MAX_REPEAT, seed: int = SEED) -> DataFrame:
-    """The rows of ``docs``, all columns, once for every copy the mix takes; ``copy`` counts them from 1."""
+    """The rows of ``docs``, all columns, once for every copy the mix takes; ``copy`` counts them from 1.
+
+    If ``docs`` has a column of that name, it stays and the count's name gets an underscore more.
+    """
+    name = "copy"
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
     taken = copies(docs, max_repeat, seed)
     counted = stored(taken.filter("copies > 0").select(F.col("doc_id").alias("_m_doc"), F.col("source_key").alias("_m_source"), F.col("size").alias("_m_size"), F.col("copies").alias("_m_copies")).groupBy("_m_doc", "_m_source", "_m_size").agg(F.max("_m_copies").alias("_m_copies")))
-    here = docs.withColumn("_m_key", source_key(F.col("source"))).withColumn("_m_words", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)))
-    same = here["doc_id"].eqNullSafe(counted["_m_doc"]) & (here["_m_key"] == counted["_m_source"]) & (here["_m_words"] == counted["_m_size"])
+    here = docs.select(F.struct(*docs.columns).alias("row"), source_key(F.col("source")).alias("_m_key"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).alias("_m_words"))
+    same = here["row.doc_id"].eqNullSafe(counted["_m_doc"]) & (here["_m_key"] == counted["_m_source"]) & (here["_m_words"] == counted["_m_size"])
     joined = here.join(counted.hint("shuffle_hash"), same)
-    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_m_copies").cast("int")))).select(*docs.columns, "copy")
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("_m_copies").cast("int"))).alias("copy_of_row")).select("row.*", F.col("copy_of_row").alias(name))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

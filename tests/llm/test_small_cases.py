@@ -94,3 +94,32 @@ def test_surrogates_keep_form_distinctness_and_coreference(spark):
         by.setdefault(kind, set()).add(value)
     assert {k: len(v) for k, v in by.items()} == {"email": 1, "phone": 1, "card": 1, "ip": 1, "name": 1}
     assert surrogates._luhn(next(iter(by["card"]))) and got[4].text.lower() not in by["email"]
+
+
+def test_short_items_with_slots_are_found_word_by_word(spark):
+    bench = spark.createDataFrame([(1, "What is 7 times 8?"), (2, "Who wrote Faust in 1808 ?"), (3, "Compute 12 + 34 * 56 - 78 / 90")], "item_id bigint, text string")
+    rows = [(1, "So. What is 7 times 8? Nobody knows", "", "", ""), (2, "they ask: Who wrote Faust in 1808 ? and more", "", "", ""), (3, "Compute 12 + 34 * 56 - 78 / 90", "", "", ""), (4, "What is 9 times 8? Who wrote Emma in 1815 ?", "", "", ""), (None, "What is 7 times 8?", "", "", ""), (1, "So. What is 7 times 8? Nobody knows", "", "", "")]
+    found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs(spark, rows), bench).collect()}
+    assert found == {(1, 1), (2, 2), (3, 3), (None, 1)}
+    left = decontaminate.drop_contaminated(docs(spark, rows), bench)
+    assert [r.doc_id for r in left.collect()] == [4] and left.columns == docs(spark).columns
+    assert decontaminate.contaminated(docs(spark, []), bench).count() == 0 and decontaminate.contaminated(docs(spark, rows), bench.limit(0)).count() == 0
+
+
+def test_two_variants_of_a_question_in_one_document_are_judged_apart(spark):
+    q = "if a box holds {} red balls and every child takes {} of them away from it how many are left in the box at the end"
+    bench = spark.createDataFrame([(1, q.format("$3", "60%"))], "item_id bigint, text string")
+    rows = [(1, f"{q.format('$9', '1%')} some words between them and then again we ask {q.format('$2', '5%')}", "", "", "")]
+    assert [r.covered for r in decontaminate.contaminated(docs(spark, rows), bench).collect()] == [1.0]
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    schema = "doc_id bigint, text string, lang string, source string, copy string, word string, mask string, maybe string, row string, _m_key string, gone string, label string, text_key string"
+    rows = [(i, f"quite a few plain words stand here for document {i % 3} of them all", "en", f"s{i % 2}", *"abcdefghi") for i in range(6)] + [(None, None, None, None, *[None] * 9)]
+    df = spark.createDataFrame(rows, schema)
+    kept = exact_dedup.drop_exact_copies(df)
+    assert kept.columns == df.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["0", "1", "2", "None"]
+    mixed = mixing.mix(kept)
+    assert mixed.columns == [*df.columns, "copy_"] and {r.copy for r in mixed.collect()} <= {"a", None}
+    assert line_dedup.drop_common_lines(kept, 2).columns == df.columns
+    assert language_id.keep_identified(kept, None).count() == 0
