@@ -5,6 +5,13 @@ from pyspark.sql import functions as F
 
 from coterie.functions.storage import stored
 
+LINKS_PER_TASK = 500_000
+
+
+def _gathered(table: DataFrame) -> DataFrame:
+    """A written table, read by one task if that many links are left, so that a round on few links is one task without shuffles."""
+    return table.coalesce(1) if table.count() <= LINKS_PER_TASK else table
+
 
 def roots(links: DataFrame) -> DataFrame:
     """(node, root) of every node in links (a, b) between different nodes; nodes of one component have one root.
@@ -15,9 +22,9 @@ def roots(links: DataFrame) -> DataFrame:
     writes one table, of links with their ends' images; the next one's links and
     the maps that are joined at the end are read from it. The links shrink to
     nothing, so the rounds end by themselves, and all tables together are of the
-    size of the first few.
+    size of the first few. Only the number of tasks depends on how many are left.
     """
-    edges = stored(links.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    edges = _gathered(stored(links.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
     maps: list[DataFrame] = []
     while True:
         rank = lambda c: F.xxhash64(F.lit(len(maps)), F.col(c))  # noqa: E731, B023
@@ -25,7 +32,7 @@ def roots(links: DataFrame) -> DataFrame:
         first = both.groupBy("a").agg(F.min(rank("b")).alias("h"), F.min_by("b", rank("b")).alias("near"))
         image = first.select(F.col("a").alias("node"), F.when(F.col("h") < rank("a"), F.col("near")).otherwise(F.col("a")).alias("to"))
         of = lambda c, to: image.select(F.col("node").alias(c), F.col("to").alias(to))  # noqa: E731, B023
-        moved = stored(edges.join(of("a", "ta"), "a").join(of("b", "tb"), "b"))
+        moved = _gathered(stored(edges.join(of("a", "ta"), "a").join(of("b", "tb"), "b")))
         maps.append(moved.select(F.col("a").alias("node"), F.col("ta").alias("to")).unionByName(moved.select(F.col("b").alias("node"), F.col("tb").alias("to"))).distinct())
         left = moved.filter("ta != tb")
         if left.isEmpty():
