@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from coterie.functions.components import components, roots
+from coterie.functions.components import roots
 from coterie.llm.common import bytes_of, fold, hash_words, mix, pieces, read, stored, text_key, word_bounds
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -257,13 +257,12 @@ def first_links(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     return stored(_unit_links(units.withColumn("label", F.col("node")).withColumn("side", F.lit(0)))), several
 
 
-def more_links(found: DataFrame, several: DataFrame, links: DataFrame) -> DataFrame:
-    """Links between different classes of the groups of several blocks: the rest of their candidate pairs, block against block.
+def more_links(found: DataFrame, several: DataFrame, class_of: DataFrame) -> DataFrame:
+    """Links between different classes (node, label) of the groups of several blocks: the rest of their candidate pairs, block against block.
 
     Only nodes in buckets that hold several classes take part. A class that fills a block has blocks of its own, which
     do not meet each other; the other classes of a group share pooled blocks, which also meet themselves.
     """
-    class_of = roots(links).select("node", F.col("root").alias("label"))
     large = stored(found.join(several.select("group"), "group", "left_semi").join(class_of, "node", "left").withColumn("label", F.coalesce("label", "node")))
     buckets = large.select("node", "label", F.posexplode("bands").alias("band", "key")).select("node", "label", F.xxhash64("band", "key").alias("bucket"))
     mixed = buckets.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("bucket")
@@ -285,11 +284,21 @@ def more_links(found: DataFrame, several: DataFrame, links: DataFrame) -> DataFr
     return stored(_unit_links(named.join(first.unionByName(second).hint("shuffle_hash"), "block")))
 
 
-def near_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Links (a, b) of similarity SIMILARITY or more whose components are the classes of nodes (node, doc_id, text_key, size, bands)."""
+def near_labels(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, label) of the nodes (node, doc_id, text_key, size, bands) that have links of SIMILARITY or more: one label a class."""
     found = stored(with_tokens(docs, stored(nodes.join(stored(candidate_groups(nodes)).hint("shuffle_hash"), "node"))))
     links, several = first_links(found)
-    return links if several.isEmpty() else links.unionByName(more_links(found, several, links))
+    class_of = stored(roots(links)).withColumnRenamed("root", "label")
+    if several.isEmpty():
+        return class_of
+    # A label is a node of its class, so links between classes join labels, and nodes without a class stand for themselves.
+    ends = more_links(found, several, class_of)
+    for end in ("a", "b"):
+        label = class_of.select(F.col("node").alias(end), F.col("label").alias("_label"))
+        ends = ends.join(label.hint("shuffle_hash"), end, "left").withColumn(end, F.coalesce("_label", end)).drop("_label")
+    joined = stored(roots(ends))
+    moved = class_of.join(joined.withColumnRenamed("node", "label").hint("shuffle_hash"), "label", "left").select("node", F.coalesce("root", "label").alias("label"))
+    return moved.unionByName(joined.withColumnRenamed("root", "label")).distinct()
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -298,7 +307,7 @@ def classes(docs: DataFrame) -> DataFrame:
     # One node for each distinct multiset: its smallest row, numbered by a hash of the bag.
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), "text_key", "doc_id", "size", "bands"))
     nodes = stored(sketched.groupBy("bag").agg(first.alias("f")).select(F.xxhash64("bag").alias("node"), "f.doc_id", "f.text_key", "f.size", "f.bands"))
-    label_of = stored(roots(near_links(docs, nodes))).withColumnRenamed("root", "label")
+    label_of = stored(near_labels(docs, nodes))
     named = nodes.join(label_of.hint("shuffle_hash"), "node", "left").select("node", "doc_id", "text_key", F.coalesce("label", "node").alias("label"))
     # The document that stays: the smallest doc_id, of rows that repeat it the smallest text.
     stays = named.groupBy("label").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), "text_key", "doc_id")).alias("f"))
