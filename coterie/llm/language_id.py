@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from coterie.llm.common import bytes_of, fold, hash_words, mix, pieces, read, stored, word_bounds
 
 PER_LANGUAGE, WINDOWS, CHAIN = 300, 2, 64
+SPARE = 3  # texts that may enter the choice of a language's sample, for each one chosen
 FEATURES, STEPS, PENALTY, RATE = 1 << 15, 50, 1e-3, 0.5
 MIN_SCORE = 0.5
 FOLDS = 5
@@ -133,25 +134,36 @@ def fit(windows: list[tuple[str, str]]) -> dict | None:
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        lang, cut = [], []
-        for name, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        cuts = []
+        for text in batch.column("text").to_pylist():
             words = text.split()
-            for k in range(WINDOWS):
-                most = max(0, len(words) - CHAIN)
-                at = most * (2 * k + 1) // (2 * WINDOWS)
-                if k == 0 or most:
-                    lang.append(name)
-                    cut.append(" ".join(words[at : at + CHAIN]))
-        yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(cut, pa.string())], names=["lang", "window"])
+            most = max(0, len(words) - CHAIN)
+            starts = [most * (2 * k + 1) // (2 * WINDOWS) for k in range(WINDOWS if most else 1)]
+            cuts.append([" ".join(words[at : at + CHAIN]) for at in starts])
+        yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("doc_id"), pa.array(cuts, pa.list_(pa.string()))], names=["lang", "doc_id", "windows"])
+
+
+def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
+    """(lang, window) of the per_language documents of each language that come first by a hash of doc_id.
+
+    Only documents outside the held-out fold count. A hash below a bound that keeps SPARE * per_language of a language's
+    documents on average decides before the shuffle, so that a language's task reads so many windows at any size of the
+    input and whole texts never move. If fewer than per_language of these have letters, the sample is as much smaller.
+    """
+    rows = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    counts = stored(rows.groupBy(F.col("lang").alias("_lang")).agg(F.count(F.lit(1)).alias("_rows")))
+    share = F.xxhash64("doc_id").cast("double") / 2.0**64 + 0.5
+    # The model has weights for each language, so there are few, and the counts' real size is known from their files.
+    near = rows.select("lang", "doc_id", "text").join(counts, F.col("lang") == F.col("_lang")).filter(share * F.col("_rows") <= SPARE * per_language)
+    cut = near.filter(F.col("text").rlike(r"\p{L}")).select("lang", "doc_id", "text").mapInArrow(_windows, "lang string, doc_id bigint, windows array<string>")
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "windows")
+    chosen = cut.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= per_language)
+    return chosen.select("lang", F.explode("windows").alias("window"))
 
 
 def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict | None:
     """Fits on documents (doc_id, text, lang) outside the held-out fold; the driver sees the sample's windows only."""
-    rows = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    sample = rows.select("doc_id", "text", "lang").withColumn("place", F.row_number().over(first)).filter(F.col("place") <= per_language)
-    windows = sample.select("lang", "text").mapInArrow(_windows, "lang string, window string")
-    return fit([(r[0], r[1]) for r in windows.collect() if r[1].strip()])
+    return fit([(r[0], r[1]) for r in sample(docs, per_language).collect() if r[1].strip()])
 
 
 def predict(docs: DataFrame, model: dict | None) -> DataFrame:

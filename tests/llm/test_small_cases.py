@@ -46,6 +46,18 @@ def test_chat_round_trip_and_folding(spark):
     assert chat.format_log(df.limit(0)).count() == 0
 
 
+def test_language_sample_is_bounded_and_first_by_hash(spark):
+    rows = [(i, f"word{i} " * 70, "en" if i % 3 else "de", "", "") for i in range(300)]
+    d = docs(spark, [*rows, (1000, None, "en", "", ""), (1001, "12", "de", "", ""), (None, "no key", "en", "", ""), (1002, "x", None, "", "")])
+    got = language_id.sample(d, 10).collect()
+    free = d.filter(~language_id.held_out(F.col("doc_id")) & F.col("text").rlike("[a-z]"))
+    for lang in ("de", "en"):
+        want = [r.text.split()[0] for r in free.filter(F.col("lang") == lang).orderBy(F.xxhash64("doc_id")).limit(10).collect()]
+        found = [r.window.split() for r in got if r.lang == lang]
+        assert sorted({w[0] for w in found}) == sorted(want) and len(found) == 2 * 10 and all(len(w) == 64 for w in found)
+    assert language_id.sample(d.limit(0)).count() == 0 and language_id.learn(d.limit(0)) is None
+
+
 def test_language_held_out_accuracy(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language_id.predict(d, language_id.learn(d)).join(d.select("doc_id", "lang"), "doc_id").filter(language_id.held_out(F.col("doc_id")))
