@@ -6,6 +6,7 @@ have no SQL and are tested by their invariants.
 """
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,52 +54,133 @@ def raw(b: Tables) -> DataFrame:
     return b.t("events").selectExpr("event_id", *BAD.values(), "event_type")
 
 
-def _csv(b: Tables) -> DataFrame:
-    path = shared_folder(b.spark)
-    raw(b).select(*[F.col(c).cast("string") for c in ("event_id", "uid", "ts", "value", "event_type")]).write.option("header", True).csv(path)
-    return tables.read_strings(b.spark, path, ["event_id", "uid", "ts", "value", "event_type"])
+def written(b: Tables, frames: dict[str, DataFrame]) -> str:
+    """A new folder with each frame as CSV files with a header, as a caller hands them over."""
+    folder = shared_folder(b.spark)
+    for name, df in frames.items():
+        df.write.option("header", True).csv(f"{folder}/{name}.csv")
+    return folder
+
+
+def _entity_tables(b: Tables) -> dict[str, DataFrame]:
+    """The five activity tables from customers, events and orders, absent facts null; every 83rd event has no user."""
+    sources = {
+        "accounts": b.t("customer").selectExpr("c_custkey as user_id", "c_name as email", "c_nationkey as home_pincode"),
+        "sessions": raw(b).selectExpr("event_id as session_id", "uid as user_id", "ts as timestamp", "event_type as action_type"),
+        "referrals": b.referrals().selectExpr("referred_user_id as referral_id", "referrer_user_id", "referred_user_id"),
+        "payment_instruments": b.t("orders").selectExpr("o_custkey as user_id", "sha2(o_orderpriority, 256) as instrument_hash"),
+        "orders": b.t("orders").selectExpr("o_custkey as user_id", "o_orderkey as order_id", "o_totalprice as order_value", "o_orderdate as order_date"),
+    }
+    return {name: df.select([(F.col(c) if c in df.columns else F.lit(None)).cast("string").alias(c) for c in tables.TABLES[name]]) for name, df in sources.items()}
+
 
+def _read_entity_tables(b: Tables) -> DataFrame:
+    read = tables.read_entity_tables(b.spark, written(b, _entity_tables(b)))
+    user = {"referrals": "referred_user_id"}
+    parts = [df.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n"), F.count(user.get(name, "user_id")).alias("with_user"), F.count_distinct(user.get(name, "user_id")).alias("users")) for name, df in read.items()]
+    return reduce(DataFrame.unionByName, parts)
 
-add("a01_read_entity_tables", lambda b: _csv(b).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count("uid").alias("with_user")), "SELECT event_type, count(*) AS n, count(*) FILTER (WHERE event_id % 83 <> 0) AS with_user FROM events GROUP BY 1")
+
+add("a01_read_entity_tables", _read_entity_tables, """SELECT 'accounts' AS table_name, count(*) AS n, count(*) AS with_user, count(DISTINCT c_custkey) AS users FROM customer
+    UNION ALL SELECT 'sessions', count(*), count(*) FILTER (WHERE event_id % 83 <> 0), count(DISTINCT user_id) FILTER (WHERE event_id % 83 <> 0) FROM events
+    UNION ALL SELECT 'referrals', count(DISTINCT user_id), count(DISTINCT user_id), count(DISTINCT user_id) FROM events
+    UNION ALL SELECT 'payment_instruments', count(*), count(*), count(DISTINCT o_custkey) FROM orders UNION ALL SELECT 'orders', count(*), count(*), count(DISTINCT o_custkey) FROM orders""")
 add("a02_drop_missing_id", lambda b: tables.drop_missing_id(raw(b), "uid").select("event_id"), "SELECT event_id FROM events WHERE event_id % 83 <> 0")
 add("a03_safe_timestamp", lambda b: tables.safe_timestamp(raw(b), "ts").select("event_id", "ts"), "SELECT event_id, ts FROM events WHERE event_id % 97 <> 0")
 add("a04_safe_number", lambda b: tables.safe_number(raw(b), "value").select("event_id", "value"), "SELECT event_id, value FROM events WHERE event_id % 89 <> 0 AND value >= 0")
 add("a05_quality_report", lambda b: tables.quality_report(raw(b), "events", "event_id", {"missing id": ~tables.has_text("uid"), "bad timestamp": F.expr("try_cast(ts as timestamp)").isNull(), "bad value": F.coalesce(F.expr("try_cast(value as double)") < 0, F.lit(True))}),
     """SELECT 'events' AS table_name, reason, count(*) AS rows_dropped, string_agg(k, ',' ORDER BY k) FILTER (WHERE p <= 3) AS examples FROM (SELECT *, row_number() OVER (PARTITION BY reason ORDER BY k) AS p FROM
     (SELECT CAST(event_id AS VARCHAR) AS k, CASE WHEN event_id % 83 = 0 THEN 'missing id' WHEN event_id % 97 = 0 THEN 'bad timestamp' WHEN event_id % 89 = 0 OR value < 0 THEN 'bad value' END AS reason FROM events) WHERE reason IS NOT NULL) GROUP BY reason""")
-add("a06_validate_tables", lambda b: tables.validate_table(raw(b), "events", "event_id", ["event_id", "uid", "phone"], ["ts"], ["value"], {"event_type": ["click", "view", "purchase", "signup"]}),
-    """SELECT 'events' AS table_name, NULL AS row_key, 'missing column phone' AS error UNION ALL SELECT 'events', CAST(event_id AS VARCHAR), 'bad date in ts' FROM events WHERE event_id % 97 = 0
-    UNION ALL SELECT 'events', CAST(event_id AS VARCHAR), 'bad value in event_type' FROM events WHERE event_type NOT IN ('click', 'view', 'purchase', 'signup')""")
+EVENT_CHECKS = {"key": "event_id", "required": ["event_id", "uid"], "dates": ["ts"], "numbers": ["value"], "enums": {"event_type": ["click", "view", "purchase", "signup"]}}
+
+
+def _validated(b: Tables) -> DataFrame:
+    """Events, events without ``value``, a table without a spec and orders, against customers who have an order."""
+    given = {
+        "accounts": b.t("orders").selectExpr("o_custkey as user_id").distinct(),
+        "events": raw(b),
+        "narrow": raw(b).drop("value"),
+        "other": raw(b),
+        "users": b.t("customer").selectExpr("c_custkey as user_id"),
+    }
+    narrow = EVENT_CHECKS | {"required": ["event_id", "value"]}
+    return tables.validate_tables(given, {"accounts": {"key": "user_id", "required": ["user_id"]}, "events": EVENT_CHECKS, "narrow": narrow, "users": {"key": "user_id", "required": ["user_id"]}}, "accounts", "user_id")
+
+
+add("a06_validate_tables", _validated,
+    """SELECT 'other' AS table_name, NULL AS row_key, 'unknown table' AS error UNION ALL SELECT 'narrow', NULL, 'missing column value' UNION ALL SELECT 'events', CAST(event_id AS VARCHAR), 'bad date in ts' FROM events WHERE event_id % 97 = 0
+    UNION ALL SELECT 'events', CAST(event_id AS VARCHAR), 'bad value in event_type' FROM events WHERE event_type NOT IN ('click', 'view', 'purchase', 'signup')
+    UNION ALL SELECT DISTINCT 'users', CAST(c_custkey AS VARCHAR), 'user_id not in accounts' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
 add("a07_orphan_keys", lambda b: tables.orphan_keys(b.t("customer").select(F.col("c_custkey").alias("user_id")), b.t("events"), "user_id", "user_id"), "SELECT DISTINCT c_custkey AS user_id FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)")
 add("a08_overlay", lambda b: tables.overlay(b.t("nation").select("n_nationkey", "n_name"), b.t("supplier").select(F.col("s_nationkey").alias("n_nationkey"), "s_acctbal")).groupBy("n_nationkey").agg(F.count("n_name").alias("base"), F.count("s_acctbal").alias("extra")),
     "SELECT n_nationkey, count(DISTINCT n_name) AS base, count(s_suppkey) AS extra FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1")
 
 
 def _nested(b: Tables) -> DataFrame:
+    """A record a customer with orders: orders and events as parallel arrays, a nation as device, order priorities as instruments."""
     o = b.orders().groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("order_id", "order_value", "order_date"))).alias("o"))
-    empty = lambda kind: F.array().cast(f"array<{kind}>")
-    return o.select("user_id", F.lit(None).cast("string").alias("device"), F.lit(None).cast("timestamp").alias("signup_ts"), empty("string").alias("instruments"), empty("string").alias("action_types"), empty("timestamp").alias("action_times"), F.transform("o", lambda x: x["order_value"]).alias("order_values"), F.transform("o", lambda x: x["order_date"]).alias("order_dates"), F.lit(None).cast("long").alias("referred_by"))
+    e = b.t("events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", "event_type", "ts"))).alias("e"))
+    p = b.t("orders").groupBy(F.col("o_custkey").alias("user_id")).agg(F.sort_array(F.collect_set("o_orderpriority")).alias("instruments"))
+    c = b.t("customer").selectExpr("c_custkey as user_id", "cast(c_nationkey as string) as device", "if(c_custkey % 3 = 0, c_custkey div 3, null) as referred_by")
+    df = c.join(o, "user_id").join(p, "user_id").join(e, "user_id", "left")
+    each = lambda items, field: F.transform(items, lambda x: x[field])
+    return df.select("user_id", "device", F.lit(None).cast("timestamp").alias("signup_ts"), "instruments", each("e", "event_type").alias("action_types"), each("e", "ts").alias("action_times"), each("o", "order_value").alias("order_values"), each("o", "order_date").alias("order_dates"), "referred_by")
+
+
+def _expanded(b: Tables) -> DataFrame:
+    """All five tables as (table_name, user_id, at, value)."""
+    out = tables.expand_nested_accounts(stored(_nested(b)))
+    value = {"accounts": ("-1", "device"), "payment_instruments": ("-1", "instrument_hash"), "sessions": ("at", "action_type"), "orders": ("at", "cast(cast(round(order_value * 100) as bigint) as string)"), "referrals": ("-1", "cast(referrer_user_id as string)")}
+    user = {"referrals": "referred_user_id"}
+    return reduce(DataFrame.unionByName, [out[t].selectExpr(f"'{t}' as table_name", f"{user.get(t, 'user_id')} as user_id", f"cast({at} as int) as at", f"{v} as value") for t, (at, v) in value.items()])
 
 
-add("a09_expand_nested_accounts", lambda b: tables.expand_nested_accounts(_nested(b))["orders"].select("user_id", "at", "order_value"), "SELECT o_custkey AS user_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INT) AS at, o_totalprice AS order_value FROM orders")
+add("a09_expand_nested_accounts", _expanded, """, act AS (SELECT * FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders))
+    SELECT 'accounts' AS table_name, c_custkey AS user_id, -1 AS at, CAST(c_nationkey AS VARCHAR) AS value FROM act
+    UNION ALL SELECT DISTINCT 'payment_instruments', o_custkey, -1, o_orderpriority FROM orders JOIN act ON c_custkey = o_custkey
+    UNION ALL SELECT 'sessions', user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1, event_type FROM events JOIN act ON c_custkey = user_id
+    UNION ALL SELECT 'orders', o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1, CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS VARCHAR) FROM orders JOIN act ON c_custkey = o_custkey
+    UNION ALL SELECT 'referrals', c_custkey, -1, CAST(c_custkey // 3 AS VARCHAR) FROM act WHERE c_custkey % 3 = 0""")
 
 
 def _truth_json(b: Tables) -> DataFrame:
     sets = b.truth().groupBy("set_id").agg(F.sort_array(F.collect_list(F.col("member").cast("string"))).alias("members"))
     one = sets.select(F.to_json(F.create_map(F.col("set_id").cast("string"), F.struct(F.when(F.col("set_id") % 2 == 0, "hard").otherwise("soft").alias("type"), F.lit("easy").alias("difficulty"), "members", F.lit("x").alias("description")))).alias("value"))
-    return tables.truth_rows(one)
+    path = shared_folder(b.spark)
+    one.write.text(path)
+    return tables.read_truth(b.spark, path, lines=True)
 
 
 add("a10_read_truth", _truth_json, "SELECT CAST(set_id AS VARCHAR) AS set_id, CASE WHEN set_id % 2 = 0 THEN 'hard' ELSE 'soft' END AS type, 'easy' AS difficulty, CAST(member AS VARCHAR) AS member FROM truth")
 CLASS = "case c_mktsegment when 'FURNITURE' then 'unknown' when 'MACHINERY' then '1' else '2' end"
 add("a11_read_labeled_nodes", lambda b: tables.read_labeled_nodes(b.t("customer").selectExpr("c_custkey as id", f"{CLASS} as class"), b.t("orders").select(F.col("o_custkey").alias("id"))), "SELECT id, label FROM nl WHERE id IN (SELECT o_custkey FROM orders)")
 add("a12_restrict_edges", lambda b: tables.restrict_edges(b.strong(), b.node_labels()).select("src", "dst", "weight"), "SELECT src, dst, weight FROM strong WHERE src IN (SELECT id FROM nl) AND dst IN (SELECT id FROM nl)")
-add("a13_read_flows", lambda b: tables.flow_flags(b.flows()).groupBy("host").agg(F.count_if(F.expr("is_botnet")).alias("botnet"), F.count_if(F.expr("is_normal")).alias("normal"), F.count_if(F.expr("is_background")).alias("background")), "SELECT host, count(*) FILTER (WHERE label = 'From-Botnet') AS botnet, count(*) FILTER (WHERE label = 'From-Normal') AS normal, count(*) FILTER (WHERE label = 'Background') AS background FROM hosts GROUP BY 1")
+
+
+def _read_flows(b: Tables) -> DataFrame:
+    """One CSV folder a capture (a calendar week, 53 at most), read back through the reader's own columns."""
+    flows = b.flows().selectExpr("capture", "src as SrcAddr", "dst as DstAddr", "port as Dport", "proto as Proto", "dur as Dur", "pkts as TotPkts", "bytes as TotBytes", "src_bytes as SrcBytes", "label as Label")
+    flows, folder = stored(flows), shared_folder(b.spark)
+    flows.write.partitionBy("capture").option("header", True).csv(folder)
+    captures = [r.capture for r in flows.select("capture").distinct().collect()]
+    return tables.read_flows(b.spark, {c: f"{folder}/capture={c}" for c in captures})
+
+
+add("a13_read_flows", lambda b: _read_flows(b).groupBy("host").agg(F.count_if(F.expr("is_botnet")).alias("botnet"), F.count_if(F.expr("is_normal")).alias("normal"), F.count_if(F.expr("is_background")).alias("background")), "SELECT host, count(*) FILTER (WHERE label = 'From-Botnet') AS botnet, count(*) FILTER (WHERE label = 'From-Normal') AS normal, count(*) FILTER (WHERE label = 'Background') AS background FROM hosts GROUP BY 1")
 add("a14_join_identity", lambda b: tables.join_identity(b.t("customer").select(F.col("c_custkey").alias("id"), "c_mktsegment"), b.device(), "id"), "SELECT c_custkey AS id, c_mktsegment, value FROM customer LEFT JOIN dev ON c_custkey = id")
 add("a15_assert_columns", lambda b: tables.assert_columns(b.scores(), ["id", "score", "label"], "label").groupBy("label").agg(F.count(F.lit(1)).alias("n")), "SELECT label, count(*) AS n FROM sc GROUP BY 1")
 add("a16_ip_subnet", lambda b: b.events().select("event_id", tables.ip_subnet(F.concat_ws(".", F.lit("10"), "user_id", "k", F.when(F.col("event_id") % 5 != 0, F.lit("9")))).alias("subnet")), "SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN '10.' || user_id || '.' || k END AS subnet FROM ev")
 add("a17_next_entity_index", lambda b: tables.next_entity_index(b.t("customer"), "c_name"), "SELECT max(CAST(regexp_extract(c_name, '(\\d+)$', 1) AS BIGINT)) + 1 AS next_index FROM customer")
-add("a18_read_cod_tables", lambda b: b.cod_orders().groupBy("is_cod", "is_refused").agg(F.count(F.lit(1)).alias("n")), "SELECT is_cod, is_refused, count(*) AS n FROM cod GROUP BY 1, 2")
+def _read_cod(b: Tables) -> DataFrame:
+    """Orders as read from CSV whose account was read too; every fifth order date is no date and goes."""
+    accounts = b.t("customer").selectExpr("c_custkey as user_id", "date'2020-01-01' as signup_date", "cast(null as string) as phone_number", "sha2(c_name, 256) as delivery_address_hash", "c_nationkey as home_pincode")
+    orders = b.t("orders").selectExpr("o_orderkey as order_id", "o_custkey as user_id", "o_totalprice as order_value", "if(o_orderkey % 5 = 0, 'soon', cast(o_orderdate as string)) as order_date", "if(o_orderpriority in ('1-URGENT', '2-HIGH'), 'COD', 'CARD') as payment_method", "if(o_orderstatus = 'F', 'refused', 'delivered') as delivery_status")
+    read = tables.read_cod_tables(b.spark, written(b, {"accounts": accounts, "orders": orders}))
+    kept = read["orders"].join(read["accounts"].select("user_id"), "user_id", "left_semi")
+    return kept.select((F.col("payment_method") == "COD").alias("is_cod"), (F.col("delivery_status") == "refused").alias("is_refused"))
+
+
+add("a18_read_cod_tables", lambda b: _read_cod(b).groupBy("is_cod", "is_refused").agg(F.count(F.lit(1)).alias("n")), "SELECT o_orderpriority IN ('1-URGENT', '2-HIGH') AS is_cod, o_orderstatus = 'F' AS is_refused, count(*) AS n FROM orders WHERE o_orderkey % 5 <> 0 GROUP BY 1, 2")
 
 # B: stores.
 add("b01_upsert_clusters", lambda b: sinks.upsert(b.t("customer").filter("c_custkey % 3 = 0").select("c_custkey", (F.col("c_acctbal") + 1).alias("c_acctbal")), b.t("customer").filter("c_custkey % 2 = 0").select("c_custkey", "c_acctbal"), "c_custkey"), "SELECT c_custkey, c_acctbal + CAST(c_custkey % 3 = 0 AS INT) AS c_acctbal FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0")

@@ -60,11 +60,14 @@ def quality_report(df: DataFrame, table: str, key: str, checks: dict[str, Column
     return failed.groupBy("reason").agg(F.count(F.lit(1)).alias("rows_dropped")).join(some, "reason").select(F.lit(table).alias("table_name"), "reason", "rows_dropped", F.array_join("examples", ",").alias("examples"))
 
 
+ERRORS = "table_name string, row_key string, error string"
+
+
 def validate_table(df: DataFrame, table: str, key: str, required: list[str], dates: list[str] = (), numbers: list[str] = (), enums: dict[str, list[str]] | None = None) -> DataFrame:
     """(table_name, row_key, error) for missing columns, bad dates, numbers and values."""
     missing = [c for c in required if c not in df.columns]
     spark = df.sparkSession
-    out = spark.createDataFrame([(table, None, f"missing column {c}") for c in missing], "table_name string, row_key string, error string")
+    out = spark.createDataFrame([(table, None, f"missing column {c}") for c in missing], ERRORS)
     bad = [F.when(has_text(c) & F.expr(f"try_cast(`{c}` as timestamp)").isNull(), F.lit(f"bad date in {c}")) for c in dates if c in df.columns]
     bad += [F.when(has_text(c) & F.expr(f"try_cast(`{c}` as double)").isNull(), F.lit(f"bad number in {c}")) for c in numbers if c in df.columns]
     bad += [F.when(has_text(c) & ~F.col(c).isin(v), F.lit(f"bad value in {c}")) for c, v in (enums or {}).items() if c in df.columns]
@@ -74,6 +77,29 @@ def validate_table(df: DataFrame, table: str, key: str, required: list[str], dat
     return out.unionByName(rows)
 
 
+def validate_tables(tables: dict[str, DataFrame], specs: dict[str, dict], root: str, key: str) -> DataFrame:
+    """(table_name, row_key, error) for all ``tables``; no row means valid, and nothing is corrected.
+
+    specs: {table: arguments of validate_table, "key" and "required" at least}. Without the table ``root`` that is the
+    only error. A table without a spec is unknown; one without a required column gets no further checks of its values.
+    Values of the column ``key`` that ``root`` lacks are orphans in every table that holds them, once a value.
+    """
+    if root not in tables:
+        spark = next(iter(tables.values())).sparkSession if tables else SparkSession.getActiveSession()
+        return spark.createDataFrame([(root, None, "missing table")], ERRORS)
+    spark = tables[root].sparkSession
+    out = [spark.createDataFrame([(name, None, "unknown table") for name in tables if name not in specs], ERRORS)]
+    for name, df in ((n, d) for n, d in tables.items() if n in specs):
+        spec = specs[name]
+        if set(spec["required"]) - set(df.columns):
+            out.append(validate_table(df, name, spec["key"], spec["required"]))
+        else:
+            out.append(validate_table(df, name, **spec))
+        if name != root and key in df.columns and key in tables[root].columns:
+            out.append(orphan_keys(df, tables[root], key, key).select(F.lit(name).alias("table_name"), F.col(key).cast("string").alias("row_key"), F.lit(f"{key} not in {root}").alias("error")))
+    return reduce(DataFrame.unionByName, out)
+
+
 def orphan_keys(child: DataFrame, parent: DataFrame, column: str, parent_column: str) -> DataFrame:
     keys = parent.select(F.col(parent_column).alias(column)).distinct()
     return child.filter(F.col(column).isNotNull()).select(column).distinct().join(keys, column, "left_anti")
@@ -99,9 +125,9 @@ def expand_nested_accounts(df: DataFrame) -> dict[str, DataFrame]:
 TRUTH = "map<string, struct<type:string, difficulty:string, members:array<string>, description:string>>"
 
 
-def read_truth(spark: SparkSession, path: str) -> DataFrame:
-    """(set_id, type, difficulty, member) from the nested truth JSON."""
-    return truth_rows(spark.read.option("wholetext", True).text(path).select("value"))
+def read_truth(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(set_id, type, difficulty, member) from nested truth JSON: one object a file, or one a line in large files."""
+    return truth_rows(spark.read.option("wholetext", not lines).text(path).select("value"))
 
 
 def truth_rows(texts: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ import __spark_entry__ as entry
 from compare import compare, duck
 
 SF = "/root/testdata/sf0.001"
-NAMES = "d05_build_entity_graph d07_prefix_edges f10_cod_features f11_validity f11_validity_summary h04_landed_in h18_period_trend i02_missed_cost i07_parameter_gap i08_propose_value j08_effect_sizes j09_z_score_sum j15_segmented_threshold".split()
+NAMES = "a01_read_entity_tables a06_validate_tables a09_expand_nested_accounts a10_read_truth a13_read_flows a18_read_cod_tables d05_build_entity_graph d07_prefix_edges f10_cod_features f11_validity f11_validity_summary h04_landed_in h18_period_trend i02_missed_cost i07_parameter_gap i08_propose_value j08_effect_sizes j09_z_score_sum j15_segmented_threshold".split()
 
 
 @pytest.fixture(scope="module")
