@@ -25,21 +25,27 @@ def affected_components(new: DataFrame, known: DataFrame) -> DataFrame:
     return connected_components(star_edges(rows))
 
 
-def score_arrivals(spark: SparkSession, folder: str, schema: str, known: DataFrame, report: Callable[[DataFrame, int], None], checkpoint: str, delay: str = "1 day") -> StreamingQuery:
+def score_arrivals(spark: SparkSession, folder: str, schema: str, known: DataFrame, report: Callable[[DataFrame, int], None], checkpoint: str, store: str, delay: str = "1 day") -> StreamingQuery:
     """Reads arriving incidence files (id, value, ts), drops repeats within the delay, and reports the components each batch touches.
 
     report gets (cluster_key, member, is_new) and the batch number; ``known`` is the stored incidence before the stream.
+    Arrivals are kept in ``store``, a shared folder that belongs to ``checkpoint``, one part a batch. A query started anew
+    finds there what came before; a batch run again replaces its part and sees the same earlier ones, so it reports the same.
+    A batch without rows is not reported.
     """
-    seen = {"rows": known.select("id", "value")}
 
     def each(batch: DataFrame, number: int) -> None:
-        new = stored(batch.select("id", "value"))
+        new = batch.select("id", "value")
+        part = f"{store.rstrip('/')}/batch={number}"
+        new.write.mode("overwrite").parquet(part)
+        new = batch.sparkSession.read.schema(new.schema).parquet(part)
         if new.isEmpty():
             return
-        touched = affected_components(new, seen["rows"])
+        kept = batch.sparkSession.read.schema(new.schema.add("batch", "long")).parquet(store)
+        before = known.select("id", "value").unionByName(kept.filter(F.col("batch") < number).drop("batch"))
+        touched = affected_components(new, before)
         fresh = new.select(F.col("id").alias("member")).distinct().withColumn("is_new", F.lit(True))
         report(touched.join(fresh, "member", "left").fillna(False, ["is_new"]), number)
-        seen["rows"] = stored(seen["rows"].unionByName(new))
 
     arriving = spark.readStream.schema(schema).json(folder).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["id", "value"])
     return arriving.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
