@@ -1,20 +1,15 @@
 """Clustering as joins that repeat until nothing changes (E)."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coterie.functions.components import components
 from coterie.functions.storage import stored
+from coterie.operators import factored
 
 ROUNDS = 100
 
 
-def _both_ways(edges: DataFrame) -> DataFrame:
-    w = F.col("weight") if "weight" in edges.columns else F.lit(1.0)
-    one = edges.select("src", "dst", w.alias("weight"))
-    return one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
-
-
 def connected_components(edges: DataFrame, min_size: int = 2) -> DataFrame:
     """(cluster_key, member) of components with min_size nodes or more, keyed by their smallest node.
 
@@ -39,51 +34,9 @@ def modularity(edges: DataFrame, membership: DataFrame, gamma: float = 1.3) -> D
     return total.select((F.col("inside") / (F.col("m2") / 2) - gamma * F.col("squares") / (F.col("m2") * F.col("m2"))).alias("q"))
 
 
-def _moved(beside: DataFrame, labels: DataFrame, gamma: float, m2: float, up: bool) -> DataFrame:
-    """Each node's best neighbouring community, only downwards or upwards so that two nodes never swap."""
-    own = beside.groupBy("src").agg(F.sum("weight").alias("k"))
-    state = stored(labels.join(own, F.col("member") == F.col("src")).select("member", "label", "k"))
-    size = state.groupBy("label").agg(F.sum("k").alias("total"))
-    toward = beside.filter("src != dst").join(state.select(F.col("member").alias("dst"), F.col("label").alias("to")), "dst").groupBy("src", "to").agg(F.sum("weight").alias("links"))
-    mine = state.withColumnRenamed("member", "src")
-    options = toward.join(mine, "src").join(size.withColumnRenamed("label", "to"), "to")
-    other = F.col("total") - F.when(F.col("to") == F.col("label"), F.col("k")).otherwise(0.0)
-    gain = options.withColumn("gain", F.col("links") - gamma * F.col("k") * other / m2)
-    stay = gain.filter("to = label").select("src", F.col("gain").alias("stay"))
-    lone = mine.join(size, "label").select("src", (-gamma * F.col("k") * (F.col("total") - F.col("k")) / m2).alias("lone"))
-    way = F.col("to") > F.col("label") if up else F.col("to") < F.col("label")
-    better = gain.filter(way).join(stay, "src", "left").join(lone, "src").filter(F.col("gain") > F.coalesce("stay", "lone") + 1e-9)
-    best = better.withColumn("place", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("gain"), "to"))).filter("place = 1").select(F.col("src").alias("member"), "to")
-    return stored(labels.join(best, "member", "left").select("member", F.coalesce("to", "label").alias("label")))
-
-
-def louvain(edges: DataFrame, gamma: float = 1.3, min_size: int = 3, levels: int = 4, rounds: int = 12) -> DataFrame:
-    """(cluster_key, member): communities of min_size or more. Rounds move nodes in parallel and are kept only if Q rises."""
-    base = stored(edges.select("src", "dst", "weight"))
-    graph = base
-    names = stored(base.select(F.explode(F.array("src", "dst")).alias("member")).distinct().withColumn("label", F.col("member")))
-    score = lambda m: modularity(base, m.select("member", F.col("label").alias("cluster_key")), gamma).first()[0]
-    m2 = (base.agg(F.sum("weight")).first()[0] or 0.0) * 2
-    best = score(names) if m2 else None
-    for _ in range(levels if m2 else 0):
-        beside = stored(_both_ways(graph))
-        nodes = stored(names.select(F.col("label").alias("member")).distinct().withColumn("label", F.col("member")))
-        rose, idle = False, 0
-        for k in range(rounds):
-            moved = _moved(beside, nodes, gamma, m2, k % 2 == 1)
-            named = stored(names.join(moved.select(F.col("member").alias("label"), F.col("label").alias("to")), "label").select("member", F.col("to").alias("label")))
-            q = score(named)
-            if q > best + 1e-12:
-                best, nodes, rose, idle = q, moved, True, 0
-            elif (idle := idle + 1) == 2:
-                break
-        if not rose:
-            break
-        names = stored(names.join(nodes.select(F.col("member").alias("label"), F.col("label").alias("to")), "label").select("member", F.col("to").alias("label")))
-        ends = graph.join(nodes.select(F.col("member").alias("src"), F.col("label").alias("a")), "src").join(nodes.select(F.col("member").alias("dst"), F.col("label").alias("b")), "dst")
-        graph = stored(ends.groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.sum("weight").alias("weight")))
-    keyed = names.groupBy("label").agg(F.min("member").alias("cluster_key"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_size)
-    return names.join(keyed, "label").select("cluster_key", "member")
+def louvain(edges: DataFrame, gamma: float = 1.3, min_size: int = 3) -> DataFrame:
+    """(cluster_key, member): communities of min_size or more of edges(src, dst, weight), each a group of two; see factored.communities."""
+    return factored.communities(factored.edge_groups(edges), gamma, min_size)
 
 
 def dedupe_candidates(hard: DataFrame, soft: DataFrame, threshold: float = 0.7) -> DataFrame:

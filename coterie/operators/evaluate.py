@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coterie.functions.order import global_row_number
+from coterie.functions.storage import stored
 from coterie.operators.cluster import illicit_structures
 
 
@@ -28,8 +29,9 @@ def best_match(truth: DataFrame, flagged: DataFrame, threshold: float = 0.5) ->
 
 
 def largest_overlap(blocks: DataFrame, sets: DataFrame) -> DataFrame:
+    """(set_id, match_id, overlap, recall, precision): each block's set of the largest overlap; recall is the share of that set, precision of the block."""
     best = _first(overlap_pairs(blocks, sets), "a_id", [F.desc("overlap"), F.asc("b_id")])
-    return best.select(F.col("a_id").alias("set_id"), F.col("b_id").alias("match_id"), "overlap", "recall", "precision")
+    return best.select(F.col("a_id").alias("set_id"), F.col("b_id").alias("match_id"), "overlap", F.round("precision", 3).alias("recall"), F.round("recall", 3).alias("precision"))
 
 
 def landed_in(members: DataFrame, candidates: DataFrame, flagged: DataFrame, share: float = 0.5) -> DataFrame:
@@ -43,35 +45,78 @@ def landed_in(members: DataFrame, candidates: DataFrame, flagged: DataFrame, sha
 
 
 def holdout_split(ids: DataFrame, fraction: float = 0.3, seed: int = 7) -> DataFrame:
-    """(id, split): the first share in md5 order is holdout."""
+    """(id, split): the first share in md5 order is holdout, at least one."""
     n = ids.count()
     ranked = global_row_number(ids.withColumn("_h", F.md5(F.concat(F.col("id").cast("string"), F.lit(f"|{seed}")))), [F.col("_h"), F.col("id")], "_n")
-    return ranked.select("id", F.when(F.col("_n") <= F.floor(F.lit(n * fraction)), "holdout").otherwise("dev").alias("split"))
+    return ranked.select("id", F.when(F.col("_n") <= F.greatest(F.lit(1), F.floor(F.lit(n * fraction))), "holdout").otherwise("dev").alias("split"))
 
 
-def ring_recall(kinds: DataFrame, matches: DataFrame) -> DataFrame:
-    """Recall by type. kinds(set_id, type); matches(set_id, cluster_key)."""
-    return kinds.join(matches, "set_id", "left").groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.count("cluster_key").alias("found"), F.avg(F.col("cluster_key").isNotNull().cast("int")).alias("recall"))
+def tagged_sets(rings: DataFrame, confounders: DataFrame) -> DataFrame:
+    """(kind, set_id, type, member) of rings and look-alikes (set_id, type, member); set ids become text, so both kinds may use the same ones."""
+    tag = lambda df, kind: df.select(F.lit(kind).alias("kind"), F.col("set_id").cast("string").alias("set_id"), "type", "member")
+    return tag(rings, "ring").unionByName(tag(confounders, "confounder"))
 
 
-def false_positive_rate(confounders: DataFrame, flagged: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Each look-alike with whether it was flagged and surfaced."""
-    hit, seen = best_match(confounders, flagged), best_match(confounders, candidates)
-    return hit.select("set_id", F.col("cluster_key").isNotNull().alias("wrongly_flagged")).join(seen.select("set_id", F.col("cluster_key").isNotNull().alias("surfaced")), "set_id")
+def split_sets(truth: DataFrame, fraction: float = 0.3, seed: int = 7) -> DataFrame:
+    """(kind, set_id, split): rings and look-alikes are split apart, each with a holdout share of its own."""
+    ids = stored(truth.select("kind", F.col("set_id").alias("id")).distinct())
+    part = lambda kind: holdout_split(ids.filter(F.col("kind") == kind).select("id"), fraction, seed).select(F.lit(kind).alias("kind"), F.col("id").alias("set_id"), "split")
+    return part("ring").unionByName(part("confounder"))
 
 
-def cluster_precision(flagged: DataFrame, truth: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Of flagged clusters that touch a truth set, how many are true."""
-    good = F.max(((F.col("recall") >= threshold) & (F.col("precision") >= threshold)).cast("int"))
-    per = overlap_pairs(truth, flagged).groupBy("b_id").agg(good.alias("good"))
-    return per.agg(F.count(F.lit(1)).alias("touching"), F.coalesce(F.sum("good"), F.lit(0)).alias("true_clusters"), F.avg("good").alias("precision"))
+def set_outcomes(truth: DataFrame, flagged: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """(kind, set_id, type, size, cluster_key, matched): the detail of every tagged set, with its best flagged cluster if one reaches threshold."""
+    key = F.struct("kind", "set_id").alias("set_id")
+    found = best_match(truth.select(key, "member"), flagged, threshold)
+    sets = truth.groupBy("kind", "set_id", "type").agg(F.count(F.lit(1)).alias("size"))
+    named = found.select(F.col("set_id.kind").alias("kind"), F.col("set_id.set_id").alias("set_id"), "cluster_key")
+    return sets.join(named, ["kind", "set_id"]).withColumn("matched", F.col("cluster_key").isNotNull())
 
 
-def eval_report(truth: DataFrame, flagged: DataFrame, splits: DataFrame) -> DataFrame:
-    """Recall for dev, holdout and overall. splits(id, split)."""
-    m = best_match(truth, flagged).join(splits.withColumnRenamed("id", "set_id"), "set_id")
-    both = m.unionByName(m.withColumn("split", F.lit("overall")))
-    return both.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.count("cluster_key").alias("found"), F.avg(F.col("cluster_key").isNotNull().cast("int")).alias("recall"))
+def ring_recall(outcomes: DataFrame, splits: DataFrame) -> DataFrame:
+    """(split, kind, type, n, found, rate): shares of tagged sets that a flagged cluster matches, per split and overall, per type and over all types.
+
+    For rings that is recall, for look-alikes the false-positive rate; all in one pass over outcomes, by grouping sets.
+    """
+    rows = outcomes.join(splits, ["kind", "set_id"])
+    sets = [[F.col("split"), F.col("kind"), F.col("type")], [F.col("split"), F.col("kind")], [F.col("kind"), F.col("type")], [F.col("kind")]]
+    per = rows.groupingSets(sets, "split", "kind", "type").agg(F.grouping("split").alias("_s"), F.grouping("type").alias("_t"), F.count(F.lit(1)).alias("n"), F.count_if("matched").alias("found"))
+    split = F.when(F.col("_s") == 1, "overall").otherwise(F.col("split")).alias("split")
+    return per.select(split, "kind", F.when(F.col("_t") == 1, "all").otherwise(F.col("type")).alias("type"), "n", "found", (F.col("found") / F.col("n")).alias("rate"))
+
+
+def false_positive_rate(confounders: DataFrame, flagged: DataFrame, candidates: DataFrame, reasons: DataFrame) -> DataFrame:
+    """Each look-alike (set_id, member) with whether it was flagged or came up as a candidate at all, by which cluster, and why that one was or
+    was not flagged (reasons: cluster_key, reason); ``rate`` is the share flagged of all."""
+    hit = best_match(confounders, flagged).withColumnRenamed("cluster_key", "hit")
+    seen = best_match(confounders, candidates).withColumnRenamed("cluster_key", "seen")
+    rows = stored(hit.join(seen, "set_id").select("set_id", F.col("hit").isNotNull().alias("wrongly_flagged"), F.col("seen").isNotNull().alias("surfaced"), F.coalesce("hit", "seen").alias("cluster_key")))
+    rate = rows.agg((F.count_if("wrongly_flagged") / F.nullif(F.count(F.lit(1)), F.lit(0))).alias("rate"))
+    return rows.join(reasons.select("cluster_key", "reason"), "cluster_key", "left").crossJoin(F.broadcast(rate)).select("set_id", "wrongly_flagged", "surfaced", "cluster_key", "reason", "rate")
+
+
+def cluster_precision(flagged: DataFrame, truth: DataFrame, splits: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """(split, relevant, true_clusters, false_clusters, precision) over tagged sets: of the flagged clusters that touch a ring or
+    look-alike of the split, those that match one of its rings, and the others; per split and overall."""
+    pairs = overlap_pairs(truth.select(F.struct("kind", "set_id").alias("set_id"), "member"), flagged)
+    good = (F.col("a_id.kind") == "ring") & (F.col("recall") >= threshold) & (F.col("precision") >= threshold)
+    rows = pairs.select(F.col("a_id.kind").alias("kind"), F.col("a_id.set_id").alias("set_id"), "b_id", good.cast("int").alias("good")).join(splits, ["kind", "set_id"])
+    per = rows.groupingSets([[F.col("split"), F.col("b_id")], [F.col("b_id")]], "split", "b_id").agg(F.grouping("split").alias("_s"), F.max("good").alias("good"))
+    named = per.select(F.when(F.col("_s") == 1, "overall").otherwise(F.col("split")).alias("split"), "good")
+    return named.groupBy("split").agg(F.count(F.lit(1)).alias("relevant"), F.sum("good").alias("true_clusters"), F.sum(1 - F.col("good")).alias("false_clusters"), F.avg("good").alias("precision"))
+
+
+def eval_report(truth: DataFrame, flagged: DataFrame, splits: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """One row for dev, holdout and overall: rings and recall by type (hard, soft), look-alikes and their false-positive rate, and precision.
+
+    truth: tagged_sets, flagged(set_id, member), splits: split_sets. A rate over no sets is null.
+    """
+    rates = ring_recall(set_outcomes(truth, flagged, threshold), splits)
+    of = lambda kind, type_, c: F.max(F.when((F.col("kind") == kind) & (F.col("type") == type_), F.col(c)))
+    count = lambda kind, type_: F.coalesce(of(kind, type_, "n"), F.lit(0))
+    wide = rates.groupBy("split").agg(count("ring", "hard").alias("n_hard"), of("ring", "hard", "rate").alias("hard_recall"), count("ring", "soft").alias("n_soft"), of("ring", "soft", "rate").alias("soft_recall"), count("ring", "all").alias("n_rings"), of("ring", "all", "rate").alias("recall"), count("confounder", "all").alias("n_confounders"), of("confounder", "all", "rate").alias("false_positive_rate"))
+    out = wide.join(cluster_precision(flagged, truth, splits, threshold).hint("merge"), "split", "left")
+    return out.fillna(0, ["relevant", "true_clusters", "false_clusters"])
 
 
 def rate_by(rows: DataFrame, dims: list[str], flag: str, listed: DataFrame | None = None) -> DataFrame:
@@ -96,12 +141,32 @@ def threshold_sweep(rows: DataFrame, thresholds: list[float]) -> DataFrame:
     return t.select("threshold", "flagged", "captured", (F.col("captured") / zero("all_positives")).alias("recall"), precision.alias("precision"), (precision / (F.col("all_positives") / zero("all_labeled"))).alias("lift"))
 
 
-def neighbor_flag(edges: DataFrame, labels: DataFrame, flagged_members: DataFrame) -> DataFrame:
-    """Nodes outside flagged clusters with a positive neighbour. labels(id, label), flagged_members(member)."""
+def neighbor_flag(edges: DataFrame, labels: DataFrame, membership: DataFrame, flags: DataFrame) -> DataFrame:
+    """(member, positive): members of clusters that were not flagged, and of none that was, with a positive neighbour in edges.
+
+    labels(id, label), membership(cluster_key, member), flags(cluster_key, flagged).
+    """
+    judged = membership.join(flags, "cluster_key").groupBy("member").agg(F.max(F.coalesce("flagged", F.lit(False))).alias("flagged"))
+    diluted = judged.filter("not flagged").select("member")
     ways = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    positive = labels.filter("label = 1").select(F.col("id").alias("dst"))
+    positive = labels.filter("label = 1").select(F.col("id").alias("dst")).distinct()
     near = ways.join(positive, "dst", "left_semi").select(F.col("src").alias("member")).distinct()
-    return near.join(flagged_members.select("member").distinct(), "member", "left_anti")
+    known = labels.groupBy(F.col("id").alias("member")).agg((F.max("label") == 1).alias("positive"))
+    return diluted.join(near, "member", "left_semi").join(known, "member", "left").select("member", F.coalesce("positive", F.lit(False)).alias("positive"))
+
+
+def dilution_recovery(edges: DataFrame, labels: DataFrame, membership: DataFrame, flags: DataFrame) -> DataFrame:
+    """One row: members checked outside flagged clusters, those flagged by a neighbour and the positives among them, and recall and
+    precision over members of flagged clusters alone and of both together."""
+    judged = membership.join(flags, "cluster_key").groupBy("member").agg(F.max(F.coalesce("flagged", F.lit(False))).alias("flagged"), F.lit(True).alias("listed"))
+    near = neighbor_flag(edges, labels, membership, flags).select("member", F.lit(True).alias("near"))
+    known = labels.groupBy(F.col("id").alias("member")).agg((F.max("label") == 1).alias("positive"))
+    rows = judged.join(near.hint("merge"), "member", "left").join(known, "member", "full").fillna(False, ["flagged", "listed", "near", "positive"])
+    counted = {"checked": "listed and not flagged", "near": "near", "recovered": "near and positive", "positives": "positive", "members": "flagged", "captured": "flagged and positive"}
+    total = rows.agg(*[F.count_if(F.expr(c)).alias(name) for name, c in counted.items()])
+    share = lambda a, b: F.round(a / F.nullif(b, F.lit(0)), 4)
+    c, m, p = F.col("captured"), F.col("members"), F.col("positives")
+    return total.select("checked", "near", "recovered", share(c, p).alias("cluster_recall"), share(c, m).alias("cluster_precision"), share(c + F.col("recovered"), p).alias("combined_recall"), share(c + F.col("recovered"), m + F.col("near")).alias("combined_precision"))
 
 
 def structural_coverage(edges: DataFrame, labels: DataFrame, flagged: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -119,13 +184,28 @@ def member_recall(truth: DataFrame, flagged: DataFrame) -> DataFrame:
     return per.join(pieces, "set_id", "left").select("set_id", (F.col("caught") / F.col("n")).alias("member_recall"), F.coalesce("pieces", F.lit(0)).alias("pieces"))
 
 
-def two_way_agreement(blocks: DataFrame, flagged: DataFrame, truth: DataFrame) -> DataFrame:
-    """Blocks that match a flagged cluster, flagged clusters found by a block, truth sets found by a block."""
-    half = lambda a, b: overlap_pairs(a, b).filter("recall >= 0.5 and precision >= 0.5")
-    count = lambda df, c: df.agg(F.countDistinct(c).alias("n"))
-    bf, bt = half(blocks, flagged), half(blocks, truth)
-    rows = [count(bf, "a_id").select(F.lit("blocks_in_flagged").alias("measure"), "n"), count(bf, "b_id").select(F.lit("flagged_in_blocks").alias("measure"), "n"), count(bt, "b_id").select(F.lit("truth_in_blocks").alias("measure"), "n")]
-    return reduce(DataFrame.unionByName, rows)
+def two_way_agreement(blocks: DataFrame, flagged: DataFrame, truth: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """(measure, n) of a cross-check of dense blocks (set_id, member) with flagged clusters and tagged sets.
+
+    blocks_in_*: blocks whose set of the largest overlap matches both ways; hard_rings_found: different hard rings so matched, of
+    hard_rings; flagged_in_blocks and confounders_in_blocks: those that any block matches.
+    """
+    sets = lambda kind: truth.filter(F.col("kind") == kind)
+    match = lambda a, b: largest_overlap(a, b.select("set_id", "member")).filter((F.col("recall") >= threshold) & (F.col("precision") >= threshold))
+    both = lambda a: overlap_pairs(a.select("set_id", "member"), blocks).filter((F.col("recall") >= threshold) & (F.col("precision") >= threshold))
+    hard = sets("ring").filter("type = 'hard'").select("set_id").distinct()
+    in_rings = stored(match(blocks, sets("ring")))
+    counts = {
+        "blocks": blocks.select("set_id").distinct(),
+        "blocks_in_flagged": match(blocks, flagged),
+        "blocks_in_rings": in_rings,
+        "blocks_in_confounders": match(blocks, sets("confounder")),
+        "hard_rings": hard,
+        "hard_rings_found": hard.join(in_rings.select(F.col("match_id").alias("set_id")), "set_id", "left_semi"),
+        "flagged_in_blocks": both(flagged).select("a_id").distinct(),
+        "confounders_in_blocks": both(sets("confounder")).select("a_id").distinct(),
+    }
+    return reduce(DataFrame.unionByName, [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("measure"), "n") for name, df in counts.items()])
 
 
 def new_false_positives(now: DataFrame, control: DataFrame, key: str) -> DataFrame:

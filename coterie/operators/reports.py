@@ -1,15 +1,20 @@
 """Report queries (K)."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def list_clusters(clusters: DataFrame, flagged: bool | None = None, stage: str | None = None, search: str | None = None) -> DataFrame:
+def list_clusters(clusters: DataFrame, flagged: bool | None = None, stage: str | None = None, search: str | None = None, actions: list[str] | None = None) -> DataFrame:
+    """The clusters that every given filter keeps, the most confident first, those without confidence last."""
     out = clusters
     if flagged is not None:
         out = out.filter(F.col("flagged") == flagged)
     if stage:
         out = out.filter(F.col("stage") == stage)
+    if actions is not None:
+        out = out.filter(F.col("action").isin(actions))
     if search:
         out = out.filter(F.contains(F.col("cluster_key").cast("string"), F.lit(search)))
     return out.orderBy(F.desc_nulls_last("confidence"), "cluster_key")
@@ -43,13 +48,17 @@ def confounder_table(rows: DataFrame, **wanted: list) -> DataFrame:
 
 
 def size_distribution(clusters: DataFrame) -> DataFrame:
-    return clusters.groupBy("size").agg(F.count(F.lit(1)).alias("clusters"))
+    """(size, clusters, flagged): how many clusters (cluster_key, size, flagged) have each size, and how many of those are flagged."""
+    return clusters.groupBy("size").agg(F.count(F.lit(1)).alias("clusters"), F.count_if("flagged").alias("flagged"))
+
+
+def largest(clusters: DataFrame, n: int = 15) -> DataFrame:
+    """The n largest clusters, ties by key."""
+    return clusters.orderBy(F.desc("size"), "cluster_key").limit(n)
 
 
 def summary_counts(nodes: DataFrame, edges: DataFrame, hard: DataFrame, clusters: DataFrame) -> DataFrame:
-    parts = [("nodes", nodes), ("edges", edges), ("hard_edges", hard), ("candidates", clusters.select("cluster_key").distinct())]
-    out = None
-    for name, df in parts:
-        one = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("measure"), "n")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """(measure, n) of a run: nodes, edges, hard edges, candidates (cluster_key, flagged) and flagged ones."""
+    per = clusters.groupBy("cluster_key").agg(F.max(F.coalesce("flagged", F.lit(False))).alias("flagged"))
+    parts = {"nodes": nodes, "edges": edges, "hard_edges": hard, "candidates": per, "flagged": per.filter("flagged")}
+    return reduce(DataFrame.unionByName, [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("measure"), "n") for name, df in parts.items()])

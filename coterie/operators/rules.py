@@ -74,20 +74,55 @@ def flag_by_density(rows: DataFrame, threshold: float = 0.5, min_labeled: int =
     return rows.agg(F.count_if(hit).alias("flagged"), F.sum(F.when(hit, F.col("labeled")).otherwise(0)).alias("flagged_labeled"), F.sum(F.when(hit, F.col("positives")).otherwise(0)).alias("captured"), F.sum("positives").alias("positives"))
 
 
+def _percent(c: str) -> Column:
+    return F.when(F.col(c).isNotNull(), F.format_string("%.0f%%", F.round(F.col(c) * 100).cast("double")))
+
+
+def _decimal(c: str, digits: int = 2) -> Column:
+    return F.when(F.col(c).isNotNull(), F.format_string(f"%.{digits}f", F.col(c).cast("double")))
+
+
+def _shown(c: Column) -> Column:
+    return F.coalesce(c, F.lit("n/a"))
+
+
 def recommended_action(clusters: DataFrame) -> DataFrame:
-    """(cluster_key, action, confidence, evidence) of judged clusters."""
-    strong = F.col("shared_instrument") | (F.col("shared_device") & (F.col("suspicion_score") >= 2))
+    """(cluster_key, action, confidence, evidence) of judged clusters; without any evidence the verdict's reason stands in."""
     s = F.col("suspicion_score")
+    strong = F.col("shared_instrument") | (F.col("shared_device") & (s >= 2))
     action = F.when(strong | (s >= 3), "HOLD_BONUS").otherwise("MANUAL_REVIEW")
     confidence = F.when(strong, 0.85).when(s >= 3, 0.72).when(s >= 2, 0.55).otherwise(0.4)
-    pct = lambda c: F.format_string("%.0f%%", F.round(F.col(c) * 100).cast("double"))
-    evidence = F.array_compact(F.array(F.when(F.col("shared_instrument"), F.concat(pct("shared_instrument_frac"), F.lit(" share one instrument"))), F.when(F.col("shared_device"), F.concat(pct("shared_device_frac"), F.lit(" share one device"))), F.when(F.col("signup_span_days") <= 7, F.lit("signup burst")), F.when(F.col("order_value_cv") < 0.15, F.lit("near-equal order values")), F.when(F.col("claim_then_dormant_frac") >= 0.4, F.concat(pct("claim_then_dormant_frac"), F.lit(" dormant after the claim")))))
+    said = [
+        F.when(F.col("shared_instrument"), F.concat(_percent("shared_instrument_frac"), F.lit(" share one instrument"))),
+        F.when(F.col("shared_device"), F.concat(_percent("shared_device_frac"), F.lit(" share one device"))),
+        F.when(F.array_contains("signals_present", "ip_subnet_overlap"), F.lit("a subnet is shared")),
+        F.when(F.col("signup_span_days") <= 7, F.concat(F.lit("all signed up within "), _decimal("signup_span_days"), F.lit(" days"))),
+        F.when(F.col("order_value_cv") < 0.15, F.concat(F.lit("order values vary by only "), _decimal("order_value_cv", 4))),
+        F.when(F.col("claim_then_dormant_frac") >= 0.4, F.concat(_percent("claim_then_dormant_frac"), F.lit(" went silent after their claim"))),
+    ]
+    evidence = F.array_compact(F.array(*said))
     evidence = F.when(F.size(evidence) == 0, F.array("reason")).otherwise(evidence)
-    return clusters.select("cluster_key", action.alias("action"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence)).alias("confidence"), F.array_join(evidence, "; ").alias("evidence"))
-
-
-def evidence_text(clusters: DataFrame) -> DataFrame:
-    pct = lambda c: F.coalesce(F.format_string("%.0f%%", F.round(F.col(c) * 100).cast("double")), F.lit("n/a"))
-    whole = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("n/a"))
-    lines = [F.concat(F.lit("members: "), whole("size")), F.concat(F.lit("edges: "), whole("n_edges")), F.concat(F.lit("one device: "), pct("shared_device_frac")), F.concat(F.lit("one instrument: "), pct("shared_instrument_frac")), F.concat(F.lit("claimed: "), pct("claim_frac")), F.concat(F.lit("dormant after claim: "), pct("claim_then_dormant_frac")), F.concat(F.lit("orders: "), whole("n_orders")), F.concat(F.lit("reason: "), F.coalesce("reason", F.lit("n/a")))]
-    return clusters.select("cluster_key", F.concat_ws("\n", *lines).alias("evidence_text"))
+    return clusters.select("cluster_key", action.alias("action"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence)).alias("confidence"), evidence.alias("evidence"))
+
+
+def evidence_text(clusters: DataFrame, stage: str = "stage") -> DataFrame:
+    """(cluster_key, evidence_text): twelve lines of a cluster's aggregates, without ids of members; what is unknown reads n/a."""
+    found = F.col(stage) if stage in clusters.columns else F.lit(None).cast("string")
+    signals = F.when(F.size(F.coalesce("signals_present", F.array())) > 0, F.array_join("signals_present", ", ")).otherwise("none")
+    whole = lambda c: _shown(F.col(c).cast("string"))
+    share = lambda c: F.concat(F.when(F.col(f"shared_{c}"), "yes").otherwise("no"), F.lit(", "), _shown(_percent(f"shared_{c}_frac")))
+    lines = {
+        "stage": _shown(found),
+        "members": F.concat(whole("size"), F.lit(", density "), _shown(_decimal("edge_density", 4))),
+        "signals": signals,
+        "one device": share("device"),
+        "one instrument": share("instrument"),
+        "signups": F.concat(F.lit("over "), _shown(_decimal("signup_span_days")), F.lit(" days, "), _shown(_decimal("avg_gap_hours")), F.lit(" hours apart on average")),
+        "claims": F.concat(_shown(_percent("claim_frac")), F.lit(", "), _shown(_decimal("bonus_claim_velocity_hours")), F.lit(" hours after signup")),
+        "silent after the claim": _shown(_percent("claim_then_dormant_frac")),
+        "orders": F.concat(whole("n_orders"), F.lit(", values vary by "), _shown(_decimal("order_value_cv", 4))),
+        "late sessions a member": _shown(_decimal("post_signup_engagement", 3)),
+        "reason": _shown(F.col("reason")),
+        "scores": F.concat(F.lit("organic "), whole("organic_score"), F.lit(" of 3, suspicion "), whole("suspicion_score"), F.lit(" of 4")),
+    }
+    return clusters.select("cluster_key", F.concat_ws("\n", *[F.concat(F.lit(f"{k}: "), v) for k, v in lines.items()]).alias("evidence_text"))

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from coterie.functions.storage import stored
+from coterie.operators.evaluate import set_outcomes
 from coterie.operators.rules import PARAMETERS, parameters, verdict
 
 
@@ -44,11 +45,20 @@ def sweep_finding(sweep: DataFrame, columns: list[str]) -> DataFrame:
     return sweep.agg(*[(F.min(c) == F.max(c)).alias(f"{c}_flat") for c in columns])
 
 
-def impact(features: DataFrame, name: str, value: float) -> DataFrame:
-    """Clusters flagged with the production value and with another, and the change."""
-    both = replay(features, name, [PARAMETERS[name][0], value]).withColumn("run", F.when(F.col("value") == PARAMETERS[name][0], "before").otherwise("after"))
-    p = both.groupBy().pivot("run", ["before", "after"]).agg(F.count_if(F.expr("flagged")))
-    return p.select("before", "after", (F.col("after") - F.col("before")).alias("delta"))
+def impact(features: DataFrame, membership: DataFrame, truth: DataFrame, name: str, value: float) -> DataFrame:
+    """(kind, total, before, after, delta): rings caught and look-alikes wrongly flagged with the production value of a parameter and with another.
+
+    truth: evaluate.tagged_sets. A set counts if a flagged cluster matches it.
+    """
+    runs = stored(replay(features, name, [PARAMETERS[name][0], value]).filter("flagged").select("value", "cluster_key"))
+    key = lambda v: F.struct(F.lit(float(v)).alias("v"), "cluster_key").alias("set_id")
+    out = truth.select("kind", "set_id").distinct()
+    for run, v in (("before", PARAMETERS[name][0]), ("after", value)):
+        flagged = membership.join(runs.filter(F.col("value") == float(v)).select("cluster_key"), "cluster_key", "left_semi").select(key(v), "member")
+        hit = set_outcomes(truth, flagged).select("kind", "set_id", F.col("matched").cast("int").alias(run))
+        out = out.join(hit, ["kind", "set_id"])
+    counts = out.groupBy("kind").agg(F.count(F.lit(1)).alias("total"), F.sum("before").alias("before"), F.sum("after").alias("after"))
+    return counts.withColumn("delta", F.col("after") - F.col("before"))
 
 
 CHECKS = [("spread_out_days", "signup_span_days"), ("diverse_order_cv", "order_value_cv"), ("engaged_sessions", "post_signup_engagement")]
@@ -74,6 +84,9 @@ def propose_value(gaps: DataFrame) -> DataFrame:
     return j.select("cluster_key", "parameter", F.when(F.abs(wanted - F.col("now")) > 1e-6, wanted).alias("proposed"))
 
 
-def side_by_side(baseline: DataFrame, proposed: DataFrame, key: str, measures: list[str]) -> DataFrame:
-    b = proposed.select(key, *[F.col(m).alias(f"{m}_new") for m in measures])
-    return baseline.join(b, key).select(key, *[(F.col(f"{m}_new") - F.col(m)).alias(f"{m}_delta") for m in measures])
+def side_by_side(baseline: DataFrame, proposed: DataFrame, key: str = "split", measures: tuple[str, ...] = ("hard_recall", "soft_recall", "recall", "false_positive_rate", "precision")) -> DataFrame:
+    """Each measure of two evaluate.eval_report runs and its change, a row a split that both have."""
+    old = baseline.select(key, *[F.col(m).alias(f"{m}_old") for m in measures])
+    new = proposed.select(key, *[F.col(m).alias(f"{m}_new") for m in measures])
+    shown = [c for m in measures for c in (F.col(f"{m}_old"), F.col(f"{m}_new"), F.round(F.col(f"{m}_new") - F.col(f"{m}_old"), 6).alias(f"{m}_delta"))]
+    return old.join(new, key).select(key, *shown)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coterie.functions.storage import stored
-from coterie.operators import cluster, derive, features, graph, rules
+from coterie.operators import cluster, derive, evaluate, factored, features, graph, rules
 
 LABEL = "case when event_type = 'error' and value > p90 then 'From-Botnet' when event_type = 'view' then 'From-Normal' else 'Background' end"
 
@@ -78,6 +78,25 @@ class Tables:
     def truth(self) -> DataFrame:
         return self.once("truth", lambda: self.sets(cluster.connected_components(graph.star_edges(self.incidence("l_partkey", 0.09)))))
 
+    def tagged(self) -> DataFrame:
+        """Truth sets as rings, hard if the set's number is even, and customers of one supplier and ship day as look-alikes."""
+        rings = self.truth().select("set_id", F.when(F.col("set_id") % 2 == 0, "hard").otherwise("soft").alias("type"), "member")
+        return self.once("tagged", lambda: evaluate.tagged_sets(rings, self.confounders().withColumn("type", F.lit("office"))))
+
+    def confounders(self) -> DataFrame:
+        inc = self.once("confounders", lambda: self.incidence("l_suppkey"))
+        shared = inc.groupBy("value").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").select("value")
+        return inc.join(shared, "value", "left_semi").select(F.col("value").alias("set_id"), F.col("id").alias("member"))
+
+    def splits(self) -> DataFrame:
+        return self.once("splits", lambda: evaluate.split_sets(self.tagged()))
+
+    def groups(self) -> DataFrame:
+        """What edges() links, as groups."""
+        parts = (("shared_device", "l_partkey"), ("ip_subnet_overlap", "l_suppkey"))
+        shared = [factored.shared_groups(self.incidence(key), signal, graph.WEIGHTS[signal]) for signal, key in parts]
+        return self.once("groups", lambda: shared[0].unionByName(shared[1]))
+
     def orders(self) -> DataFrame:
         return self.t("orders").select(F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("order_id"), F.col("o_totalprice").alias("order_value"), F.col("o_orderdate").alias("order_date"))
 
@@ -111,12 +130,12 @@ class Tables:
     def judged(self) -> DataFrame:
         return rules.verdict(self.features())
 
-    def flagged_sets(self) -> DataFrame:
+    def flagged_sets(self, above: float = 0.3) -> DataFrame:
         """The clusters flagged by their density of positive labels, with their members; the rules flag none of these tables' clusters."""
-        return self.sets(self.membership().join(self.flags().filter("flagged"), "cluster_key", "left_semi"))
+        return self.sets(self.membership().join(self.flags(above).filter("flagged"), "cluster_key", "left_semi"))
 
-    def flags(self) -> DataFrame:
-        return self.once("flags", lambda: self.density_rows().select("cluster_key", F.coalesce(F.col("density") > 0.3, F.lit(False)).alias("flagged")))
+    def flags(self, above: float = 0.3) -> DataFrame:
+        return self.once(f"flags {above}", lambda: self.density_rows().select("cluster_key", F.coalesce(F.col("density") > above, F.lit(False)).alias("flagged")))
 
     def density_rows(self) -> DataFrame:
         return features.label_density(self.membership(), self.node_labels())
@@ -178,5 +197,22 @@ f10 AS (SELECT * FROM f01 LEFT JOIN f02 USING (cluster_key) JOIN (SELECT c.clust
     FROM comp c LEFT JOIN cod ON member = user_id JOIN f03d USING (cluster_key) GROUP BY 1) USING (cluster_key)),
 sc AS (SELECT l.doc_id AS id, (n_chars % 1000) / 1000.0 AS score, toxic AS label, n_chars % 3 AS segment FROM labels l JOIN documents d USING (doc_id)),
 pr AS (SELECT score, p, n, sum(p) OVER w AS tp, sum(n) OVER w AS fp, sum(p) OVER () AS pos, sum(n) OVER () AS neg FROM (SELECT score, count(*) FILTER (WHERE label = 1) AS p, count(*) FILTER (WHERE label <> 1) AS n FROM sc GROUP BY 1) WINDOW w AS (ORDER BY score DESC)),
+tg AS (SELECT 'ring' AS kind, CAST(set_id AS VARCHAR) AS set_id, CASE WHEN set_id % 2 = 0 THEN 'hard' ELSE 'soft' END AS type, member FROM truth
+    UNION ALL SELECT 'confounder', value, 'office', id FROM wi WHERE value IN (SELECT value FROM wi GROUP BY 1 HAVING count(*) >= 2)),
+tn AS (SELECT kind, set_id, any_value(type) AS type, count(*) AS size FROM tg GROUP BY 1, 2),
+spl AS (SELECT kind, set_id, CASE WHEN row_number() OVER (PARTITION BY kind ORDER BY md5(set_id || '|7'), set_id) <= greatest(1, floor(count(*) OVER (PARTITION BY kind) * 0.3)) THEN 'holdout' ELSE 'dev' END AS split FROM tn),
 aud AS (SELECT event_id AS audit_id, user_id AS cluster_key, event_type AS event FROM events)
 """
+
+
+def evaluated(name: str, flagged: str) -> str:
+    """CTEs ``name``_o, the outcome of every tagged set against the sets of ``flagged``, _t, what its clusters touch, and _e, the report by split."""
+    return f"""{name}_p AS (SELECT kind, set_id, b_id, count(*) / any_value(size) AS recall, count(*) / any_value(fn.n) AS prec FROM tg JOIN (SELECT set_id AS b_id, member FROM {flagged}) f USING (member) JOIN tn USING (kind, set_id)
+    JOIN (SELECT set_id AS b_id, count(*) AS n FROM {flagged} GROUP BY 1) fn USING (b_id) GROUP BY 1, 2, 3),
+{name}_o AS (SELECT kind, set_id, type, size, arg_min(b_id, (-least(recall, prec), b_id)) FILTER (WHERE recall >= 0.5 AND prec >= 0.5) AS cluster_key FROM tn LEFT JOIN {name}_p USING (kind, set_id) GROUP BY 1, 2, 3, 4),
+{name}_s AS (SELECT *, split AS part FROM {name}_o JOIN spl USING (kind, set_id) UNION ALL SELECT *, 'overall' FROM {name}_o JOIN spl USING (kind, set_id)),
+{name}_g AS (SELECT part, b_id, max(CAST(kind = 'ring' AND recall >= 0.5 AND prec >= 0.5 AS INT)) AS good FROM (SELECT p.*, split AS part FROM {name}_p p JOIN spl USING (kind, set_id) UNION ALL SELECT p.*, 'overall' FROM {name}_p p) GROUP BY 1, 2),
+{name}_t AS (SELECT part AS split, count(*) AS relevant, CAST(sum(good) AS BIGINT) AS true_clusters, CAST(sum(1 - good) AS BIGINT) AS false_clusters, avg(good) AS "precision" FROM {name}_g GROUP BY 1),
+{name}_e AS (SELECT part AS split, count(*) FILTER (WHERE type = 'hard') AS n_hard, avg(CAST(cluster_key IS NOT NULL AS INT)) FILTER (WHERE type = 'hard') AS hard_recall, count(*) FILTER (WHERE type = 'soft') AS n_soft, avg(CAST(cluster_key IS NOT NULL AS INT)) FILTER (WHERE type = 'soft') AS soft_recall,
+    count(*) FILTER (WHERE kind = 'ring') AS n_rings, avg(CAST(cluster_key IS NOT NULL AS INT)) FILTER (WHERE kind = 'ring') AS recall, count(*) FILTER (WHERE kind = 'confounder') AS n_confounders, avg(CAST(cluster_key IS NOT NULL AS INT)) FILTER (WHERE kind = 'confounder') AS false_positive_rate
+    FROM {name}_s GROUP BY 1)"""

@@ -8,11 +8,11 @@ have no SQL and are tested by their invariants.
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from coterie.operators import cluster, derive, evaluate, features, graph, reports, rules, scoring, whatif
-from coterie.plans.bindings import PRELUDE, Tables
+from coterie.operators import cluster, derive, evaluate, factored, features, graph, reports, rules, scoring, whatif
+from coterie.plans.bindings import PRELUDE, Tables, evaluated
 from coterie.sources import sinks, tables
 from coterie.functions.storage import shared_folder, stored
 from coterie.streaming.arrivals import affected_components
@@ -183,7 +183,8 @@ def _read_cod(b: Tables) -> DataFrame:
 add("a18_read_cod_tables", lambda b: _read_cod(b).groupBy("is_cod", "is_refused").agg(F.count(F.lit(1)).alias("n")), "SELECT o_orderpriority IN ('1-URGENT', '2-HIGH') AS is_cod, o_orderstatus = 'F' AS is_refused, count(*) AS n FROM orders WHERE o_orderkey % 5 <> 0 GROUP BY 1, 2")
 
 # B: stores.
-add("b01_upsert_clusters", lambda b: sinks.upsert(b.t("customer").filter("c_custkey % 3 = 0").select("c_custkey", (F.col("c_acctbal") + 1).alias("c_acctbal")), b.t("customer").filter("c_custkey % 2 = 0").select("c_custkey", "c_acctbal"), "c_custkey"), "SELECT c_custkey, c_acctbal + CAST(c_custkey % 3 = 0 AS INT) AS c_acctbal FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0")
+add("b01_upsert_clusters", lambda b: sinks.upsert(b.t("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.round(F.sum("o_totalprice"), 2).alias("c_acctbal")).unionByName(b.t("supplier").select((-F.col("s_suppkey")).alias("c_custkey"), F.col("s_acctbal").alias("c_acctbal"))), b.t("customer").select("c_custkey", "c_acctbal"), "c_custkey"),
+    "SELECT c_custkey, coalesce(p, c_acctbal) AS c_acctbal FROM customer LEFT JOIN (SELECT o_custkey AS c_custkey, round(sum(o_totalprice), 2) AS p FROM orders GROUP BY 1) USING (c_custkey) UNION ALL SELECT -s_suppkey, s_acctbal FROM supplier")
 add("b02_audit_events", lambda b: sinks.audit_events(b.judged(), "rule", ["size", "n_orders"], ["flagged", "rule"], F.lit("t0")), """SELECT cluster_key, 'rule' AS event, '{"size":' || size || ',"n_orders":' || n_orders || '}' AS input_json, '{"flagged":' || flagged || ',"rule":"' || rule || '"}' AS output_json, 't0' AS at FROM judged""")
 
 
@@ -194,9 +195,11 @@ def _report(b: Tables) -> DataFrame:
 
 
 def _snapshot(b: Tables) -> DataFrame:
+    """Version v1 taken twice, as by a job that is retried, and another one; v1 as it reads back."""
     path = shared_folder(b.spark)
-    sinks.snapshot(b.t("supplier").select("s_suppkey", "s_acctbal"), path, "v1")
-    sinks.snapshot(b.t("supplier").filter("s_suppkey % 2 = 0").select("s_suppkey", "s_acctbal"), path, "v2")
+    for version in ("v1", "v1"):
+        sinks.snapshot(b.t("supplier").select("s_suppkey", "s_acctbal"), path, version)
+    sinks.snapshot(b.t("customer").select(F.col("c_custkey").alias("s_suppkey"), F.col("c_acctbal").alias("s_acctbal")), path, "v2")
     return sinks.restore(b.spark, path, "v1")
 
 
@@ -234,13 +237,15 @@ add("d06_hard_subgraph", lambda b: text(graph.hard_subgraph(b.edges()), "signals
 add("d07_prefix_edges", lambda b: text(graph.prefix_edges(b.t("customer").select(F.col("c_custkey").alias("id"), F.lpad(F.floor(F.col("c_acctbal") * 100).cast("long").cast("string"), 10, "5").alias("phone"))), "signals"),
     f", ph AS (SELECT c_custkey AS id, substr(lpad(CAST(CAST(floor(c_acctbal * 100) AS BIGINT) AS VARCHAR), 10, '5'), 1, 9) AS value FROM customer), {_pairs('pp', 'ph', 2.0)} SELECT *, 'phone_prefix' AS signals FROM pp")
 add("d08_address_edges", lambda b: text(graph.address_edges(b.device().withColumnRenamed("value", "address")), "signals"), f", {_pairs('pd', 'dev', 4.0)} SELECT *, 'shared_address' AS signals FROM pd")
-add("d09_co_destination_edges", lambda b: text(graph.co_destination_edges(b.flows(), 20), "destinations"),
-    ", o AS (SELECT DISTINCT capture, src, dst || ':' || port AS value FROM flows), ok AS (SELECT capture, value FROM o GROUP BY 1, 2 HAVING count(*) BETWEEN 2 AND 20) SELECT a.capture, a.src, b.src AS dst, count(*) AS weight, string_agg(a.value, ',' ORDER BY a.value) AS destinations FROM o a JOIN o b ON a.capture = b.capture AND a.value = b.value AND a.src < b.src JOIN ok ON ok.capture = a.capture AND ok.value = a.value GROUP BY 1, 2, 3")
+add("d09_co_destination_edges", lambda b: text(graph.co_destination_edges(b.flows()), "destinations"),
+    ", o AS (SELECT DISTINCT capture, src, dst || ':' || port AS value FROM flows) SELECT a.capture, a.src, b.src AS dst, count(*) AS weight, string_agg(a.value, ',' ORDER BY a.value) AS destinations FROM o a JOIN o b ON a.capture = b.capture AND a.value = b.value AND a.src < b.src GROUP BY 1, 2, 3")
 relations = lambda b: b.strong().select(F.lit("part").alias("relation"), "src", "dst", F.col("weight").alias("value")).unionByName(b.weak().select(F.lit("supplier").alias("relation"), "src", "dst", F.col("weight").alias("value")))
 add("d10_combine_relations", lambda b: graph.combine_relations(relations(b), {"part": 1.0, "supplier": 0.4}), "SELECT src, dst, sum(w) AS weight FROM (SELECT src, dst, weight AS w FROM strong UNION ALL SELECT src, dst, weight * 0.4 FROM weak) GROUP BY 1, 2")
 incidence = lambda b: graph.bipartite_incidence({"device": b.device(), "instrument": b.instrument()})
 add("d11_bipartite_incidence", incidence, "SELECT id AS row_id, 'device:' || value AS col_id FROM dev UNION SELECT id, 'instrument:' || value FROM ins")
-add("d12_degrees", lambda b: graph.drop_isolated(b.t("customer").select(F.col("c_custkey").alias("id")), b.edges()).join(graph.degrees(b.edges()), "id"), "SELECT id, count(*) AS degree FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY 1")
+add("d12_degrees", lambda b: graph.drop_isolated(b.t("customer").select(F.col("c_custkey").alias("id")), b.edges()).join(graph.degrees(b.edges()).hint("merge"), "id"), "SELECT id, count(*) AS degree FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY 1")
+add("d12_weighted_degrees", lambda b: factored.weighted_degrees(b.groups()), "SELECT member, sum(weight) AS k FROM (SELECT src AS member, weight FROM edges UNION ALL SELECT dst, weight FROM edges) GROUP BY 1")
+add("d04_pair_edges", lambda b: text(factored.pair_edges(b.groups()), "signals"), "SELECT * FROM edges")
 add("d13_induced_edges", lambda b: graph.induced_edges(b.edges(), b.membership()).select("cluster_key", "src", "dst", "weight"), "SELECT cluster_key, src, dst, weight FROM ind")
 add("d14_linkage_profile", lambda b: graph.linkage_profile(b.t("customer"), ["c_mktsegment", "c_nationkey"]), "SELECT field, count(*) AS n_values, max(n) AS largest, arg_max(value, (n, value)) AS largest_value, count(*) FILTER (WHERE n BETWEEN 2 AND 10) AS small_groups FROM (SELECT field, value, count(*) AS n FROM (SELECT 'c_mktsegment' AS field, c_mktsegment AS value FROM customer UNION ALL SELECT 'c_nationkey', CAST(c_nationkey AS VARCHAR) FROM customer) GROUP BY 1, 2) GROUP BY 1")
 add("d15_cap_report", lambda b: graph.cap_report(b.incidence("l_suppkey"), [2, 3, 4]), "SELECT cap, count(*) FILTER (WHERE n <= cap) AS groups_kept, count(*) FILTER (WHERE n > cap) AS groups_dropped, CAST(coalesce(sum(n * (n - 1) // 2) FILTER (WHERE n <= cap), 0) AS BIGINT) AS pairs_kept, CAST(coalesce(sum(n * (n - 1) // 2) FILTER (WHERE n > cap), 0) AS BIGINT) AS pairs_dropped FROM (SELECT value, count(*) AS n FROM wi GROUP BY 1 HAVING count(*) >= 2), (SELECT unnest([2, 3, 4]) AS cap) GROUP BY 1")
@@ -249,8 +254,9 @@ add("d16_edge_label", lambda b: graph.edge_label(b.edges()), "SELECT src, dst, C
 # E: clustering.
 add("e01_connected_components", lambda b: b.membership(), "SELECT cluster_key, member FROM comp")
 add("e02_louvain", lambda b: cluster.louvain(b.edges()))
-add("e03_modularity", lambda b: cluster.modularity(b.edges(), b.membership()).select(F.round("q", 9).alias("q")),
-    "SELECT round(inside / (m2 / 2) - 1.3 * sq / (m2 * m2), 9) AS q FROM (SELECT sum(d) AS m2, sum(i) AS inside, sum(d * d) AS sq FROM (SELECT c, sum(w) AS d, sum(i) AS i FROM (SELECT coalesce(CAST(a.cluster_key AS VARCHAR), 'n' || src) AS c, weight AS w, CASE WHEN a.cluster_key = b.cluster_key THEN weight ELSE 0 END AS i FROM edges LEFT JOIN comp a ON src = a.member LEFT JOIN comp b ON dst = b.member UNION ALL SELECT coalesce(CAST(b.cluster_key AS VARCHAR), 'n' || dst), weight, 0 FROM edges LEFT JOIN comp b ON dst = b.member) GROUP BY 1))")
+MODULARITY = "SELECT round(inside / (m2 / 2) - 1.3 * sq / (m2 * m2), 9) AS q FROM (SELECT sum(d) AS m2, sum(i) AS inside, sum(d * d) AS sq FROM (SELECT c, sum(w) AS d, sum(i) AS i FROM (SELECT coalesce(CAST(a.cluster_key AS VARCHAR), 'n' || src) AS c, weight AS w, CASE WHEN a.cluster_key = b.cluster_key THEN weight ELSE 0 END AS i FROM edges LEFT JOIN comp a ON src = a.member LEFT JOIN comp b ON dst = b.member UNION ALL SELECT coalesce(CAST(b.cluster_key AS VARCHAR), 'n' || dst), weight, 0 FROM edges LEFT JOIN comp b ON dst = b.member) GROUP BY 1))"
+add("e03_modularity", lambda b: cluster.modularity(b.edges(), b.membership()).select(F.round("q", 9).alias("q")), MODULARITY)
+add("e03_modularity_of_groups", lambda b: factored.modularity(b.groups(), b.membership()).select(F.round("q", 9).alias("q")), MODULARITY)
 add("e04_dedupe_candidates", lambda b: cluster.dedupe_candidates(b.membership(), b.truth().select(F.col("set_id").alias("cluster_key"), "member")),
     "SELECT 'hard' AS stage, 'hard:' || cluster_key AS cluster_key, member FROM comp UNION ALL SELECT 'soft', 'soft:' || set_id, member FROM truth WHERE set_id NOT IN (SELECT t.set_id FROM comp c JOIN truth t USING (member) JOIN sz ON sz.cluster_key = c.cluster_key GROUP BY t.set_id, c.cluster_key HAVING count(*) >= 0.7 * any_value(size))")
 parted = lambda b: b.strong().withColumn("part", F.col("src") % 2)
@@ -263,6 +269,8 @@ add("e08_illicit_structures", lambda b: cluster.illicit_structures(b.edges(), b.
 
 # F: features.
 add("f01_density", lambda b: features.density(b.edges(), b.membership()), "SELECT * FROM f01")
+add("f01_density_of_groups", lambda b: factored.density(b.groups(), b.membership()), "SELECT * FROM f01")
+add("f02_signals_of_groups", lambda b: text(factored.signals_present(b.groups(), b.membership()), "signals_present"), "SELECT * FROM f02")
 add("f02_signals_present", lambda b: text(features.signals_present(b.edges(), b.membership()), "signals_present"), "SELECT * FROM f02")
 add("f03_shared_value", lambda b: features.shared_value(b.membership(), b.member(b.device()), "device"), "SELECT * FROM f03d")
 add("f04_signup_timing", lambda b: features.signup_timing(b.membership(), b.signup()), "SELECT * FROM f04")
@@ -278,8 +286,10 @@ merged = lambda b: b.membership().select(F.floor(F.col("cluster_key") / 100).cas
 VAL = "mg AS (SELECT cluster_key // 100 AS cluster_key, cluster_key AS piece, count(*) AS n FROM comp GROUP BY 1, 2), me AS (SELECT c.cluster_key // 100 AS cluster_key, count(*) AS e FROM strong JOIN comp c ON src = c.member GROUP BY 1), val AS (SELECT cluster_key, any_value(e) AS internal_edges, count(*) AS pieces, count(*) = 1 AS single_block, round(2 * any_value(e) / sum(n), 2) AS avg_degree, round(max(n) / sum(n), 3) AS largest_share FROM mg JOIN me USING (cluster_key) GROUP BY 1)"
 add("f11_validity", lambda b: features.validity(b.strong(), merged(b)), f", {VAL} SELECT * FROM val")
 add("f11_validity_summary", lambda b: features.validity_summary(features.validity(b.strong(), merged(b))), f", {VAL} SELECT count(*) AS groups, count(*) FILTER (WHERE single_block) AS single_blocks, count(*) FILTER (WHERE NOT single_block) AS fragmented, round(count(*) FILTER (WHERE single_block) / count(*), 4) AS single_block_share FROM val")
-add("f12_bounded_diameter", lambda b: features.bounded_diameter(b.strong(), b.membership()),
-    ", bfs AS (SELECT DISTINCT src AS s, src AS t, 0 AS d FROM adj UNION SELECT bfs.s, adj.dst, bfs.d + 1 FROM bfs JOIN adj ON bfs.t = adj.src WHERE bfs.d < 11), sp AS (SELECT s, t, min(d) AS d FROM bfs GROUP BY 1, 2) SELECT cluster_key, max(d) AS diameter FROM sp JOIN comp ON s = member GROUP BY 1")
+# Components, and taken a hundred keys together under a negative key.
+both = lambda b: b.membership().unionByName(merged(b).withColumn("cluster_key", -1 - F.col("cluster_key")))
+add("f12_diameters", lambda b: features.diameters(b.strong(), both(b)),
+    ", bfs AS (SELECT DISTINCT src AS s, src AS t, 0 AS d FROM adj UNION SELECT bfs.s, adj.dst, bfs.d + 1 FROM bfs JOIN adj ON bfs.t = adj.src WHERE bfs.d < 11), sp AS (SELECT s, t, min(d) AS d FROM bfs GROUP BY 1, 2), dm AS (SELECT cluster_key, max(d) AS diameter FROM sp JOIN comp ON s = member GROUP BY 1) SELECT * FROM dm UNION ALL SELECT -1 - cluster_key // 100, CASE WHEN count(*) = 1 THEN max(diameter) END FROM dm GROUP BY 1")
 add("f13_timing_tightness", lambda b: features.timing_tightness(b.membership(), b.orders().select(F.col("user_id").alias("member"), F.year("order_date").alias("step"))), "SELECT cluster_key, count(*) AS n_steps, round(max(n) / sum(n), 4) AS modal_share, count(*) = 1 AS one_step FROM (SELECT cluster_key, year(o_orderdate) AS y, count(*) AS n FROM comp JOIN orders ON member = o_custkey GROUP BY 1, 2) GROUP BY 1")
 add("f14_label_density", lambda b: b.density_rows(), "SELECT * FROM ld")
 add("f15_mean_member_score", lambda b: features.mean_member_score(b.membership(), b.t("customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("score"), F.when(F.col("c_custkey") % 2 == 0, "test").otherwise("dev").alias("split")), "test"), "SELECT cluster_key, count(*) AS scored, avg(c_acctbal) AS mean_score FROM comp JOIN customer ON member = c_custkey WHERE c_custkey % 2 = 0 GROUP BY 1")
@@ -294,42 +304,63 @@ add("g04_cod_verdict", lambda b: rules.cod_verdict(cod(b)).select("cluster_key",
 
 def detect(b: Tables) -> DataFrame:
     """The whole pipeline: graph, both clusterings, features and verdicts of every candidate."""
-    edges = stored(b.edges())
-    hard = cluster.connected_components(graph.hard_subgraph(edges))
-    named = stored(cluster.dedupe_candidates(hard, cluster.louvain(edges)))
-    f = features.cluster_features(edges, named.select("cluster_key", "member"), b.member(b.device()), b.member(b.instrument()), b.signup(), b.claim(), b.sessions(), b.orders())
+    groups = stored(b.groups())
+    hard = cluster.connected_components(graph.star_edges(factored.hard_groups(groups, graph.HARD).select(F.col("member").alias("id"), "value")))
+    named = stored(cluster.dedupe_candidates(hard, factored.communities(groups)))
+    f = features.cluster_features_of_groups(groups, named.select("cluster_key", "member"), b.member(b.device()), b.member(b.instrument()), b.signup(), b.claim(), b.sessions(), b.orders())
     members = named.groupBy("cluster_key", "stage").agg(F.sort_array(F.collect_list("member")).alias("members"))
     return rules.verdict(f).join(members, "cluster_key")
 
 
 add("g05_detect", detect)
 add("g06_flag_by_density", lambda b: rules.flag_by_density(b.density_rows(), 0.3), "SELECT count(*) FILTER (WHERE h) AS flagged, CAST(coalesce(sum(labeled) FILTER (WHERE h), 0) AS BIGINT) AS flagged_labeled, CAST(coalesce(sum(positives) FILTER (WHERE h), 0) AS BIGINT) AS captured, CAST(sum(positives) AS BIGINT) AS positives FROM (SELECT *, density > 0.3 AND labeled >= 2 AS h FROM ld)")
-add("g07_recommended_action", lambda b: rules.recommended_action(b.judged()).select("cluster_key", "action", "confidence"), "SELECT cluster_key, CASE WHEN s OR suspicion_score >= 3 THEN 'HOLD_BONUS' ELSE 'MANUAL_REVIEW' END AS action, CASE WHEN s THEN 0.85 WHEN suspicion_score >= 3 THEN 0.72 WHEN suspicion_score >= 2 THEN 0.55 ELSE 0.4 END AS confidence FROM (SELECT *, shared_instrument OR (shared_device AND suspicion_score >= 2) AS s FROM judged)")
-add("g08_evidence_text", lambda b: rules.evidence_text(b.judged()).select("cluster_key", F.element_at(F.split("evidence_text", "\n"), 1).alias("first_line"), F.element_at(F.split("evidence_text", "\n"), 7).alias("orders_line")), "SELECT cluster_key, 'members: ' || size AS first_line, 'orders: ' || n_orders AS orders_line FROM judged")
+WHY = """, why AS (SELECT *, CASE rule WHEN 'instrument' THEN 'members pay with one instrument, which organic behaviour does not excuse' WHEN 'household' THEN 'one device, but spread out, diverse and engaged: a household' WHEN 'device' THEN 'one device without enough organic behaviour'
+    WHEN 'organic' THEN 'no shared device or instrument, and organic behaviour prevails' WHEN 'pattern' THEN 'burst, templated orders, fast claims or dormancy come together' ELSE 'evidence too weak either way' END AS reason FROM judged)"""
+add("g07_recommended_action", lambda b: text(rules.recommended_action(b.judged()), "evidence"), WHY + """, said AS (SELECT *, concat_ws(',', CASE WHEN shared_instrument THEN printf('%.0f%%', round(shared_instrument_frac * 100)) || ' share one instrument' END, CASE WHEN shared_device THEN printf('%.0f%%', round(shared_device_frac * 100)) || ' share one device' END, CASE WHEN signals_present LIKE '%ip_subnet_overlap%' THEN 'a subnet is shared' END,
+    CASE WHEN signup_span_days <= 7 THEN 'all signed up within ' || printf('%.2f', signup_span_days) || ' days' END, CASE WHEN order_value_cv < 0.15 THEN 'order values vary by only ' || printf('%.4f', order_value_cv) END, CASE WHEN claim_then_dormant_frac >= 0.4 THEN printf('%.0f%%', round(claim_then_dormant_frac * 100)) || ' went silent after their claim' END) AS e, shared_instrument OR (shared_device AND suspicion_score >= 2) AS s FROM why)
+    SELECT cluster_key, CASE WHEN s OR suspicion_score >= 3 THEN 'HOLD_BONUS' ELSE 'MANUAL_REVIEW' END AS action, CASE WHEN s THEN 0.85 WHEN suspicion_score >= 3 THEN 0.72 WHEN suspicion_score >= 2 THEN 0.55 ELSE 0.4 END AS confidence, CASE WHEN e = '' THEN reason ELSE e END AS evidence FROM said""")
+add("g08_evidence_text", lambda b: rules.evidence_text(b.judged().withColumn("stage", F.lit("hard"))), WHY + """, t AS (SELECT *, coalesce(printf('%.2f', signup_span_days), 'n/a') AS span, coalesce(printf('%.2f', avg_gap_hours), 'n/a') AS gap, coalesce(printf('%.0f%%', round(claim_frac * 100)), 'n/a') AS claims, coalesce(printf('%.2f', bonus_claim_velocity_hours), 'n/a') AS pace, coalesce(printf('%.0f%%', round(claim_then_dormant_frac * 100)), 'n/a') AS silent, coalesce(printf('%.4f', order_value_cv), 'n/a') AS cv FROM why)
+    SELECT cluster_key, concat_ws(chr(10), 'stage: hard', 'members: ' || size || ', density ' || printf('%.4f', edge_density), 'signals: ' || replace(coalesce(signals_present, 'none'), ',', ', '), 'one device: ' || CASE WHEN shared_device THEN 'yes' ELSE 'no' END || ', ' || printf('%.0f%%', round(shared_device_frac * 100)), 'one instrument: ' || CASE WHEN shared_instrument THEN 'yes' ELSE 'no' END || ', ' || printf('%.0f%%', round(shared_instrument_frac * 100)),
+    'signups: over ' || span || ' days, ' || gap || ' hours apart on average', 'claims: ' || claims || ', ' || pace || ' hours after signup', 'silent after the claim: ' || silent, 'orders: ' || n_orders || ', values vary by ' || cv, 'late sessions a member: ' || printf('%.3f', post_signup_engagement), 'reason: ' || reason, 'scores: organic ' || organic_score || ' of 3, suspicion ' || suspicion_score || ' of 4') AS evidence_text FROM t""")
 
 # H: evaluation.
 add("h01_overlap_pairs", lambda b: evaluate.overlap_pairs(b.truth(), b.flagged_sets()), "SELECT * FROM ov")
 add("h02_best_match", lambda b: evaluate.best_match(b.truth(), b.flagged_sets()), "SELECT * FROM best")
-add("h03_largest_overlap", lambda b: evaluate.largest_overlap(b.truth(), b.flagged_sets()), 'SELECT a_id AS set_id, b_id AS match_id, overlap, recall, "precision" FROM (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY overlap DESC, b_id) AS p FROM ov) WHERE p = 1')
+add("h03_largest_overlap", lambda b: evaluate.largest_overlap(b.truth(), b.flagged_sets()), """SELECT a_id AS set_id, b_id AS match_id, overlap, round(overlap / m, 3) AS recall, round(overlap / n, 3) AS "precision" FROM (SELECT a_id, b_id, overlap, (SELECT count(*) FROM fl WHERE set_id = b_id) AS m, (SELECT count(*) FROM truth WHERE set_id = a_id) AS n, row_number() OVER (PARTITION BY a_id ORDER BY overlap DESC, b_id) AS p FROM ov) WHERE p = 1""")
 add("h04_landed_in", lambda b: evaluate.landed_in(b.truth(), b.sets(b.membership()), b.flags()),
     "SELECT n.set_id, b.cluster_key, CASE WHEN b.cluster_key IS NULL THEN 'not_clustered' WHEN b.cluster_key IN (SELECT cluster_key FROM ld WHERE density > 0.3) THEN 'flagged' ELSE 'clustered_not_flagged' END AS status FROM (SELECT set_id, count(*) AS n FROM truth GROUP BY 1) n LEFT JOIN (SELECT set_id, cluster_key, row_number() OVER (PARTITION BY set_id ORDER BY c DESC, cluster_key) AS p FROM (SELECT t.set_id, cluster_key, count(*) AS c FROM truth t JOIN comp USING (member) GROUP BY 1, 2) JOIN (SELECT set_id, count(*) AS n FROM truth GROUP BY 1) USING (set_id) WHERE c >= greatest(2, n // 2)) b ON b.set_id = n.set_id AND b.p = 1")
-SPLIT = "sp AS (SELECT id, CASE WHEN row_number() OVER (ORDER BY md5(id || '|7'), id) <= floor(count(*) OVER () * 0.3) THEN 'holdout' ELSE 'dev' END AS split FROM (SELECT DISTINCT set_id AS id FROM truth))"
+SPLIT = "sp AS (SELECT id, CASE WHEN row_number() OVER (ORDER BY md5(id || '|7'), id) <= greatest(1, floor(count(*) OVER () * 0.3)) THEN 'holdout' ELSE 'dev' END AS split FROM (SELECT DISTINCT set_id AS id FROM truth))"
 ids = lambda b: stored(b.truth().select(F.col("set_id").alias("id")).distinct())
 add("h05_holdout_split", lambda b: evaluate.holdout_split(ids(b)), f", {SPLIT} SELECT * FROM sp")
-kinds = lambda b: b.truth().groupBy("set_id").agg(F.when(F.col("set_id") % 2 == 0, "hard").otherwise("soft").alias("type"))
-add("h06_ring_recall", lambda b: evaluate.ring_recall(kinds(b), evaluate.best_match(b.truth(), b.flagged_sets())), "SELECT CASE WHEN set_id % 2 = 0 THEN 'hard' ELSE 'soft' END AS type, count(*) AS n, count(cluster_key) AS found, avg(CAST(cluster_key IS NOT NULL AS INT)) AS recall FROM best GROUP BY 1")
-add("h07_false_positive_rate", lambda b: evaluate.false_positive_rate(b.truth(), b.flagged_sets(), b.sets(b.membership())), "SELECT best.set_id, best.cluster_key IS NOT NULL AS wrongly_flagged, EXISTS (SELECT 1 FROM (SELECT t.set_id, c.cluster_key, count(*) AS n FROM truth t JOIN comp c USING (member) GROUP BY 1, 2) x JOIN sz USING (cluster_key) WHERE x.set_id = best.set_id AND n / size >= 0.5 AND n >= 0.5 * (SELECT count(*) FROM truth WHERE set_id = best.set_id)) AS surfaced FROM best")
-add("h08_cluster_precision", lambda b: evaluate.cluster_precision(b.flagged_sets(), b.truth()), 'SELECT count(*) AS touching, CAST(sum(g) AS BIGINT) AS true_clusters, avg(g) AS "precision" FROM (SELECT b_id, max(CAST(recall >= 0.5 AND "precision" >= 0.5 AS INT)) AS g FROM ov GROUP BY 1)')
-add("h09_eval_report", lambda b: evaluate.eval_report(b.truth(), b.flagged_sets(), evaluate.holdout_split(ids(b))), f", {SPLIT}, j AS (SELECT split, cluster_key FROM best JOIN sp ON set_id = id) SELECT split, count(*) AS n, count(cluster_key) AS found, avg(CAST(cluster_key IS NOT NULL AS INT)) AS recall FROM (SELECT * FROM j UNION ALL SELECT 'overall', cluster_key FROM j) GROUP BY 1")
+EV = evaluated("ev", "fl")
+outcomes = lambda b: evaluate.set_outcomes(b.tagged(), b.flagged_sets())
+add("h06_set_outcomes", outcomes, f", {EV} SELECT *, cluster_key IS NOT NULL AS matched FROM ev_o")
+add("h06_ring_recall", lambda b: evaluate.ring_recall(outcomes(b), b.splits()), f", {EV} SELECT part AS split, kind, coalesce(type, 'all') AS type, count(*) AS n, count(cluster_key) AS found, avg(CAST(cluster_key IS NOT NULL AS INT)) AS rate FROM ev_s GROUP BY GROUPING SETS ((part, kind, type), (part, kind))")
+reasons = lambda b: b.flags().select("cluster_key", F.when(F.col("flagged"), "many positives").otherwise("few positives").alias("reason"))
+add("h07_false_positive_rate", lambda b: evaluate.false_positive_rate(b.confounders(), b.flagged_sets(), b.sets(b.membership()), reasons(b)), f""", {EV}, cs AS (SELECT cluster_key AS set_id, member FROM comp), {evaluated("al", "cs")} SELECT set_id, ev_o.cluster_key IS NOT NULL AS wrongly_flagged, al_o.cluster_key IS NOT NULL AS surfaced, coalesce(ev_o.cluster_key, al_o.cluster_key) AS cluster_key,
+    CASE WHEN coalesce(ev_o.cluster_key, al_o.cluster_key) IN (SELECT set_id FROM fl) THEN 'many positives' WHEN al_o.cluster_key IS NOT NULL THEN 'few positives' END AS reason, avg(CAST(ev_o.cluster_key IS NOT NULL AS INT)) OVER () AS rate FROM ev_o JOIN al_o USING (kind, set_id) WHERE kind = 'confounder'""")
+add("h08_cluster_precision", lambda b: evaluate.cluster_precision(b.flagged_sets(), b.tagged(), b.splits()), f", {EV} SELECT * FROM ev_t")
+add("h09_eval_report", lambda b: evaluate.eval_report(b.tagged(), b.flagged_sets(), b.splits()), f", {EV} SELECT * REPLACE (coalesce(relevant, 0) AS relevant, coalesce(true_clusters, 0) AS true_clusters, coalesce(false_clusters, 0) AS false_clusters) FROM ev_e LEFT JOIN ev_t USING (split)")
 add("h10_rate_by", lambda b: evaluate.rate_by(b.t("customer").withColumn("hit", F.col("c_acctbal") > 5000), ["c_mktsegment"], "hit"), "SELECT c_mktsegment, count(*) AS total, count(*) FILTER (WHERE c_acctbal > 5000) AS hits, avg(CAST(c_acctbal > 5000 AS INT)) AS rate FROM customer GROUP BY 1")
 add("h11_tag_cluster_tier", lambda b: evaluate.tag_cluster_tier(b.membership(), b.t("customer").select(F.col("c_custkey").alias("member"), (F.col("c_nationkey") % 3 + 1).alias("tier"))), "SELECT cluster_key, min(c_nationkey % 3 + 1) AS best_tier, count(*) FILTER (WHERE c_nationkey % 3 = 0) AS tier1, count(*) FILTER (WHERE c_nationkey % 3 = 1) AS tier2, count(*) FILTER (WHERE c_nationkey % 3 = 2) AS tier3 FROM comp JOIN customer ON member = c_custkey GROUP BY 1")
 SWEEP = """sw AS (SELECT CAST(threshold AS DOUBLE) AS threshold, count(*) FILTER (WHERE density > threshold) AS flagged, coalesce(sum(positives) FILTER (WHERE density > threshold), 0) AS captured, coalesce(sum(labeled) FILTER (WHERE density > threshold), 0) AS inf, sum(positives) AS ap, sum(labeled) AS al FROM ld, (SELECT unnest([0.1, 0.3, 0.5, 0.7]) AS threshold) GROUP BY 1)"""
 add("h12_threshold_sweep", lambda b: evaluate.threshold_sweep(b.density_rows(), [0.1, 0.3, 0.5, 0.7]), f', {SWEEP} SELECT threshold, flagged, CAST(captured AS BIGINT) AS captured, captured / nullif(ap, 0) AS recall, captured / nullif(inf, 0) AS "precision", captured / nullif(inf, 0) / (ap / nullif(al, 0)) AS lift FROM sw')
-add("h13_neighbor_flag", lambda b: evaluate.neighbor_flag(b.strong(), b.node_labels(), b.flagged_sets()), "SELECT DISTINCT src AS member FROM adj WHERE dst IN (SELECT id FROM nl WHERE label = 1) AND src NOT IN (SELECT member FROM fl)")
+NEAR = "unf AS (SELECT member FROM comp WHERE cluster_key NOT IN (SELECT set_id FROM fl)), nb AS (SELECT DISTINCT src AS member FROM adj WHERE dst IN (SELECT id FROM nl WHERE label = 1) AND src IN (SELECT member FROM unf))"
+add("h13_neighbor_flag", lambda b: evaluate.neighbor_flag(b.edges().filter("array_contains(signals, 'shared_device')"), b.node_labels(), b.membership(), b.flags()), f", {NEAR} SELECT member, coalesce(label = 1, false) AS positive FROM nb LEFT JOIN nl ON id = member")
+add("h13_dilution_recovery", lambda b: evaluate.dilution_recovery(b.strong(), b.node_labels(), b.membership(), b.flags()), f""", {NEAR}, x AS (SELECT (SELECT count(*) FROM unf) AS checked, (SELECT count(*) FROM nb) AS near, (SELECT count(*) FROM nb JOIN nl ON id = member WHERE label = 1) AS recovered, (SELECT count(*) FROM nl WHERE label = 1) AS p, (SELECT count(*) FROM fl) AS m, (SELECT count(*) FROM fl JOIN nl ON id = member WHERE label = 1) AS c)
+    SELECT checked, near, recovered, round(c / p, 4) AS cluster_recall, round(c / nullif(m, 0), 4) AS cluster_precision, round((c + recovered) / p, 4) AS combined_recall, round((c + recovered) / nullif(m + near, 0), 4) AS combined_precision FROM x""")
 add("h14_structural_coverage", lambda b: evaluate.structural_coverage(b.strong(), b.node_labels(), b.flagged_sets()),
     ", ib AS (SELECT src, dst FROM adj WHERE src IN (SELECT id FROM nl WHERE label = 1) AND dst IN (SELECT id FROM nl WHERE label = 1)), ir AS (SELECT DISTINCT src AS n, src AS m FROM ib UNION SELECT ir.n, ib.dst FROM ir JOIN ib ON ir.m = ib.src), st AS (SELECT min(m) AS s, n AS member FROM ir GROUP BY n), cov AS (SELECT s, f.set_id, count(*) AS c FROM st JOIN fl f USING (member) GROUP BY 1, 2), n AS (SELECT s, count(*) AS n FROM st GROUP BY 1) SELECT count(*) AS structures, count(*) FILTER (WHERE r >= 0.5) AS covered FROM (SELECT n.s, max(c / n) AS r FROM n LEFT JOIN cov USING (s) GROUP BY 1)")
 add("h15_member_recall", lambda b: evaluate.member_recall(b.truth(), b.flagged_sets()), "SELECT t.set_id, count(f.member) / count(*) AS member_recall, count(DISTINCT f.set_id) AS pieces FROM truth t LEFT JOIN fl f USING (member) GROUP BY 1")
-add("h16_two_way_agreement", lambda b: evaluate.two_way_agreement(b.truth(), b.flagged_sets(), b.truth()), """, hv AS (SELECT * FROM ov WHERE recall >= 0.5 AND "precision" >= 0.5) SELECT 'blocks_in_flagged' AS measure, count(DISTINCT a_id) AS n FROM hv UNION ALL SELECT 'flagged_in_blocks', count(DISTINCT b_id) FROM hv UNION ALL SELECT 'truth_in_blocks', count(DISTINCT set_id) FROM truth""")
+# Blocks here are the holders of one device, which SQL can name; the next query takes the dense blocks of the search.
+device_blocks = lambda b: b.device().withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("value"))).filter("n >= 2").select(F.col("value").alias("set_id"), F.col("id").alias("member"))
+add("h16_two_way_agreement", lambda b: evaluate.two_way_agreement(device_blocks(b), b.flagged_sets(), b.tagged()), """, bl AS (SELECT value AS set_id, id AS member FROM dev WHERE value IN (SELECT value FROM dev GROUP BY 1 HAVING count(*) >= 2)), bn AS (SELECT set_id, count(*) AS n FROM bl GROUP BY 1),
+    al AS (SELECT 'flagged' AS kind, '' AS type, CAST(set_id AS VARCHAR) AS t, set_id AS k, member FROM fl UNION ALL SELECT kind, type, set_id, NULL, member FROM tg), an AS (SELECT kind, t, count(*) AS n FROM al GROUP BY 1, 2),
+    po AS (SELECT bl.set_id AS b, kind, t, any_value(k) AS k, any_value(type) AS type, count(*) / any_value(an.n) AS r, count(*) / any_value(bn.n) AS p, count(*) AS o FROM bl JOIN al USING (member) JOIN an USING (kind, t) JOIN bn ON bn.set_id = bl.set_id GROUP BY 1, 2, 3),
+    la AS (SELECT *, row_number() OVER (PARTITION BY b, kind ORDER BY o DESC, k, t) AS q FROM po), ok AS (SELECT * FROM la WHERE q = 1 AND round(r, 3) >= 0.5 AND round(p, 3) >= 0.5), hit AS (SELECT DISTINCT kind, t FROM po WHERE r >= 0.5 AND p >= 0.5)
+    SELECT 'blocks' AS measure, count(*) AS n FROM bn UNION ALL SELECT 'blocks_in_flagged', count(*) FROM ok WHERE kind = 'flagged' UNION ALL SELECT 'blocks_in_rings', count(*) FROM ok WHERE kind = 'ring' UNION ALL SELECT 'blocks_in_confounders', count(*) FROM ok WHERE kind = 'confounder' UNION ALL SELECT 'hard_rings', count(*) FROM tn WHERE type = 'hard'
+    UNION ALL SELECT 'hard_rings_found', count(DISTINCT t) FROM ok WHERE type = 'hard' UNION ALL SELECT 'flagged_in_blocks', count(*) FROM hit WHERE kind = 'flagged' UNION ALL SELECT 'confounders_in_blocks', count(*) FROM hit WHERE kind = 'confounder'""")
+add("h16_agreement_of_dense_blocks", lambda b: evaluate.two_way_agreement(cluster.top_k_blocks(incidence(b)).select(F.col("block").alias("set_id"), F.col("row_id").alias("member")), b.flagged_sets(), b.tagged()))
 add("h17_new_false_positives", lambda b: evaluate.new_false_positives(b.flagged_sets(), b.truth(), "member"), "SELECT DISTINCT member FROM fl WHERE member NOT IN (SELECT member FROM truth)")
 add("h18_period_trend", lambda b: evaluate.period_trend(b.t("orders").groupBy(F.col("o_orderpriority").alias("series"), F.year("o_orderdate").alias("period")).agg(F.avg((F.col("o_orderstatus") == "F").cast("int")).alias("recall"))), """, m AS (SELECT o_orderpriority AS series, year(o_orderdate) AS period, avg(CAST(o_orderstatus = 'F' AS INT)) AS recall FROM orders GROUP BY 1, 2), t AS (SELECT series, arg_min(recall, period) AS "first", arg_max(recall, period) AS "last", min(recall) AS least, max(recall) AS most FROM m GROUP BY 1) SELECT series, "first", "last", CASE WHEN "last" < "first" - 1e-9 THEN 'decaying' WHEN most - "first" < 1e-9 AND "first" - least < 1e-9 THEN 'flat' ELSE 'inconclusive' END AS trend FROM t""")
 add("h19_effect_decomposition", lambda b: evaluate.effect_decomposition(b.t("lineitem").groupBy(F.when(F.col("l_returnflag") == "N", "B").when(F.col("l_returnflag") == "R", "C").otherwise("A").alias("variant")).agg(F.round(F.avg("l_quantity"), 6).alias("value"))).select(F.round("first_effect", 6).alias("first_effect"), F.round("second_effect", 6).alias("second_effect"), "dominant"), ", v AS (SELECT l_returnflag AS r, round(avg(l_quantity), 6) AS v FROM lineitem GROUP BY 1), e AS (SELECT round((SELECT v FROM v WHERE r = 'N') - (SELECT v FROM v WHERE r = 'A'), 6) AS first_effect, round((SELECT v FROM v WHERE r = 'R') - (SELECT v FROM v WHERE r = 'N'), 6) AS second_effect) SELECT *, CASE WHEN abs(first_effect) > abs(second_effect) THEN 'first' WHEN abs(first_effect) < abs(second_effect) THEN 'second' ELSE 'equal' END AS dominant FROM e")
@@ -348,14 +379,18 @@ sweep = lambda b: b.t("orders").groupBy((F.col("o_orderkey") % 4).cast("double")
 SW = "swp AS (SELECT CAST(o_orderkey % 4 AS DOUBLE) AS value, count(*) FILTER (WHERE o_orderstatus = 'F') AS missed, count(*) FILTER (WHERE o_orderstatus = 'P') AS false_positives FROM orders GROUP BY 1)"
 add("i04_cost_table", lambda b: whatif.cost_table(sweep(b), whatif.fp_cost_scenarios(b.orders()), 1000.0), f", {SCEN}, {SW}, c AS (SELECT scenario, value, round(missed * 1000.0 + false_positives * fp_cost, 2) AS cost FROM swp, fpc) SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY cost, value) = 1 AS cheapest FROM c")
 add("i05_sweep_finding", lambda b: whatif.sweep_finding(sweep(b), ["missed", "false_positives"]), f", {SW} SELECT min(missed) = max(missed) AS missed_flat, min(false_positives) = max(false_positives) AS false_positives_flat FROM swp")
-add("i06_impact", lambda b: whatif.impact(b.features(), "device_clear_organic_threshold", 1.0), "SELECT b AS before, a AS after, a - b AS delta FROM (SELECT count(*) FILTER (WHERE shared_instrument OR (shared_device AND organic_score < 3) OR (NOT shared_device AND organic_score < 2 AND suspicion_score >= 3)) AS b, count(*) FILTER (WHERE shared_instrument OR (shared_device AND organic_score < 1) OR (NOT shared_device AND organic_score < 2 AND suspicion_score >= 3)) AS a FROM g0)")
+CHANGED = "CASE WHEN shared_instrument THEN true WHEN shared_device THEN organic_score < 3 WHEN organic_score >= 2 THEN false ELSE suspicion_score >= {} END"
+add("i06_impact", lambda b: whatif.impact(b.features(), b.membership(), b.tagged(), "soft_flag_suspicion_threshold", 1.0), f""", f0 AS (SELECT cluster_key AS set_id, member FROM comp JOIN g0 USING (cluster_key) WHERE {CHANGED.format(3)}), f1 AS (SELECT cluster_key AS set_id, member FROM comp JOIN g0 USING (cluster_key) WHERE {CHANGED.format(1)}), {evaluated("x0", "f0")}, {evaluated("x1", "f1")}
+    SELECT kind, count(*) AS total, count(x0_o.cluster_key) AS before, count(x1_o.cluster_key) AS after, count(x1_o.cluster_key) - count(x0_o.cluster_key) AS delta FROM x0_o JOIN x1_o USING (kind, set_id) GROUP BY 1""")
 _check = lambda k, n, c, at: f"SELECT cluster_key, {k} AS k, '{n}' AS parameter, CAST({c} AS DOUBLE) AS value, CAST({c} AS DOUBLE) - CAST({at} AS DOUBLE) AS margin FROM judged WHERE NOT flagged"
 GAP = f"gp AS (SELECT * FROM ({_check(0, 'spread_out_days', 'signup_span_days', 21)} UNION ALL {_check(1, 'diverse_order_cv', 'order_value_cv', 0.28)} UNION ALL {_check(2, 'engaged_sessions', 'post_signup_engagement', 1.5)}) WHERE margin >= 0), gb AS (SELECT cluster_key, count(*) AS passing, arg_min(parameter, (margin, k)) AS parameter, arg_min(value, (margin, k)) AS value, min(margin) AS margin FROM gp GROUP BY 1), gg AS (SELECT cluster_key, coalesce(passing, 0) AS passing, CASE WHEN organic_score < 3 THEN parameter END AS parameter, CASE WHEN organic_score < 3 THEN value END AS value, CASE WHEN organic_score < 3 THEN round(margin, 4) END AS margin FROM judged LEFT JOIN gb USING (cluster_key) WHERE NOT flagged)"
 add("i07_parameter_gap", lambda b: whatif.parameter_gap(b.judged()), f", {GAP} SELECT * FROM gg")
 PARAMS = "pt(parameter, now, least, most, step) AS (VALUES " + ", ".join(f"('{k}', {', '.join(f'CAST({x} AS DOUBLE)' for x in v)})" for k, v in rules.PARAMETERS.items()) + ")"
 add("i08_propose_value", lambda b: whatif.propose_value(whatif.parameter_gap(b.judged())), f", {GAP}, {PARAMS}, w AS (SELECT cluster_key, parameter, now, greatest(least, least(most, round(round_even((value + step) / step, 0) * step, 6))) AS v FROM gg JOIN pt USING (parameter)) SELECT cluster_key, parameter, CASE WHEN abs(v - now) > 1e-6 THEN v END AS proposed FROM w")
-by_seg = lambda b, c: b.t("customer").filter(c).groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
-add("i09_side_by_side", lambda b: whatif.side_by_side(by_seg(b, "c_custkey % 2 = 0"), by_seg(b, "c_custkey % 2 = 1"), "c_mktsegment", ["n"]), "SELECT c_mktsegment, count(*) FILTER (WHERE c_custkey % 2 = 1) - count(*) FILTER (WHERE c_custkey % 2 = 0) AS n_delta FROM customer GROUP BY 1")
+MEASURES = ("hard_recall", "soft_recall", "recall", "false_positive_rate", "precision")
+report = lambda b, above: stored(evaluate.eval_report(b.tagged(), b.flagged_sets(above), b.splits()))
+add("i09_side_by_side", lambda b: whatif.side_by_side(report(b, 0.3), report(b, 0.6)), f""", f6 AS (SELECT cluster_key AS set_id, member FROM comp WHERE cluster_key IN (SELECT cluster_key FROM ld WHERE density > 0.6)), {EV}, {evaluated("ew", "f6")}, a AS (SELECT * FROM ev_e LEFT JOIN ev_t USING (split)), b AS (SELECT * FROM ew_e LEFT JOIN ew_t USING (split))
+    SELECT split, {', '.join(f'a."{m}" AS {m}_old, b."{m}" AS {m}_new, round(b."{m}" - a."{m}", 6) AS {m}_delta' for m in MEASURES)} FROM a JOIN b USING (split)""")
 
 # J: splits, models, metrics.
 add("j01_time_split", lambda b: scoring.time_split(b.t("events").select("event_id", "ts"), ["ts", "event_id"]).select("event_id", "split"), "SELECT event_id, CASE WHEN r <= floor(n * 0.70) THEN 'train' WHEN r <= floor(n * 0.85) THEN 'validation' ELSE 'holdout' END AS split FROM (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS r, count(*) OVER () AS n FROM events)")
@@ -392,16 +427,18 @@ add("j19_isolated_positives", lambda b: scoring.isolated_positives(b.strong(), b
 
 # K: reports.
 audit = lambda b: b.t("events").select(F.col("event_id").alias("audit_id"), F.col("user_id").alias("cluster_key"), F.col("event_type").alias("event"))
-cards = lambda b: b.t("customer").select(F.col("c_custkey").alias("cluster_key"), F.col("c_mktsegment").alias("stage"), F.when(F.col("c_custkey") % 4 != 0, F.col("c_acctbal")).alias("confidence"), (F.col("c_acctbal") > 0).alias("flagged"))
-add("k01_list_clusters", lambda b: reports.list_clusters(cards(b), True, "BUILDING", "1"), "SELECT c_custkey AS cluster_key, c_mktsegment AS stage, CASE WHEN c_custkey % 4 <> 0 THEN c_acctbal END AS confidence, true AS flagged FROM customer WHERE c_acctbal > 0 AND c_mktsegment = 'BUILDING' AND contains(CAST(c_custkey AS VARCHAR), '1')")
+cards = lambda b: b.t("customer").select(F.col("c_custkey").alias("cluster_key"), F.col("c_mktsegment").alias("stage"), F.when(F.col("c_custkey") % 4 != 0, F.col("c_acctbal")).alias("confidence"), (F.col("c_acctbal") > 0).alias("flagged"), F.when(F.col("c_custkey") % 3 == 0, "MANUAL_REVIEW").when(F.col("c_custkey") % 3 == 1, "HOLD_BONUS").alias("action"))
+add("k01_list_clusters", lambda b: reports.list_clusters(cards(b), True, "BUILDING", "1", ["HOLD_BONUS", "NO_ACTION"]), "SELECT c_custkey AS cluster_key, c_mktsegment AS stage, CASE WHEN c_custkey % 4 <> 0 THEN c_acctbal END AS confidence, true AS flagged, 'HOLD_BONUS' AS action FROM customer WHERE c_acctbal > 0 AND c_mktsegment = 'BUILDING' AND contains(CAST(c_custkey AS VARCHAR), '1') AND c_custkey % 3 = 1")
 add("k02_audit_tail", lambda b: reports.audit_tail(audit(b), 25), "SELECT * FROM aud ORDER BY audit_id DESC LIMIT 25")
 add("k03_event_counts", lambda b: reports.counts_by(audit(b), "event"), "SELECT event, count(*) AS n FROM aud GROUP BY 1")
 add("k04_evidence_chain", lambda b: reports.evidence_chain(cards(b), audit(b)), "SELECT cluster_key, event, max(audit_id) AS audit_id FROM aud WHERE cluster_key = (SELECT min(c_custkey) FROM customer WHERE c_acctbal > 0) GROUP BY 1, 2")
 set_sizes = lambda b: b.truth().groupBy("set_id").agg(F.count(F.lit(1)).alias("size"))
 add("k05_closest_by_size", lambda b: reports.closest_by_size(set_sizes(b), 5), "SELECT set_id, count(*) AS size FROM truth GROUP BY 1 ORDER BY abs(count(*) - 5), set_id LIMIT 1")
 add("k06_confounder_table", lambda b: reports.confounder_table(cards(b), stage=["BUILDING", "MACHINERY"], flagged=[False]).select("cluster_key"), "SELECT c_custkey AS cluster_key FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND NOT c_acctbal > 0")
-add("k07_size_distribution", lambda b: reports.size_distribution(features.sizes(b.membership())), "SELECT size, count(*) AS clusters FROM sz GROUP BY 1")
-add("k08_summary_counts", lambda b: reports.summary_counts(b.t("customer"), b.edges(), b.strong(), b.membership()), "SELECT 'nodes' AS measure, count(*) AS n FROM customer UNION ALL SELECT 'edges', count(*) FROM edges UNION ALL SELECT 'hard_edges', count(*) FROM strong UNION ALL SELECT 'candidates', count(*) FROM sz")
+flagged_sizes = lambda b: features.sizes(b.membership()).join(b.flags(), "cluster_key")
+add("k07_size_distribution", lambda b: reports.size_distribution(flagged_sizes(b)), "SELECT size, count(*) AS clusters, count(*) FILTER (WHERE cluster_key IN (SELECT set_id FROM fl)) AS flagged FROM sz GROUP BY 1")
+add("k07_largest", lambda b: reports.largest(flagged_sizes(b)), "SELECT *, cluster_key IN (SELECT set_id FROM fl) AS flagged FROM sz ORDER BY size DESC, cluster_key LIMIT 15")
+add("k08_summary_counts", lambda b: reports.summary_counts(b.t("customer"), b.edges(), b.strong(), b.flags()), "SELECT 'nodes' AS measure, count(*) AS n FROM customer UNION ALL SELECT 'edges', count(*) FROM edges UNION ALL SELECT 'hard_edges', count(*) FROM strong UNION ALL SELECT 'candidates', count(*) FROM sz UNION ALL SELECT 'flagged', count(DISTINCT set_id) FROM fl")
 
 # L: arrivals. The newest tenth of the incidences arrive; the stream's batch function re-clusters what they touch.
 def _arrivals(b: Tables) -> DataFrame:

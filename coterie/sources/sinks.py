@@ -19,8 +19,9 @@ def write_report(df: DataFrame, path: str, form: str = "json") -> None:
 
 
 def snapshot(df: DataFrame, path: str, version: str) -> None:
-    df.withColumn("snapshot_id", F.lit(version)).write.mode("append").partitionBy("snapshot_id").parquet(path)
+    """Writes ``df`` as that version alone: taken again, or by a job that is retried, it is the same snapshot and not a second one."""
+    df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/snapshot_id={version}")
 
 
 def restore(spark: SparkSession, path: str, version: str) -> DataFrame:
-    return spark.read.parquet(path).filter(F.col("snapshot_id") == version).drop("snapshot_id")
+    return spark.read.parquet(f"{path.rstrip('/')}/snapshot_id={version}")
