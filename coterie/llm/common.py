@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from coterie.functions.storage import stored
 
-__all__ = ["BLANKS", "SPACES", "WORD", "bytes_of", "fold", "hash_words", "mix", "numbered_pieces", "pieces", "read", "stored", "text_key", "word_bounds"]
+__all__ = ["BLANKS", "SPACES", "WORD", "bytes_of", "fold", "hash_words", "mix", "numbered_pieces", "pieces", "read", "stored", "text_key", "without", "word_bounds"]
 
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -27,6 +27,20 @@ def text_key() -> Column:
     return F.xxhash64(F.lit("text"), F.col("text"))
 
 
+FEW_GONE = 500_000
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` less the rows that gone(doc_id, text_key) names, all columns; a null doc_id is a value like any other.
+
+    The list is written and counted first: up to ``FEW_GONE`` it is broadcast and texts stay where they are, a longer one is joined by a shuffle.
+    """
+    listed = stored(gone.select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_gone_text")).distinct())
+    few = listed.count() <= FEW_GONE
+    same = docs["doc_id"].eqNullSafe(listed["_gone"]) & (F.xxhash64(F.lit("text"), docs["text"]) == listed["_gone_text"])
+    return docs.join(listed.hint("broadcast" if few else "shuffle_hash"), same, "left_anti")
+
+
 def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column in one array, and where each row starts (one more than rows).
 

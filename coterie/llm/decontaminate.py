@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from coterie.llm.common import bytes_of, fold, hash_words, mix, pieces, read, stored, text_key, word_bounds
+from coterie.llm.common import bytes_of, fold, hash_words, mix, pieces, read, stored, text_key, without, word_bounds
 
 WINDOW, LITERALS, COVER = 8, 4, 0.5
 BITMAP = 1 << 27  # bits at most, 16 megabytes
@@ -200,8 +200,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that no item contaminates."""
-    gone = stored(contaminated(docs, benchmark).select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_gone_text")).distinct())
-    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(gone["_gone"]) & (F.xxhash64(F.lit("text"), docs["text"]) == gone["_gone_text"]), "left_anti")
+    return without(docs, contaminated(docs, benchmark))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ columns are ignored by ``exact_groups`` and returned by ``drop_exact_copies``.
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coterie.llm.common import SPACES, read, stored
+from coterie.llm.common import FEW_GONE, SPACES, read, stored
 
 BITS_PER_ROW = 12
 FILTER_ROWS_TO_BROADCAST = 4_000_000  # 16 bytes each, some 20 million documents; a larger filter is joined by a shuffle
@@ -83,7 +83,8 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
     gone = stored(groups.filter("not kept and doc_id is not null").select(F.col("doc_id").alias("gone"), F.unhex("text_sha256").alias("gone_sha")).distinct())
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.unhex(F.sha2(normalised(F.col("text")).cast("binary"), 256)).alias("sha"))
     asked = _asked(rows, filtered, words)
-    some = asked.filter("maybe").join(gone.hint("shuffle_hash"), (F.col("row.doc_id") == F.col("gone")) & (F.col("sha") == F.col("gone_sha")), "left_anti")
+    few = gone.count() <= FEW_GONE
+    some = asked.filter("maybe").join(gone.hint("broadcast" if few else "shuffle_hash"), (F.col("row.doc_id") == F.col("gone")) & (F.col("sha") == F.col("gone_sha")), "left_anti")
     return some.select("row.*").unionByName(asked.filter("not maybe").select("row.*"))
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from coterie.llm.common import bytes_of, fold, hash_words, mix, pieces, read, stored, word_bounds
+from coterie.llm.common import bytes_of, fold, hash_words, mix, pieces, read, stored, without, word_bounds
 
 PER_LANGUAGE, WINDOWS, CHAIN = 300, 2, 64
 SPARE = 3  # texts that may enter the choice of a language's sample, for each one chosen
@@ -209,8 +209,7 @@ def predict(docs: DataFrame, model: dict | None) -> DataFrame:
 
 def keep_identified(docs: DataFrame, model: dict | None, min_score: float = MIN_SCORE) -> DataFrame:
     """The rows of ``docs``, all columns, with a language whose mean posterior is min_score or more."""
-    gone = stored(predict(docs, model).filter((F.col("lang_pred") == "und") | (F.col("score") < min_score)).select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_gone_text")).distinct())
-    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(gone["_gone"]) & (F.xxhash64(F.lit("text"), docs["text"]) == gone["_gone_text"]), "left_anti")
+    return without(docs, predict(docs, model).filter((F.col("lang_pred") == "und") | (F.col("score") < min_score)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

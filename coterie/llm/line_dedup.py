@@ -107,8 +107,10 @@ def cut_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CH
 
 def drop_common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with all columns and the common lines gone from text."""
-    joined = _with_positions(docs, common_line_positions(docs, min_docs, min_chars)).withColumn("_p_lines", lines(F.col("text")))
-    return joined.withColumn("text", F.when(F.col("_p_at").isNull(), F.col("text")).otherwise(_kept())).select(docs.columns)
+    here = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
+    joined = _with_positions(here, common_line_positions(docs, min_docs, min_chars)).withColumn("_p_lines", lines(F.col("text")))
+    text = F.when(F.col("_p_at").isNull(), F.col("text")).otherwise(_kept())
+    return joined.select(F.col("row").withField("text", text).alias("row")).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

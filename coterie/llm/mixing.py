@@ -13,14 +13,15 @@ task: documents by size within the source, by bucket within the size, and one
 by one within the bucket. Sources without name are one source, ordered last.
 A null text has no words; documents without words have no share and are taken
 as often as any other of their source, which adds nothing. A source without
-words has target 0. Rows that repeat a doc_id are documents of their own.
+words has target 0. Rows that repeat a doc_id are documents of their own; which of
+them a copy repeats is open only among rows of equal id, text and source.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from coterie.functions.order import global_row_number
-from coterie.llm.common import WORD, read, stored
+from coterie.llm.common import WORD, read, stored, text_key
 
 BUCKETS = 1024
 MAX_REPEAT = 3
@@ -53,10 +54,10 @@ def source_targets(totals: DataFrame, max_repeat: int = MAX_REPEAT) -> DataFrame
 
 
 def copies(docs: DataFrame, max_repeat: int = MAX_REPEAT, seed: int = SEED) -> DataFrame:
-    """One row per row of ``docs``: doc_id, source_key, size, source_size, target, copies."""
+    """One row per row of ``docs``: doc_id, text_key, source_key, size, source_size, target, copies."""
     key = source_key(F.col("source"))
     bucket = F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(BUCKETS)).cast("int")
-    sizes = stored(docs.select("doc_id", key.alias("source_key"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), bucket.alias("bucket")))
+    sizes = stored(docs.select("doc_id", text_key().alias("text_key"), key.alias("source_key"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), bucket.alias("bucket")))
     by_bucket = stored(sizes.groupBy("source_key", "size", "bucket").agg(F.count(F.lit(1)).alias("n")))
     by_size = by_bucket.groupBy("source_key", "size").agg(F.sum("n").alias("n"))
     totals = source_targets(by_size.groupBy("source_key").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), max_repeat)
@@ -70,7 +71,7 @@ def copies(docs: DataFrame, max_repeat: int = MAX_REPEAT, seed: int = SEED) -> D
     inside = F.row_number().over(Window.partitionBy("source_key", "size", "bucket").orderBy("doc_id"))
     placed = sizes.withColumn("inside", inside).join(before.hint("shuffle_hash"), ["source_key", "size", "bucket"])
     place = F.col("shorter") + F.col("lower") + F.col("inside")
-    return placed.withColumn("place", place).selectExpr("doc_id", "source_key", "size", "source_size", "target", f"(offset + rate * place) div {UNIT} - (offset + rate * (place - 1)) div {UNIT} as copies")
+    return placed.withColumn("place", place).selectExpr("doc_id", "text_key", "source_key", "size", "source_size", "target", f"(offset + rate * place) div {UNIT} - (offset + rate * (place - 1)) div {UNIT} as copies")
 
 
 def mix(docs: DataFrame, max_repeat: int = MAX_REPEAT, seed: int = SEED) -> DataFrame:
@@ -81,12 +82,26 @@ def mix(docs: DataFrame, max_repeat: int = MAX_REPEAT, seed: int = SEED) -> Data
     name = "copy"
     while name.lower() in (c.lower() for c in docs.columns):
         name += "_"
-    taken = copies(docs, max_repeat, seed)
-    counted = stored(taken.filter("copies > 0").select(F.col("doc_id").alias("_m_doc"), F.col("source_key").alias("_m_source"), F.col("size").alias("_m_size"), F.col("copies").alias("_m_copies")).groupBy("_m_doc", "_m_source", "_m_size").agg(F.max("_m_copies").alias("_m_copies")))
-    here = docs.select(F.struct(*docs.columns).alias("row"), source_key(F.col("source")).alias("_m_key"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).alias("_m_words"))
-    same = here["row.doc_id"].eqNullSafe(counted["_m_doc"]) & (here["_m_key"] == counted["_m_source"]) & (here["_m_words"] == counted["_m_size"])
-    joined = here.join(counted.hint("shuffle_hash"), same)
-    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("_m_copies").cast("int"))).alias("copy_of_row")).select("row.*", F.col("copy_of_row").alias(name))
+    key = ["doc_id", "text_key", "source_key"]
+    counted = stored(copies(docs, max_repeat, seed).groupBy(*key).agg(F.count(F.lit(1)).alias("rows"), F.sum("copies").alias("copies")).filter("copies > 0").select(*[F.col(c).alias(f"_m_{c}") for c in key], "rows", "copies"))
+    here = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("_doc"), text_key().alias("_text"), source_key(F.col("source")).alias("_source"))
+
+    def joined(some: DataFrame) -> DataFrame:
+        same = here["_doc"].eqNullSafe(some["_m_doc_id"]) & (here["_text"] == some["_m_text_key"]) & (here["_source"] == some["_m_source_key"])
+        return here.join(some.hint("shuffle_hash"), same)
+
+    out = joined(counted.filter("rows = 1")).select("row", F.col("copies").alias("times"))
+    repeated = counted.filter("rows > 1")
+    if not repeated.isEmpty():  # rows equal in id, text and source share their copies as evenly as whole numbers allow
+        place = F.row_number().over(Window.partitionBy("_doc", "_text", "_source").orderBy("_text"))
+        out = out.unionByName(joined(repeated).withColumn("place", place).selectExpr("row", "(copies * place) div rows - (copies * (place - 1)) div rows as times"))
+    return _repeated(out, name)
+
+
+def _repeated(rows: DataFrame, name: str) -> DataFrame:
+    """Each row's columns as often as ``times`` says."""
+    each = rows.filter("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy_of_row"))
+    return each.select("row.*", F.col("copy_of_row").alias(name))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from coterie.functions.components import roots
-from coterie.llm.common import bytes_of, fold, hash_words, mix, pieces, read, stored, text_key, word_bounds
+from coterie.llm.common import bytes_of, fold, hash_words, mix, pieces, read, stored, text_key, without, word_bounds
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5
@@ -326,8 +326,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that stand for their class; rows of one doc_id and text stay or go together, rows without doc_id stay."""
-    gone = stored(classes(docs).filter("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_gone_text")).distinct())
-    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(gone["_gone"]) & (F.xxhash64(F.lit("text"), docs["text"]) == gone["_gone_text"]), "left_anti")
+    return without(docs, classes(docs).filter("not kept and doc_id is not null"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -135,3 +135,24 @@ def test_stages_keep_columns_of_any_name(spark):
     assert mixed.columns == [*df.columns, "copy_"] and {r.copy for r in mixed.collect()} <= {"a", None}
     assert line_dedup.drop_common_lines(kept, 2).columns == df.columns
     assert language_id.keep_identified(kept, None).count() == 0
+
+
+def test_mix_takes_the_copies_due_to_repeated_and_missing_ids(spark):
+    rows = [(7 if i % 2 else None, f"word{i % 5} two three", "en", "a" if i % 3 else None, str(i)) for i in range(40)] + [(100 + i, "x y", "en", f"s{i % 4}", "") for i in range(60)]
+    d = docs(spark, rows)
+    due = mixing.copies(d).groupBy("source_key", "size").agg(F.sum("copies").alias("n")).collect()
+    taken = mixing.mix(d).withColumn("source_key", mixing.source_key(F.col("source"))).groupBy("source_key", F.size(F.split("text", " ")).cast("long").alias("size")).count().collect()
+    assert sorted(map(tuple, taken)) == sorted((r.source_key, r["size"], r.n) for r in due if r.n)
+    per_row = mixing.mix(d).groupBy("doc_id", "text", "source", "keep_id").count().collect()
+    assert max(r["count"] for r in per_row) <= 3 * max(1, sum(1 for r in rows if r[4] == ""))
+    assert mixing.mix(d).filter("keep_id != ''").groupBy("keep_id").count().filter("count > 3").count() == 0
+
+
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    d = docs(spark, [(i, f"Common\nown {i}", "en", "a", "k") for i in range(12)])
+    for c in ("_p_key", "_p_lines", "_p_at", "_p_doc", "row", "text_key", "keys"):
+        d = d.withColumn(c, F.lit("keep"))
+    got = line_dedup.drop_common_lines(d)
+    assert got.columns == d.columns
+    assert {(r.doc_id, r.text) for r in got.collect()} == {(i, f"own {i}") for i in range(12)}
+    assert got.filter(" and ".join(f"{c} = 'keep'" for c in ("_p_key", "_p_lines", "_p_at", "_p_doc", "row", "text_key", "keys"))).count() == 12
