@@ -15,7 +15,8 @@ from coterie.operators import cluster, derive, evaluate, factored, features, gra
 from coterie.plans.bindings import PRELUDE, Tables, evaluated
 from coterie.sources import sinks, tables
 from coterie.functions.storage import shared_folder, stored
-from coterie.streaming.arrivals import affected_components
+from coterie.streaming.arrivals import judge_touched, membership_of
+from coterie.streaming.index import ComponentIndex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -440,11 +441,18 @@ add("k07_size_distribution", lambda b: reports.size_distribution(flagged_sizes(b
 add("k07_largest", lambda b: reports.largest(flagged_sizes(b)), "SELECT *, cluster_key IN (SELECT set_id FROM fl) AS flagged FROM sz ORDER BY size DESC, cluster_key LIMIT 15")
 add("k08_summary_counts", lambda b: reports.summary_counts(b.t("customer"), b.edges(), b.strong(), b.flags()), "SELECT 'nodes' AS measure, count(*) AS n FROM customer UNION ALL SELECT 'edges', count(*) FROM edges UNION ALL SELECT 'hard_edges', count(*) FROM strong UNION ALL SELECT 'candidates', count(*) FROM sz UNION ALL SELECT 'flagged', count(DISTINCT set_id) FROM fl")
 
-# L: arrivals. The newest tenth of the incidences arrive; the stream's batch function re-clusters what they touch.
+# L: arrivals. Rows before 1997 are known, those of 1997 come as a first batch and later ones as a second.
 def _arrivals(b: Tables) -> DataFrame:
+    """The rows of the components that the second batch touches."""
     inc = stored(b.incidence("l_partkey"))
-    new = inc.filter("id % 10 = 0")
-    return affected_components(new, inc.filter("id % 10 != 0"))
+    year = F.substring(F.substring_index("value", "|", -1), 1, 4)
+    index = ComponentIndex(b.spark, shared_folder(b.spark), "bigint")
+    index.build(inc.filter(year < "1997"))
+    index.absorb(inc.filter(year == "1997"), 0)
+    return index.absorb(inc.filter(year > "1997"), 1)
 
 
-add("l01_score_arrivals", _arrivals, "SELECT cluster_key, member FROM comp WHERE cluster_key IN (SELECT cluster_key FROM comp WHERE member % 10 = 0)")
+LATE = "late98 AS (SELECT DISTINCT cluster_key FROM comp JOIN si ON member = id WHERE substr(split_part(value, '|', 2), 1, 4) > '1997')"
+add("l01_score_arrivals", lambda b: membership_of(_arrivals(b)).select("cluster_key", "member"), f", {LATE} SELECT cluster_key, member FROM comp WHERE cluster_key IN (SELECT cluster_key FROM late98)")
+add("l01_judged_arrivals", lambda b: judge_touched(_arrivals(b), "shared_device", b.member(b.device()), b.member(b.instrument()), b.signup(), b.claim(), b.sessions(), b.orders()).select("cluster_key", "size", "organic_score", "suspicion_score", "rule", "flagged"),
+    f", {LATE} SELECT cluster_key, size, organic_score, suspicion_score, rule, flagged FROM judged WHERE cluster_key IN (SELECT cluster_key FROM late98)")
