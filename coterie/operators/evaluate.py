@@ -131,11 +131,18 @@ def tag_cluster_tier(membership: DataFrame, tiers: DataFrame) -> DataFrame:
 
 
 def threshold_sweep(rows: DataFrame, thresholds: list[float]) -> DataFrame:
-    """rows(labeled, positives, density): flagged, captured, recall, precision, lift per threshold."""
-    each = rows.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
-    hit = F.col("density") > F.col("threshold")
+    """rows(labeled, positives, density): flagged, captured, recall, precision, lift per threshold, of rows above it.
+
+    Rows are counted once by how many thresholds they pass; a threshold's figures are the sums from its place on.
+    """
+    grid = sorted(set(map(float, thresholds)))
+    passed = F.coalesce(F.size(F.filter(F.array(*map(F.lit, grid)), lambda t: t < F.col("density"))), F.lit(0))
+    per = rows.groupBy(passed.alias("passed")).agg(F.count(F.lit(1)).alias("n"), F.sum("positives").alias("positives"), F.sum("labeled").alias("labeled"))
+    marks = rows.sparkSession.createDataFrame(list(enumerate(grid)), "place int, threshold double")
+    each = marks.crossJoin(F.broadcast(per))  # thresholds times thresholds
+    hit = F.col("passed") > F.col("place")
     part = lambda c: F.sum(F.when(hit, F.col(c)).otherwise(0))
-    t = each.groupBy("threshold").agg(F.count_if(hit).alias("flagged"), part("positives").alias("captured"), part("labeled").alias("in_flagged"), F.sum("positives").alias("all_positives"), F.sum("labeled").alias("all_labeled"))
+    t = each.groupBy("threshold").agg(part("n").alias("flagged"), part("positives").alias("captured"), part("labeled").alias("in_flagged"), F.sum("positives").alias("all_positives"), F.sum("labeled").alias("all_labeled"))
     zero = lambda c: F.nullif(F.col(c), F.lit(0))
     precision = F.col("captured") / zero("in_flagged")
     return t.select("threshold", "flagged", "captured", (F.col("captured") / zero("all_positives")).alias("recall"), precision.alias("precision"), (precision / (F.col("all_positives") / zero("all_labeled"))).alias("lift"))

@@ -1,10 +1,14 @@
 """Splits, supervised scoring and ranking metrics (J)."""
 
+from ast import literal_eval
+from dataclasses import dataclass
+
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import StandardScaler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StandardScaler, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from coterie.functions.order import global_row_number, running_sums
@@ -44,43 +48,99 @@ def class_weight(train: DataFrame, label: str) -> DataFrame:
     return train.agg((F.count_if(F.col(label) == 0) / F.nullif(F.count_if(F.col(label) == 1), F.lit(0))).alias("positive_weight"))
 
 
-def _prepared(df: DataFrame, weight: float) -> DataFrame:
-    return df.withColumn("vector", array_to_vector(F.col("features").cast("array<double>"))).withColumn("weight", F.when(F.col("label") == 1, weight).otherwise(1.0)).withColumn("label", F.col("label").cast("double"))
-
+# The grids that dev AUC chooses from; C is the inverse of the penalty on the sum of losses.
+PENALTIES = (0.001, 0.01, 0.1, 1.0, 10.0, 100.0)
+TREES = tuple((depth, rounds) for depth in (3, 4, 6) for rounds in (100, 300))
+STEP = 0.1
 
-def _best(fit, grid: list, dev: DataFrame):
-    auc = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction")
-    models = [fit(g) for g in grid]
-    return max(models, key=lambda m: auc.evaluate(m(dev)))
 
+def fit_inputs(train: DataFrame, numeric: list[str], categorical: list[str], most: int = 200) -> PipelineModel:
+    """What turns a table's columns into ``vector``, learned from ``train`` alone; it is saved and loaded like any PipelineModel.
 
-def fit_logistic(train: DataFrame, dev: DataFrame, grid: tuple[float, ...] = (0.001, 0.01, 0.1)):
-    """A scorer of (features array, label) tables: standardised on train, regularisation by dev AUC."""
+    Numbers that are missing (null or NaN) become the training median and set an indicator of their own. The ``most``
+    commonest values of a category get an index; null, empty, rarer and unseen values share one more, so a value that training
+    did not see is a missing one and no row is lost. A number that training never saw has median 0.
+    """
+    medians = train.agg(*[F.percentile_approx(F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None)), 0.5).alias(f"m{i}") for i, c in enumerate(numeric)]).first() if numeric else ()
+    number = lambda c: f"nullif(cast(`{c}` as double), double('NaN'))"
+    filled = [x for i, c in enumerate(numeric) for x in (f"coalesce({number(c)}, double('{medians[i] or 0.0!r}')) as n{i}_", f"cast({number(c)} is null as double) as m{i}_")]
+    texts = [f"nullif(cast(`{c}` as string), '') as c{i}_" for i, c in enumerate(categorical)]
+    stages = [SQLTransformer(statement=f"SELECT {', '.join(['*', *filled, *texts])} FROM __THIS__")]
+    if categorical:
+        counts = [train.groupBy(F.col(f"`{c}`").cast("string").alias("x")).count().filter("x != ''").orderBy(F.desc("count"), "x").limit(most).collect() for c in categorical]
+        stages += [StringIndexerModel.from_labels([r.x for r in rows] or ["(none)"], inputCol=f"c{i}_", outputCol=f"x{i}_", handleInvalid="keep") for i, rows in enumerate(counts)]
+        stages.append(OneHotEncoder(inputCols=[f"x{i}_" for i in range(len(categorical))], outputCols=[f"o{i}_" for i in range(len(categorical))], dropLast=False))
+    inputs = [c for i in range(len(numeric)) for c in (f"n{i}_", f"m{i}_")] + [f"o{i}_" for i in range(len(categorical))]
+    stages.append(VectorAssembler(inputCols=inputs, outputCol="vector"))
+    return Pipeline(stages=stages).fit(train)
+
+
+def _vectors(df: DataFrame, inputs: PipelineModel | None) -> DataFrame:
+    """``df`` with ``vector``: of its array ``features``, or of the columns that ``inputs`` takes."""
+    return inputs.transform(df) if inputs else df.withColumn("vector", array_to_vector(F.col("features").cast("array<double>")))
+
+
+@dataclass
+class Scorer:
+    """A fitted model with its inputs; ``chosen`` is what dev AUC picked from the grid, ``auc`` that AUC."""
+
+    inputs: PipelineModel | None
+    model: PipelineModel
+    chosen: tuple
+    auc: float
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        return self.model.transform(_vectors(df, self.inputs))
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        self.model.write().overwrite().save(f"{path}/model")
+        if self.inputs:
+            self.inputs.write().overwrite().save(f"{path}/inputs")
+        spark.createDataFrame([(self.inputs is not None, repr(self.chosen), self.auc)], "inputs boolean, chosen string, auc double").write.mode("overwrite").json(f"{path}/about")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> "Scorer":
+        about = spark.read.schema("inputs boolean, chosen string, auc double").json(f"{path}/about").first()
+        inputs = PipelineModel.load(f"{path}/inputs") if about.inputs else None
+        return Scorer(inputs, PipelineModel.load(f"{path}/model"), literal_eval(about.chosen), about.auc)
+
+
+def _fitted(train: DataFrame, dev: DataFrame, inputs: PipelineModel | None, grid, stages) -> Scorer:
+    """The model of the grid point whose dev AUC is largest, the first on ties; positives weigh as much as negatives in training."""
     weight = class_weight(train, "label").first()[0] or 1.0
-    scaler = StandardScaler(inputCol="vector", outputCol="scaled", withMean=True).fit(_prepared(train, weight))
-    ready = scaler.transform(_prepared(train, weight))
+    label = F.col("label").cast("double")
+    ready = stored(_vectors(train, inputs).select("vector", label.alias("label"), F.when(label == 1, weight).otherwise(1.0).alias("weight")))
+    held = stored(_vectors(dev, inputs).select("vector", label.alias("label")))
+    auc = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction")
+    best = None
+    for point in grid:
+        model = Pipeline(stages=stages(ready, point)).fit(ready)
+        found = auc.evaluate(model.transform(held))
+        if best is None or found > best.auc:
+            best = Scorer(inputs, model, point if isinstance(point, tuple) else (point,), found)
+    return best
 
-    def fit(reg: float):
-        model = LogisticRegression(featuresCol="scaled", weightCol="weight", regParam=reg, maxIter=50).fit(ready)
-        return lambda df: model.transform(scaler.transform(_prepared(df, weight)))
 
-    return _best(fit, list(grid), dev)
+def fit_logistic(train: DataFrame, dev: DataFrame, grid: tuple[float, ...] = PENALTIES, inputs: PipelineModel | None = None) -> Scorer:
+    """A scorer of (features array, label) tables, or of those ``inputs`` takes: standardised on train, the penalty by dev AUC."""
+    n = train.count()
 
+    def stages(_, c: float) -> list:
+        scaler = StandardScaler(inputCol="vector", outputCol="scaled", withMean=True)
+        return [scaler, LogisticRegression(featuresCol="scaled", weightCol="weight", regParam=1 / (c * max(n, 1)), maxIter=100)]
 
-def fit_boosted_trees(train: DataFrame, dev: DataFrame, grid: tuple[tuple[int, int], ...] = ((3, 10), (4, 10))):
-    """A scorer like fit_logistic's: boosted trees, (depth, rounds) by dev AUC."""
-    weight = class_weight(train, "label").first()[0] or 1.0
-    ready = _prepared(train, weight)
+    return _fitted(train, dev, inputs, grid, stages)
 
-    def fit(g: tuple[int, int]):
-        model = GBTClassifier(featuresCol="vector", weightCol="weight", maxDepth=g[0], maxIter=g[1], seed=7).fit(ready)
-        return lambda df: model.transform(_prepared(df, weight))
 
-    return _best(fit, list(grid), dev)
+def fit_boosted_trees(train: DataFrame, dev: DataFrame, grid: tuple[tuple[int, int], ...] = TREES, inputs: PipelineModel | None = None) -> Scorer:
+    """A scorer like fit_logistic's: boosted trees, (depth, rounds) by dev AUC."""
+    stages = lambda _, g: [GBTClassifier(featuresCol="vector", weightCol="weight", maxDepth=g[0], maxIter=g[1], stepSize=STEP, seed=7)]
+    return _fitted(train, dev, inputs, grid, stages)
 
 
-def score(model, df: DataFrame) -> DataFrame:
-    return model(df).withColumn("score", F.get(vector_to_array("probability"), 1)).drop("vector", "scaled", "weight", "rawPrediction", "probability", "prediction")
+def score(model: Scorer, df: DataFrame) -> DataFrame:
+    """``df`` with ``score``, the probability of label 1."""
+    return model(df).select(*[F.col(f"`{c}`") for c in df.columns], F.get(vector_to_array("probability"), 1).alias("score"))
 
 
 def effect_sizes(train: DataFrame, k: int = 10) -> DataFrame:
@@ -163,11 +223,47 @@ def threshold_for_recall(sweep: DataFrame, target: float) -> DataFrame:
     return sweep.agg(F.min_by("threshold", key).alias("threshold"), F.min_by("recall", key).alias("recall"))
 
 
-def dev_then_test(rows: DataFrame, thresholds: list[float], target: float) -> DataFrame:
-    """rows(split, score, label): the threshold chosen on dev, its metrics on test."""
-    dev = rows.filter("split = 'dev'").withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
-    sweep = dev.groupBy("threshold").agg((F.count_if(F.expr("label = 1 and score >= threshold")) / F.nullif(F.count_if(F.expr("label = 1")), F.lit(0))).alias("recall"))
-    chosen = threshold_for_recall(sweep, target).select("threshold")
+def quantile_grid(scores: DataFrame, at: list[float]) -> DataFrame:
+    """(threshold): the quantiles of ``score``, interpolated between neighbours in the order of all rows; null scores do not count.
+
+    Rows are numbered in range partitions and only those at the wanted places are kept, so nothing is gathered.
+    """
+    some = stored(scores.filter("score is not null").select("score"))
+    n = some.count()
+    if not n:
+        return some.select(F.col("score").alias("threshold"))
+    ranked = global_row_number(some, [F.col("score")], "_n")
+    exact = [q * (n - 1) for q in at]
+    wanted = [(i, int(x) + k + 1, (1 - x % 1) if k == 0 else x % 1) for i, x in enumerate(exact) for k in (0, 1) if int(x) + k < n]
+    places = scores.sparkSession.createDataFrame(wanted, "i int, _n int, part double")
+    return ranked.join(F.broadcast(places), "_n").groupBy("i").agg(F.sum(F.col("score") * F.col("part")).alias("threshold")).select(F.round("threshold", 9).alias("threshold")).distinct()
+
+
+def sweep_at(scores: DataFrame, grid: DataFrame) -> DataFrame:
+    """(threshold, alerts, tp, recall) of scores(score, label) at each threshold of a grid, or at every distinct score without one.
+
+    Counts come from one descending running sum over distinct scores and thresholds, not from rows times thresholds.
+    """
+    per = scores.groupBy("score").agg(F.count(F.lit(1)).alias("a"), F.count_if(F.expr("label = 1")).alias("p"))
+    if grid is not None:
+        zero = F.lit(0).cast("long")
+        per = per.select("score", "a", "p", F.lit(0).alias("mark")).unionByName(grid.select(F.col("threshold").alias("score"), zero.alias("a"), zero.alias("p"), F.lit(1).alias("mark")))
+        per = per.groupBy("score").agg(F.sum("a").alias("a"), F.sum("p").alias("p"), F.max("mark").alias("mark"))
+    else:
+        per = per.withColumn("mark", F.lit(1))
+    per = stored(per)
+    total = per.agg(F.sum("p")).first()[0]
+    run = running_sums(per, [F.desc("score")], {"alerts": "a", "tp": "p"}).filter("mark = 1")
+    return run.select(F.col("score").alias("threshold"), "alerts", "tp", (F.col("tp") / F.lit(float(total) if total else None)).alias("recall"))
+
+
+def dev_then_test(rows: DataFrame, thresholds: list[float] | DataFrame | None, target: float) -> DataFrame:
+    """rows(split, score, label): the threshold chosen once on dev for the target recall, and its metrics on test.
+
+    thresholds: a list, a table like quantile_grid's, or None for every distinct dev score.
+    """
+    grid = rows.sparkSession.createDataFrame([(float(t),) for t in thresholds], "threshold double").distinct() if isinstance(thresholds, list) else thresholds
+    chosen = stored(threshold_for_recall(sweep_at(rows.filter("split = 'dev'"), grid).filter("recall is not null"), target).select("threshold"))
     test = rows.filter("split = 'test'").crossJoin(F.broadcast(chosen))
     return test.groupBy("threshold").agg(F.count_if(F.expr("score >= threshold")).alias("alerts"), F.count_if(F.expr("score >= threshold and label = 1")).alias("tp"), F.count_if(F.expr("label = 1")).alias("positives"))
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from coterie.operators import cluster, derive, evaluate, factored, features, graph, reports, rules, scoring, whatif
+from coterie.operators.detect import detect
 from coterie.plans.bindings import PRELUDE, Tables, evaluated
 from coterie.sources import sinks, tables
 from coterie.functions.storage import shared_folder, stored
@@ -89,9 +90,19 @@ add("a01_read_entity_tables", _read_entity_tables, """SELECT 'accounts' AS table
 add("a02_drop_missing_id", lambda b: tables.drop_missing_id(raw(b), "uid").select("event_id"), "SELECT event_id FROM events WHERE event_id % 83 <> 0")
 add("a03_safe_timestamp", lambda b: tables.safe_timestamp(raw(b), "ts").select("event_id", "ts"), "SELECT event_id, ts FROM events WHERE event_id % 97 <> 0")
 add("a04_safe_number", lambda b: tables.safe_number(raw(b), "value").select("event_id", "value"), "SELECT event_id, value FROM events WHERE event_id % 89 <> 0 AND value >= 0")
-add("a05_quality_report", lambda b: tables.quality_report(raw(b), "events", "event_id", {"missing id": ~tables.has_text("uid"), "bad timestamp": F.expr("try_cast(ts as timestamp)").isNull(), "bad value": F.coalesce(F.expr("try_cast(value as double)") < 0, F.lit(True))}),
-    """SELECT 'events' AS table_name, reason, count(*) AS rows_dropped, string_agg(k, ',' ORDER BY k) FILTER (WHERE p <= 3) AS examples FROM (SELECT *, row_number() OVER (PARTITION BY reason ORDER BY k) AS p FROM
-    (SELECT CAST(event_id AS VARCHAR) AS k, CASE WHEN event_id % 83 = 0 THEN 'missing id' WHEN event_id % 97 = 0 THEN 'bad timestamp' WHEN event_id % 89 = 0 OR value < 0 THEN 'bad value' END AS reason FROM events) WHERE reason IS NOT NULL) GROUP BY reason""")
+EVENTS_FAIL = lambda: {"missing id": ~tables.has_text("uid"), "bad timestamp": F.expr("try_cast(ts as timestamp)").isNull(), "bad value": F.coalesce(F.expr("try_cast(value as double)") < 0, F.lit(True))}
+DROPPED = """SELECT 'events' AS table_name, reason, count(*) AS rows_dropped, string_agg(k, ',' ORDER BY k) FILTER (WHERE p <= 3) AS examples FROM (SELECT *, row_number() OVER (PARTITION BY reason ORDER BY k) AS p FROM
+    (SELECT CAST(event_id AS VARCHAR) AS k, CASE WHEN event_id % 83 = 0 THEN 'missing id' WHEN event_id % 97 = 0 THEN 'bad timestamp' WHEN event_id % 89 = 0 OR value < 0 THEN 'bad value' END AS reason FROM events) WHERE reason IS NOT NULL) GROUP BY reason"""
+add("a05_quality_report", lambda b: tables.quality_report(raw(b), "events", "event_id", EVENTS_FAIL()), DROPPED)
+
+
+def _cleaned(b: Tables) -> DataFrame:
+    """The report of a cleaning pass, and how many rows it kept."""
+    kept, report = tables.clean(raw(b), "events", "event_id", EVENTS_FAIL())
+    return report.unionByName(kept.agg(F.lit("events").alias("table_name"), F.lit("kept").alias("reason"), F.count(F.lit(1)).alias("rows_dropped"), F.lit("").alias("examples")))
+
+
+add("a05_clean", _cleaned, DROPPED + " UNION ALL SELECT 'events', 'kept', count(*), '' FROM events WHERE event_id % 83 <> 0 AND event_id % 97 <> 0 AND event_id % 89 <> 0 AND value >= 0")
 EVENT_CHECKS = {"key": "event_id", "required": ["event_id", "uid"], "dates": ["ts"], "numbers": ["value"], "enums": {"event_type": ["click", "view", "purchase", "signup"]}}
 
 
@@ -184,8 +195,24 @@ def _read_cod(b: Tables) -> DataFrame:
 add("a18_read_cod_tables", lambda b: _read_cod(b).groupBy("is_cod", "is_refused").agg(F.count(F.lit(1)).alias("n")), "SELECT o_orderpriority IN ('1-URGENT', '2-HIGH') AS is_cod, o_orderstatus = 'F' AS is_refused, count(*) AS n FROM orders WHERE o_orderkey % 5 <> 0 GROUP BY 1, 2")
 
 # B: stores.
-add("b01_upsert_clusters", lambda b: sinks.upsert(b.t("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.round(F.sum("o_totalprice"), 2).alias("c_acctbal")).unionByName(b.t("supplier").select((-F.col("s_suppkey")).alias("c_custkey"), F.col("s_acctbal").alias("c_acctbal"))), b.t("customer").select("c_custkey", "c_acctbal"), "c_custkey"),
-    "SELECT c_custkey, coalesce(p, c_acctbal) AS c_acctbal FROM customer LEFT JOIN (SELECT o_custkey AS c_custkey, round(sum(o_totalprice), 2) AS p FROM orders GROUP BY 1) USING (c_custkey) UNION ALL SELECT -s_suppkey, s_acctbal FROM supplier")
+def _changed(b: Tables) -> DataFrame:
+    """New balances of customers with orders, and suppliers under keys that the store does not know."""
+    spent = b.t("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.round(F.sum("o_totalprice"), 2).alias("c_acctbal"))
+    return spent.unionByName(b.t("supplier").select((-F.col("s_suppkey")).alias("c_custkey"), F.col("s_acctbal").alias("c_acctbal")))
+
+
+def _bucket_store(b: Tables) -> sinks.BucketStore:
+    store = sinks.BucketStore(b.spark, shared_folder(b.spark), "c_custkey", "c_custkey bigint, c_acctbal double", 16)
+    store.upsert(b.t("customer"), 1)
+    for _ in range(2):  # the second time as by a retried job
+        store.upsert(_changed(b), 2)
+    return store
+
+
+UPSERTED = "SELECT c_custkey, coalesce(p, c_acctbal) AS c_acctbal FROM customer LEFT JOIN (SELECT o_custkey AS c_custkey, round(sum(o_totalprice), 2) AS p FROM orders GROUP BY 1) USING (c_custkey) UNION ALL SELECT -s_suppkey, s_acctbal FROM supplier"
+add("b01_upsert_clusters", lambda b: sinks.upsert(_changed(b), b.t("customer").select("c_custkey", "c_acctbal"), "c_custkey"), UPSERTED)
+add("b01_bucket_store", lambda b: _bucket_store(b).read(), UPSERTED)
+add("b04_earlier_version", lambda b: _bucket_store(b).read(1), "SELECT c_custkey, c_acctbal FROM customer")
 add("b02_audit_events", lambda b: sinks.audit_events(b.judged(), "rule", ["size", "n_orders"], ["flagged", "rule"], F.lit("t0")), """SELECT cluster_key, 'rule' AS event, '{"size":' || size || ',"n_orders":' || n_orders || '}' AS input_json, '{"flagged":' || flagged || ',"rule":"' || rule || '"}' AS output_json, 't0' AS at FROM judged""")
 
 
@@ -303,17 +330,7 @@ add("g03_verdict", lambda b: b.judged().select("cluster_key", "organic_score", "
 add("g04_cod_verdict", lambda b: rules.cod_verdict(cod(b)).select("cluster_key", "flagged"), "SELECT cluster_key, CASE WHEN refusal_rate IS NULL THEN false WHEN shared_address THEN refusal_rate >= 0.6 OR (refusal_rate > 0.45 AND cod_fraction >= 0.75) ELSE refusal_rate >= 0.6 AND cod_fraction >= 0.75 END AS flagged FROM f10")
 
 
-def detect(b: Tables) -> DataFrame:
-    """The whole pipeline: graph, both clusterings, features and verdicts of every candidate."""
-    groups = stored(b.groups())
-    hard = cluster.connected_components(graph.star_edges(factored.hard_groups(groups, graph.HARD).select(F.col("member").alias("id"), "value")))
-    named = stored(cluster.dedupe_candidates(hard, factored.communities(groups)))
-    f = features.cluster_features_of_groups(groups, named.select("cluster_key", "member"), b.member(b.device()), b.member(b.instrument()), b.signup(), b.claim(), b.sessions(), b.orders())
-    members = named.groupBy("cluster_key", "stage").agg(F.sort_array(F.collect_list("member")).alias("members"))
-    return rules.verdict(f).join(members, "cluster_key")
-
-
-add("g05_detect", detect)
+add("g05_detect", lambda b: detect(b.groups(), b.member(b.device()), b.member(b.instrument()), b.signup(), b.claim(), b.sessions(), b.orders()))
 add("g06_flag_by_density", lambda b: rules.flag_by_density(b.density_rows(), 0.3), "SELECT count(*) FILTER (WHERE h) AS flagged, CAST(coalesce(sum(labeled) FILTER (WHERE h), 0) AS BIGINT) AS flagged_labeled, CAST(coalesce(sum(positives) FILTER (WHERE h), 0) AS BIGINT) AS captured, CAST(sum(positives) AS BIGINT) AS positives FROM (SELECT *, density > 0.3 AND labeled >= 2 AS h FROM ld)")
 WHY = """, why AS (SELECT *, CASE rule WHEN 'instrument' THEN 'members pay with one instrument, which organic behaviour does not excuse' WHEN 'household' THEN 'one device, but spread out, diverse and engaged: a household' WHEN 'device' THEN 'one device without enough organic behaviour'
     WHEN 'organic' THEN 'no shared device or instrument, and organic behaviour prevails' WHEN 'pattern' THEN 'burst, templated orders, fast claims or dormancy come together' ELSE 'evidence too weak either way' END AS reason FROM judged)"""
@@ -407,7 +424,21 @@ def _trained(b: Tables, fit) -> DataFrame:
 
 
 add("j05_fit_logistic", lambda b: _trained(b, scoring.fit_logistic))
-add("j06_fit_boosted_trees", lambda b: _trained(b, scoring.fit_boosted_trees))
+few_trees = lambda train, dev, **inputs: scoring.fit_boosted_trees(train, dev, ((3, 10), (4, 10)), **inputs)
+add("j06_fit_boosted_trees", lambda b: _trained(b, few_trees))
+
+
+def _trained_on_columns(b: Tables) -> DataFrame:
+    """Orders scored by columns with categories and missing values: is an order finished, from its priority, price and customer."""
+    c = b.t("customer").select(F.col("c_custkey").alias("o_custkey"), F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("balance"), "c_mktsegment", "c_nationkey")
+    rows = b.t("orders").select(F.col("o_orderkey").alias("id"), "o_custkey", F.col("o_totalprice").alias("price"), F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority")).alias("priority"), F.year("o_orderdate").alias("year"), (F.col("o_orderstatus") == "F").cast("int").alias("label")).join(c, "o_custkey", "left")
+    parts = stored(scoring.stratified_split3(rows, "id", "label"))
+    part = lambda s: parts.filter(F.col("split") == s)
+    inputs = scoring.fit_inputs(part("train"), ["price", "balance", "year"], ["priority", "c_mktsegment", "c_nationkey"])
+    return scoring.score(few_trees(part("train"), part("dev"), inputs=inputs), part("test")).select("id", "label", "score")
+
+
+add("j06_fit_on_columns", _trained_on_columns)
 add("j07_score", lambda b: scoring.ranking_quality(_trained(b, scoring.fit_logistic)))
 EFF = "vs AS (SELECT vec_id AS id, CAST(label = 0 AS INT) AS label, embedding, row_number() OVER (PARTITION BY label = 0 ORDER BY md5(vec_id || '|7'), vec_id) AS r, count(*) OVER (PARTITION BY label = 0) AS n FROM embeddings), lng AS (SELECT id, label, r <= floor(n * 0.6) AS train, CAST(unnest(embedding) AS DOUBLE) AS x, CAST(unnest(range(len(embedding))) AS INT) AS idx FROM vs), st AS (SELECT idx, avg(x) FILTER (WHERE label = 0) AS mean0, stddev_pop(x) FILTER (WHERE label = 0) AS std0, avg(x) FILTER (WHERE label = 1) AS mean1, stddev_pop(x) FILTER (WHERE label = 1) AS std1, avg(x) AS mean, stddev_pop(x) AS std0_ FROM lng WHERE train GROUP BY 1), eff AS (SELECT idx, mean0, std0, mean1, std1, mean, CASE WHEN std0_ < 1e-9 THEN 1 ELSE std0_ END AS std, d, CASE WHEN d < 0 THEN -1.0 ELSE 1.0 END AS sign FROM (SELECT *, CASE WHEN sqrt((std0 * std0 + std1 * std1) / 2) > 1e-9 THEN (mean1 - mean0) / sqrt((std0 * std0 + std1 * std1) / 2) ELSE 0 END AS d FROM st) ORDER BY abs(d) DESC, idx LIMIT 10)"
 chosen = lambda b: scoring.effect_sizes(scoring.stratified_split3(b.vectors(), "id", "label").filter("split = 'train'"))
@@ -422,7 +453,12 @@ SEG = "r3 AS (SELECT *, CASE WHEN r <= floor(n * 0.6) THEN 'train' WHEN r <= flo
 split = lambda b, s: scoring.random_split3(b.scores(), "id").filter(F.col("split") == s).drop("split")
 add("j15_segmented_threshold", lambda b: scoring.segmented_threshold(split(b, "dev"), split(b, "test"), "segment"), f", {SEG} SELECT * FROM ap UNION ALL SELECT NULL, NULL, round(2 * sum(tp) / nullif(sum(alerts) + sum(positives), 0), 9), CAST(sum(alerts) AS BIGINT), CAST(sum(tp) AS BIGINT), CAST(sum(positives) AS BIGINT) FROM ap")
 add("j16_threshold_for_recall", lambda b: scoring.threshold_for_recall(evaluate.threshold_sweep(b.density_rows(), [0.1, 0.3, 0.5, 0.7]), 0.5), f", {SWEEP} SELECT arg_min(threshold, (CAST(r < 0.5 AS INT), round(abs(r - 0.5), 9), threshold)) AS threshold, arg_min(r, (CAST(r < 0.5 AS INT), round(abs(r - 0.5), 9), threshold)) AS recall FROM (SELECT threshold, captured / nullif(ap, 0) AS r FROM sw)")
-add("j17_dev_then_test", lambda b: scoring.dev_then_test(b.scores().withColumn("split", F.when(F.col("id") % 2 == 0, "dev").otherwise("test")), [0.1, 0.3, 0.5, 0.7, 0.9], 0.5), ", dv AS (SELECT t, count(*) FILTER (WHERE label = 1 AND score >= t) / nullif(count(*) FILTER (WHERE label = 1), 0) AS r FROM sc, (SELECT CAST(unnest([0.1, 0.3, 0.5, 0.7, 0.9]) AS DOUBLE) AS t) WHERE id % 2 = 0 GROUP BY t), ch AS (SELECT arg_min(t, (CAST(r < 0.5 AS INT), round(abs(r - 0.5), 9), t)) AS threshold FROM dv) SELECT threshold, count(*) FILTER (WHERE score >= threshold) AS alerts, count(*) FILTER (WHERE score >= threshold AND label = 1) AS tp, count(*) FILTER (WHERE label = 1) AS positives FROM sc, ch WHERE id % 2 = 1 GROUP BY 1")
+halves = lambda b: b.scores().withColumn("split", F.when(F.col("id") % 2 == 0, "dev").otherwise("test"))
+QUANTILES = [0.01 + 0.98 * k / 59 for k in range(60)]
+CHOOSE = """dv AS (SELECT t, count(*) FILTER (WHERE label = 1 AND score >= t) / nullif(count(*) FILTER (WHERE label = 1), 0) AS r FROM sc, gr WHERE id % 2 = 0 GROUP BY t), ch AS (SELECT arg_min(t, (CAST(r < 0.5 AS INT), round(abs(r - 0.5), 9), t)) AS threshold FROM dv) SELECT threshold, count(*) FILTER (WHERE score >= threshold) AS alerts, count(*) FILTER (WHERE score >= threshold AND label = 1) AS tp, count(*) FILTER (WHERE label = 1) AS positives FROM sc, ch WHERE id % 2 = 1 GROUP BY 1"""
+add("j17_dev_then_test", lambda b: scoring.dev_then_test(halves(b), [0.1, 0.3, 0.5, 0.7, 0.9], 0.5), f", gr AS (SELECT CAST(unnest([0.1, 0.3, 0.5, 0.7, 0.9]) AS DOUBLE) AS t), {CHOOSE}")
+add("j17_quantile_grid", lambda b: scoring.dev_then_test(halves(b), scoring.quantile_grid(b.scores(), QUANTILES), 0.5), f", gr AS (SELECT DISTINCT round(unnest(quantile_cont(score, {QUANTILES})), 9) AS t FROM sc), {CHOOSE}")
+add("j17_every_dev_score", lambda b: scoring.dev_then_test(halves(b), None, 0.5), f", gr AS (SELECT DISTINCT score AS t FROM sc WHERE id % 2 = 0), {CHOOSE}")
 add("j18_ensemble_or", lambda b: scoring.ensemble_or(b.scores().filter("score > 0.8").select("id"), b.scores().filter("segment = 1").select("id"), b.scores()), ", e AS (SELECT 'a' AS who, label, score > 0.8 AS h FROM sc UNION ALL SELECT 'b', label, segment = 1 FROM sc UNION ALL SELECT 'either', label, score > 0.8 OR segment = 1 FROM sc) SELECT who, count(*) FILTER (WHERE h) AS alerts, count(*) FILTER (WHERE h AND label = 1) AS tp, count(*) FILTER (WHERE h AND label = 1) / nullif(count(*) FILTER (WHERE label = 1), 0) AS recall FROM e GROUP BY 1")
 add("j19_isolated_positives", lambda b: scoring.isolated_positives(b.strong(), b.node_labels()), "SELECT id FROM nl WHERE label = 1 AND id NOT IN (SELECT src FROM adj WHERE dst IN (SELECT id FROM nl WHERE label = 1))")
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from coterie.functions.storage import shared_folder
+
 TABLES = {
     "accounts": ["user_id", "signup_date", "phone_number", "email", "device_fingerprint_id", "ip_address_at_signup", "referral_code_used", "referred_by_user_id", "kyc_status", "home_pincode"],
     "sessions": ["session_id", "user_id", "device_fingerprint_id", "ip_address", "timestamp", "action_type"],
@@ -51,13 +53,38 @@ def safe_number(df: DataFrame, column: str, least: float = 0.0) -> DataFrame:
     return df.withColumn(column, F.expr(f"try_cast(`{column}` as double)")).filter((F.col(column) >= least) & ~F.isnan(column))
 
 
-def quality_report(df: DataFrame, table: str, key: str, checks: dict[str, Column], examples: int = 3) -> DataFrame:
-    """Rows dropped for each first failed check, with the smallest keys as examples. checks: {reason: condition that fails}."""
-    reason = reduce(lambda out, x: out.when(x[1], x[0]), list(checks.items())[1:], F.when(next(iter(checks.values())), next(iter(checks))))
-    failed = df.select(F.col(key).cast("string").alias("key"), reason.alias("reason")).filter("reason is not null")
+def _first_failed(checks: dict[str, Column]) -> Column:
+    return reduce(lambda out, x: out.when(x[1], x[0]), list(checks.items())[1:], F.when(next(iter(checks.values())), next(iter(checks))))
+
+
+def _report(failed: DataFrame, table: str, examples: int) -> DataFrame:
+    """(table_name, reason, rows_dropped, examples) of failed(key, reason)."""
     top = failed.withColumn("place", F.row_number().over(Window.partitionBy("reason").orderBy("key"))).filter(F.col("place") <= examples)
     some = top.groupBy("reason").agg(F.sort_array(F.collect_list("key")).alias("examples"))
-    return failed.groupBy("reason").agg(F.count(F.lit(1)).alias("rows_dropped")).join(some, "reason").select(F.lit(table).alias("table_name"), "reason", "rows_dropped", F.array_join("examples", ",").alias("examples"))
+    return failed.groupBy("reason").agg(F.count(F.lit(1)).alias("rows_dropped")).join(some, "reason", "left").select(F.lit(table).alias("table_name"), "reason", "rows_dropped", F.coalesce(F.array_join("examples", ","), F.lit("")).alias("examples"))
+
+
+def quality_report(df: DataFrame, table: str, key: str, checks: dict[str, Column], examples: int = 3) -> DataFrame:
+    """Rows dropped for each first failed check, with the smallest keys as examples. checks: {reason: condition that fails}."""
+    failed = df.select(F.col(key).cast("string").alias("key"), _first_failed(checks).alias("reason")).filter("reason is not null")
+    return _report(failed, table, examples)
+
+
+def clean(df: DataFrame, table: str, key: str, checks: dict[str, Column], examples: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(the rows that fail no check, quality_report of the others), from one pass over ``df``.
+
+    The pass writes rows apart by their first failed check; kept rows are read from theirs, and the report reads the dropped ones only.
+    """
+    reason = "_reason"
+    while reason in df.columns:
+        reason += "_"
+    path = shared_folder(df.sparkSession)
+    split = df.withColumn(reason, F.coalesce(_first_failed(checks), F.lit("")))
+    split.write.partitionBy(reason).parquet(path)
+    back = df.sparkSession.read.schema(split.schema).parquet(path)
+    none = F.col(reason).isNull() | (F.col(reason) == "")  # an empty partition value reads back as null
+    failed = back.filter(~none).select(F.col(key).cast("string").alias("key"), F.col(reason).alias("reason"))
+    return back.filter(none).drop(reason), _report(failed, table, examples)
 
 
 ERRORS = "table_name string, row_key string, error string"
