@@ -1,14 +1,15 @@
 """Clustering as joins that repeat until nothing changes (E)."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coterie.functions.components import components
+from coterie.functions.order import global_row_number, running_sums
 from coterie.functions.storage import stored
 from coterie.operators import factored
 
-ROUNDS = 100
-
 
 def connected_components(edges: DataFrame, min_size: int = 2) -> DataFrame:
     """(cluster_key, member) of components with min_size nodes or more, keyed by their smallest node.
@@ -62,43 +63,70 @@ def illicit_structures(edges: DataFrame, labels: DataFrame, min_size: int = 2) -
     return connected_components(inside, min_size)
 
 
-def densest_block(incidence: DataFrame, eps: float = 0.1) -> DataFrame:
-    """(side, id) of a dense block of incidence(row_id, col_id).
+def _densest_prefix(incidence: DataFrame, loads: DataFrame) -> tuple[DataFrame, float]:
+    """The incidences (r, c, w, ...) among the nodes of largest load, as many as make them densest, and their density."""
+    ranked = stored(global_row_number(loads, [F.desc("load"), F.col("side"), F.col("id")], "rank").select("side", "id", "rank"))
+    at = lambda side, c, name: ranked.filter(F.col("side") == side).select(F.col("id").alias(c), F.col("rank").alias(name))
+    placed = stored(incidence.join(at("row", "r", "rr"), "r").join(at("col", "c", "rc"), "c").withColumn("rank", F.greatest("rr", "rc")).drop("rr", "rc"))
+    run = running_sums(placed.groupBy("rank").agg(F.sum("w").alias("w")), [F.col("rank")], {"inside": "w"})
+    most = run.select("rank", (F.col("inside") / F.col("rank")).alias("density")).orderBy(F.desc("density"), "rank").first()
+    return placed.filter(F.col("rank") <= most.rank).drop("rank"), most.density
 
-    Columns weigh 1 / ln(degree + 5), so popular values hide nothing. Each pass
-    drops every node whose weight is at most 2 (1 + eps) times the block's mean
-    (batch peeling); the pass of the highest mean is kept.
-    """
-    weights = incidence.groupBy("col_id").agg((1 / F.log(F.count(F.lit(1)) + 5.0)).alias("w"))
-    live = stored(incidence.join(weights, "col_id"))
-    best, kept = -1.0, live.select("row_id", "col_id", "w")
-    for _ in range(ROUNDS):
-        ends = live.select(F.explode(F.array(F.struct(F.lit("row").alias("side"), F.col("row_id").cast("string").alias("id"), "w"), F.struct(F.lit("col").alias("side"), F.col("col_id").cast("string").alias("id"), "w"))).alias("e"))
-        nodes = stored(ends.groupBy("e.side", "e.id").agg(F.sum("e.w").alias("degree")))
-        n, total = nodes.agg(F.count(F.lit(1)), F.sum(F.when(F.col("side") == "row", F.col("degree")))).first()
-        if not n:
-            break
-        if total / n > best:
-            best, kept = total / n, live
-        cut = nodes.filter(F.col("degree") > 2 * (1 + eps) * total / n)
-        side = lambda s, c: cut.filter(F.col("side") == s).select(F.col("id").alias(c))  # noqa: E731, B023
-        live = stored(live.join(side("row", "_r"), F.col("row_id").cast("string") == F.col("_r"), "left_semi").join(side("col", "_c"), F.col("col_id").cast("string") == F.col("_c"), "left_semi"))
-        if live.isEmpty():
-            break
-    return stored(kept.select("row_id", "col_id", F.lit(best).alias("score")))
 
+def densest_block(incidence: DataFrame, eps: float = 0.1, passes: int = 4) -> DataFrame:
+    """(row_id, col_id, score, bound): a dense block of incidence(row_id, col_id), its density and a bound that no block is above.
 
-def top_k_blocks(incidence: DataFrame, k: int = 3, min_users: int = 2) -> DataFrame:
-    """(block, row_id, score): dense blocks found one after another; a block's own incidences are removed before the next."""
+    Columns weigh 1 / ln(degree + 5), so popular values hide nothing. A pass drops, round by round, every node whose load and
+    weight in what is left are at most 1 + eps times their mean; dropped incidences go to the load of the end that was
+    dropped, half to each if both were. The next pass starts from all incidences with these loads, which hold back nodes
+    that went early; the densest rest of any round of any pass is the block, or the densest set of nodes of the largest
+    loads in the end, whatever is denser. The first pass has no loads and is batch peeling. Loads share out every incidence once a pass, so after any pass the largest load divided by the
+    passes bounds all densities.
+    """
+    weights = incidence.groupBy("col_id").agg((1 / F.log(F.count(F.lit(1)) + 5.0)).alias("w"))
+    text = lambda c: F.col(c).cast("string")
+    all_ = stored(incidence.join(weights, "col_id").select("row_id", "col_id", text("row_id").alias("r"), text("col_id").alias("c"), "w"))
+    ends = lambda df, row, col: df.select(F.explode(F.array(F.struct(F.lit("row").alias("side"), F.col("r").alias("id"), row.alias("w")), F.struct(F.lit("col").alias("side"), F.col("c").alias("id"), col.alias("w")))).alias("e")).select("e.*")
+    best, kept, loads, bound = -1.0, all_, None, float("inf")
+    for done in range(1, passes + 1):
+        live, shares = all_, []
+        while True:
+            nodes = ends(live, F.col("w"), F.col("w")).groupBy("side", "id").agg(F.sum("w").alias("degree"))
+            nodes = nodes.withColumn("load", F.lit(0.0)) if loads is None else nodes.join(loads, ["side", "id"], "left").fillna(0.0, ["load"])
+            nodes = stored(nodes)
+            n, total, mean = nodes.agg(F.count(F.lit(1)), F.sum(F.when(F.col("side") == "row", F.col("degree"))), F.avg(F.col("degree") + F.col("load"))).first()
+            if not n:
+                break
+            if total / n > best:
+                best, kept = total / n, live
+            cut = nodes.filter(F.col("degree") + F.col("load") <= (1 + eps) * mean)
+            side = lambda s, c, flag: cut.filter(F.col("side") == s).select(F.col("id").alias(c), F.lit(True).alias(flag))  # noqa: E731, B023
+            marked = stored(live.join(side("row", "r", "rx"), "r", "left").join(side("col", "c", "cx"), "c", "left").fillna(False, ["rx", "cx"]))
+            share = lambda mine, other: F.when(F.col(mine), F.when(F.col(other), F.col("w") / 2).otherwise(F.col("w"))).otherwise(0.0)
+            shares.append(ends(marked.filter("rx or cx"), share("rx", "cx"), share("cx", "rx")))
+            live = marked.filter("not rx and not cx").drop("rx", "cx")
+        before = [] if loads is None else [loads.withColumnRenamed("load", "w")]
+        if shares or before:
+            loads = stored(reduce(DataFrame.unionByName, [*before, *shares]).groupBy("side", "id").agg(F.sum("w").alias("load")))
+            bound = min(bound, loads.agg(F.max("load")).first()[0] / done)
+    if loads is not None:
+        first, density = _densest_prefix(all_, loads)
+        if density > best:
+            best, kept = density, first
+    return stored(kept.select("row_id", "col_id", F.lit(float(best)).alias("score"), F.lit(float(bound)).alias("bound")))
+
+
+def top_k_blocks(incidence: DataFrame, k: int = 3, min_users: int = 2, passes: int = 4) -> DataFrame:
+    """(block, row_id, score, bound): dense blocks found one after another; a block's own incidences are removed before the next."""
     left, out = stored(incidence.select("row_id", "col_id").distinct()), None
     for b in range(k):
         if left.isEmpty():
             break
-        block = densest_block(left)
-        users = block.select("row_id", "score").distinct()
+        block = densest_block(left, passes=passes)
+        users = block.select("row_id", "score", "bound").distinct()
         if users.count() < min_users:
             break
-        named = users.select(F.lit(b).alias("block"), "row_id", "score")
+        named = users.select(F.lit(b).alias("block"), "row_id", "score", "bound")
         out = named if out is None else out.unionByName(named)
         left = stored(left.join(block.select("row_id", "col_id"), ["row_id", "col_id"], "left_anti"))
-    return out if out is not None else incidence.select(F.lit(0).alias("block"), "row_id", F.lit(0.0).alias("score")).limit(0)
+    return out if out is not None else incidence.select(F.lit(0).alias("block"), "row_id", F.lit(0.0).alias("score"), F.lit(0.0).alias("bound")).limit(0)

@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -76,6 +77,38 @@ def test_planted_block_is_found_first(spark):
     assert set(range(30)) <= {r.row_id for r in first}
 
 
+def weighed(rows):
+    degree = {}
+    for _, c in rows:
+        degree[c] = degree.get(c, 0) + 1
+    return {(u, c): 1 / math.log(degree[c] + 5) for u, c in rows}
+
+
+def peeled(rows):
+    """The largest density when the node of least weight goes one by one."""
+    live, best = weighed(rows), 0.0
+    while live:
+        weight = {}
+        for (u, c), w in live.items():
+            weight["r", u] = weight.get(("r", u), 0) + w
+            weight["c", c] = weight.get(("c", c), 0) + w
+        best = max(best, sum(live.values()) / len(weight))
+        side, gone = min(weight, key=lambda n: (weight[n], str(n)))
+        live = {e: w for e, w in live.items() if e[side == "c"] != gone}
+    return best
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_dense_block_is_not_below_one_by_one_peeling_and_not_above_its_bound(spark, seed):
+    rnd = random.Random(seed)
+    rows = {(rnd.randrange(60), f"v{rnd.randrange(60)}") for _ in range(150)} | {(u, f"b{k}") for u in range(8 + seed) for k in range(6) if rnd.random() < 0.8}
+    found = cluster.densest_block(spark.createDataFrame(sorted(rows), "row_id long, col_id string")).collect()
+    score, bound = found[0].score, found[0].bound
+    weights = weighed(rows)
+    inside = sum(weights[r.row_id, r.col_id] for r in found) / (len({r.row_id for r in found}) + len({r.col_id for r in found}))
+    assert abs(inside - score) < 1e-9 and peeled(rows) - 1e-9 <= score <= bound + 1e-9 and bound < 1.5 * score
+
+
 def test_best_match_ties_go_to_the_smallest_key(spark):
     truth = spark.createDataFrame([(1, m) for m in "abcd"] + [(2, "z")], "set_id long, member string")
     found = spark.createDataFrame([(8, "a"), (8, "b"), (7, "c"), (7, "d")], "set_id long, member string")
