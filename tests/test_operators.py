@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from coterie.functions import components as links
 from coterie.functions.order import global_row_number, running_sums
 from coterie.operators import cluster, evaluate, graph, rules
 from coterie.sources import tables
@@ -31,6 +32,16 @@ def test_components_equal_union_find(spark):
     assert {r.member: r.cluster_key for r in got} == components(edges)
 
 
+@pytest.mark.parametrize("most", [0, 500_000])
+def test_components_in_one_task_equal_those_of_rounds_also_for_text(spark, monkeypatch, most):
+    monkeypatch.setattr(links, "LINKS_PER_TASK", most)
+    rnd = random.Random(9)
+    edges = [(f"n{rnd.randrange(80)}", f"n{rnd.randrange(80)}") for _ in range(50)] + [("é", "z"), ("z", "𝄞"), (None, "n1"), ("n1", "n1")] + [(f"c{i:02}", f"c{i + 1:02}") for i in range(30)]
+    got = links.components(spark.createDataFrame(edges, "a string, b string")).collect()
+    assert {r.node: r.label for r in got} == components([e for e in edges if e[0] and e[0] != e[1]]) and len(got) == len({r.node for r in got})
+    assert links.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
 def test_two_cliques_with_a_bridge_are_one_component_and_two_communities(spark):
     edges = [(a + o, b + o, 1.0) for o in (0, 10) for a in range(5) for b in range(a + 1, 5)] + [(4, 10, 1.0)]
     df = spark.createDataFrame(edges, "src long, dst long, weight double")
