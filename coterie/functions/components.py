@@ -1,6 +1,6 @@
 """Connected components by contraction: joins over written tables that shrink from round to round."""
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,27 +48,31 @@ def roots(links: DataFrame) -> DataFrame:
     return out
 
 
-def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, label) of the links of one task: nodes take the smallest label beside them until none changes."""
-    rows = [b for b in batches if b.num_rows]
-    if not rows:
-        return
-    table = pa.Table.from_batches(rows)
-    kind = table.schema.field("a").type
-    ends = np.array([*table.column("a").to_pylist(), *table.column("b").to_pylist()]) if not pa.types.is_integer(kind) else np.concatenate([table.column(c).to_numpy() for c in ("a", "b")])
-    nodes, place = np.unique(ends, return_inverse=True)
-    a, b = place[: table.num_rows], place[table.num_rows :]
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        for end in (label[a], label[b], a, b):
-            np.minimum.at(new, end, low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    yield pa.RecordBatch.from_arrays([pa.array(nodes.tolist(), kind), pa.array(nodes[label].tolist(), kind)], ["node", "label"])
+def _uniting() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(node, label) of the links of one task: nodes take the smallest label beside them until none changes. Sent as it is, so workers need not have the package."""
+
+    def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [b for b in batches if b.num_rows]
+        if not rows:
+            return
+        table = pa.Table.from_batches(rows)
+        kind = table.schema.field("a").type
+        ends = np.array([*table.column("a").to_pylist(), *table.column("b").to_pylist()]) if not pa.types.is_integer(kind) else np.concatenate([table.column(c).to_numpy() for c in ("a", "b")])
+        nodes, place = np.unique(ends, return_inverse=True)
+        a, b = place[: table.num_rows], place[table.num_rows :]
+        label = np.arange(len(nodes))
+        while True:
+            low = np.minimum(label[a], label[b])
+            new = label.copy()
+            for end in (label[a], label[b], a, b):
+                np.minimum.at(new, end, low)
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        yield pa.RecordBatch.from_arrays([pa.array(nodes.tolist(), kind), pa.array(nodes[label].tolist(), kind)], ["node", "label"])
+
+    return united
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -79,7 +83,7 @@ def components(links: DataFrame) -> DataFrame:
     kind = links.schema["a"].dataType.simpleString()
     ends = stored(links.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     if ends.count() <= LINKS_PER_TASK:
-        return ends.coalesce(1).mapInArrow(_united, f"node {kind}, label {kind}")
+        return ends.coalesce(1).mapInArrow(_uniting(), f"node {kind}, label {kind}")
     found = stored(roots(ends))
     label = found.groupBy("root").agg(F.min("node").alias("label"))
     return found.join(label, "root").select("node", "label")
