@@ -16,9 +16,9 @@ def shared(spark, rows, signal="shared_device", weight=3.0):
 def both(spark):
     """Groups of two signals and some referrals, and the same as merged pair edges."""
     rnd = random.Random(4)
-    rows = [[(rnd.randrange(40), f"{k}{rnd.randrange(16)}") for _ in range(60)] for k in "ab"]
-    rows[0] += [(i, "crowd") for i in range(0, 40, 2)] + [(7, None), (8, " "), (9, "nan"), (70, "alone")]
-    ends = sorted({tuple(sorted(rnd.sample(range(66), 2))) for _ in range(12)})
+    rows = [[(rnd.randrange(24), f"{k}{rnd.randrange(10)}") for _ in range(36)] for k in "ab"]
+    rows[0] += [(i, "crowd") for i in range(0, 24, 2)] + [(7, None), (8, " "), (9, "nan"), (70, "alone")]
+    ends = sorted({tuple(sorted(rnd.sample(range(30), 2))) for _ in range(8)})
     referral = spark.createDataFrame([(a, b, 0.8) for a, b in ends], "src long, dst long, weight double").withColumn("signals", F.array(F.lit("referral_link")))
     df = [spark.createDataFrame(r, "id long, value string") for r in rows]
     groups = factored.shared_groups(df[0], "shared_device", 3.0).unionByName(factored.shared_groups(df[1], "ip_subnet_overlap", 2.0)).unionByName(factored.edge_groups(referral)).persist()
