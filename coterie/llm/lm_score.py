@@ -1,16 +1,23 @@
-"""Language-model scoring with a weighted backoff model that grows with the input.
-
-All training documents are counted. Every pair and triple of words that occurs
-``LEAST`` times or more is an arc of its context with its absolutely discounted,
-interpolated log-probability; a context passes the mass that discounting freed
-to its shorter context. The root holds add-one unigrams of all tokens, so the
-model sums to one. Nothing is kept by its share of the corpus.
-
-Texts are read in pieces. A piece sends its distinct n-grams to parts, dealt by
-context, whose number grows with the input. A part adds up the pieces' counts
-and answers each piece with its n-grams' counts and its contexts' sums, and the
-piece scores its tokens with them. Order 2 after a hot word is dealt by n-gram;
-the sums of those words, whose number is at most half the parts, are broadcast.
+"""Language-model scoring by a weighted backoff automaton that grows with the input.
+
+All training documents are counted. A state is a context of one or two words
+that some word follows ``least`` times or more. Each such word is an arc with its absolutely
+discounted, interpolated log-probability; it leads to the longest state that the words read
+so far end in. A failure arc leads from a state to its shorter context and carries the mass
+that discounting freed. The root has an arc for every word, with add-one unigrams
+of all tokens, so the model sums to one. Nothing is kept by its share of the corpus.
+
+The automaton as a whole lies in parts, dealt by context, whose number grows with the input.
+Texts are read in pieces. A piece sends its distinct n-grams to the parts; a part adds
+up the pieces' counts and answers each piece with its n-grams' counts and its contexts'
+sums. From them the piece builds the states and arcs that its texts can reach, and walks
+its texts from left to right once: the walk carries a state, takes the word's arc or fails
+to the shorter context until there is one, and adds up log-probabilities. Texts step side
+by side. A long text is walked in stretches, each from two words before it, which
+fix its state whatever came earlier.
+
+N-grams after a hot word or a hot pair of words, one with a large share of a part's tokens, are
+dealt one by one; the sums of these contexts, at most as many as parts, are broadcast.
 How often a context occurs follows from the counts of its own words.
 Words with a share of ``HEAD`` of all tokens have short numbers in what is sent;
 other words are sent with their hashes, so this bound changes no score.
@@ -25,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,11 +41,14 @@ from coterie.llm.language_id import held_out
 
 HEAD, LEAST, DISCOUNT = 2.5e-7, 2, 0.75  # at most four million words have a share of HEAD, 24 bytes each in what is broadcast
 PIECE, PART = 1 << 22, 1 << 23  # bytes of text
+TASK, TASKS = 1 << 23, 20_000  # bytes of text for each task of a shuffle, until there are TASKS; then tasks have more groups, one after the other
+STRETCH = 512  # tokens of a text that one walk reads
 BITS = 21  # of a word's number in a piece, so that three fit in one key
 FOLDS, FOLD = 7, 2
 END = np.uint64(0x0E0D)  # stands for the end of a text; no word's hash, but for one chance in 2 ** 64
 TOP = np.uint64(1 << 63)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+NONE = np.zeros(0, np.uint64)
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -86,6 +97,17 @@ def _numbers(h: np.ndarray, head: np.ndarray) -> np.ndarray:
     return np.where(head[at] == h, at, -1)
 
 
+def _hot_pairs(column: pa.Array, hashes: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Keys of neighbouring tokens that are both among the hot words, whose sorted hashes and numbers are given."""
+    h, first = tokens(column)
+    at = _numbers(np.r_[END, h], hashes)
+    w = np.where(at >= 0, rank[np.maximum(at, 0)], 0)
+    end, w = w[0], w[1:]
+    u = np.r_[0, w[:-1]]
+    u[first[:-1]] = end
+    return (w << 32 | u)[(w > 0) & (u > 0)]
+
+
 def _planed(x: np.ndarray) -> bytes:
     """Non-negative numbers as their count, width and byte planes, which compresses small ones well."""
     width = (int(x.max()).bit_length() + 7) // 8 if len(x) else 0
@@ -108,25 +130,36 @@ def _unblob(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def _split(v: np.ndarray, u: np.ndarray, hot: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Which contexts have their n-grams dealt one by one: no word, a hot word, a hot pair."""
+    small = (v < TOP) & (u < TOP)
+    out = (u == 0) & ((v == 0) | hot[np.where(small, v, 0).astype(np.int64)])
+    at = np.flatnonzero(small & (u > 0))
+    at = at[hot[v[at].astype(np.int64)] & hot[u[at].astype(np.int64)]]  # a pair occurs no oftener than its words
+    out[at] = np.isin(v[at] << np.uint64(32) | u[at], pairs)
+    return out
+
+
 class Grams:
     """The distinct n-grams of a piece of texts, sorted by part, middle word, first word and last word.
 
     Words have numbers from 1, frequent ones first, if they are in the head, else their hash with the
     top bit set; 0 stands for no word. Order 3 has both context words, order 2
     the middle one, order 1 (only of words outside the head) none. All n-grams
-    of a context are in one part, but for order 2 after a hot word."""
+    of a context are in one part, but for those after a hot word or a hot pair."""
 
-    def __init__(self, h: np.ndarray, first: np.ndarray, head: np.ndarray, rank: np.ndarray, hot: np.ndarray, parts: int):
+    def __init__(self, h: np.ndarray, first: np.ndarray, head: np.ndarray, rank: np.ndarray, hot: np.ndarray, parts: int, pairs: np.ndarray = NONE):
         distinct, local = np.unique(np.r_[END, h], return_inverse=True)
         number = _numbers(distinct, head)
         words = np.r_[np.uint64(0), np.where(number >= 0, rank[np.maximum(number, 0)].astype(np.uint64) if len(rank) else TOP, distinct | TOP)]
         order = np.argsort(words)  # words[0] is 0, no word, and stays first
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        self.number = number[local[1:]]
+        self.number = np.r_[-1, number][order]
         words, local = words[order], place[local + 1]
         end, w = local[0], local[1:]
-        rare = np.flatnonzero(self.number < 0)
+        self.end, self.w = end, w.astype(np.int32)
+        rare = np.flatnonzero(self.number[w] < 0)
         v = np.r_[0, w[:-1]]
         v[first[:-1]] = end
         u = np.r_[0, v[:-1]]
@@ -145,17 +178,19 @@ class Grams:
             context = contexts[keys >> 32]
             middle, before, last = context >> 32, context & 0xFFFFFFFF, keys & 0xFFFFFFFF
         self.V, self.U, self.W = words[middle], words[before], words[last]
-        self.split = (self.U == 0) & ((self.V == 0) | hot[np.where(self.V < TOP, self.V, 0).astype(np.int64)])
+        self.split = _split(self.V, self.U, hot, pairs)
         route = mix(mix(self.V) + self.U * _STEP)
         route = np.where(self.split, mix(route + self.W * _STEP), route)
         part = (route % np.uint64(parts)).astype(np.uint16 if parts < 1 << 16 else np.uint32)
         order = np.argsort(part, kind="stable")
-        self.cuts = np.searchsorted(part[order], np.arange(parts + 1))
+        part = part[order]
+        begin = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        self.parts, self.cuts = part[begin].tolist(), np.r_[begin, len(part)]  # only those the piece has n-grams for
         self.V, self.U, self.W, self.split = self.V[order], self.U[order], self.W[order], self.split[order]
+        self.middle, self.before, self.last = (x[order].astype(np.int32) for x in (middle, before, last))
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
         place = back[inverse]
-        del keys, inverse, middle, before, last
         self.three, self.rare = three, rare
         self.at3, self.at2, self.at1 = np.split(place, [len(three), len(three) + len(w)])
 
@@ -170,11 +205,10 @@ def _sent(grams: Grams, learn: np.ndarray) -> Iterator[tuple[int, bytes]]:
     n = np.zeros(len(grams.V), np.int64)
     for at, rows in ((grams.at3, learn[grams.three]), (grams.at2, learn), (grams.at1, learn[grams.rare])):
         n += np.bincount(at[rows], minlength=len(n))
-    for part, (a, b) in enumerate(zip(grams.cuts[:-1], grams.cuts[1:], strict=True)):
-        if b > a:
-            at = grams.opens(a, b)
-            v = grams.V[a:b][at]
-            yield part, _blob(np.r_[v[:1], np.diff(v)], grams.U[a:b][at], np.diff(np.r_[at, b - a]), grams.W[a:b], n[a:b])
+    for part, a, b in zip(grams.parts, grams.cuts[:-1], grams.cuts[1:], strict=True):
+        at = grams.opens(a, b)
+        v = grams.V[a:b][at]
+        yield part, _blob(np.r_[v[:1], np.diff(v)], grams.U[a:b][at], np.diff(np.r_[at, b - a]), grams.W[a:b], n[a:b])
 
 
 def _alike(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -186,10 +220,11 @@ def _alike(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[new], number
 
 
-def _part_counts(hot: np.ndarray):
+def _part_counts(shared: Broadcast, least: int):
     """Adds up all pieces' n-grams of a part and answers each piece in the order in which it sent them."""
 
     def one(table: pa.Table) -> pa.Table:
+        *_, hot, pairs = shared.value
         sent = [_unblob(x) for x in table.column("data").to_pylist()]
         sizes = [(len(x[3]), len(x[0])) for x in sent]
         v = np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in sent])
@@ -207,7 +242,7 @@ def _part_counts(hot: np.ndarray):
         total = np.bincount(gram, weights=n).astype(np.int64)
         owner = context[of[first]]
         del n, of, first
-        kept = np.where(total >= LEAST, total, 0)
+        kept = np.where(total >= least, total, 0)
         sums = [np.bincount(owner, weights=x, minlength=len(first_context)).astype(np.int64) for x in (kept, kept > 0)]
         data, a, c = [], 0, 0
         for grams, contexts in sizes:
@@ -215,54 +250,133 @@ def _part_counts(hot: np.ndarray):
             data.append(_blob(total[gram[a:b]], *(s[context[c:d]] for s in sums)))
             a, c = b, d
         v, u = v[first_context], u[first_context]
-        wide = np.flatnonzero((u == 0) & (v > 0) & hot[np.where(v < TOP, v, 0).astype(np.int64)])
+        wide = np.flatnonzero((v > 0) & _split(v, u, hot, pairs))
         more = len(wide)
         pieces = table.column("piece").combine_chunks().cast(pa.int64()).to_pylist()
         columns = [pieces + [None] * more, table.column("part").to_pylist() + [None] * more, data + [None] * more]
-        stats = [[None] * len(data) + x[wide].astype(np.int64).tolist() for x in (v, *sums)]
+        stats = [[None] * len(data) + x[wide].astype(np.int64).tolist() for x in (v << np.uint64(32) | u, *sums)]
         kinds = [pa.int64(), pa.int32(), pa.binary(), *[pa.int64()] * 3]
-        return pa.table([pa.array(x, k) for x, k in zip(columns + stats, kinds, strict=True)], names=["piece", "part", "data", "v", "k", "t"])
+        return pa.table([pa.array(x, k) for x, k in zip(columns + stats, kinds, strict=True)], names=["piece", "part", "data", "context", "k", "t"])
 
     return one
 
 
-def _log_probabilities(grams: Grams, first: np.ndarray, answers: dict[int, bytes], hot_sums: list, counts: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each token: count, log-probability by the root alone, and by the model.
+def _found(keys: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each key lies among sorted keys, and whether it does."""
+    if not len(keys):
+        return np.zeros(len(key), np.int64), np.zeros(len(key), bool)
+    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+    return at, keys[at] == key
 
-    Every word in training texts has one token after it, so a context occurs as often as its last word or pair is counted.
+
+class Automaton:
+    """The states and arcs that the texts of a piece can reach. State 0 is the root.
+
+    Arcs are sorted by state and word; ``weight`` and ``to`` are theirs, ``freed`` and ``fail`` those of the states' failure arcs.
+    A context that no word follows often enough passes all its mass on, so it needs no state. If a pair is
+    a state, so is its last word, and its first word has an arc to it: n-grams occur no oftener than what they contain.
     """
-    size = len(grams.V)
-    n, kept, kinds = (np.zeros(size, np.int64) for _ in range(3))
-    for part, (a, b) in enumerate(zip(grams.cuts[:-1], grams.cuts[1:], strict=True)):
-        if b > a:
+
+    def __init__(self, grams: Grams, answers: dict[int, bytes], hot_sums: list, counts: np.ndarray, scale: float, least: int):
+        size = len(grams.V)
+        n, kept, kinds = (np.zeros(size, np.int64) for _ in range(3))
+        for part, a, b in zip(grams.parts, grams.cuts[:-1], grams.cuts[1:], strict=True):
             got = _unblob(answers[part])
             each = np.diff(np.r_[grams.opens(a, b), b - a])
             n[a:b] = got[0]
             for out, x in zip((kept, kinds), got[1:], strict=True):
                 out[a:b] = np.repeat(x, each)
-    ids, *sums = hot_sums
-    if len(ids):
-        at = np.minimum(np.searchsorted(ids, grams.V), len(ids) - 1)
-        wide = np.flatnonzero(grams.split & (ids[at] == grams.V))
-        for out, x in zip((kept, kinds), sums, strict=True):
-            out[wide] = x[at[wide]]
-    known = counts[np.maximum(grams.number, 0)] if len(counts) else np.zeros(len(grams.number), np.int64)
-    known[grams.rare] = n[grams.at1]
-    root = (known + 1) / scale
-    before = np.r_[0, known[:-1]]
-    before[first[:-1]] = known[first[1:] - 1]  # a text starts after an end
-
-    def step(at: np.ndarray, context: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        below = np.maximum(context, 1)
-        return (np.where(n[at] >= LEAST, n[at] - DISCOUNT, 0) + (below - kept[at] + DISCOUNT * kinds[at]) * lower) / below
-
-    p = step(grams.at2, before, root)
-    p[grams.three] = step(grams.at3, n[grams.at2[grams.three - 1]], p[grams.three])
-    return known, np.log10(root), np.log10(p)
-
-
-def score_texts(docs: DataFrame, training: Column, part_bytes: int = PART) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_tokens, n_known, train_tokens, base_score, score. training: which rows are learned from."""
+        wide = np.flatnonzero(grams.split & (grams.V > 0))
+        at, seen = _found(hot_sums[0], (grams.V[wide] << np.uint64(32) | grams.U[wide]).view(np.int64))
+        for out, x in zip((kept, kinds), hot_sums[1:], strict=True):
+            out[wide[seen]] = x[at[seen]]
+
+        self.count = counts[np.maximum(grams.number, 0)] if len(counts) else np.zeros(len(grams.number), np.int64)
+        self.count[grams.number < 0] = 0
+        self.count[grams.w[grams.rare]] = n[grams.at1]
+        root = (self.count + 1) / scale
+        self.words = len(root)
+        self.root = np.log10(root)
+
+        # Every word in training texts has one token after it, so a context occurs as often as its last word or pair is counted.
+        rows = np.flatnonzero((grams.middle > 0) & (kinds > 0))
+        context = _pair(grams.middle[rows], grams.before[rows])
+        states, one, of = np.unique(context, return_index=True, return_inverse=True)
+        v, u = grams.middle[rows[one]], grams.before[rows[one]]
+        kept, kinds = kept[rows[one]], kinds[rows[one]]
+        arc = n[rows] >= least
+        rows, of = rows[arc], of[arc]
+        n, middle, before, last = n[rows], grams.middle[rows], grams.before[rows], grams.last[rows]
+
+        alone = u == 0
+        after = np.zeros(self.words, np.int64)  # the state of each word
+        after[v[alone]] = 1 + np.flatnonzero(alone)
+        self.fail = np.r_[0, np.where(alone, 0, after[v])]
+        two = np.flatnonzero(before == 0)
+        key = _pair(middle[two], last[two])
+        order = np.argsort(key)
+        two, key = two[order], key[order]
+        below = np.where(alone, self.count[v], 0)
+        below[~alone] = n[two[_found(key, _pair(u[~alone], v[~alone]))[0]]]
+        freed = (below - kept + DISCOUNT * kinds) / below
+        self.freed = np.r_[0, np.log10(freed)]
+
+        p = (n - DISCOUNT) / below[of]
+        p[two] += freed[of[two]] * root[last[two]]
+        three = np.flatnonzero(before > 0)
+        p[three] += freed[of[three]] * p[two[_found(key, _pair(middle[three], last[three]))[0]]]
+        at, longer = _found(states, _pair(last, middle))
+        arcs = np.r_[np.arange(self.words), (1 + of) * self.words + last]
+        order = np.argsort(arcs)
+        self.arcs = arcs[order]
+        self.weight = np.r_[self.root, np.log10(p)][order]
+        self.to = np.r_[after, np.where(longer, 1 + at, after[last])][order]
+        self.start = after[grams.end]
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next state and the log-probability of a word from each state: failure arcs until there is an arc for the word."""
+        at, has = _found(self.arcs, state * self.words + word)
+        p = np.where(has, self.weight[at], 0.0)
+        to = self.to[at]
+        left = np.flatnonzero(~has)
+        state = state[left]
+        while len(left):
+            p[left] += self.freed[state]
+            state = self.fail[state]
+            at, has = _found(self.arcs, state * self.words + word[left])
+            p[left[has]] += self.weight[at[has]]
+            to[left[has]] = self.to[at[has]]
+            left, state = left[~has], state[~has]
+        return to, p
+
+    def walk(self, w: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The log-probability of each text: all stretches take a step at a time, longest ones first."""
+        cuts = -(-np.diff(first) // STRETCH)
+        text = np.repeat(np.arange(len(cuts)), cuts)
+        begin = first[text] + STRETCH * (np.arange(len(text)) - np.repeat(np.cumsum(cuts) - cuts, cuts))
+        end = np.minimum(begin + STRETCH, first[text + 1])
+        warm = np.minimum(2, begin - first[text])  # words that fix the state at the stretch's start
+        order = np.argsort(begin - warm - end, kind="stable")
+        begin, end, warm = begin[order] - warm[order], end[order], warm[order]
+        state = np.where(begin == first[text[order]], self.start, 0)
+        total = np.zeros(len(order))
+        steps = int((end - begin).max())
+        live = len(order) - np.searchsorted((end - begin)[::-1], np.arange(steps), side="right")
+        for j, m in enumerate(live):
+            state, p = self.step(state[:m], w[begin[:m] + j])
+            total[:m] += np.where(warm[:m] > j, 0, p)
+        return np.bincount(text[order], weights=total, minlength=len(cuts))
+
+
+def _pair(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    return high.astype(np.int64) << 32 | low
+
+
+def score_texts(docs: DataFrame, training: Column, part_bytes: int = PART, least: int = LEAST) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_tokens, n_known, train_tokens, base_score, score.
+
+    training: which rows are learned from. least: how often a pair or triple of words occurs to be an arc; 1 keeps all.
+    """
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce(training, F.lit(False)).alias("learn"), "text")
     texts = rows.filter("learn").select("text")
@@ -276,21 +390,30 @@ def score_texts(docs: DataFrame, training: Column, part_bytes: int = PART) -> Da
     parts = max(1, -(-size // part_bytes))
     rank = np.empty(len(n), np.int64)
     rank[np.argsort(-n, kind="stable")] = 1 + np.arange(len(n))
+    tasks = min(TASKS, max(1, -(-size // TASK)))
     hot = np.r_[False, np.sort(n)[::-1] * parts > 2 * total]
     scale = float(total + distinct + 1)
-    shared = spark.sparkContext.broadcast((head, rank, n, hot))
+    often = hot[rank]
+    pairs = NONE
+    if often.any():
+        alike = spark.sparkContext.broadcast((head[often], rank[often]))
+        paired = texts.mapInArrow(lambda batches: _counted(_hot_pairs(p.column("text"), *alike.value) for b in batches for p in pieces(b)), "key bigint, n bigint")
+        many = paired.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") * parts > 2 * total).select("key").toPandas()  # fewer than parts / 2
+        pairs = np.sort(many["key"].to_numpy(np.int64).view(np.uint64))
+    shared = spark.sparkContext.broadcast((head, rank, n, hot, pairs))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, ranks, _, often = shared.value
+        words, ranks, _, often, both = shared.value
         for number, piece in numbered_pieces(batches, PIECE):
             h, first = tokens(piece.column("text"))
             learn = np.repeat(piece.column("learn").to_numpy(zero_copy_only=False).astype(bool), np.diff(first))
-            out = list(_sent(Grams(h, first, words, ranks, often, parts), learn))
+            out = list(_sent(Grams(h, first, words, ranks, often, parts, both), learn))
             yield pa.RecordBatch.from_arrays([pa.array([number] * len(out), pa.int64()), pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["piece", "part", "data"])
 
-    answered = stored(rows.mapInArrow(send, "piece bigint, part int, data binary").groupBy("part").applyInArrow(_part_counts(hot), "piece bigint, part int, data binary, v bigint, k bigint, t bigint"))
-    wide = answered.filter("v is not null").groupBy("v").agg(*[F.sum(x).alias(x) for x in "kt"]).toPandas().sort_values("v")
-    sums = spark.sparkContext.broadcast([wide["v"].to_numpy(np.uint64), *(wide[x].to_numpy(np.int64) for x in "kt")])
+    sent = rows.mapInArrow(send, "piece bigint, part int, data binary").repartition(tasks, "part")
+    answered = stored(sent.groupBy("part").applyInArrow(_part_counts(shared, least), "piece bigint, part int, data binary, context bigint, k bigint, t bigint"))
+    wide = answered.filter("context is not null").groupBy("context").agg(*[F.sum(x).alias(x) for x in "kt"]).toPandas().sort_values("context")
+    sums = spark.sparkContext.broadcast([wide[x].to_numpy(np.int64) for x in ("context", "k", "t")])
 
     def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, piece in numbered_pieces(batches, PIECE):
@@ -302,17 +425,19 @@ def score_texts(docs: DataFrame, training: Column, part_bytes: int = PART) -> Da
     def score(carried: pa.Table, answers: pa.Table) -> pa.Table:
         if carried.num_rows != 1 or not answers.num_rows:
             raise RuntimeError("the input gave other rows when it was read again")
-        words, ranks, often_n, often = shared.value
+        words, ranks, often_n, often, both = shared.value
         ids, sizes = carried.column("doc_ids").combine_chunks().flatten(), carried.column("sizes").combine_chunks().flatten().to_numpy()
         raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(carried.column("texts")[0].as_py()), np.uint8)
         h, first = tokens_of(raw, np.r_[0, np.cumsum(sizes)].astype(np.int64))
         data = dict(zip(answers.column("part").to_pylist(), answers.column("data").to_pylist(), strict=True))
-        known, base, model = _log_probabilities(Grams(h, first, words, ranks, often, parts), first, data, sums.value, often_n, scale)
-        each = [np.diff(first), np.add.reduceat((known > 0).astype(np.int64), first[:-1]), np.full(len(ids), total), np.add.reduceat(base, first[:-1]), np.add.reduceat(model, first[:-1])]
+        grams = Grams(h, first, words, ranks, often, parts, both)
+        model = Automaton(grams, data, sums.value, often_n, scale, least)
+        known = (model.count > 0)[grams.w].astype(np.int64)
+        each = [np.diff(first), np.add.reduceat(known, first[:-1]), np.full(len(ids), total), np.add.reduceat(model.root[grams.w], first[:-1]), model.walk(grams.w, first)]
         return pa.table([ids, *map(pa.array, each)], names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    carried = rows.mapInArrow(carry, "piece bigint, doc_ids array<bigint>, sizes array<bigint>, texts binary")
-    answers = answered.filter("piece is not null").select("piece", "part", "data")
+    carried = rows.mapInArrow(carry, "piece bigint, doc_ids array<bigint>, sizes array<bigint>, texts binary").repartition(tasks, "piece")
+    answers = answered.filter("piece is not null").select("piece", "part", "data").repartition(tasks, "piece")
     return carried.groupBy("piece").cogroup(answers.groupBy("piece")).applyInArrow(score, "doc_id bigint, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 

@@ -13,8 +13,8 @@ from coterie.llm import lm_score
 D = lm_score.DISCOUNT
 
 
-def brute(texts, train):
-    """Scores by an interpolated model of all n-grams that occur twice or more."""
+def brute(texts, train, least=2):
+    """Scores by an interpolated model of all n-grams that occur ``least`` times or more."""
     words = lambda t: ["\0", *t.lower().split(), "\0"]
     one, two, three = Counter(), Counter(), Counter()
     for w in map(words, train):
@@ -27,10 +27,10 @@ def brute(texts, train):
         total, kept, kinds = Counter(), Counter(), Counter()
         for g, n in grams.items():
             total[g[:-1]] += n
-            if n >= 2:
+            if n >= least:
                 kept[g[:-1]] += n
                 kinds[g[:-1]] += 1
-        return lambda g: (((grams[g] - D) / total[g[:-1]] if grams[g] >= 2 else 0), 1 - (kept[g[:-1]] - D * kinds[g[:-1]]) / max(1, total[g[:-1]]))
+        return lambda g: (((grams[g] - D) / total[g[:-1]] if grams[g] >= least else 0), 1 - (kept[g[:-1]] - D * kinds[g[:-1]]) / max(1, total[g[:-1]]))
 
     s2, s3 = sums(two), sums(three)
     for t in texts:
@@ -65,3 +65,38 @@ def test_pieces_of_very_many_words_are_cut_alike(monkeypatch):
     wide = lm_score.Grams(h, first, head, rank, hot, 3)
     for name in ("V", "U", "W", "split", "cuts", "at1", "at2", "at3"):
         assert np.array_equal(getattr(narrow, name), getattr(wide, name)), name
+
+
+@pytest.mark.parametrize("least", [1, 2, 3])
+def test_hot_pairs_long_texts_null_and_repeated_ids(spark, least):
+    """A third of all pairs is one pair, whose n-grams are dealt one by one; long texts are walked in many stretches."""
+    texts = [" ".join(f"of the x{(i * j) % 37} y{(i + j * j) % 11}" for j in range(40 + i)) for i in range(20)]
+    texts += [" ".join(f"z{j % 13} of the z{j * j % 7}" for j in range(900)), "of", "", None, "The OF the of", "\n"]
+    ids = [i if i % 6 else 6 for i in range(len(texts))]
+    rows = [*zip(ids, texts), (None, "of the only here of the only here"), (3, texts[3])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2, "doc_id").cache()
+    got = lm_score.score_texts(df, F.col("doc_id") % 5 != 2, 1000, least).collect()
+    train = [t or "" for i, t in rows if i is not None and i % 5 != 2]
+    want = sorted((-1 if i is None else i, round(x, 6)) for (i, _), x in zip(rows, brute([t or "" for _, t in rows], train, least)))
+    assert sorted((-1 if r.doc_id is None else r.doc_id, round(r.score, 6)) for r in got) == want
+    assert {r.train_tokens for r in got} == {sum(len(t.split()) + 1 for t in train)}
+
+
+def test_without_training_every_token_has_probability_one(spark):
+    df = spark.createDataFrame([(1, "a b a"), (2, None), (2, "")], "doc_id bigint, text string")
+    got = lm_score.score_texts(df, F.lit(False)).collect()
+    assert sorted((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got) == [(1, 4, 0, 0, 0.0, 0.0), (2, 1, 0, 0, 0.0, 0.0), (2, 1, 0, 0, 0.0, 0.0)]
+    assert lm_score.score_texts(df.limit(0), F.lit(True)).count() == 0
+
+
+def test_hot_pairs_are_split_and_others_are_not():
+    h, first = lm_score.tokens(pa.array(["of the a", "of the b c d", "the of"]))
+    of, the = lm_score.tokens(pa.array(["of"]))[0][0], lm_score.tokens(pa.array(["the"]))[0][0]
+    head = np.sort(np.array([of, the]))
+    rank = np.where(head == of, 2, 1)
+    pairs = np.unique(lm_score._hot_pairs(pa.array(["x of the y", "the of of"]), head, rank))
+    assert sorted(pairs.tolist()) == sorted([1 << 32 | 2, 2 << 32 | 1, 2 << 32 | 2])
+    grams = lm_score.Grams(h, first, head, rank, np.array([False, True, True]), 50, np.array([1 << 32 | 2], np.uint64))
+    contexts = {(int(v), int(u)): bool(s) for v, u, s in zip(grams.V, grams.U, grams.split)}
+    assert contexts[1, 2] and contexts[1, 0] and contexts[2, 0] and contexts[0, 0]
+    assert not any(s for (v, u), s in contexts.items() if v > 2 or u > 2)
