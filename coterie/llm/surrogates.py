@@ -1,16 +1,20 @@
 """Personal data replaced by keyed, type-consistent surrogates.
 
-Found are e-mail addresses, phone numbers, IPv4 addresses, payment card numbers,
-secrets (``password=`` and the like, access keys) and given names of a lexicon,
-in any case. A run of numbers is read by the grammar of each type in that order:
-addresses, cards, phones; what is left of it is a phone or card by its digits.
-Other given names than the lexicon's, and surnames, are not found.
+Found are e-mail addresses, phone numbers, IPv4 and IPv6 addresses, payment card and
+bank account numbers (IBAN, by its check digits), tax numbers of the form 3-2-4, secrets
+(``password=`` and the like, access keys), given names of a lexicon, in any case, and
+other names by their context: one or two capitalised words after a title, and a capitalised word after
+a given name of the lexicon. A run of numbers is read by the grammar of each type in that order:
+addresses, cards, phones; what is left of it is a phone or card by its digits. Digits without
+separators are a phone after a word for one. Names that neither stand in the lexicon nor in
+such a context are not found.
 Every distinct entity (type and canonical form: digits of a phone or card, lower
-case of an address or name) gets one surrogate from a keyed hash, so all its
+case of an address or name, letters and digits of an account) gets one surrogate from a keyed hash, so all its
 mentions, however written, are replaced alike. A surrogate keeps the form: kinds
 of characters, separators, a card's first digit and check digit, a phone's
-country code; names keep gender, script and case, by a keyed permutation of the
-lexicon's names of that gender and script.
+country code, an account's country with right check digits, a private address's network,
+the public suffix of a domain, all of whose other labels change; given names keep gender, script and case, by a
+keyed permutation of the lexicon's names of that gender and script; other names keep length, script and case.
 
 A collision check follows: of entities with one surrogate all but the first, and
 entities whose surrogate occurs as an entity, draw again, until none is left.
@@ -27,7 +31,9 @@ rewritten by their own text. Texts of any length are read whole. Extra columns a
 
 import hashlib
 import hmac
+import ipaddress
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -47,6 +53,12 @@ NAMES = {
     ("f", "greek"): ["Μαρία", "Ελένη", "Κατερίνα", "Σοφία"],
     ("m", "greek"): ["Γιώργος", "Νίκος", "Δημήτρης", "Κώστας"],
 }
+# Titles before a name, words before a phone number, second-level labels that belong to a public suffix.
+TITLES = ["Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "Herr", "Frau", "Señor", "Señora", "Sr", "Sra", "Madame", "Monsieur", "Mme"]
+PHONE_WORDS = ["call", "phone", "telephone", "tel", "mobile", "cell", "fax", "whatsapp"]
+SUFFIXES = ["ac", "co", "com", "edu", "gov", "net", "org"]
+# Letters by script, consonants and vowels, for names outside the lexicon.
+LETTERS = {"latin": ("bdfgklmnprstvz", "aeiou"), "cyrillic": ("бвгдзклмнпрст", "аеиоу"), "greek": ("βγδζκλμνπρτφ", "αειου")}
 GROUP = {n.lower(): (g, n) for g, names in NAMES.items() for n in names}
 
 _LOCAL, _DOMAIN = re.compile(r"[\w.+%-]"), re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+")
@@ -63,6 +75,14 @@ _CARD = re.compile(r"(?<![\w.+])(?=(\d{13,19}(?!\w|\.\d)|\d{4}([ -])\d{4}\2\d{4}
 _LONG = re.compile(r"(?<![\w.+])\d{4}([ -])\d{4}\1\d{4}\1\d{4}\1\d{1,3}(?!\w)")
 _PHONE = re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?|\d{1,3}[.-]|1 )?(?:\(\d{3}\)[ .-]?|\d{3}[ .-]?)\d{3}[ .-]?\d{4}(?!\w)")
 _GROUP = re.compile(r"[+(]{0,2}\d+")
+_TAX = re.compile(r"(?<![\w.+-])(?!000|666|9)\d{3}([- ])(?!00)\d{2}\1(?!0000)\d{4}(?![\w-])")
+_CALLED = re.compile(r"(?<!\w)(?:" + "|".join(PHONE_WORDS) + r")(?:[.:]{1,2} ?| (?:me |us )?(?:at |on )?)(\d{9,15})(?![\w-])(?!\.\d)", re.IGNORECASE)
+_SIX = re.compile(r"(?<![\w:.])(?=[0-9a-fA-F:]*\d)[0-9a-fA-F]{1,4}(?::{1,2}[0-9a-fA-F]{1,4}){2,7}(?:::)?(?![\w:])")
+_ACCOUNT = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?!\w)")
+_CAPITAL = r"[A-ZÀ-ÞΑ-ΩА-Я][a-zß-ÿα-ωά-ώа-яё]+"
+_TITLED = re.compile(r"(?<!\w)(?:" + "|".join(TITLES) + rf")\.? (?P<a>{_CAPITAL})(?: (?P<b>{_CAPITAL}))?(?!\w)")
+_AFTER = re.compile(rf" (?P<a>{_CAPITAL})(?!\w)")
+_PRIVATE = re.compile(r"(?:10|127)\.|192\.168\.|172\.(?:1[6-9]|2\d|3[01])\.")
 # Dates, with a time's hour, and ISBNs.
 _OTHER = re.compile(r"(?<![\w.+-])(?:(?:19|20)\d\d([-.])\d\d\1\d\d(?: \d\d)?|\d{1,2}([-.])\d{1,2}\2(?:19|20)\d\d(?: \d\d)?|97[89]([- ]?)\d{1,5}\3\d{1,7}\3\d{1,6}\3\d)(?![\w-])")
 _IP = re.compile(r"\d{1,3}(?:\.\d{1,3}){3}\Z")
@@ -73,6 +93,19 @@ def _luhn(digits: str) -> bool:
     return sum(d[0::2] + [sum(divmod(2 * x, 10)) for x in d[1::2]]) % 10 == 0
 
 
+def _account_rest(account: str) -> int:
+    """An IBAN's remainder, 1 if its check digits are right."""
+    return int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97
+
+
+def _is_six(text: str) -> bool:
+    try:
+        ipaddress.IPv6Address(text)
+    except ValueError:
+        return False
+    return True
+
+
 def _numeric(mention: str) -> tuple[str, str] | None:
     digits = re.sub(r"\D", "", mention)
     if _IP.match(mention):
@@ -95,6 +128,8 @@ def _numbers(text: str, start: int, end: int) -> list[tuple[int, int, str, str]]
     for m in _ADDRESS.finditer(text, start, end):
         if kind := _numeric(m[0]):
             take(m.start(), m.end(), *kind)
+    for m in _TAX.finditer(text, start, end):
+        take(m.start(), m.end(), "tax", re.sub(r"\D", "", m[0]))
     cards = [(*m.span(1), re.sub(r"\D", "", m[1])) for m in _CARD.finditer(text, start, end)]
     longer = [(*m.span(), re.sub(r"\D", "", m[0])) for m in _LONG.finditer(text, start, end)]
     # Groups of four can be read from several places: first those with a right check digit, others after the phones.
@@ -137,11 +172,25 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
     for m in _SECRET.finditer(text):
         s, e = m.span("v") if m["v"] else m.span()
         found.append((s, e, "secret", text[s:e]))
+    for m in _ACCOUNT.finditer(text):
+        account = m[0].replace(" ", "")
+        if 15 <= len(account) <= 34 and _account_rest(account) == 1:
+            found.append((*m.span(), "account", account))
+    if text.count(":") > 1:
+        found += [(*m.span(), "ipv6", m[0].lower()) for m in _SIX.finditer(text) if _is_six(m[0])]
+    found += [(*m.span(1), "phone", m[1]) for m in _CALLED.finditer(text)]
+    for m in _TITLED.finditer(text):
+        found += [(*m.span(g), "surname", m[g].lower()) for g in "ab" if m[g] and m[g].casefold() not in _FOLDED]
     for m in _RUN.finditer(text):
         found += _numbers(text, *m.span())
     low = text.lower()
     if len(low) > len(text) or any(n in low for n in _PLAIN):  # few texts have a name, and looking for one is faster than the expression
-        found += [(m.start(), m.end(), "name", _FOLDED[m[0].casefold()]) for m in _NAME.finditer(text) if m[0].casefold() in _FOLDED]
+        for m in _NAME.finditer(text):
+            if m[0].casefold() in _FOLDED:
+                found.append((m.start(), m.end(), "name", _FOLDED[m[0].casefold()]))
+                after = _AFTER.match(text, m.end()) if m[0].istitle() else None
+                if after and after["a"].casefold() not in _FOLDED:
+                    found.append((*after.span("a"), "surname", after["a"].lower()))
     out: list = []
     for x in sorted(found, key=lambda x: (x[0], -x[1])):
         if not out or x[0] >= out[-1][1]:
@@ -164,7 +213,7 @@ class _Stream:
 
 
 def _shaped(text: str, r: _Stream) -> str:
-    hexadecimal = re.fullmatch(r"[0-9a-f]+", text) is not None
+    hexadecimal = len(text) >= 6 and re.fullmatch(r"(?=.*\d)(?=.*[a-f])[0-9a-f]+", text) is not None
     pick = lambda c: "0123456789abcdef"[r.below(16)] if hexadecimal else chr(48 + r.below(10)) if c.isdigit() else chr(97 + r.below(26)) if c.islower() else chr(65 + r.below(26)) if c.isupper() else c
     return "".join(map(pick, text))
 
@@ -175,10 +224,34 @@ def surrogate(kind: str, canonical: str, attempt: int, key: bytes) -> str:
     more = "".join(chr(97 + r.below(26)) for _ in range(attempt // WIDEN))
     if kind == "email":
         local, _, domain = canonical.partition("@")
-        host, _, rest = domain.partition(".")
-        return f"{_shaped(local, r)}{more}@{_shaped(host, r)}.{rest}"
+        labels = domain.split(".")
+        keep = 2 if len(labels) > 2 and labels[-2] in SUFFIXES else 1
+        return f"{_shaped(local, r)}{more}@{'.'.join([*(_shaped(x, r) for x in labels[:-keep]), *labels[-keep:]])}"
     if kind == "ip":
-        return ".".join(str(r.below(256)) for _ in range(4))
+        while True:
+            network = _PRIVATE.match(canonical)
+            rest = 4 - network[0].count(".") if network else 4
+            value = (network[0] if network else "") + ".".join(str(r.below(256)) for _ in range(rest))
+            if network or not _PRIVATE.match(value):
+                return value
+    if kind == "ipv6":
+        digits = "0123456789abcdef"
+        drawn = "".join(c if c == ":" else digits[r.below(16)] if i and canonical[i - 1] != ":" else digits[1 + r.below(15)] for i, c in enumerate(canonical))
+        return drawn if re.search(r"\d", drawn) else re.sub(r"[a-f](?=[^a-f]*\Z)", str(1 + r.below(9)), drawn, count=1)
+    if kind == "account":
+        body = "".join(str(r.below(10)) if c.isdigit() else chr(65 + r.below(26)) for c in canonical[4:])
+        return f"{canonical[:2]}{98 - _account_rest(f'{canonical[:2]}00{body}'):02d}{body}"
+    if kind == "tax":
+        area = 1 + r.below(898)
+        return f"{area + (area >= 666):03d}{1 + r.below(99):02d}{1 + r.below(9999):04d}"
+    if kind == "surname":
+        script = "greek" if "α" <= unicodedata.normalize("NFD", canonical)[0] <= "ω" else "cyrillic" if "а" <= canonical[0] <= "я" else "latin"
+        sounds = LETTERS[script]
+        drawn = ""
+        while not drawn or drawn in GROUP:
+            turn = r.below(2)
+            drawn = "".join(sounds[(k + turn) % 2][r.below(len(sounds[(k + turn) % 2]))] for k in range(len(canonical) + attempt // WIDEN))
+        return drawn
     if kind == "phone":
         keep = max(0, len(canonical) - 10)
         return canonical[:keep] + str(2 + r.below(8)) + "".join(str(r.below(10)) for _ in canonical[keep + 1 :])
@@ -198,7 +271,14 @@ def surrogate(kind: str, canonical: str, attempt: int, key: bytes) -> str:
 
 def rendered(kind: str, mention: str, value: str) -> str:
     """A canonical surrogate in the form of a mention."""
-    if kind in ("phone", "card"):
+    if kind == "account":
+        letters = iter(value)
+        return "".join(c if c == " " else next(letters) for c in mention)
+    if kind == "ipv6":
+        return value.upper() if mention.isupper() else value
+    if kind == "surname":
+        return value.title()
+    if kind in ("phone", "card", "tax"):
         digits = iter(value)
         return "".join(next(digits) if c.isdigit() else c for c in mention)
     if kind == "name":
