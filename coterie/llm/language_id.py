@@ -4,6 +4,7 @@ Each word is labelled with a language. A word's features are hashed: affixes of
 one to three bytes, byte trigrams, and the word itself as its entry in a learned
 lexicon. Transitions between labels are learned too. Forward-backward gives each
 word's posterior over languages; a document's language has the largest mean.
+``label_words`` gives the runs of words of one language inside each text.
 
 The CRF is fitted on a bounded sample: ``PER_LANGUAGE`` labelled documents of
 each language (the smallest hashes), ``WINDOWS`` windows of ``CHAIN`` words from
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from coterie.llm.common import bytes_of, fold, hash_words, mix, pieces, read, stored, without, word_bounds
+from coterie.llm.common import bytes_of, fold, hash_words, mix, pieces, read, stored, text_key, without, word_bounds
 
 PER_LANGUAGE, WINDOWS, CHAIN = 300, 2, 64
 SPARE = 3  # texts that may enter the choice of a language's sample, for each one chosen
@@ -166,6 +167,34 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict | None:
     return fit([(r[0], r[1]) for r in sample(docs, per_language).collect() if r[1].strip()])
 
 
+def _words(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The folded bytes of the piece's texts, and start, end and row of each word with a letter."""
+    raw, starts = bytes_of(piece.column("text"))
+    raw = fold(raw)
+    begin, end, row = word_bounds(raw, starts)
+    letters = np.r_[0, np.cumsum(_LETTER[raw])]
+    spoken = letters[end] > letters[begin]
+    return raw, begin[spoken], end[spoken], row[spoken]
+
+
+def _word_posteriors(m: dict, rows: int, raw: np.ndarray, begin: np.ndarray, end: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """(words, labels): the posterior of each word's language, texts being read as chains of CHAIN words."""
+    k = len(m["labels"])
+    words = hash_words(raw, begin, end)
+    _, one, of = np.unique(words, return_index=True, return_inverse=True)
+    flat, at = word_features(raw, begin[one], end[one], words[one])
+    emission = np.add.reduceat(m["weights"][flat], at[:-1], axis=0)[of]
+    n = np.bincount(row, minlength=rows)
+    place = np.arange(len(row)) - (np.cumsum(n) - n)[row]
+    chains = -(-n // CHAIN)
+    chain = (np.cumsum(chains) - chains)[row] + place // CHAIN
+    grid, live = np.zeros((chains.sum(), CHAIN, k), np.float32), np.zeros((chains.sum(), CHAIN), bool)
+    grid[chain, place % CHAIN] = emission
+    live[chain, place % CHAIN] = True
+    p, _ = posteriors(grid, live, m["transition"])
+    return p[chain, place % CHAIN]
+
+
 def predict(docs: DataFrame, model: dict | None) -> DataFrame:
     """One row per row of ``docs``: doc_id, text_key, lang_pred, score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -174,29 +203,12 @@ def predict(docs: DataFrame, model: dict | None) -> DataFrame:
         m = shared.value
         for batch in batches:
             for piece in pieces(batch):
-                raw, starts = bytes_of(piece.column("text"))
-                raw = fold(raw)
-                begin, end, row = word_bounds(raw, starts)
-                letters = np.r_[0, np.cumsum(_LETTER[raw])]
-                spoken = letters[end] > letters[begin]
-                begin, end, row = begin[spoken], end[spoken], row[spoken]
+                raw, begin, end, row = _words(piece)
                 pred, score = np.full(piece.num_rows, "und", object), np.zeros(piece.num_rows)
                 if len(begin) and m:
-                    k = len(m["labels"])
-                    words = hash_words(raw, begin, end)
-                    _, one, of = np.unique(words, return_index=True, return_inverse=True)
-                    flat, at = word_features(raw, begin[one], end[one], words[one])
-                    emission = np.add.reduceat(m["weights"][flat], at[:-1], axis=0)[of]
+                    each = _word_posteriors(m, piece.num_rows, raw, begin, end, row)
                     n = np.bincount(row, minlength=piece.num_rows)
-                    place = np.arange(len(row)) - (np.cumsum(n) - n)[row]
-                    chains = -(-n // CHAIN)
-                    chain = (np.cumsum(chains) - chains)[row] + place // CHAIN
-                    grid, live = np.zeros((chains.sum(), CHAIN, k), np.float32), np.zeros((chains.sum(), CHAIN), bool)
-                    grid[chain, place % CHAIN] = emission
-                    live[chain, place % CHAIN] = True
-                    p, _ = posteriors(grid, live, m["transition"])
-                    each = p[chain, place % CHAIN]
-                    total = np.stack([np.bincount(row, weights=each[:, j], minlength=piece.num_rows) for j in range(k)], axis=1)
+                    total = np.stack([np.bincount(row, weights=x, minlength=piece.num_rows) for x in each.T], axis=1)
                     some = (n > 0) & piece.column("has_letter").to_numpy(zero_copy_only=False)
                     best = total.argmax(axis=1)
                     pred[some] = np.array(m["labels"], object)[best[some]]
@@ -207,6 +219,44 @@ def predict(docs: DataFrame, model: dict | None) -> DataFrame:
     return docs.select("doc_id", F.xxhash64(F.lit("text"), "text").alias("text_key"), "text", letter).mapInArrow(tag, "doc_id bigint, text_key bigint, lang_pred string, score double")
 
 
+RUNS = "array<struct<start:int,end:int,lang:string,n_words:int,score:double>>"
+_RUN_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string()), ("n_words", pa.int32()), ("score", pa.float64())]))
+
+
+def label_words(docs: DataFrame, model: dict | None) -> DataFrame:
+    """One row per row of ``docs``: doc_id, text_key, runs: where the language switches within a text.
+
+    A run is a maximal row of words with one most probable language: start and end in code points of the text, from its first
+    word's start to its last word's end, and its words' mean posterior. Words without a letter belong to no run and
+    break none. A null text, one without letters, or any text without a model has no runs.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            for piece in pieces(batch):
+                raw, begin, end, row = _words(piece)
+                runs, cuts = pa.array([], _RUN_TYPE.value_type), np.zeros(piece.num_rows + 1, np.int32)
+                if len(begin) and m:
+                    each = _word_posteriors(m, piece.num_rows, raw, begin, end, row)
+                    best = each.argmax(axis=1)
+                    first = np.flatnonzero(np.r_[True, (best[1:] != best[:-1]) | (row[1:] != row[:-1])])
+                    last = np.r_[first[1:], len(best)] - 1
+                    points = np.r_[0, np.cumsum((raw & 0xC0) != 0x80)]  # code points before each byte
+                    before = points[bytes_of(piece.column("text"))[1][:-1]][row[first]]
+                    n = last - first + 1
+                    mean = np.add.reduceat(each[np.arange(len(best)), best], first) / n
+                    lang = np.array(m["labels"], object)[best[first]]
+                    values = [points[begin[first]] - before, points[end[last]] - before, lang, n, np.clip(mean, 0, 1)]
+                    fields = list(_RUN_TYPE.value_type)
+                    runs = pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(values, fields, strict=True)], fields=fields)
+                    cuts = np.r_[0, np.cumsum(np.bincount(row[first], minlength=piece.num_rows))].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("text_key"), pa.ListArray.from_arrays(pa.array(cuts), runs, type=_RUN_TYPE)], names=["doc_id", "text_key", "runs"])
+
+    return docs.select("doc_id", text_key().alias("text_key"), "text").mapInArrow(tag, f"doc_id bigint, text_key bigint, runs {RUNS}")
+
+
 def keep_identified(docs: DataFrame, model: dict | None, min_score: float = MIN_SCORE) -> DataFrame:
     """The rows of ``docs``, all columns, with a language whose mean posterior is min_score or more."""
     return without(docs, predict(docs, model).filter((F.col("lang_pred") == "und") | (F.col("score") < min_score)))
