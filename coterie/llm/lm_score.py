@@ -19,7 +19,7 @@ fix its state whatever came earlier.
 N-grams after a hot word or a hot pair of words, one with a large share of a part's tokens, are
 dealt one by one; the sums of these contexts, at most as many as parts, are broadcast.
 How often a context occurs follows from the counts of its own words.
-Words with a share of ``HEAD`` of all tokens have short numbers in what is sent;
+The most frequent words, ``HEAD`` at most, have short numbers in what is sent;
 other words are sent with their hashes, so this bound changes no score.
 
 A null text is empty and has the end token alone. A row without doc_id is scored
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from coterie.llm.common import bytes_of, fold, hash_words, mix, numbered_pieces, pieces, read, stored, word_bounds
 from coterie.llm.language_id import held_out
 
-HEAD, LEAST, DISCOUNT = 2.5e-7, 2, 0.75  # at most four million words have a share of HEAD, 24 bytes each in what is broadcast
+HEAD, LEAST, DISCOUNT = 1 << 20, 2, 0.75  # a word of the head has 24 bytes in what is broadcast
 PIECE, PART = 1 << 22, 1 << 23  # bytes of text
 TASK, TASKS = 1 << 23, 20_000  # bytes of text for each task of a shuffle, until there are TASKS; then tasks have more groups, one after the other
 STRETCH = 512  # tokens of a text that one walk reads
@@ -244,10 +244,11 @@ def _part_counts(shared: Broadcast, least: int):
         del n, of, first
         kept = np.where(total >= least, total, 0)
         sums = [np.bincount(owner, weights=x, minlength=len(first_context)).astype(np.int64) for x in (kept, kept > 0)]
+        told = np.where(v[first_context][owner] > 0, kept, total)  # what is no arc has no count to tell, but for single words
         data, a, c = [], 0, 0
         for grams, contexts in sizes:
             b, d = a + grams, c + contexts
-            data.append(_blob(total[gram[a:b]], *(s[context[c:d]] for s in sums)))
+            data.append(_blob(told[gram[a:b]], *(s[context[c:d]] for s in sums)))
             a, c = b, d
         v, u = v[first_context], u[first_context]
         wide = np.flatnonzero((v > 0) & _split(v, u, hot, pairs))
@@ -382,8 +383,11 @@ def score_texts(docs: DataFrame, training: Column, part_bytes: int = PART, least
     texts = rows.filter("learn").select("text")
     count = texts.mapInArrow(lambda batches: _counted(tokens(p.column("text"))[0].view(np.int64) for b in batches for p in pieces(b)), "key bigint, n bigint")
     counts = stored(count.groupBy("key").agg(F.sum("n").alias("n")))
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    frequent = counts.filter(F.col("n") >= max(2, total * HEAD)).toPandas()
+    # A row for each power of two: how many words occur so often, at least, and less than twice that.
+    powers = counts.groupBy(F.floor(F.log2("n")).cast("int").alias("power")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).collect()
+    total, distinct = (sum(r[x] for r in powers) for x in ("n", "words"))
+    enough = next(k for k in range(1, 65) if sum(r["words"] for r in powers if r["power"] >= k) <= HEAD)
+    frequent = counts.filter(F.col("n") >= F.lit(1 << min(enough, 62))).toPandas()
     h, n = frequent["key"].to_numpy(np.int64).view(np.uint64), frequent["n"].to_numpy(np.int64)
     head, n = h[np.argsort(h)], n[np.argsort(h)]
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
