@@ -387,8 +387,8 @@ def score_texts(docs: DataFrame, training: Column, part_bytes: int = PART, least
     powers = counts.groupBy(F.floor(F.log2("n")).cast("int").alias("power")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).collect()
     total, distinct = (sum(r[x] for r in powers) for x in ("n", "words"))
     enough = next(k for k in range(1, 65) if sum(r["words"] for r in powers if r["power"] >= k) <= HEAD)
-    frequent = counts.filter(F.col("n") >= F.lit(1 << min(enough, 62))).toPandas()
-    h, n = frequent["key"].to_numpy(np.int64).view(np.uint64), frequent["n"].to_numpy(np.int64)
+    frequent = counts.filter(F.col("n") >= F.lit(1 << min(enough, 62))).toArrow()
+    h, n = frequent["key"].to_numpy().view(np.uint64), frequent["n"].to_numpy()
     head, n = h[np.argsort(h)], n[np.argsort(h)]
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(1, -(-size // part_bytes))
