@@ -344,7 +344,9 @@ class Automaton:
         while len(left):
             p[left] += self.freed[state]
             state = self.fail[state]
-            at, has = _found(self.arcs, state * self.words + word[left])
+            at, has = word[left].astype(np.int64), state == 0  # the root has an arc for every word, in their order
+            deep = np.flatnonzero(~has)
+            at[deep], has[deep] = _found(self.arcs, state[deep] * self.words + word[left[deep]])
             p[left[has]] += self.weight[at[has]]
             to[left[has]] = self.to[at[has]]
             left, state = left[~has], state[~has]
