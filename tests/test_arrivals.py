@@ -80,3 +80,15 @@ def test_touched_components_are_judged(spark, tmp_path):
     assert (row.cluster_key, row["size"], row.n_edges, row.rule, row.flagged) == (1, 3, 3, "device", True)
     sets = frame([("ring", 2), ("ring", 3), ("lone", 5)], "set_id string, member bigint")
     assert {(r.set_id, r.cluster_key, r.status) for r in arrival_status(touched, judged, sets).collect()} == {("ring", 1, "flagged"), ("lone", None, "not_clustered")}
+
+
+def test_merged_components_write_members_and_no_rows(spark, tmp_path):
+    index = ComponentIndex(spark, str(tmp_path / "index"), "bigint", buckets=4, value_type="bigint")
+    frame = lambda rows: spark.createDataFrame(rows, "id bigint, value bigint")
+    index.build(frame([(i, 7) for i in range(10, 40)] + [(i, 100 + i) for i in range(10, 40)] + [(1, 8)]))
+    touched = index.absorb(frame([(1, 7), (10, 7), (50, None)]), 0)
+    assert touched.schema["value"].dataType.simpleString() == "bigint"
+    rows = {(r.cluster_key, r.id, r.value, r.is_new) for r in touched.collect()}
+    assert len(rows) == touched.count() == 62 and {r[0] for r in rows} == {1} and {r[1] for r in rows if r[3]} == {1, 10}
+    assert index._read("rows", 1).filter("batch = 0").select("id", "value").collect() == [(1, 7)]
+    assert {(r.cluster_key, r.member) for r in index.membership(1).collect()} == {(1, i) for i in [1, *range(10, 40)]}
