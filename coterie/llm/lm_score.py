@@ -273,7 +273,8 @@ def _found(keys: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Automaton:
     """The states and arcs that the texts of a piece can reach. State 0 is the root.
 
-    Arcs are sorted by state and word; ``weight`` and ``to`` are theirs, ``freed`` and ``fail`` those of the states' failure arcs.
+    Arcs are numbered, the root's by word and the others by n-gram; ``weight`` and ``to`` are theirs, ``freed`` and ``fail`` those of the
+    states' failure arcs. ``ahead`` has the arc of each place's word from contexts of no, one and two words, -1 where there is none.
     A context that no word follows often enough passes all its mass on, so it needs no state. If a pair is
     a state, so is its last word, and its first word has an arc to it: n-grams occur no oftener than what they contain.
     """
@@ -327,32 +328,32 @@ class Automaton:
         three = np.flatnonzero(before > 0)
         p[three] += freed[of[three]] * p[two[_found(key, _pair(middle[three], last[three]))[0]]]
         at, longer = _found(states, _pair(last, middle))
-        arcs = np.r_[np.arange(self.words), (1 + of) * self.words + last]
-        order = np.argsort(arcs)
-        self.arcs = arcs[order]
-        self.weight = np.r_[self.root, np.log10(p)][order]
-        self.to = np.r_[after, np.where(longer, 1 + at, after[last])][order]
+        self.weight = np.r_[self.root, np.log10(p)]
+        self.to = np.r_[after, np.where(longer, 1 + at, after[last])]
         self.start = after[grams.end]
-
-    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The next state and the log-probability of a word from each state: failure arcs until there is an arc for the word."""
-        at, has = _found(self.arcs, state * self.words + word)
-        p = np.where(has, self.weight[at], 0.0)
-        to = self.to[at]
-        left = np.flatnonzero(~has)
+        self.length = np.r_[0, np.where(alone, 1, 2)].astype(np.int8)  # of each state's context
+        arc = np.full(size + 1, -1, np.int64)  # of each n-gram, -1 if it is none; the last stands for no n-gram
+        arc[rows] = self.words + np.arange(len(rows))
+        three = np.full(len(grams.w), size, np.int64)
+        three[grams.three] = grams.at3
+        # A state's context is what was just read, so its arc for the next word, if it has one, is that of the n-gram there.
+        self.ahead = np.stack([grams.w.astype(np.int64), arc[grams.at2], arc[three]])
+
+    def step(self, state: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next state and the log-probability of the word at a place from each state: failure arcs until there is an arc for the word."""
+        arc = self.ahead[self.length[state], at]
+        freed = np.zeros(len(at))
+        left = np.flatnonzero(arc < 0)
         state = state[left]
         while len(left):
-            p[left] += self.freed[state]
+            freed[left] += self.freed[state]
             state = self.fail[state]
-            at, has = word[left].astype(np.int64), state == 0  # the root has an arc for every word, in their order
-            deep = np.flatnonzero(~has)
-            at[deep], has[deep] = _found(self.arcs, state[deep] * self.words + word[left[deep]])
-            p[left[has]] += self.weight[at[has]]
-            to[left[has]] = self.to[at[has]]
-            left, state = left[~has], state[~has]
-        return to, p
-
-    def walk(self, w: np.ndarray, first: np.ndarray) -> np.ndarray:
+            arc[left] = self.ahead[self.length[state], at[left]]
+            more = np.flatnonzero(arc[left] < 0)  # never at the root, which has an arc for every word
+            left, state = left[more], state[more]
+        return self.to[arc], freed + self.weight[arc]
+
+    def walk(self, first: np.ndarray) -> np.ndarray:
         """The log-probability of each text: all stretches take a step at a time, longest ones first."""
         cuts = -(-np.diff(first) // STRETCH)
         text = np.repeat(np.arange(len(cuts)), cuts)
@@ -366,7 +367,7 @@ class Automaton:
         steps = int((end - begin).max())
         live = len(order) - np.searchsorted((end - begin)[::-1], np.arange(steps), side="right")
         for j, m in enumerate(live):
-            state, p = self.step(state[:m], w[begin[:m] + j])
+            state, p = self.step(state[:m], begin[:m] + j)
             total[:m] += np.where(warm[:m] > j, 0, p)
         return np.bincount(text[order], weights=total, minlength=len(cuts))
 
@@ -439,7 +440,7 @@ def score_texts(docs: DataFrame, training: Column, part_bytes: int = PART, least
         grams = Grams(h, first, words, ranks, often, parts, both)
         model = Automaton(grams, data, sums.value, often_n, scale, least)
         known = (model.count > 0)[grams.w].astype(np.int64)
-        each = [np.diff(first), np.add.reduceat(known, first[:-1]), np.full(len(ids), total), np.add.reduceat(model.root[grams.w], first[:-1]), model.walk(grams.w, first)]
+        each = [np.diff(first), np.add.reduceat(known, first[:-1]), np.full(len(ids), total), np.add.reduceat(model.root[grams.w], first[:-1]), model.walk(first)]
         return pa.table([ids, *map(pa.array, each)], names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     carried = rows.mapInArrow(carry, "piece bigint, doc_ids array<bigint>, sizes array<bigint>, texts binary").repartition(tasks, "piece")

@@ -2,6 +2,7 @@
 
 import math
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -100,3 +101,24 @@ def test_hot_pairs_are_split_and_others_are_not():
     contexts = {(int(v), int(u)): bool(s) for v, u, s in zip(grams.V, grams.U, grams.split)}
     assert contexts[1, 2] and contexts[1, 0] and contexts[2, 0] and contexts[0, 0]
     assert not any(s for (v, u), s in contexts.items() if v > 2 or u > 2)
+
+
+def test_the_walk_takes_arcs_by_place_and_searches_none(monkeypatch):
+    texts = pa.array(["a b c d a b c", "a b c", "", "b c d x", "a b " * 700])
+    h, first = lm_score.tokens(texts)
+    none, hot = np.zeros(0, np.int64), np.array([False])
+    grams = lm_score.Grams(h, first, lm_score.NONE, none, hot, 1)
+    ((part, data),) = lm_score._sent(grams, np.ones(len(h), bool))
+    count = lm_score._part_counts(SimpleNamespace(value=(hot, lm_score.NONE)), 2)
+    answers = {part: count(pa.table({"piece": [0], "part": pa.array([part], pa.int32()), "data": [data]})).column("data")[0].as_py()}
+    model = lm_score.Automaton(grams, answers, [none] * 3, none, float(len(h) + len(np.unique(h)) + 1), 2)
+    monkeypatch.setattr(lm_score, "_found", None)
+    whole = model.walk(first)
+    plain = []
+    for a, b in zip(first[:-1], first[1:]):  # word by word, without stretches
+        state, total = np.array([model.start]), 0.0
+        for place in range(a, b):
+            state, p = model.step(state, np.array([place]))
+            total += p[0]
+        plain.append(total)
+    assert np.allclose(whole, plain) and (whole < 0).all() and (model.ahead[2] >= 0).any() and (model.ahead[2] < 0).any()
