@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from coterie.functions.storage import stored
 from coterie.operators import cluster, factored, features, graph
 
 
@@ -92,3 +93,55 @@ def test_no_groups(spark):
     assert none.count() == 0 and factored.communities(none).count() == 0
     member = spark.createDataFrame([(1, 1), (1, 2)], "cluster_key long, member long")
     assert [tuple(r) for r in factored.density(none, member).collect()] == [(1, 2, 0, 0.0)]
+
+
+def random_level(spark, wide=False):
+    """A level whose nodes are alone: 300 nodes with 2000 random links and, if wanted, two values of 40 holders."""
+    edges = spark.range(2000).selectExpr("pmod(xxhash64(id, 1), 300) as src", "pmod(xxhash64(id, 2), 300) as dst").filter("src < dst").distinct().withColumn("weight", F.lit(1.0))
+    groups = factored.edge_groups(edges).select("value", "member", "m", "weight")
+    if wide:
+        crowd = spark.range(80).select(F.concat(F.lit("crowd"), F.col("id") % 2).alias("value"), (F.col("id") * 3).alias("member"), F.lit(2.0).alias("m"), F.lit(0.1).alias("weight"))
+        groups = groups.unionByName(crowd)
+    groups = stored(groups)
+    state = stored(factored.weighted_degrees(groups).select(F.col("member").alias("node"), F.col("member").alias("label"), "k"))
+    own, m2 = groups.agg(F.sum(F.col("weight") * F.col("m") * F.col("m"))).first()[0], state.agg(F.sum("k")).first()[0]
+    return factored._Level(groups.select("value", F.col("member").alias("node"), "m", F.col("weight").alias("w")), state, m2, -own, 1.3)
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_one_part_adds_exactly_what_it_says_and_leaves_little(spark, wide):
+    level = random_level(spark, wide)
+    before = level.q
+    added = level.settle(1)
+    assert added > 0.2 and level.q - before > added - 1e-9 and level.hope < 0.01
+    assert wide or abs(level.q - before - added) < 1e-9
+
+
+def test_parts_raise_modularity_and_communities_of_too_many_rows_keep_their_nodes(spark, monkeypatch):
+    level = random_level(spark, wide=True)
+    before, nodes = level.q, level.state.count()
+    for _ in range(3):
+        level.settle(4)
+    assert level.q > before + 0.1 and level.state.count() == level.state.select("node").distinct().count() == nodes
+    monkeypatch.setattr(factored, "ROWS_PER_PART", 0)
+    kept = {r.node: r.label for r in level.state.collect()}
+    assert level.settle(4) == 0 and {r.node: r.label for r in level.state.collect()} == kept
+
+
+def test_values_of_the_same_two_communities_become_one_and_modularity_stays(spark):
+    level = random_level(spark, wide=True)
+    level.settle(1)
+    found, labels = level.q, level.state.select("label").distinct().count()
+    coarse = level.coarser()
+    per = coarse.rows.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("a"), F.max("node").alias("b")).collect()
+    two = [(r.a, r.b) for r in per if r.n == 2]
+    assert len(two) == len(set(two)) < 1000 and len(per) - len(two) <= 2 and coarse.state.count() <= labels
+    assert abs(coarse.q - found) < 1e-9
+
+
+def test_search_in_parts_ends_near_the_search_in_one(spark, monkeypatch):
+    groups = stored(random_level(spark).rows.select("value", F.col("node").alias("member"), "m", F.col("w").alias("weight")))
+    found = [factored.modularity(groups, factored.communities(groups, min_size=1)).first().q]
+    monkeypatch.setattr(factored, "ROWS_PER_PART", groups.count() // 3)
+    found.append(factored.modularity(groups, factored.communities(groups, min_size=1)).first().q)
+    assert found[0] > 0.2 and found[1] > 0.85 * found[0]
